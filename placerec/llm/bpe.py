@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 _NONE = np.int32(2**31 - 1)
@@ -210,7 +211,7 @@ def _vocabulary(rank_file: bytes) -> Vocabulary:
 def _parts(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, pa.Array]]:
     """(ids, texts) of runs of rows of about REPLAY_BYTES."""
     text = batch.column(1)
-    sizes = np.asarray(pa.compute.binary_length(text.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
+    sizes = np.asarray(pc.binary_length(text.cast(pa.large_string())).fill_null(0).to_numpy(zero_copy_only=False), np.int64)
     cum, i = np.concatenate([[0], np.cumsum(sizes)]), 0
     while i < len(text):
         j = max(i + 1, int(np.searchsorted(cum, cum[i] + REPLAY_BYTES, "right")) - 1)
