@@ -3,35 +3,59 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from placerec.llm import bpe, licenses, telephony
+from placerec.llm import bpe, licenses, mixing, quality, telephony, topk, urls
 from placerec.llm.shared import table
 
 
-def _rank_file() -> bytes:
+def rank_file() -> bytes:
     import public_tokenizers
 
     with open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
         return f.read()
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digests(table(spark, sf_dir, "documents"))
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.bpe_digests(table(spark, sf_dir, "documents"), _rank_file(), public_tokenizers.PATTERN)
+    return bpe.bpe_digests(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
+def held_out(id_col: str = "doc_id"):
+    return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
+
+
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~held_out()))
+    out = quality.score(docs, model)
+    return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mix": mixing.ORACLE, "op4_exact_topk": topk.ORACLE}
