@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placerec.llm import bpe, licenses, mixing, quality, telephony, topk, urls
+from placerec.llm import bpe, jaccard, licenses, mixing, quality, telephony, topk, urls
 from placerec.llm.shared import table
 
 
@@ -20,6 +20,10 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"), k=3, percent=90)
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return telephony.media_digests(table(spark, sf_dir, "documents"))
 

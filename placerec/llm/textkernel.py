@@ -137,10 +137,11 @@ def shingles(hashes: np.ndarray, per: np.ndarray, k: int) -> tuple[np.ndarray, n
 
 
 def distinct_sets(values: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each text, behind each other, and n + 1 offsets."""
-    order = np.lexsort((values, text))
-    v, t = values[order], text[order]
+    """Sorted distinct values of each text (``text`` ascends), behind each other, and n + 1 offsets."""
+    offs = np.searchsorted(text, np.arange(n + 1), "left")
+    v = values.copy()
+    for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True):
+        v[a:b].sort()
     keep = np.ones(len(v), bool)
-    keep[1:] = (v[1:] != v[:-1]) | (t[1:] != t[:-1])
-    v, t = v[keep], t[keep]
-    return v, np.searchsorted(t, np.arange(n + 1), "left")
+    keep[1:] = (v[1:] != v[:-1]) | (text[1:] != text[:-1])
+    return v[keep], np.searchsorted(text[keep], np.arange(n + 1), "left")
