@@ -1,11 +1,62 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: quality classifier, n-gram Jaccard join, substring dedup, source mixing, byte-level BPE.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from placerec.llm import bpe, jaccard, mixing, quality, registry, substrings
+from placerec.llm.shared import cut, table
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose score is under the threshold go; the model learns from labels of rows that are not held out."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(~registry.held_out()))
+    return quality.score(docs, model, keep=docs.columns).where(F.col("score") >= quality.THRESHOLD).drop("score")
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by 5-word shingles at a similarity of 0.8 or more stays: that of the smallest id."""
+    return jaccard.keep_one(docs, k=5, percent=80)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that a document of a smaller id holds are taken out; n_chars follows the text."""
+    out = substrings.dedup(docs).withColumn("n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.mixed(docs)
+
+
+def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each text."""
+    import public_tokenizers
+
+    return bpe.bpe_digests(docs, registry.rank_file(), public_tokenizers.PATTERN, with_ids=True)
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("ngram_jaccard", ngram_jaccard),
+    ("substring_dedup", substring_dedup),
+    ("source_mix", source_mix),
+    ("byte_bpe", byte_bpe),
+]
+
+#: The classifier and the chunk hash have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    df = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, f in STAGES:
-        df = f(spark, df, sf_dir)
-    return df
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut(docs, name)
+    return docs

@@ -250,8 +250,8 @@ def bpe_decode(encoded: DataFrame, rank_file: bytes, id_col: str = "doc_id", ids
     return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
-def bpe_digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per text: the number and SHA-256 of its ids, and the SHA-256 of the bytes they decode to."""
+def bpe_digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """Per text: the number and SHA-256 of its ids, the SHA-256 of the bytes they decode to, and the ids if wanted."""
     share = docs.sparkSession.sparkContext.broadcast(rank_file)
 
     def run(batches):
@@ -259,12 +259,17 @@ def bpe_digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "
         encoder, of = Encoder(vocabulary, pattern), vocabulary.bytes_of.__getitem__
         for batch in batches:
             for keys, texts in _parts(batch):
-                n, ids_sha, text_sha = [], [], []
+                n, ids_sha, text_sha, every = [], [], [], []
                 for ids in encoder.encode(texts.to_pylist()):
+                    if with_ids:
+                        every.append(ids)
                     n.append(len(ids))
                     ids_sha.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     text_sha.append(hashlib.sha256(b"".join(map(of, ids.tolist()))).hexdigest())
-                yield pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [keys, pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *every]))))
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
+    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

@@ -4,8 +4,8 @@ Each document gets an exponential key ``-ln(u) / quality`` whose ``u`` is a dige
 of its id, so reruns agree. A source's target is a water level: its share of all
 words by weight, but no more than ``cap`` times what the source holds, the excess
 going to the others by weight. Whole epochs of a source come first; the rest of its
-target is filled in key order, by prefix sums, with the document at the edge taken
-if at least half of it fits.
+target is filled in key order, by prefix sums. Of the document at the edge the words
+that fit are taken; where documents stay whole (``copies``), it is taken if half of it fits.
 
 A source's prefix sums never stand in one task: keys fall into 1,024 buckets of
 1,024, sums by bucket (a fixed number of rows a source, partial sums first) tell the
@@ -46,7 +46,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: f
     order, every = Window.orderBy("ratio", F.col("source").asc_nulls_last()), Window.partitionBy()
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     level = (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / (F.sum("w").over(every) - F.coalesce(F.sum("w").over(before), F.lit(0.0)))
-    s = s.withColumn("level", level).withColumn("water", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+    s = s.withColumn("level", level).withColumn("water", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     return s.select("source", "source_size", F.coalesce(F.least("cap", F.col("water") * F.col("w")), "cap").alias("target"))
 
 
@@ -64,13 +64,22 @@ def _with(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(sources, F.col("source").eqNullSafe(F.col("its_source")), how).drop("its_source")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Per document: size, its source's size and target, epochs taken whole, and the words taken in all."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text")).withColumn("size", words_in(F.col("text")))
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, keep: list[str]) -> DataFrame:
+    """Each document's size, key and the two numbers of its bucket, beside the columns ``keep`` as k0, k1, ..."""
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("size", words_in(F.col("text")))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
     d = d.withColumn("key", -F.log(u) / quality(F.col("text"), F.col("size")))
     slot = F.least(F.floor((1 - F.exp(-F.col("key") * LEAST_QUALITY)) * (FAN * FAN)), F.lit(FAN * FAN - 1)).cast("long")
-    base = cut(d.withColumn("slot", slot).select("id", "source", "size", "key", F.floor(F.col("slot") / FAN).cast("int").alias("b1"), (F.col("slot") % FAN).cast("int").alias("b2")), "mix")
+    d = d.withColumn("slot", slot)
+    return d.select("id", "source", "size", "key", F.floor(F.col("slot") / FAN).cast("int").alias("b1"), (F.col("slot") % FAN).cast("int").alias("b2"), *[f"k{i}" for i in range(len(keep))])
+
+
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+    """Per document: size, its source's size and target, epochs taken whole, and the words taken in all.
+
+    With ``keep``: those columns and ``copies``, the number of times the mix takes the document.
+    """
+    base = cut(_keyed(docs, id_col, text_col, source_col, seed, []), "mix")
     first = cut(base.groupBy("source", "b1").agg(F.sum("size").alias("words")), "mix-buckets")
     plan = source_targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap, share)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -78,13 +87,23 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = cut(_with(plan, _edge(sums, "b1", "rest"), "left"), "mix-edges")
     inner = _with(base, plan.select("source", "b1_edge", "b1_left")).where(F.col("b1") == F.col("b1_edge")).groupBy("source", "b2", "b1_left").agg(F.sum("size").alias("words"))
     plan = cut(_with(plan, _edge(inner, "b2", "b1_left"), "left"), "mix-plan")
-    d = _with(base, plan)
+    d = _with(_keyed(docs, id_col, text_col, source_col, seed, keep) if keep else base, plan)
     on_edge = (F.col("b1") == F.coalesce("b1_edge", F.lit(FAN))) & (F.col("b2") == F.coalesce("b2_edge", F.lit(FAN)))
     below = (F.col("b1") < F.coalesce("b1_edge", F.lit(FAN))) | (F.col("b1") == F.col("b1_edge")) & (F.col("b2") < F.coalesce("b2_edge", F.lit(FAN)))
     run = Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    edge = d.where(on_edge).withColumn("more", (F.coalesce(F.sum("size").over(run), F.lit(0)) + F.col("size") / 2 <= F.col("b2_left")).cast("long"))
-    out = d.where(~on_edge).withColumn("more", below.cast("long")).unionByName(edge)
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("more"))).alias("taken"))
+    # what is left of the target when the document's turn comes
+    left = F.col("b2_left") - F.coalesce(F.sum("size").over(run), F.lit(0))
+    edge = d.where(on_edge).withColumn("left", left).withColumn("more", (F.col("size") / 2 <= F.col("left")).cast("long")).withColumn("words", F.greatest(F.lit(0), F.least("size", F.floor("left"))).cast("long")).drop("left")
+    out = d.where(~on_edge).withColumn("more", below.cast("long")).withColumn("words", F.col("more") * F.col("size")).unionByName(edge)
+    if keep:
+        return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (F.col("epochs") + F.col("more")).cast("int").alias("copies"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs") + F.col("words")).alias("taken"))
+
+
+def mixed(docs: DataFrame, **how) -> DataFrame:
+    """The documents themselves, each as often as the mix takes it."""
+    out = mix(docs, keep=docs.columns, **how).where(F.col("copies") > 0)
+    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
 
 
 #: The same result of the documents table in DuckDB.
@@ -102,10 +121,10 @@ l AS (
   SELECT *, cap / w AS ratio,
          (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER b, 0::DOUBLE)) / (sum(w) OVER () - coalesce(sum(w) OVER b, 0::DOUBLE)) AS level
   FROM w WINDOW b AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT *, coalesce(least(cap, w * min(CASE WHEN level <= ratio THEN level END) OVER ()), cap) AS target FROM l),
+t AS (SELECT *, coalesce(least(cap, w * max(CASE WHEN level <= ratio THEN level END) OVER ()), cap) AS target FROM l),
 e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t)
 SELECT k.doc_id, k.size, e.source_size, e.target, e.epochs,
-       (k.size * (e.epochs + CASE WHEN coalesce(sum(k.size) OVER p, 0) + k.size / 2 <= e.target - e.epochs * e.source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+       (k.size * e.epochs + greatest(0, least(k.size, floor(e.target - e.epochs * e.source_size - coalesce(sum(k.size) OVER p, 0)))))::BIGINT AS taken
 FROM k JOIN e ON k.source IS NOT DISTINCT FROM e.source
 WINDOW p AS (PARTITION BY k.source ORDER BY k.key, k.doc_id NULLS LAST, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placerec.llm import bpe, jaccard, licenses, mixing, quality, telephony, topk, urls
+from placerec.llm import bpe, jaccard, licenses, mixing, quality, substrings, telephony, topk, urls
 from placerec.llm.shared import table
 
 
@@ -46,6 +46,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def held_out(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -44,3 +45,20 @@ def drop(*tables: DataFrame) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+FILTER_WORDS = 1 << 17
+
+
+def maybe_among(rows: DataFrame, ids: DataFrame, id_col: str, id_of: str = "id", flag: str = "__maybe") -> DataFrame:
+    """``rows`` with a flag: false only if the id is surely none of ``ids`` (a null id never is).
+
+    The filter has a fixed size, 1 MB of bits in at most 131,072 rows, whatever the number of ids, so it can be
+    sent to all; with very many ids it only lets more rows through to the join that follows.
+    """
+    bit = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_WORDS * 64))
+    words = ids.select(F.floor(bit(id_of) / 64).cast("int").alias("__word"), (bit(id_of) % 64).cast("int").alias("__b"))
+    words = words.groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __b)")).alias("__mask"))
+    out = rows.withColumns({"__word": F.floor(bit(id_col) / 64).cast("int"), "__b": (bit(id_col) % 64).cast("int")}).join(F.broadcast(words), "__word", "left")
+    hit = F.coalesce(F.getbit("__mask", F.col("__b")) == 1, F.lit(False)) & F.col(id_col).isNotNull()
+    return out.withColumn(flag, hit).drop("__word", "__b", "__mask")
