@@ -218,3 +218,43 @@ def weight_sweep(spark, d):
     t = best.select("weight", "query_id").distinct().join(p.select(F.col("scan_id").alias("query_id"), F.col("x").alias("tx"), F.col("y").alias("ty")), "query_id").select(F.struct("weight", "query_id").alias("query_id"), "tx", "ty")
     r = E.first_correct_rank(c, t, 12.0).withColumn("weight", F.col("query_id.weight"))
     return rounded(E.recall(r, (1, 5), ["weight"]))
+
+
+@query()
+def m2dp(spark, d):
+    from placerec.operators import kernels as N
+
+    v = N.m2dp(M.points(spark, d))
+    return v.select("scan_id", "frame", F.posexplode("v").alias("i", "value")).where("i < 8").withColumn("value", F.round("value", 5))
+
+
+@query()
+def m2dp_pca4(spark, d):
+    """Query frames against map frames: the least sign-invariant distance over all frame pairs."""
+    from placerec.operators import kernels as N
+
+    v = N.m2dp(M.points(spark, d), 4)
+    q, m = v.where("scan_id % 10 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")), v.where("scan_id % 10 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b"))
+    plus = F.aggregate(F.zip_with("a", "b", lambda x, y: (x + y) * (x + y)), F.lit(0.0), lambda s, x: s + x)
+    best = q.crossJoin(m).groupBy("query_id", "map_id").agg(F.min(F.sqrt(F.least(R.squared_l2("a", "b"), plus))).alias("distance"))
+    return rounded(R.rank(best), 5)
+
+
+@query()
+def ringpp_features(spark, d):
+    from placerec.operators import kernels as N
+
+    v = N.ringpp(M.points(spark, d), grid=24, span=30.0)
+    return v.select("scan_id", "channels", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 1).alias("mass"))
+
+
+@query()
+def ringpp_topk(spark, d):
+    from pyspark.sql import Window
+
+    from placerec.operators import kernels as N
+
+    v = N.ringpp(M.points(spark, d), grid=24, span=30.0)
+    pairs = v.where("scan_id % 10 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")).crossJoin(v.where("scan_id % 10 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b")))
+    s = N.ringpp_scores(pairs, 24).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "map_id")))
+    return rounded(s.where("rank <= 5"), 4)
