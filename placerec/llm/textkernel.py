@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled by one numpy pass (one longer text is one pass of its own).
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0x5851F42D4C957F2D
