@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 
 _NONE = np.int32(2**31 - 1)
 #: Words a task remembers; more only cost memory, a forgotten word is replayed again.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 #: Text bytes of one replay.
-REPLAY_BYTES = 24 << 20
+REPLAY_BYTES = 10 << 20
 
 
 class Vocabulary:
