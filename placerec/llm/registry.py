@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placerec.llm import bpe, jaccard, licenses, mixing, quality, substrings, telephony, topk, urls
+from placerec.llm import bpe, jaccard, licenses, mixing, quality, substrings, telephony, token_counts, topk, urls
 from placerec.llm.shared import table
 
 
@@ -42,6 +42,12 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return token_counts.count_lines(table(spark, sf_dir, "documents"), rank_file(), public_tokenizers.PATTERN)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
