@@ -9,14 +9,13 @@ from placerec.config import DescriptorConfig
 from placerec.functions import geom as G
 from placerec.operators import points as P
 
-X, Y, Z = F.col("x"), F.col("y"), F.col("z")
 
 
 def polar(p: DataFrame, cfg: DescriptorConfig) -> DataFrame:
     """Points in range with ring, sector and ground-relative height h."""
-    ring = G.polar_bin(G.range_xy(X, Y), cfg.max_radius, cfg.rings)
-    sector = G.polar_bin(G.bearing(X, Y), G.TAU, cfg.sectors)
-    h = Z + F.lit(cfg.vertical_shift + cfg.origin_height)
+    ring = G.polar_bin(G.range_xy(F.col("x"), F.col("y")), cfg.max_radius, cfg.rings)
+    sector = G.polar_bin(G.bearing(F.col("x"), F.col("y")), G.TAU, cfg.sectors)
+    h = F.col("z") + F.lit(cfg.vertical_shift + cfg.origin_height)
     return P.in_descriptor_range(p, cfg.max_radius).withColumns({"ring": ring, "sector": sector, "h": h})
 
 
@@ -31,22 +30,22 @@ def envelope_cells(p: DataFrame, cfg: DescriptorConfig) -> DataFrame:
 def sc_max(p: DataFrame, cfg: DescriptorConfig, lidar_height: float = 2.0, leaf: float = 0.25) -> DataFrame:
     """Single-layer context: highest z over the ground of voxel centroids."""
     v = P.voxel_centroids(P.crop_annulus(p, 0.3, cfg.max_radius), leaf)
-    return polar(v, cfg).groupBy("scan_id", "ring", "sector").agg(F.max(Z + lidar_height).alias("h"))
+    return polar(v, cfg).groupBy("scan_id", "ring", "sector").agg(F.max(F.col("z") + lidar_height).alias("h"))
 
 
 def scpp_cells(p: DataFrame, cfg: DescriptorConfig, leaf: float = 0.5, least: int = 1) -> DataFrame:
     """Three-root context: floor rings, ceil sectors, cells of at least ``least`` voxels."""
     v = P.virtual_roots(P.voxel_centroids(P.crop_annulus(p, 0.3, cfg.max_radius), leaf).drop("n"))
-    r = G.range_xy(X, Y)
-    v = v.where(r <= cfg.max_radius).withColumns({"ring": G.floor_bin(r, cfg.max_radius / cfg.rings, cfg.rings), "sector": G.polar_bin(G.bearing(X, Y), G.TAU, cfg.sectors)})
+    r = G.range_xy(F.col("x"), F.col("y"))
+    v = v.where(r <= cfg.max_radius).withColumns({"ring": G.floor_bin(r, cfg.max_radius / cfg.rings, cfg.rings), "sector": G.polar_bin(G.bearing(F.col("x"), F.col("y")), G.TAU, cfg.sectors)})
     return v.groupBy("scan_id", "root_id", "ring", "sector").agg(F.max("z").alias("h"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
 
 
 def solid(p: DataFrame, rings: int = 8, sectors: int = 12, bins: int = 8, radius: float = 30.0, leaf: float = 1.0, fov=(-90.0, 90.0)) -> DataFrame:
     """(scan_id, kind, idx, value): range and angle vectors weighted by how full each elevation is."""
     v = P.voxel_centroids(P.crop_annulus(p, 0.3, radius), leaf)
-    r = G.range_xy(X, Y)
-    v = v.select("scan_id", G.floor_bin(r, radius / rings, rings).alias("ring"), G.floor_bin(G.bearing(X, Y), G.TAU / sectors, sectors).alias("sector"), G.floor_bin(F.degrees(F.atan2(Z, r)) - fov[0], (fov[1] - fov[0]) / bins, bins).alias("e"))
+    r = G.range_xy(F.col("x"), F.col("y"))
+    v = v.select("scan_id", G.floor_bin(r, radius / rings, rings).alias("ring"), G.floor_bin(G.bearing(F.col("x"), F.col("y")), G.TAU / sectors, sectors).alias("sector"), G.floor_bin(F.degrees(F.atan2(F.col("z"), r)) - fov[0], (fov[1] - fov[0]) / bins, bins).alias("e"))
     n = v.groupBy("scan_id", "ring", "sector", "e").agg(F.count("*").alias("n"))
     total = n.groupBy("scan_id", "e").agg(F.sum("n").alias("t"))
     grid = total.select("scan_id").distinct().withColumn("e", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
@@ -156,7 +155,7 @@ def roof_stats(cells: DataFrame, over: float = 4.0, origin: float = 0.0) -> Data
 
 def dominant_ceiling(p: DataFrame, width: float = 0.02, margin: float = 0.12) -> DataFrame:
     """Per scan: the centre of the fullest height bin (the lowest of equals) and the cut above it."""
-    n = p.groupBy("scan_id", F.floor(Z / width).alias("bin")).agg(F.count("*").alias("n"))
+    n = p.groupBy("scan_id", F.floor(F.col("z") / width).alias("bin")).agg(F.count("*").alias("n"))
     best = n.groupBy("scan_id").agg(F.max_by("bin", F.struct("n", (-F.col("bin")).alias("low"))).alias("bin"))
     centre = (F.col("bin") + 0.5) * width
     return best.select("scan_id", centre.alias("ceiling"), (centre + margin).alias("cut"))
@@ -164,7 +163,7 @@ def dominant_ceiling(p: DataFrame, width: float = 0.02, margin: float = 0.12) ->
 
 def density_grid(p: DataFrame, cell: float = 2.0) -> DataFrame:
     """(scan_id, gx, gy, n, level): counts, and log counts against the scan's 98th percentile to the power 0.48."""
-    n = p.groupBy("scan_id", F.floor(X / cell).alias("gx"), F.floor(Y / cell).alias("gy")).agg(F.count("*").alias("n"))
+    n = p.groupBy("scan_id", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(F.count("*").alias("n"))
     top = n.groupBy("scan_id").agg(F.percentile(F.log1p("n"), F.lit(0.98)).alias("top"))
     return n.join(top, "scan_id").select("scan_id", "gx", "gy", "n", F.pow(F.least(F.log1p("n") / F.col("top"), F.lit(1.0)), 0.48).alias("level"))
 

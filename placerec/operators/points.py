@@ -7,33 +7,32 @@ from pyspark.sql import functions as F
 
 from placerec.functions import geom as G
 
-X, Y, Z = F.col("x"), F.col("y"), F.col("z")
 
 
 def finite_points(p: DataFrame) -> DataFrame:
-    return p.where(G.finite(X, Y, Z))
+    return p.where(G.finite(F.col("x"), F.col("y"), F.col("z")))
 
 
 def crop_annulus(p: DataFrame, low: float = 0.3, high: float = 30.0) -> DataFrame:
-    return p.where(G.finite(X, Y, Z) & G.range_xy(X, Y).between(low, high))
+    return p.where(G.finite(F.col("x"), F.col("y"), F.col("z")) & G.range_xy(F.col("x"), F.col("y")).between(low, high))
 
 
 def in_descriptor_range(p: DataFrame, radius: float) -> DataFrame:
-    r = G.range_xy(X, Y)
-    return p.where(G.finite(X, Y, Z) & (r > 1e-6) & (r <= radius))
+    r = G.range_xy(F.col("x"), F.col("y"))
+    return p.where(G.finite(F.col("x"), F.col("y"), F.col("z")) & (r > 1e-6) & (r <= radius))
 
 
 def drop_blind_box(p: DataFrame, radius: float = 0.3, low: float = -0.5, high: float = 2.0) -> DataFrame:
-    return p.where(~((G.range_xy(X, Y) <= radius) & Z.between(low, high)))
+    return p.where(~((G.range_xy(F.col("x"), F.col("y")) <= radius) & F.col("z").between(low, high)))
 
 
 def wall_slab(p: DataFrame, r=(0.5, 25.0), z=(0.5, 2.0)) -> DataFrame:
-    d = G.range_xy(X, Y)
-    return p.where((d > r[0]) & (d < r[1]) & (Z > z[0]) & (Z < z[1]))
+    d = G.range_xy(F.col("x"), F.col("y"))
+    return p.where((d > r[0]) & (d < r[1]) & (F.col("z") > z[0]) & (F.col("z") < z[1]))
 
 
 def shift_z(p: DataFrame, offset: float) -> DataFrame:
-    return p.withColumn("z", Z + F.lit(offset))
+    return p.withColumn("z", F.col("z") + F.lit(offset))
 
 
 def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
@@ -41,7 +40,7 @@ def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
     norm = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
     g = gravity.withColumn("norm", norm).where(G.finite(F.col("norm")) & (F.col("norm") > 1e-6)).select("scan_id", *[(F.col(c) / F.col("norm")).alias(c) for c in ("ux", "uy", "uz")])
     d = p.join(g, "scan_id")
-    x, y, z = G.rotate(G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz")), X, Y, Z)
+    x, y, z = G.rotate(G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz")), F.col("x"), F.col("y"), F.col("z"))
     return finite_points(d.select(*[c for c in p.columns if c not in "xyz"], x.alias("x"), y.alias("y"), z.alias("z")))
 
 
@@ -50,7 +49,7 @@ def level_heading(p: DataFrame, poses: DataFrame) -> DataFrame:
     d = p.join(poses.select("scan_id", "qx", "qy", "qz", "qw"), "scan_id")
     m = G.quaternion_matrix(*[F.col(c) for c in ("qx", "qy", "qz", "qw")])
     yaw = F.atan2(m[1][0], m[0][0])
-    wx, wy, wz = G.rotate(m, X, Y, Z)
+    wx, wy, wz = G.rotate(m, F.col("x"), F.col("y"), F.col("z"))
     c, s = F.cos(yaw), F.sin(yaw)
     return d.select(*[k for k in p.columns if k not in "xyz"], (c * wx + s * wy).alias("x"), (c * wy - s * wx).alias("y"), wz.alias("z"))
 
@@ -59,15 +58,15 @@ def to_world(p: DataFrame, poses: DataFrame) -> DataFrame:
     """Planar rigid transform of each scan by its pose (x, y, z, yaw)."""
     d = p.join(poses.select("scan_id", *[F.col(c).alias(f"p_{c}") for c in ("x", "y", "z", "yaw")]), "scan_id")
     c, s = F.cos("p_yaw"), F.sin("p_yaw")
-    return d.select(*[k for k in p.columns if k not in "xyz"], (c * X - s * Y + F.col("p_x")).alias("x"), (s * X + c * Y + F.col("p_y")).alias("y"), (Z + F.col("p_z")).alias("z"))
+    return d.select(*[k for k in p.columns if k not in "xyz"], (c * F.col("x") - s * F.col("y") + F.col("p_x")).alias("x"), (s * F.col("x") + c * F.col("y") + F.col("p_y")).alias("y"), (F.col("z") + F.col("p_z")).alias("z"))
 
 
 def to_reference(world: DataFrame, rx: Column, ry: Column, rz: Column, yaw: Column | None = None) -> DataFrame:
     """World points seen from a reference: moved to it, and turned into its axes if it has a yaw."""
-    dx, dy = X - rx, Y - ry
+    dx, dy = F.col("x") - rx, F.col("y") - ry
     if yaw is None:
-        return world.withColumns({"x": dx, "y": dy, "z": Z - rz})
-    return world.withColumns({"x": F.cos(yaw) * dx + F.sin(yaw) * dy, "y": F.cos(yaw) * dy - F.sin(yaw) * dx, "z": Z - rz})
+        return world.withColumns({"x": dx, "y": dy, "z": F.col("z") - rz})
+    return world.withColumns({"x": F.cos(yaw) * dx + F.sin(yaw) * dy, "y": F.cos(yaw) * dy - F.sin(yaw) * dx, "z": F.col("z") - rz})
 
 
 def _voxel(leaf: float, axes=("x", "y", "z")) -> list[Column]:
@@ -86,7 +85,7 @@ def voxel_first(p: DataFrame, leaf: float) -> DataFrame:
 
 def dedup_cells(p: DataFrame, cell: float = 0.15) -> DataFrame:
     """The first point of each rounded planar cell."""
-    return p.groupBy("scan_id", F.rint(X / cell).alias("cx"), F.rint(Y / cell).alias("cy")).agg(F.min("ord").alias("ord"), F.min_by(F.struct("x", "y", "z"), "ord").alias("p")).select("scan_id", "ord", "p.*")
+    return p.groupBy("scan_id", F.rint(F.col("x") / cell).alias("cx"), F.rint(F.col("y") / cell).alias("cy")).agg(F.min("ord").alias("ord"), F.min_by(F.struct("x", "y", "z"), "ord").alias("p")).select("scan_id", "ord", "p.*")
 
 
 def coordinate_hash(*cols: Column) -> Column:
@@ -102,29 +101,29 @@ def point_cap(p: DataFrame, limit: int, key: Column) -> DataFrame:
 def virtual_roots(p: DataFrame, shifts=(0.0, -2.0, 2.0)) -> DataFrame:
     """Each point seen from several roots across the road: y minus the shift."""
     roots = F.array(*[F.struct(F.lit(i).alias("root_id"), F.lit(s).alias("dy")) for i, s in enumerate(shifts)])
-    return p.withColumn("_r", F.explode(roots)).withColumns({"root_id": F.col("_r.root_id"), "y": Y - F.col("_r.dy")}).drop("_r")
+    return p.withColumn("_r", F.explode(roots)).withColumns({"root_id": F.col("_r.root_id"), "y": F.col("y") - F.col("_r.dy")}).drop("_r")
 
 
 def ringpp_normalise(p: DataFrame, span: float = 70.0, low: float = 1.0, high: float = 20.0) -> DataFrame:
-    inside = (F.abs(X) < span) & (F.abs(Y) < span) & (Z > low) & (Z < high)
-    return p.where(inside).withColumns({"x": X / span, "y": Y / span, "z": (Z - low) / (high - low)})
+    inside = (F.abs(F.col("x")) < span) & (F.abs(F.col("y")) < span) & (F.col("z") > low) & (F.col("z") < high)
+    return p.where(inside).withColumns({"x": F.col("x") / span, "y": F.col("y") / span, "z": (F.col("z") - low) / (high - low)})
 
 
 def centred_unit(p: DataFrame) -> DataFrame:
     """Points minus their scan's centroid, scaled to half a mean radius, at most 1 on each axis."""
     mid = p.groupBy("scan_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
     d = p.join(mid, "scan_id").select("scan_id", "ord", *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"])
-    scale = d.groupBy("scan_id").agg((F.lit(0.5) / F.avg(F.sqrt(X * X + Y * Y + Z * Z))).alias("s"))
+    scale = d.groupBy("scan_id").agg((F.lit(0.5) / F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).alias("s"))
     d = d.join(scale, "scan_id").select("scan_id", "ord", *[(F.col(c) * F.col("s")).alias(c) for c in "xyz"])
-    return d.where((F.abs(X) <= 1) & (F.abs(Y) <= 1) & (F.abs(Z) <= 1))
+    return d.where((F.abs(F.col("x")) <= 1) & (F.abs(F.col("y")) <= 1) & (F.abs(F.col("z")) <= 1))
 
 
 def range_image(p: DataFrame, rows: int = 64, cols: int = 900, up: float = 3.0, down: float = -25.0, far: float = 80.0) -> DataFrame:
     """Nearest range of each (row, col) of a spherical image, quantised to 0..255."""
-    d = F.sqrt(X * X + Y * Y + Z * Z)
-    pitch = F.degrees(F.asin(Z / d))
+    d = F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z"))
+    pitch = F.degrees(F.asin(F.col("z") / d))
     row = G.clamp(F.floor((1 - (pitch - down) / (up - down)) * rows), 0, rows - 1).cast("int")
-    col = G.clamp(F.floor((1 - F.atan2(Y, X) / G.PI) * 0.5 * cols), 0, cols - 1).cast("int")
+    col = G.clamp(F.floor((1 - F.atan2(F.col("y"), F.col("x")) / G.PI) * 0.5 * cols), 0, cols - 1).cast("int")
     near = p.where((d > 0) & (d < far)).groupBy("scan_id", row.alias("row"), col.alias("col")).agg(F.min(d).alias("range"))
     return near.withColumn("level", G.clamp(F.rint(F.col("range") / far * 255), 0.0, 255.0).cast("int"))
 
@@ -134,7 +133,7 @@ def orthographic(p: DataFrame, azimuth: float, elevation: float) -> DataFrame:
     import math
 
     ca, sa, ce, se = math.cos(azimuth), math.sin(azimuth), math.cos(elevation), math.sin(elevation)
-    return p.select("scan_id", "ord", (-sa * X + ca * Y).alias("u"), (-se * ca * X - se * sa * Y + ce * Z).alias("v"), (ce * ca * X + ce * sa * Y + se * Z).alias("depth"))
+    return p.select("scan_id", "ord", (-sa * F.col("x") + ca * F.col("y")).alias("u"), (-se * ca * F.col("x") - se * sa * F.col("y") + ce * F.col("z")).alias("v"), (ce * ca * F.col("x") + ce * sa * F.col("y") + se * F.col("z")).alias("depth"))
 
 
 def stride(p: DataFrame, n: int) -> DataFrame:

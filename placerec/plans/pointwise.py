@@ -15,7 +15,10 @@ QUERIES, query = registry()
 
 #: A small grid, so that SQL can check every cell.
 CFG = DescriptorConfig(rings=8, sectors=12, shortlist=5, search_ratio=0.1)
-ORD = [F.col(f"ord.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]
+def ords():
+    return [F.col(f"ord.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]
+
+
 _ORD = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice"
 POINTS = f"""points AS (SELECT {_ORD}, l_suppkey AS scan_id, l_quantity - 25.3::DOUBLE AS x, l_extendedprice / 2000::DOUBLE - 26.03::DOUBLE AS y,
   l_discount * 40::DOUBLE + l_tax * 12.5::DOUBLE AS z FROM lineitem)"""
@@ -34,7 +37,7 @@ def cells(spark, d, cfg=CFG):
 
 def flat(p):
     """A point table with its order spelt out as columns."""
-    return rounded(p.select("scan_id", *ORD, *[c for c in p.columns if c not in ("scan_id", "ord")]))
+    return rounded(p.select("scan_id", *ords(), *[c for c in p.columns if c not in ("scan_id", "ord")]))
 
 
 @query(f"WITH {POINTS} SELECT scan_id, {_ORD}, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM points WHERE sqrt(x*x+y*y) BETWEEN 0.3::DOUBLE AND 30::DOUBLE")
@@ -72,7 +75,7 @@ def z_offset(spark, d):
 SELECT scan_id, {_ORD}, round((1 - ux*ux*k)*x + (-ux*uy*k)*y - ux*z, 8) + 0.0::DOUBLE AS x, round((-ux*uy*k)*x + (1 - uy*uy*k)*y - uy*z, 8) + 0.0::DOUBLE AS y, round(ux*x + uy*y + uz*z, 8) + 0.0::DOUBLE AS z FROM r""")
 def gravity_rotate(spark, d):
     p = P.level(M.points(spark, d), M.gravity(spark, d))
-    return rounded(p.select("scan_id", *ORD, "x", "y", "z"), 8)
+    return rounded(p.select("scan_id", *ords(), "x", "y", "z"), 8)
 
 
 @query(f"""WITH {POINTS}, q AS (SELECT s_suppkey AS scan_id, sin((s_suppkey % 61) * 0.05::DOUBLE) AS qz, cos((s_suppkey % 61) * 0.05::DOUBLE) AS qw FROM supplier),
