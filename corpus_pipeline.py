@@ -15,7 +15,7 @@ from placerec.llm.shared import cut, table
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score is under the threshold go; the model learns from labels of rows that are not held out."""
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~registry.held_out()))
-    return quality.score(docs, model, keep=docs.columns).where(F.col("score") >= quality.THRESHOLD).drop("score")
+    return quality.score(docs, model, keep=docs.columns, name="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

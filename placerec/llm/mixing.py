@@ -74,10 +74,10 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: s
     return d.select("id", "source", "size", "key", F.floor(F.col("slot") / FAN).cast("int").alias("b1"), (F.col("slot") % FAN).cast("int").alias("b2"), *[f"k{i}" for i in range(len(keep))])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED, keep: list[str] | None = None, copies: str = "copies") -> DataFrame:
     """Per document: size, its source's size and target, epochs taken whole, and the words taken in all.
 
-    With ``keep``: those columns and ``copies``, the number of times the mix takes the document.
+    With ``keep``: those columns and, named ``copies``, the number of times the mix takes the document.
     """
     base = cut(_keyed(docs, id_col, text_col, source_col, seed, []), "mix")
     first = cut(base.groupBy("source", "b1").agg(F.sum("size").alias("words")), "mix-buckets")
@@ -96,14 +96,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     edge = d.where(on_edge).withColumn("left", left).withColumn("more", (F.col("size") / 2 <= F.col("left")).cast("long")).withColumn("words", F.greatest(F.lit(0), F.least("size", F.floor("left"))).cast("long")).drop("left")
     out = d.where(~on_edge).withColumn("more", below.cast("long")).withColumn("words", F.col("more") * F.col("size")).unionByName(edge)
     if keep:
-        return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (F.col("epochs") + F.col("more")).cast("int").alias("copies"))
+        return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], (F.col("epochs") + F.col("more")).cast("int").alias(copies))
     return out.select(F.col("id").alias(id_col), "size", "source_size", "target", "epochs", (F.col("size") * F.col("epochs") + F.col("words")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    out = mix(docs, keep=docs.columns, **how).where(F.col("copies") > 0)
-    return out.withColumn("copies", F.explode(F.array_repeat(F.lit(1), F.col("copies")))).drop("copies")
+    out = mix(docs, keep=docs.columns, copies="__copies", **how).where(F.col("__copies") > 0)
+    return out.withColumn("__copies", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__copies")
 
 
 #: The same result of the documents table in DuckDB.

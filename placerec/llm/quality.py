@@ -174,17 +174,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(w, ratio, b, slope, offset)
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (default: the id) and each text's score."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (default: the id) and each text's score; an own column of that name stays beside it, and ``name`` must be another."""
     keep = keep or [id_col]
     share = docs.sparkSession.sparkContext.broadcast(model)
-    part = docs.select(*keep, F.col(text_col).alias("__text"))
+    part = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.col(text_col).alias("__text"))
+
+    names = part.columns[:-1]
 
     def run(batches):
         for batch in batches:
             out = np.concatenate([np.zeros(0), *(share.value.score(at, offs) for _, _, at, offs in features(batch.column(len(keep))))])
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(out, pa.float64())], [*names, "score"])
 
     from pyspark.sql import types as T
 
-    return part.mapInArrow(run, T.StructType([*(part.schema[c] for c in keep), T.StructField("score", T.DoubleType())]))
+    return part.mapInArrow(run, T.StructType([*part.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*keep, name)

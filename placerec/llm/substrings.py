@@ -134,6 +134,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                         mine[a:b] = np.isin(digest[a:b], np.array(lists[k], np.int64))
                 space = ~K.SPACE_WORDS[part]
                 begin = np.concatenate([[not space[0]], ~space[1:] & space[:-1]]) if len(part) else space
+                heads = starts[first[:-1][per > 0]]
+                begin[heads] = ~space[heads]
                 words = np.add.reduceat(begin.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
                 gone = _runs(mine, text, words) if len(mine) else mine
                 for k in range(i, j):

@@ -103,7 +103,7 @@ def test_mix_meets_its_targets(spark):
 
 
 def test_mix_prefers_quality_and_reruns_agree(spark):
-    good, bad = "word " * 20, "abcdefghijklmnopqrstuvwxyz" * 3 + " " + "z " * 19
+    good, bad = "word " * 20, "abcdefghijklmnopqrstuvwxyz " * 20
     df = spark.createDataFrame([(i, good if i % 2 else bad, "a" if i < 400 else "b") for i in range(800)], SCHEMA)
     a, b = mixing.mix(df).toPandas(), mixing.mix(df.repartition(7)).toPandas()
     key = ["doc_id", "taken"]
@@ -422,7 +422,8 @@ def test_classifier_learns_and_scores_everything(spark, odd, nothing):
     assert np.mean([(got[i] >= 0.7) == (i % 4 > 0) for i in held]) > 0.95
     again = {r.doc_id: r.score for r in quality.score(d, quality.fit(d.repartition(5), lab)).collect()}
     assert got == again
-    out = quality.score(odd, model, keep=odd.columns)
+    out = quality.score(odd, model, keep=odd.columns, name="judged")
+    assert out.columns == [*odd.columns, "judged"]
     assert out.count() == len(ODD)
     for r in quality.score(odd, model).collect():
         assert 0 <= r.score <= 1
