@@ -77,7 +77,9 @@ def _params(words: list[str], version: int) -> dict:
         if len(rest) < len(names):
             raise ValueError("PARAMS is cut short")
         for name, raw in zip(names, rest, strict=False):
-            p[name] = int(raw) != 0 if name == "dual_layer" else {"0": False, "1": True}[raw] if name == "gravity" and raw in "01" else int(raw) if name == "min_joint_rings" else float(raw)
+            if name == "gravity" and raw not in ("0", "1"):
+                raise ValueError("the gravity flag is 0 or 1")
+            p[name] = int(raw) != 0 if name in ("dual_layer", "gravity") else int(raw) if name == "min_joint_rings" else float(raw)
     if not (0 < p["rings"] <= MAX_RINGS and 0 < p["sectors"] <= MAX_SECTORS and p["rings"] * p["sectors"] * 2 <= MAX_CELLS):
         raise ValueError("descriptor shape out of range")
     if not all(np.isfinite(v) for v in p.values()):
