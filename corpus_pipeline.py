@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placerec.llm import bpe, jaccard, mixing, quality, registry, substrings
-from placerec.llm.shared import cut, table
+from placerec.llm.shared import cut, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -20,22 +20,26 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by 5-word shingles at a similarity of 0.8 or more stays: that of the smallest id."""
+    small_batches(spark)
     return jaccard.keep_one(docs, k=5, percent=80)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that a document of a smaller id holds are taken out; n_chars follows the text."""
+    small_batches(spark)
     out = substrings.dedup(docs).withColumn("n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
+    small_batches(spark)
     return mixing.mixed(docs)
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256, ids) of each text."""
+    small_batches(spark)
     import public_tokenizers
 
     return bpe.bpe_digests(docs, registry.rank_file(), public_tokenizers.PATTERN, with_ids=True)

@@ -24,6 +24,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from placerec.llm import textkernel as K
+
 _NONE = np.int32(2**31 - 1)
 #: Words a task remembers; more only cost memory, a forgotten word is replayed again.
 CACHE_WORDS = 250_000
@@ -233,7 +235,7 @@ def bpe_encode(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "d
                 yield pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], [id_col, "ids"])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, ids array<int>")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, ids array<int>")
 
 
 def bpe_decode(encoded: DataFrame, rank_file: bytes, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -247,7 +249,7 @@ def bpe_decode(encoded: DataFrame, rank_file: bytes, id_col: str = "doc_id", ids
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], [id_col, "decoded"])
 
     part = encoded.select(id_col, ids_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, decoded binary")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, decoded binary")
 
 
 def bpe_digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -272,4 +274,4 @@ def bpe_digests(docs: DataFrame, rank_file: bytes, pattern: str, id_col: str = "
                 yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

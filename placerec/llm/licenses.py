@@ -20,6 +20,8 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from placerec.llm import textkernel as K
 from pyspark.sql import functions as F
 
 from placerec.llm import textkernel as K
@@ -86,7 +88,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
                 counts[-1] += j - i
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words) + 1), pa.int32()), pa.array(counts)], ["word", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(text_col).mapInArrow(K.releasing(run), "word int, n bigint").groupBy("word").agg(F.sum("n").alias("n")).collect()
     got = {r.word: r.n for r in rows}
     return got.get(len(words), 0), {w: got.get(i, 0) for i, w in enumerate(words)}
 
@@ -158,4 +160,4 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
                 ], [id_col, "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double")

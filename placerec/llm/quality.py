@@ -23,6 +23,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from placerec.llm import textkernel as K
 from pyspark.sql import functions as F
 
 from placerec.llm import textkernel as K
@@ -147,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for i, j, at, offs in features(batch.column(1)):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.ListArray.from_arrays(pa.array(offs, pa.int32()), pa.array(at))], ["y", "at"])
 
-    got = part.mapInArrow(run, "y int, at array<int>").toArrow()
+    got = part.mapInArrow(K.releasing(run), "y int, at array<int>").toArrow()
     y = got["y"].to_numpy().astype(np.float64) * 2 - 1
     lists = got["at"].combine_chunks() if got["at"].num_chunks != 1 else got["at"].chunk(0)
     flat, offs = np.asarray(lists.values), np.asarray(lists.offsets)
@@ -189,4 +191,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     from pyspark.sql import types as T
 
-    return part.mapInArrow(run, T.StructType([*part.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*keep, name)
+    return part.mapInArrow(K.releasing(run), T.StructType([*part.schema.fields[:-1], T.StructField("score", T.DoubleType())])).toDF(*keep, name)

@@ -21,6 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+
+from placerec.llm import textkernel as K
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,7 +105,7 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 rows = np.repeat(np.arange(i, j), per)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digest)], ["id", "digest"])
 
-    every = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(run, f"id {kind}, digest bigint")
+    every = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(K.releasing(run), f"id {kind}, digest bigint")
     first = every.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("digest", "low")
     again = every.join(first, "digest").where("id <> low").select("id", "digest")
     return again.groupBy("id").agg(F.collect_set("digest").alias("digests"))
@@ -159,6 +161,6 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
 
     fields = [T.StructField(f"c{k}", docs.schema[k].dataType) for k in range(len(names))]
     zeros = [F.lit(0).cast("long").alias(f"f{k}") for k in range(4)]
-    done = clean.select("*", *zeros).unionByName(marked.mapInArrow(run, T.StructType([*fields, *(T.StructField(f"f{k}", T.LongType()) for k in range(4))])))
+    done = clean.select("*", *zeros).unionByName(marked.mapInArrow(K.releasing(run), T.StructType([*fields, *(T.StructField(f"f{k}", T.LongType()) for k in range(4))])))
     added = ["removed_bytes", "removed_words", "removed_runs", "removed_chunks"]
     return done.toDF(*names, *[a if a not in names else f"{a}_" for a in added])

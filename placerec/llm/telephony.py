@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 
 from placerec.llm import textkernel as K
 
+from placerec.llm import textkernel as K
+
 BLOCK, RATE = 64, 8000
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
 
@@ -142,7 +144,7 @@ def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(media, pa.binary())], [id_col, "media"])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, media binary")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, media binary")
 
 
 def to_pcm(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media", rate: int = 16000) -> DataFrame:
@@ -164,7 +166,7 @@ def to_pcm(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media",
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pcm, pa.binary()), pa.array(why, pa.string())], [id_col, "pcm", "error"])
 
     part = stored.select(id_col, media_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, pcm binary, error string")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, pcm binary, error string")
 
 
 def _features(payloads: list[bytes]) -> list[str]:
@@ -212,4 +214,4 @@ def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 ], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from placerec.llm import textkernel as K
 from placerec.llm.bpe import Encoder, _parts, _vocabulary
 
 RULES = ("start", "end", "most")
@@ -74,7 +75,7 @@ def count_lines(docs: DataFrame, rank_file: bytes, pattern: str, rule: str = "st
                 yield pa.RecordBatch.from_arrays([keys.take(pa.array(np.repeat(np.arange(len(per)), per))), pa.array(section, pa.int32()), pa.array(sizes, pa.int64()), pa.array(flat(1), pa.int64()), pa.array(flat(2), pa.int64())], [id_col, "section", "n_bytes", "n_tokens", "n_crossing"])
 
     part = docs.select(id_col, text_col)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, section int, n_bytes bigint, n_tokens bigint, n_crossing bigint")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, section int, n_bytes bigint, n_tokens bigint, n_crossing bigint")
 
 
 def count_fields(rows: DataFrame, fields: list[str], rank_file: bytes, pattern: str, id_col: str, rule: str = "start", glue: str = "\n") -> DataFrame:
@@ -93,4 +94,4 @@ def count_fields(rows: DataFrame, fields: list[str], rank_file: bytes, pattern:
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows_at)), pa.array(fields * batch.num_rows, pa.string()), pa.array(np.concatenate([np.zeros(0, np.int64), *got]), pa.int64())], [id_col, "field", "n_tokens"])
 
     part = rows.select(id_col, *fields)
-    return part.mapInArrow(run, f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, field string, n_tokens bigint")
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, field string, n_tokens bigint")
