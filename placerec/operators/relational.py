@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def subset(entries: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
     """The wanted entries, numbered anew in key order."""
-    return entries.join(wanted.select(key).distinct(), key, "left_semi").withColumn("new_id", F.row_number().over(Window.orderBy(key)) - 1)
+    return entries.join(wanted.select(key).distinct(), key, "left_semi").withColumn("new_id", (F.row_number().over(Window.orderBy(key)) - 1).cast("long"))
 
 
 def missing(wanted: DataFrame, have: DataFrame, key: str) -> DataFrame:
