@@ -1,12 +1,12 @@
-"""Substring dedup by content-defined chunking with a gear rolling hash.
+"""Substring dedup by content-defined chunking.
 
-The gear hash of the last 16 bytes cuts a text wherever its top bits are zero, so cuts
-move with the content and an insertion disturbs only the chunks it touches. Chunks are
-known by a 64-bit digest. A chunk that stands in several documents belongs to the one with
-the smallest id; in every other document a run of such chunks of at least ``LEAST_WORDS``
-words is taken out. Repeats inside one document stay.
-
-Single digests that collide take nothing out on their own: a run has more than one chunk.
+A text is cut before words whose hash is the least among their neighbours, and inside long words and
+white space at characters by a gear rolling hash of the last 16 bytes. Whether a cut falls at a place
+depends on a few neighbours on either side alone, in texts that repeat themselves too, so that two
+copies of a passage are cut alike but for their edges. Neighbouring chunks are known by a 64-bit digest
+of both. A pair that stands in several documents belongs to the one with the smallest id; in every
+other document a run of such chunks of at least ``LEAST_WORDS`` words is taken out. Repeats inside one
+document stay.
 
 Defined results: a null text stays null and holds no chunk; a text that is only repeats
 becomes empty; of rows that share an id none is a repeat of the other; rows with a null id
@@ -29,61 +29,111 @@ from pyspark.sql import types as T
 from placerec.llm import textkernel as K
 from placerec.llm.shared import cut, maybe_among
 
-WINDOW, CUT_BITS, LEAST_BYTES, MOST_BYTES, LEAST_WORDS = 16, 5, 8, 256, 20
+WINDOW, LEAST_WORDS = 16, 20
+#: (radius, apart, ahead) of :func:`_marks`, in words, and in characters where a text has no spaces.
+WORD_MARKS, CHAR_MARKS = (2, 3, 4), (4, 5, 5)
+#: Words and stretches of white space of more bytes than these are cut at characters.
+LONG_WORD, LONG_SPACE = 24, 16
+#: No chunk is longer: it holds at most 2 * apart + ahead words. Nothing is cut for its length.
+MOST_BYTES = (2 * WORD_MARKS[1] + WORD_MARKS[2]) * (LONG_WORD + LONG_SPACE)
+#: So many neighbouring chunks are looked up by one digest: single ones are short and may repeat by chance.
+TOGETHER = 2
 #: The gear table: 16 mixed bits of each byte's number; byte 0 stands for "before the text".
 GEAR = (K.mix(np.arange(256, dtype=np.uint64)) >> np.uint64(7)).astype(np.uint16)
 GEAR[0] = 0
 
 
-def cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """End byte of each chunk, and the number of chunks of each text; chunks end at whole characters."""
+def _marks(values: np.ndarray, group: np.ndarray, radius: int, apart: int, ahead: int) -> np.ndarray:
+    """The places to cut, found from their neighbours alone: at most 2 * apart + ahead places lie from one to the next.
+
+    First those with a value less than all others within ``radius``; where none is within ``apart`` (values that
+    repeat have no single least one), the last least value of any ``ahead`` neighbours.
+    """
+    n = len(values)
+    first, near, out = np.ones(n, bool), np.zeros(n, bool), np.zeros(n, bool)
+    for j in range(1, radius + 1):
+        same = group[j:] == group[:-j]
+        first[:-j] &= same & (values[:-j] < values[j:])
+        first[j:] &= same & (values[j:] <= values[:-j])
+        first[-j:] = first[:j] = False
+    for j in range(1, apart + 1):
+        same = group[j:] == group[:-j]
+        near[j:] |= same & first[:-j]
+        near[:-j] |= same & first[j:]
+    m = n - ahead + 1
+    if m > 0:
+        best, at = values[:m].copy(), np.arange(m)
+        for j in range(1, ahead):
+            less = values[j : j + m] <= best
+            best[less] = values[j : j + m][less]
+            at[less] = np.flatnonzero(less) + j
+        out[at[group[:m] == group[ahead - 1 :]]] = True
+    return first | (out & ~near)
+
+
+def _gear(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """Of each byte, the hash of the ``WINDOW`` bytes of its text that end there."""
     n = len(offs) - 1
-    sizes = np.diff(offs)
     gapped = np.zeros(len(buf) + n * WINDOW, np.uint8)
-    shift = np.repeat(np.arange(1, n + 1) * WINDOW, sizes)
-    at = np.arange(len(buf)) + shift
+    at = np.arange(len(buf)) + np.repeat(np.arange(1, n + 1) * WINDOW, np.diff(offs))
     gapped[at] = buf
     h, g = np.zeros(len(gapped), np.uint16), GEAR[gapped]
     for j in range(WINDOW):
         h[j:] += g[: len(g) - j] << np.uint16(j)
-    # a cut comes before a byte that begins a character
-    begins = np.ones(len(buf) + 1, bool)
-    begins[:-1] = (buf & 0xC0) != 0x80
-    hit = np.flatnonzero(h[at] >> np.uint16(16 - CUT_BITS) == 0) + 1
-    next_begin = np.flatnonzero(begins)
-    hit = np.unique(next_begin[np.searchsorted(next_begin, hit)]) if len(hit) else hit
-    first = np.searchsorted(hit, offs[:-1], "right").tolist()
-    last = np.searchsorted(hit, offs[1:], "left").tolist()
-    hits, out, per = hit.tolist(), [], np.zeros(n, np.int64)
-    bounds = offs.tolist()
-    for i in range(n):
-        prev, end, before = bounds[i], bounds[i + 1], len(out)
-        if prev == end:
-            continue
-        for x in [*hits[first[i] : last[i]], end]:
-            if x - prev < LEAST_BYTES and x != end:
-                continue
-            while x - prev > MOST_BYTES:
-                y = prev + MOST_BYTES
-                while not begins[y]:
-                    y += 1
-                if y >= x:
-                    break
-                out.append(y)
-                prev = y
-            out.append(x)
-            prev = x
-        per[i] = len(out) - before
-    return np.array(out, np.int64), per
+    return h[at]
+
+
+def stretches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end of each run of word bytes or white space, whether it is a word, and whether it is a long one."""
+    word = K.SPACE_WORDS[buf]
+    edge = np.ones(len(buf), bool)
+    edge[1:] = word[1:] != word[:-1]
+    edge[offs[:-1][offs[:-1] < len(buf)]] = True
+    starts = np.flatnonzero(edge)
+    ends = np.append(starts[1:], len(buf))
+    return starts, ends, word[starts], ends - starts > np.where(word[starts], LONG_WORD, LONG_SPACE)
+
+
+def cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """End byte of each chunk, and the number of chunks of each text; chunks end at whole characters."""
+    n = len(offs) - 1
+    if not len(buf):
+        return np.zeros(0, np.int64), np.zeros(n, np.int64)
+    starts, ends, word, long = stretches(buf, offs)
+    text = np.searchsorted(offs, starts, "right")
+    # short words; a long stretch or the end of a text ends a group of them
+    unit = word & ~long
+    group = (np.cumsum(long) + text)[unit]
+    found = [starts[unit][_marks(K.span_hashes(buf, starts[unit], ends[unit]), group, *WORD_MARKS)], starts[long], ends[long]]
+    if long.any():
+        size = (ends - starts)[long]
+        at = np.repeat(starts[long] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        stretch = np.repeat(np.arange(len(size)), size)
+        begins = (buf[at] & 0xC0) != 0x80
+        at, stretch = at[begins], stretch[begins]
+        found.append(at[_marks(_gear(buf, offs)[at], stretch, *CHAR_MARKS)])
+    out = np.unique(np.concatenate([*found, offs]))
+    out = out[out > 0]
+    return out, np.diff(np.searchsorted(out, offs, "right"))
 
 
 def chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, chunk starts, ends, digests, chunks of each text)."""
+    """(first row, end row, bytes, chunk starts, ends, digests, chunks of each text).
+
+    The digest at a chunk is that of it and the next one together; it is not valid at the last one of a text (:func:`_whole`).
+    """
     buf, offs = K.flat(texts)
     for i, j, part, at in K.chunks(buf, offs):
         ends, per = cuts(part, at)
         starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
-        yield i, j, part, starts, ends, K.span_hashes(part, starts, ends).view(np.int64), per
+        after = np.minimum(np.arange(len(ends)) + TOGETHER - 1, len(ends) - 1)
+        yield i, j, part, starts, ends, K.span_hashes(part, starts, ends[after]).view(np.int64), per
+
+
+def _whole(per: np.ndarray) -> np.ndarray:
+    """Whether a chunk's digest ends in its own text."""
+    last = np.repeat(np.cumsum(per), per)
+    return np.arange(len(last)) + TOGETHER <= last
 
 
 def _runs(mine: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -96,14 +146,17 @@ def _runs(mine: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digests array): of each document, the chunks that a document with a smaller id holds."""
+    """(id, digests array): of each document, the digests of neighbouring chunks that a document with a smaller id holds."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
             for i, j, _, _, _, digest, per in chunks(batch.column(1)):
-                rows = np.repeat(np.arange(i, j), per)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(digest)], ["id", "digest"])
+                rows, whole = np.repeat(np.arange(j - i), per), _whole(per)
+                # a digest once a text
+                values, at = K.distinct_sets(digest[whole], rows[whole], j - i)
+                rows = np.repeat(np.arange(i, j), np.diff(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(values)], ["id", "digest"])
 
     every = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(K.releasing(run), f"id {kind}, digest bigint")
     first = every.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("digest", "low")
@@ -128,12 +181,16 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
             lists = known.to_pylist()
             for i, j, part, starts, ends, digest, per in chunks(texts):
                 text = np.repeat(np.arange(j - i), per)
-                mine = np.zeros(len(digest), bool)
+                found = np.zeros(len(digest), bool)
                 first = np.concatenate([[0], np.cumsum(per)])
                 for k in range(i, j):
                     if lists[k]:
                         a, b = first[k - i], first[k - i + 1]
-                        mine[a:b] = np.isin(digest[a:b], np.array(lists[k], np.int64))
+                        found[a:b] = np.isin(digest[a:b], np.array(lists[k], np.int64))
+                found &= _whole(per)
+                mine = found.copy()
+                for k in range(1, TOGETHER):
+                    mine[k:] |= found[:-k]
                 space = ~K.SPACE_WORDS[part]
                 begin = np.concatenate([[not space[0]], ~space[1:] & space[:-1]]) if len(part) else space
                 heads = starts[first[:-1][per > 0]]

@@ -401,6 +401,21 @@ def test_substrings_equal_brute_force(spark):
         assert got[i] == keep.decode(), i
 
 
+def test_substrings_repetitive_passages_at_any_offset(spark):
+    rng = random.Random(31)
+    rows, want = [], {}
+    for k in range(40):
+        # one to four words of this case's own over and over
+        passage = " ".join([" ".join(f"{w}{chr(97 + k % 26)}{k}" for w in rng.sample(["la", "drum", "we", "go", "night"], 1 + k % 4))] * 60)
+        for j in range(2):
+            text = " ".join([prose(rng.randint(5, 40), rng), passage, prose(rng.randint(5, 40), rng)])
+            rows.append((2 * k + j, text, "a"))
+            want[2 * k + j] = (j, len(passage.split()))
+    for r in substrings.dedup(spark.createDataFrame(rows, SCHEMA)).collect():
+        second, words = want[r.doc_id]
+        assert r.removed_words >= words - 30 if second else r.removed_bytes == 0, r.doc_id
+
+
 def test_substrings_odd_rows(odd, nothing):
     out = substrings.dedup(odd)
     assert out.columns[: len(odd.columns)] == odd.columns and len(out.columns) == len(odd.columns) + 4
