@@ -6,7 +6,10 @@ depends on a few neighbours on either side alone, in texts that repeat themselve
 copies of a passage are cut alike but for their edges. Neighbouring chunks are known by a 64-bit digest
 of both. A pair that stands in several documents belongs to the one with the smallest id; in every
 other document a run of such chunks of at least ``LEAST_WORDS`` words is taken out. Repeats inside one
-document stay.
+document stay. In text without spaces ``WORD_BYTES`` bytes count as a word.
+
+A shared passage of n words has at least n - 29 in chunks that both copies hold (at most 14 words are lost
+at its start and 15 at its end), so every passage of 49 words or more is found.
 
 Defined results: a null text stays null and holds no chunk; a text that is only repeats
 becomes empty; of rows that share an id none is a repeat of the other; rows with a null id
@@ -34,6 +37,8 @@ WINDOW, LEAST_WORDS = 16, 20
 WORD_MARKS, CHAR_MARKS = (2, 3, 4), (4, 5, 5)
 #: Words and stretches of white space of more bytes than these are cut at characters.
 LONG_WORD, LONG_SPACE = 24, 16
+#: So many bytes of a long word count as one word of a run.
+WORD_BYTES = 6
 #: No chunk is longer: it holds at most 2 * apart + ahead words. Nothing is cut for its length.
 MOST_BYTES = (2 * WORD_MARKS[1] + WORD_MARKS[2]) * (LONG_WORD + LONG_SPACE)
 #: So many neighbouring chunks are looked up by one digest: single ones are short and may repeat by chance.
@@ -136,6 +141,12 @@ def _whole(per: np.ndarray) -> np.ndarray:
     return np.arange(len(last)) + TOGETHER <= last
 
 
+def _unspaced(part: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Bytes of long words in each chunk."""
+    begin, end, word, long = stretches(part, offs)
+    return np.add.reduceat(np.repeat((word & long).astype(np.int64), end - begin), starts)
+
+
 def _runs(mine: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
     """The chunks to take out: those of runs of more than one repeated chunk with enough words."""
     edge = np.ones(len(mine), bool)
@@ -196,7 +207,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                 heads = starts[first[:-1][per > 0]]
                 begin[heads] = ~space[heads]
                 words = np.add.reduceat(begin.astype(np.int64), starts) if len(starts) else np.zeros(0, np.int64)
-                gone = _runs(mine, text, words) if len(mine) else mine
+                gone = _runs(mine, text, words + _unspaced(part, np.concatenate([[0], ends])[first], starts) / WORD_BYTES) if len(mine) else mine
                 for k in range(i, j):
                     a, b = first[k - i], first[k - i + 1]
                     g = gone[a:b]

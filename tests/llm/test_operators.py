@@ -416,6 +416,37 @@ def test_substrings_repetitive_passages_at_any_offset(spark):
         assert r.removed_words >= words - 30 if second else r.removed_bytes == 0, r.doc_id
 
 
+def test_substrings_every_passage_of_over_50_words(spark):
+    rng = random.Random(32)
+    rows, passages = [], {}
+    for k in range(600):
+        passages[k] = prose(rng.choice([51, 51, 55, 60, 80]), rng)
+        rows += [(2 * k + j, " ".join([prose(rng.randint(1, 30), rng), passages[k], prose(rng.randint(1, 30), rng)]), "a") for j in range(2)]
+    got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k, passage in passages.items():
+        assert got[2 * k].removed_bytes == 0
+        assert got[2 * k + 1].removed_words >= len(passage.split()) - 29, k
+
+
+def test_substrings_short_copies_and_unspaced_text(spark):
+    rng = random.Random(33)
+    chars = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    short = [" ".join(f"{w}{k}" for w in rng.sample("a b c d e f g h i j k l m n o p q r s t u v w x y z".split(), 20)) for k in range(60)]
+    shared = [chars(120) for _ in range(20)]
+    rows = [(i, t, "a") for i, t in enumerate(short)] + [(100 + i, t, "a") for i, t in enumerate(short)]
+    rows += [(200 + i, chars(30) + t + chars(40), "a") for i, t in enumerate(shared)] + [(300 + i, chars(55) + t + chars(7), "a") for i, t in enumerate(shared)]
+    rows += [(400 + i, chars(150), "a") for i in range(20)]
+    got = {r.doc_id: r for r in substrings.dedup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for i, text, _ in rows:
+        if 100 <= i < 200:
+            assert got[i].text == ""
+        elif 300 <= i < 400:
+            # edges: at most 23 characters and the hash's window
+            assert len(text) - len(got[i].text) >= 120 - 52, i
+        else:
+            assert got[i].text == text
+
+
 def test_substrings_odd_rows(odd, nothing):
     out = substrings.dedup(odd)
     assert out.columns[: len(odd.columns)] == odd.columns and len(out.columns) == len(odd.columns) + 4
