@@ -89,4 +89,4 @@ def time_split(spark, d):
 @query("SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 500")
 def topic_index_scan(spark, d):
     e = M.table(spark, d, "events").where("event_type = 'click'")
-    return e.orderBy("ts", "event_id").limit(500).select("event_id", "user_id")
+    return e.orderBy("ts", "event_id").select("event_id", "user_id")

@@ -339,3 +339,11 @@ def test_streams_equal_batch(spark):
     assert found.count() == M.descriptors(spark, SF).where("vec_id % 10 = 0").count()
 
 
+def test_topic_index_scan_returns_every_click_in_order(spark, tmp_path):
+    from placerec.plans import relational
+
+    rows = [(i, i % 7, "click" if i % 3 else "view", (i * 7919) % 2500) for i in range(2500)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, s int")
+    events.selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "events.parquet"))
+    got = [tuple(r) for r in relational.topic_index_scan(spark, str(tmp_path)).collect()]
+    assert got == [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[3], r[0])) if r[2] == "click"]
