@@ -160,15 +160,62 @@ def family_rows(seed, n):
     return rows
 
 
-@pytest.mark.parametrize("k,percent,few,block", [(3, 90, 3, 512), (5, 80, 1, 16)])
-def test_jaccard_equals_brute_force(spark, monkeypatch, k, percent, few, block):
-    monkeypatch.setattr(jaccard, "FEW", few)
+@pytest.mark.parametrize("k,percent,hot,block", [(3, 90, 8192, 2048), (5, 80, 8192, 16), (3, 80, 3, 5)])
+def test_jaccard_equals_brute_force(spark, monkeypatch, k, percent, hot, block):
+    monkeypatch.setattr(jaccard, "HOT", hot)
     monkeypatch.setattr(jaccard, "BLOCK", block)
     rows = family_rows(k, 350) + [(5000, None, "a"), (5001, "", "a"), (5003, "W1  w2", "a"), (5004, "w1 w2", "a")]
     got = jaccard.near_groups(spark.createDataFrame(rows, SCHEMA), k, percent).collect()
     assert sorted(map(tuple, got)) == brute_groups(rows, k, percent)
 
 
+def test_jaccard_one_large_family(spark, monkeypatch):
+    """1,200 near copies at all distances of one text: links are a forest, and equal brute force in parts."""
+    rng = random.Random(8)
+    base = [rng.choice(VOCAB) for _ in range(90)]
+    rows = []
+    for i in range(1200):
+        w = list(base)
+        for _ in range(rng.choice([1, 1, 2, 3, 6, 9])):
+            w[rng.randrange(len(w))] = rng.choice(VOCAB) + str(i)
+        rows.append((i, " ".join(w), "a"))
+    monkeypatch.setattr(jaccard, "HOT", 500)
+    monkeypatch.setattr(jaccard, "BLOCK", 200)
+    got = jaccard.near_groups(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()
+    assert sorted(map(tuple, got)) == brute_groups(rows, 3, 90)
+
+
+def test_walk_equals_all_pairs():
+    rng = np.random.default_rng(3)
+    rows = []
+    for f in range(6):
+        base = rng.integers(0, 1 << 60, 60)
+        for _ in range(40):
+            s = base.copy()
+            s[rng.integers(0, 60, rng.integers(0, 12))] = rng.integers(0, 1 << 60)
+            rows.append((f, np.unique(s).astype(np.uint64)))
+    key, n = np.array([f for f, _ in rows]), np.array([len(s) for _, s in rows])
+    values, offs = np.concatenate([s for _, s in rows]), np.concatenate([[0], np.cumsum(n)])
+    walk = jaccard.Walk(key, n, jaccard._bitmaps(values, offs, 512), 85, None, None, jaccard._exact(values, offs, 85))
+    want = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            o = len(np.intersect1d(rows[i][1], rows[j][1]))
+            if key[i] == key[j] and 100 * o >= 85 * (n[i] + n[j] - o) and want[i] != want[j]:
+                want = [want[j] if x == want[i] else x for x in want]
+    assert {tuple(np.flatnonzero(walk.root == r)) for r in walk.root} == {tuple(i for i, x in enumerate(want) if x == r) for r in want}
+    x, y = walk.forest(np.arange(len(rows)))
+    assert len(y) == len(set(y.tolist())) == len(rows) - len(set(want)) and (x < y).all()
+
+
+def test_jaccard_ids_on_several_texts(spark):
+    a, b = prose(60, random.Random(1)), prose(60, random.Random(2))
+    rows = [(5, a, "a"), (5, b, "a"), (5, a, "a"), (6, a + " end", "a"), (2, b + " end", "a")]
+    got = jaccard.near_groups(spark.createDataFrame(rows, SCHEMA), 5, 80).collect()
+    assert sorted(map(tuple, got)) == [(2, 57, 2), (5, 56, 2), (5, 56, 5), (5, 56, 5), (6, 57, 5)]
+    assert sorted(r.text for r in jaccard.keep_one(spark.createDataFrame(rows, SCHEMA)).collect()) == sorted([a, b + " end"])
+
+
 def test_jaccard_odd_rows(odd, nothing):
     got = {(r[0], r[1]): r[2] for r in jaccard.near_groups(odd).collect()}
     assert got[(1, 0)] == 1 and got[(2, 0)] == 2 and got[(3, 0)] == 3 and got[(4, 1)] == 4
