@@ -11,35 +11,38 @@ MAX_RINGS, MAX_SECTORS, MAX_CELLS, MAX_ENTRIES = 512, 4096, 1_000_000, 100_000
 
 @dataclass(frozen=True)
 class DescriptorConfig:
-    rings: int = 16
+    rings: int = 20
     sectors: int = 60
-    max_radius: float = 30.0
-    dual_layer: bool = True
+    max_radius: float = 80.0
+    dual_layer: bool = False
+    split_auto: bool = False
+    gravity_canonicalized: bool = False
+    vertical_estimation: bool = False
     split_height: float = 2.5
     origin_height: float = 0.0
     vertical_shift: float = 0.0
-    height_offset: float = 2.0
+    height_offset: float = 0.1
     lower_weight: float = 0.3
     upper_weight: float = 0.7
-    min_joint_rings: int = 1
+    min_joint_rings: int = 2
     support_exponent: float = 0.5
-    shortlist: int = 25
+    shortlist: int = 5
     search_ratio: float = 0.05
     yaw_top_k: int = 3
-    distance_threshold: float = 1.0
-    histogram_max: float = 6.0
+    distance_threshold: float = 0.5
+    histogram_max: float = 8.0
     histogram_bin: float = 0.1
-    split_min: float = 1.0
-    split_max: float = 4.0
+    split_min: float = 1.5
+    split_max: float = 4.5
     min_fraction: float = 0.05
-    min_keyframes: int = 5
+    min_keyframes: int = 20
     absent_upper_fraction: float = 0.05
     absent_upper_radius: float = 10.0
     absent_upper_neighbours: int = 3
-    boundary_margin: float = 0.2
+    boundary_margin: float = 0.1
     stable_fraction: float = 0.5
-    vertical_min: float = -2.0
-    vertical_max: float = 2.0
+    vertical_min: float = -1.5
+    vertical_max: float = 1.5
 
     def __post_init__(self):
         if not (0 < self.rings <= MAX_RINGS and 0 < self.sectors <= MAX_SECTORS and self.rings * self.sectors * 2 <= MAX_CELLS):
@@ -69,5 +72,6 @@ class DescriptorConfig:
 
     def compatible(self, other: DescriptorConfig, any_split: bool = False) -> bool:
         """Whether descriptors of both can be compared."""
-        same = (self.rings, self.sectors, self.max_radius, self.dual_layer) == (other.rings, other.sectors, other.max_radius, other.dual_layer)
+        kind = lambda c: (c.rings, c.sectors, c.max_radius, c.dual_layer, c.gravity_canonicalized)
+        same = kind(self) == kind(other)
         return same and (any_split or abs(self.split_height - other.split_height) <= 1e-9)

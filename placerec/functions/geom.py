@@ -93,3 +93,24 @@ def geodetic_enu(lat: Column, lon: Column, lat0: Column, lon0: Column) -> tuple[
 
 def slerp_yaw(a: Column, b: Column, t: Column) -> Column:
     return wrap(a + wrap(b - a) * t)
+
+
+def transpose(m: list[list[Column]]) -> list[list[Column]]:
+    return [[m[j][i] for j in range(3)] for i in range(3)]
+
+
+def product(a: list[list[Column]], b: list[list[Column]]) -> list[list[Column]]:
+    return [[a[i][0] * b[0][j] + a[i][1] * b[1][j] + a[i][2] * b[2][j] for j in range(3)] for i in range(3)]
+
+
+def up_in_body(x: Column, y: Column, z: Column, w: Column) -> tuple[Column, Column, Column]:
+    """The world's +z seen from a body of this orientation; null for a quaternion without length."""
+    n = F.sqrt(x * x + y * y + z * z + w * w)
+    q = [F.when(n >= 1e-12, c / n) for c in (x, y, z, w)]
+    return tuple(quaternion_matrix(*q)[2])
+
+
+def canonical_yaw(rotation: list[list[Column]], level: list[list[Column]]) -> Column:
+    """The heading of a pose once its descriptor frame has been levelled."""
+    m = product(rotation, transpose(level))
+    return F.atan2(m[1][0], m[0][0])

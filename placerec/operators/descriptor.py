@@ -145,22 +145,34 @@ def radius_pairs(e: DataFrame, radius: float) -> DataFrame:
     return a.join(b, ["gx", "gy"]).withColumn("d2", d2).where(F.col("d2") <= radius * radius).select("scan_id", "other", "d2")
 
 
-def roof_stats(cells: DataFrame, over: float = 4.0, origin: float = 0.0) -> DataFrame:
-    """Per scan: columns with both layers (hidden), any (occupied), upper only, and far above; in order of contamination."""
-    c = cells.groupBy("scan_id", "ring", "sector").agg(F.max(F.when(F.col("layer") == 0, F.col("h"))).alias("lo"), F.max(F.when(F.col("layer") == 1, F.col("h"))).alias("up"))
-    lo, up = F.col("lo").isNotNull(), F.col("up").isNotNull()
-    s = c.groupBy("scan_id").agg(F.count_if(lo & up).alias("hidden"), F.count("*").alias("occupied"), F.count_if(up & ~lo).alias("overhead"), F.count_if(up & (F.col("up") - origin >= over)).alias("over_range"))
-    return s.withColumn("hidden_fraction", F.col("hidden") / F.col("occupied")).orderBy(F.desc("hidden"), F.desc("over_range"), F.desc("occupied"), "scan_id")
+def roof_stats(p: DataFrame, cfg: DescriptorConfig, over: float = 4.0) -> DataFrame:
+    """Per scan: columns with both layers (hidden), with any (occupied), whose highest point is over the split (overhead)
+    or at least ``over`` (over_range); those most under a roof first."""
+    c = polar(p, cfg).groupBy("scan_id", "ring", "sector").agg(F.min("h").alias("lo"), F.max("h").alias("up"))
+    low, high = F.col("lo") <= cfg.split_height, F.col("up") > cfg.split_height
+    s = c.groupBy("scan_id").agg(F.count_if(low & high).alias("hidden"), F.count("*").alias("occupied"), F.count_if(high).alias("overhead"), F.count_if(F.col("up") >= over).alias("over_range"), F.count_if(low).alias("lower"), F.count_if(high).alias("upper"))
+    return s.withColumns({"hidden_fraction": F.col("hidden") / F.col("occupied"), "overhead_fraction": F.col("overhead") / F.col("occupied")}).orderBy(F.desc("overhead"), F.desc("over_range"), F.desc("hidden"), "scan_id")
 
 
-def dominant_ceiling(p: DataFrame, width: float = 0.02, margin: float = 0.12) -> DataFrame:
-    """Per scan: the centre of the fullest height bin (the lowest of equals) and the cut above it."""
-    n = p.groupBy("scan_id", F.floor(F.col("z") / width).alias("bin")).agg(F.count("*").alias("n"))
+def dominant_ceiling(p: DataFrame, split: float = 2.1, highest: float = 4.5, width: float = 0.02, margin: float = 0.12) -> DataFrame:
+    """Per scan: the centre of the fullest height bin (the lowest of equals) and the cut above it.
+
+    Bins start 0.2 over the split and end at ``highest``; a scan without points there has no ceiling.
+    """
+    low = split + 0.2
+    n = p.where(F.col("z").between(low, highest)).groupBy("scan_id", F.floor((F.col("z") - low) / width).alias("bin")).agg(F.count("*").alias("n"))
     best = n.groupBy("scan_id").agg(F.max_by("bin", F.struct("n", (-F.col("bin")).alias("low"))).alias("bin"))
-    centre = (F.col("bin") + 0.5) * width
+    centre = low + (F.col("bin") + 0.5) * width
     return best.select("scan_id", centre.alias("ceiling"), (centre + margin).alias("cut"))
 
 
+def origin_height(p: DataFrame, low: float = 1.0, high: float = 8.0, least: int = 200) -> DataFrame:
+    """One row (origin_height, scans): minus the median of the scans' second percentiles of z in a ring, if enough points lie there."""
+    r = G.range_xy(F.col("x"), F.col("y"))
+    f = p.where((r > low) & (r < high)).groupBy("scan_id").agg(F.percentile("z", F.lit(0.02)).alias("p2"), F.count("*").alias("n")).where(F.col("n") > least)
+    return f.agg((-F.median("p2")).alias("origin_height"), F.count("*").alias("scans"))
+
+
 def density_grid(p: DataFrame, cell: float = 2.0) -> DataFrame:
     """(scan_id, gx, gy, n, level): counts, and log counts against the scan's 98th percentile to the power 0.48."""
     n = p.groupBy("scan_id", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(F.count("*").alias("n"))

@@ -88,12 +88,28 @@ def dedup_cells(p: DataFrame, cell: float = 0.15) -> DataFrame:
     return p.groupBy("scan_id", F.rint(F.col("x") / cell).alias("cx"), F.rint(F.col("y") / cell).alias("cy")).agg(F.min("ord").alias("ord"), F.min_by(F.struct("x", "y", "z"), "ord").alias("p")).select("scan_id", "ord", "p.*")
 
 
-def coordinate_hash(*cols: Column) -> Column:
-    return F.xxhash64(*[F.rint(c * 1000).cast("long") for c in cols])
+#: Multipliers of the coordinate hash, fixed values.
+HASH_X, HASH_Y, HASH_Z = 0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 
 
-def point_cap(p: DataFrame, limit: int, key: Column) -> DataFrame:
-    """The ``limit`` points of each scan with the smallest keys; ties by order."""
+def _times(a: Column, by: int) -> Column:
+    """a * by modulo 2^64 as a signed long, for an a of less than 32 bits, in halves, as sums of longs may not wrap."""
+    half = F.lit(0xFFFFFFFF)
+    low = a * F.lit(by & 0xFFFFFFFF)
+    high = (F.shiftright(low, 32) + (a * F.lit(by >> 32)).bitwiseAND(half)).bitwiseAND(half)
+    return F.shiftleft(high, 32).bitwiseOR(low.bitwiseAND(half))
+
+
+def coordinate_hash(x: Column, y: Column, z: Column) -> Column:
+    """The exclusive or of millimetres times a constant each, ordered as an unsigned number by its top bit turned."""
+    mm = [F.rint(c * 1000).cast("long") for c in (x, y, z)]
+    h = _times(mm[0], HASH_X).bitwiseXOR(_times(mm[1], HASH_Y)).bitwiseXOR(_times(mm[2], HASH_Z))
+    return h.bitwiseXOR(F.lit(-(1 << 63)))
+
+
+def point_cap(p: DataFrame, limit: int, key: Column | None = None) -> DataFrame:
+    """The ``limit`` points of each scan with the smallest keys (the coordinate hash); ties by order."""
+    key = coordinate_hash(F.col("x"), F.col("y"), F.col("z")) if key is None else key
     rank = F.row_number().over(Window.partitionBy("scan_id").orderBy(key, "ord"))
     return p.withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")
 
@@ -110,10 +126,10 @@ def ringpp_normalise(p: DataFrame, span: float = 70.0, low: float = 1.0, high: f
 
 
 def centred_unit(p: DataFrame) -> DataFrame:
-    """Points minus their scan's centroid, scaled to half a mean radius, at most 1 on each axis."""
+    """Points minus their scan's centroid, turned about and scaled to half a mean radius, at most 1 on each axis."""
     mid = p.groupBy("scan_id").agg(*[F.avg(c).alias(f"m{c}") for c in "xyz"])
     d = p.join(mid, "scan_id").select("scan_id", "ord", *[(F.col(c) - F.col(f"m{c}")).alias(c) for c in "xyz"])
-    scale = d.groupBy("scan_id").agg((F.lit(0.5) / F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).alias("s"))
+    scale = d.groupBy("scan_id").agg((F.lit(-0.5) / F.avg(F.sqrt(F.col("x") * F.col("x") + F.col("y") * F.col("y") + F.col("z") * F.col("z")))).alias("s"))
     d = d.join(scale, "scan_id").select("scan_id", "ord", *[(F.col(c) * F.col("s")).alias(c) for c in "xyz"])
     return d.where((F.abs(F.col("x")) <= 1) & (F.abs(F.col("y")) <= 1) & (F.abs(F.col("z")) <= 1))
 
@@ -143,8 +159,9 @@ def stride(p: DataFrame, n: int) -> DataFrame:
 
 
 def percentile_crop(p: DataFrame, low: float, high: float) -> DataFrame:
-    q = p.groupBy("scan_id").agg(*[F.percentile(c, F.lit(s)).alias(f"{c}{i}") for c in "xyz" for i, s in enumerate((low, high))])
+    """Points between two percentiles of x and of y of their scan."""
+    q = p.groupBy("scan_id").agg(*[F.percentile(c, F.lit(s)).alias(f"{c}{i}") for c in "xy" for i, s in enumerate((low, high))])
     d = p.join(q, "scan_id")
-    for c in "xyz":
+    for c in "xy":
         d = d.where(F.col(c).between(F.col(f"{c}0"), F.col(f"{c}1")))
     return d.select(*p.columns)

@@ -14,19 +14,29 @@ from placerec.plans.register import registry, rounded
 QUERIES, query = registry()
 
 #: A small grid, so that SQL can check every cell.
-CFG = DescriptorConfig(rings=8, sectors=12, shortlist=5, search_ratio=0.1)
+CFG = DescriptorConfig(
+    rings=8, sectors=12, max_radius=30.0, dual_layer=True, shortlist=5, search_ratio=0.1, height_offset=2.0, min_joint_rings=1, distance_threshold=1.0,
+    histogram_max=6.0, split_min=1.0, split_max=4.0, min_keyframes=5, boundary_margin=0.2, vertical_min=-2.0, vertical_max=2.0,
+)
+
+
 def ords():
     return [F.col(f"ord.{c}").alias(c) for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")]
 
 
 _ORD = "l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice"
+
+
+def _u64(a: str, by: int) -> str:
+    """a times a constant modulo 2^64, in SQL."""
+    return f"((({a} * {by}::HUGEINT) % 18446744073709551616::HUGEINT + 18446744073709551616::HUGEINT) % 18446744073709551616::HUGEINT)::UBIGINT"
+
+
 POINTS = f"""points AS (SELECT {_ORD}, l_suppkey AS scan_id, l_quantity - 25.3::DOUBLE AS x, l_extendedprice / 2000::DOUBLE - 26.03::DOUBLE AS y,
   l_discount * 40::DOUBLE + l_tax * 12.5::DOUBLE AS z FROM lineitem)"""
 POLAR = f"""{POINTS}, polar AS (SELECT *, z AS h, least(greatest(ceil(sqrt(x*x + y*y) / 30::DOUBLE * 8) - 1, 0), 7)::INTEGER AS ring,
   least(greatest(ceil((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 12) - 1, 0), 11)::INTEGER AS sector
   FROM points WHERE sqrt(x*x + y*y) > 1e-6::DOUBLE AND sqrt(x*x + y*y) <= 30::DOUBLE)"""
-CELLS = f"""{POLAR}, cells AS (SELECT scan_id, (h > 2.5::DOUBLE)::INTEGER AS layer, ring, sector, CASE WHEN h > 2.5::DOUBLE THEN min(h) ELSE max(h) END AS h
-  FROM (SELECT scan_id, ring, sector, h, h > 2.5::DOUBLE AS up FROM polar) GROUP BY scan_id, up, ring, sector, h > 2.5::DOUBLE)"""
 CELLS = f"""{POLAR}, cells AS (SELECT scan_id, up::INTEGER AS layer, ring, sector, CASE WHEN up THEN min(h) ELSE max(h) END AS h
   FROM (SELECT scan_id, ring, sector, h, h > 2.5::DOUBLE AS up FROM polar) GROUP BY scan_id, up, ring, sector)"""
 
@@ -119,10 +129,12 @@ def voxel_dedup(spark, d):
     return flat(P.dedup_cells(M.points(spark, d), 3.0))
 
 
-@query(f"""WITH {POINTS}, r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY (l_orderkey * 7919 + l_partkey * 104729) % 1000003, {_ORD}) AS r FROM points)
+@query(f"""WITH {POINTS}, m AS (SELECT *, round_even(x * 1000, 0)::HUGEINT AS mx, round_even(y * 1000, 0)::HUGEINT AS my, round_even(z * 1000, 0)::HUGEINT AS mz FROM points),
+k AS (SELECT *, xor(xor({_u64('mx', P.HASH_X)}, {_u64('my', P.HASH_Y)}), {_u64('mz', P.HASH_Z)}) AS key FROM m),
+r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY key, {_ORD}) AS r FROM k)
 SELECT scan_id, {_ORD}, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM r WHERE r <= 64""")
 def point_cap(spark, d):
-    return flat(P.point_cap(M.points(spark, d), 64, (F.col("ord.l_orderkey") * 7919 + F.col("ord.l_partkey") * 104729) % 1000003))
+    return flat(P.point_cap(M.points(spark, d), 64))
 
 
 @query(f"""WITH {POINTS} SELECT scan_id, root_id::INTEGER AS root_id, round(avg(y - dy), 6) AS y, count(*) AS n FROM points, (VALUES (0, 0::DOUBLE), (1, -2::DOUBLE), (2, 2::DOUBLE)) t(root_id, dy) GROUP BY scan_id, root_id""")
@@ -136,7 +148,7 @@ def ringpp_normalise(spark, d):
 
 
 @query(f"""WITH {POINTS}, c AS (SELECT scan_id, x - avg(x) OVER w AS x, y - avg(y) OVER w AS y, z - avg(z) OVER w AS z FROM points WINDOW w AS (PARTITION BY scan_id)),
-s AS (SELECT scan_id, 0.5::DOUBLE / avg(sqrt(x*x+y*y+z*z)) OVER (PARTITION BY scan_id) AS s, x, y, z FROM c)
+s AS (SELECT scan_id, -0.5::DOUBLE / avg(sqrt(x*x+y*y+z*z)) OVER (PARTITION BY scan_id) AS s, x, y, z FROM c)
 SELECT scan_id, count(*) AS n, round(avg(x*s), 6) + 0.0::DOUBLE AS x, round(avg(abs(z*s)), 6) AS z FROM s WHERE abs(x*s) <= 1 AND abs(y*s) <= 1 AND abs(z*s) <= 1 GROUP BY scan_id""")
 def pointnet_norm(spark, d):
     p = P.centred_unit(M.points(spark, d))
@@ -162,8 +174,8 @@ def stride_sample(spark, d):
     return flat(P.stride(M.points(spark, d), 10))
 
 
-@query(f"""WITH {POINTS}, q AS (SELECT scan_id, quantile_cont(x, 0.02) AS x0, quantile_cont(x, 0.98) AS x1, quantile_cont(y, 0.02) AS y0, quantile_cont(y, 0.98) AS y1, quantile_cont(z, 0.02) AS z0, quantile_cont(z, 0.98) AS z1 FROM points GROUP BY scan_id)
-SELECT scan_id, count(*) AS n FROM points JOIN q USING (scan_id) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1 GROUP BY scan_id""")
+@query(f"""WITH {POINTS}, q AS (SELECT scan_id, quantile_cont(x, 0.02) AS x0, quantile_cont(x, 0.98) AS x1, quantile_cont(y, 0.02) AS y0, quantile_cont(y, 0.98) AS y1 FROM points GROUP BY scan_id)
+SELECT scan_id, count(*) AS n FROM points JOIN q USING (scan_id) WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 GROUP BY scan_id""")
 def percentile_crop(spark, d):
     return P.percentile_crop(M.points(spark, d), 0.02, 0.98).groupBy("scan_id").agg(F.count("*").alias("n"))
 
@@ -257,15 +269,16 @@ def absent_upper_flags(spark, d):
     return D.absent_upper_flags(e, CFG.with_(absent_upper_fraction=0.03))
 
 
-@query(f"""WITH {CELLS}, c AS (SELECT scan_id, ring, sector, max(h) FILTER (layer = 0) AS lo, max(h) FILTER (layer = 1) AS up FROM cells GROUP BY 1, 2, 3)
-SELECT scan_id, count(*) FILTER (lo IS NOT NULL AND up IS NOT NULL) AS hidden, count(*) AS occupied, count(*) FILTER (up IS NOT NULL AND lo IS NULL) AS overhead, count(*) FILTER (up >= 4) AS over_range,
-round(count(*) FILTER (lo IS NOT NULL AND up IS NOT NULL) / count(*), 6) AS hidden_fraction FROM c GROUP BY scan_id""")
+@query(f"""WITH {POLAR}, c AS (SELECT scan_id, ring, sector, min(h) AS lo, max(h) AS up FROM polar GROUP BY 1, 2, 3)
+SELECT scan_id, count(*) FILTER (lo <= 2.5::DOUBLE AND up > 2.5::DOUBLE) AS hidden, count(*) AS occupied, count(*) FILTER (up > 2.5::DOUBLE) AS overhead, count(*) FILTER (up >= 4) AS over_range,
+count(*) FILTER (lo <= 2.5::DOUBLE) AS lower, count(*) FILTER (up > 2.5::DOUBLE) AS upper,
+round(count(*) FILTER (lo <= 2.5::DOUBLE AND up > 2.5::DOUBLE) / count(*), 6) AS hidden_fraction, round(count(*) FILTER (up > 2.5::DOUBLE) / count(*), 6) AS overhead_fraction FROM c GROUP BY scan_id""")
 def roof_stats(spark, d):
-    return rounded(D.roof_stats(cells(spark, d)))
+    return rounded(D.roof_stats(M.points(spark, d), CFG))
 
 
-@query(f"""WITH {POINTS}, n AS (SELECT scan_id, floor((z + 0.003::DOUBLE) / 0.02::DOUBLE) AS bin, count(*) AS n FROM points GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, bin) AS r FROM n)
-SELECT scan_id, round((bin + 0.5::DOUBLE) * 0.02::DOUBLE, 6) AS ceiling, round((bin + 0.5::DOUBLE) * 0.02::DOUBLE + 0.12::DOUBLE, 6) AS cut FROM r WHERE r = 1""")
+@query(f"""WITH {POINTS}, n AS (SELECT scan_id, floor((z + 0.003::DOUBLE - (2.1::DOUBLE + 0.2::DOUBLE)) / 0.02::DOUBLE) AS bin, count(*) AS n FROM points WHERE z + 0.003::DOUBLE BETWEEN 2.1::DOUBLE + 0.2::DOUBLE AND 4.5::DOUBLE GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY n DESC, bin) AS r FROM n)
+SELECT scan_id, round(2.3::DOUBLE + (bin + 0.5::DOUBLE) * 0.02::DOUBLE, 6) AS ceiling, round(2.3::DOUBLE + (bin + 0.5::DOUBLE) * 0.02::DOUBLE + 0.12::DOUBLE, 6) AS cut FROM r WHERE r = 1""")
 def dominant_ceiling(spark, d):
     return rounded(D.dominant_ceiling(P.shift_z(M.points(spark, d), 0.003)))
 
@@ -317,8 +330,7 @@ def yaw_wrap(spark, d):
     return rounded(M.poses(spark, d).select("scan_id", G.seed_yaw(F.col("yaw") * 3, F.lit(1.3)).alias("yaw")))
 
 
-@query(f"""WITH {POINTS}, f AS (SELECT scan_id, quantile_cont(z, 0.02) AS p2, count(*) AS n FROM points WHERE sqrt(x*x+y*y) > 1 AND sqrt(x*x+y*y) < 20 GROUP BY scan_id) SELECT round(-median(p2), 6) + 0.0::DOUBLE AS origin_height, count(*) AS scans FROM f WHERE n > 100""")
+@query(f"""WITH {POINTS}, f AS (SELECT scan_id, quantile_cont(z, 0.02) AS p2, count(*) AS n FROM points WHERE sqrt(x*x+y*y) > 1 AND sqrt(x*x+y*y) < 20 GROUP BY scan_id) SELECT round(-median(p2), 6) + 0.0::DOUBLE AS origin_height, count(*) AS scans FROM f WHERE n > 200""")
 def origin_height(spark, d):
-    r = G.range_xy(F.col("x"), F.col("y"))
-    f = M.points(spark, d).where((r > 1) & (r < 20)).groupBy("scan_id").agg(F.percentile("z", F.lit(0.02)).alias("p2"), F.count("*").alias("n")).where("n > 100")
-    return rounded(f.agg((-F.median("p2")).alias("origin_height"), F.count("*").alias("scans")))
+    # the scans of these tables are thin: a wider ring than the default
+    return rounded(D.origin_height(M.points(spark, d), high=20.0))

@@ -86,7 +86,7 @@ def time_split(spark, d):
     return rounded(e.select("event_id", F.floor(F.col("us") / 1000000).alias("sec"), (F.col("us") % 1000000 * 1000).alias("nsec"), ((F.col("us") - F.min("us").over(Window.partitionBy("user_id"))) / 1000000.0).alias("since")))
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts, event_id LIMIT 500")
+@query("SELECT event_id, user_id FROM events WHERE event_type = 'click' ORDER BY ts, event_id")
 def topic_index_scan(spark, d):
     e = M.table(spark, d, "events").where("event_type = 'click'")
     return e.orderBy("ts", "event_id").select("event_id", "user_id")

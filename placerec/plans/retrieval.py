@@ -13,12 +13,12 @@ from placerec.plans.register import registry, rounded
 
 QUERIES, query = registry()
 
-MAP_EVERY, SIDES = 2, "q.scan_id % 10 = 1 AND m.scan_id % 2 = 0"
+SIDES = "q.scan_id % 2 = 1 AND m.scan_id % 2 = 0"
 
 
 def sides(spark, d, cfg=CFG):
     c = cells(spark, d, cfg)
-    return c.where("scan_id % 10 = 1"), c.where("scan_id % 2 = 0")
+    return c.where("scan_id % 2 = 1"), c.where("scan_id % 2 = 0")
 
 
 KEYS = f"""{CELLS}, rows AS (SELECT s.scan_id, r.row FROM (SELECT DISTINCT scan_id FROM cells) s, range(16) r(row)),
@@ -107,7 +107,7 @@ def flagship_retrieval(spark, d):
     return rounded(R.retrieve(q, m, CFG).join(p, "map_id").select("query_id", "rank", "map_id", "distance", "yaw_shift", "x", "y"))
 
 
-SC = f"""{CELLS}, sc AS (SELECT scan_id, ring, sector, max(h + 2::DOUBLE) AS h FROM polar GROUP BY 1, 2, 3), pr AS (SELECT q.scan_id AS query_id, m.scan_id AS map_id FROM (SELECT DISTINCT scan_id FROM sc) q, (SELECT DISTINCT scan_id FROM sc) m WHERE q.scan_id % 10 = 1 AND m.scan_id % 20 = 0)"""
+SC = f"""{CELLS}, sc AS (SELECT scan_id, ring, sector, max(h + 2::DOUBLE) AS h FROM polar GROUP BY 1, 2, 3), pr AS (SELECT q.scan_id AS query_id, m.scan_id AS map_id FROM (SELECT DISTINCT scan_id FROM sc) q, (SELECT DISTINCT scan_id FROM sc) m WHERE q.scan_id % 2 = 1 AND m.scan_id % 2 = 0)"""
 SC_DIST = """nn AS (SELECT scan_id, sector, sum(h * h) AS n FROM sc GROUP BY 1, 2), cc AS (SELECT t.query_id, t.map_id, t.shift, q.sector, q.n AS aa, m.n AS bb FROM turned t JOIN nn q ON q.scan_id = t.query_id JOIN nn m ON m.scan_id = t.map_id AND (m.sector + t.shift) % 12 = q.sector WHERE q.n > 0 AND m.n > 0),
 dd AS (SELECT t.query_id, t.map_id, t.shift, q.sector, sum(q.h * m.h) AS ab FROM turned t JOIN sc q ON q.scan_id = t.query_id JOIN sc m ON m.scan_id = t.map_id AND m.ring = q.ring AND (m.sector + t.shift) % 12 = q.sector GROUP BY 1, 2, 3, 4),
 sd AS (SELECT query_id, map_id, shift, 1 - avg(coalesce(ab, 0) / sqrt(aa * bb)) AS distance FROM cc LEFT JOIN dd USING (query_id, map_id, shift, sector) GROUP BY 1, 2, 3),
@@ -116,7 +116,7 @@ sb AS (SELECT query_id, map_id, distance, shift FROM (SELECT query_id, map_id, s
 
 def contexts(spark, d):
     c = D.polar(M.points(spark, d), CFG).groupBy("scan_id", "ring", "sector").agg(F.max(F.col("h") + 2.0).alias("h"))
-    q, m = c.where("scan_id % 10 = 1"), c.where("scan_id % 20 = 0")
+    q, m = c.where("scan_id % 2 = 1"), c.where("scan_id % 2 = 0")
     pairs = q.select(F.col("scan_id").alias("query_id")).distinct().crossJoin(m.select(F.col("scan_id").alias("map_id")).distinct())
     return q, m, pairs
 
@@ -140,7 +140,7 @@ def sc_distance_window(spark, d):
 @query(f"""WITH {CELLS}, r AS (SELECT scan_id, root_id::INTEGER AS root_id, x, y - dy AS y, z FROM points, (VALUES (0, 0::DOUBLE), (1, -2::DOUBLE), (2, 2::DOUBLE)) t(root_id, dy)),
 k AS (SELECT scan_id, root_id, least(greatest(floor(sqrt(x*x+y*y) / 3.75::DOUBLE), 0), 7)::INTEGER AS ring, avg(z) AS v FROM r WHERE sqrt(x*x+y*y) <= 30::DOUBLE GROUP BY 1, 2, 3),
 f AS (SELECT s.scan_id, o.root_id::INTEGER AS root_id, g.ring::INTEGER AS ring, coalesce(v, 0) AS v FROM (SELECT DISTINCT scan_id FROM r) s CROSS JOIN range(3) o(root_id) CROSS JOIN range(8) g(ring) LEFT JOIN k ON k.scan_id = s.scan_id AND k.root_id = o.root_id AND k.ring = g.ring),
-p AS (SELECT q.scan_id AS query_id, m.scan_id AS map_id, m.root_id, round(sqrt(sum((q.v - m.v) * (q.v - m.v))), 9) AS d FROM f q JOIN f m ON q.ring = m.ring WHERE q.root_id = 0 AND q.scan_id % 10 = 1 AND m.scan_id % 2 = 0 GROUP BY 1, 2, 3)
+p AS (SELECT q.scan_id AS query_id, m.scan_id AS map_id, m.root_id, round(sqrt(sum((q.v - m.v) * (q.v - m.v))), 9) AS d FROM f q JOIN f m ON q.ring = m.ring WHERE q.root_id = 0 AND q.scan_id % 2 = 1 AND m.scan_id % 2 = 0 GROUP BY 1, 2, 3)
 SELECT query_id, map_id, round(min(d), 6) AS distance FROM p GROUP BY 1, 2""")
 def scpp_min_root(spark, d):
     from placerec.functions import geom as G
@@ -149,7 +149,7 @@ def scpp_min_root(spark, d):
     r = G.range_xy(F.col("x"), F.col("y"))
     k = P.virtual_roots(M.points(spark, d)).where(r <= 30.0).groupBy("scan_id", "root_id", G.floor_bin(r, 3.75, 8).alias("ring")).agg(F.avg("z").alias("v"))
     keys = D._dense(k.withColumn("scan_id", F.struct("scan_id", "root_id")), "ring", 8).select("scan_id.*", "key")
-    q, m = keys.where("root_id = 0 and scan_id % 10 = 1"), keys.where("scan_id % 2 = 0")
+    q, m = keys.where("root_id = 0 and scan_id % 2 = 1"), keys.where("scan_id % 2 = 0")
     pairs = q.select(F.col("scan_id").alias("query_id"), F.col("key").alias("a")).crossJoin(m.select(F.col("scan_id").alias("map_id"), F.col("key").alias("b")))
     return rounded(pairs.groupBy("query_id", "map_id").agg(F.min(R.l2("a", "b")).alias("distance")))
 
@@ -187,20 +187,20 @@ def sign_invariant_topk(spark, d):
     return rounded(R.top_k(q, m, F.sqrt(F.least(R.squared_l2("a", "b"), plus)), 5, "q_id", "vec_id").select("q_id", "vec_id", "rank", "distance"))
 
 
-RESIDUALS = f"""{FULL}, {BOUNDARY}, rs AS (SELECT b.query_id, b.map_id, b.shift, q.layer, q.ring, q.sector, m.h - q.h AS residual, (m.h + q.h) / 2 AS stability FROM best b JOIN cells m ON m.scan_id = b.map_id JOIN cells q ON q.scan_id = b.query_id AND q.layer = m.layer AND q.ring = m.ring AND q.sector = (m.sector + b.shift) % 12
+RESIDUALS = f"""{FULL}, {BOUNDARY}, rs AS (SELECT b.query_id, b.map_id, b.shift, q.layer, q.ring, q.sector, m.h - q.h AS residual, CASE WHEN q.layer = 0 THEN greatest(m.h, q.h) ELSE least(m.h, q.h) END AS stability FROM best b JOIN cells m ON m.scan_id = b.map_id JOIN cells q ON q.scan_id = b.query_id AND q.layer = m.layer AND q.ring = m.ring AND q.sector = (m.sector + b.shift) % 12
   WHERE NOT EXISTS (FROM boundary x WHERE x.scan_id = q.scan_id AND x.ring = q.ring AND x.sector = q.sector) AND NOT EXISTS (FROM boundary x WHERE x.scan_id = m.scan_id AND x.ring = m.ring AND x.sector = m.sector)),
 rk2 AS (SELECT *, row_number() OVER (PARTITION BY query_id, map_id, layer ORDER BY CASE WHEN layer = 0 THEN stability ELSE -stability END, ring, sector) AS r, count(*) OVER (PARTITION BY query_id, map_id, layer) AS n FROM rs),
-kp AS (SELECT *, (CASE WHEN layer = 0 THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END) / count(*) OVER (PARTITION BY query_id, map_id, layer) AS w FROM rk2 WHERE r <= greatest(1, ceil(n * 0.5::DOUBLE))),
+kp AS (SELECT *, CASE WHEN layer = 0 THEN 0.3::DOUBLE ELSE 0.7::DOUBLE END AS w FROM rk2 WHERE r <= greatest(1, ceil(n * 0.5::DOUBLE))),
 cu AS (SELECT *, round(sum(w) OVER (PARTITION BY query_id, map_id ORDER BY residual, layer, ring, sector ROWS UNBOUNDED PRECEDING), 9) AS cum, round(sum(w) OVER (PARTITION BY query_id, map_id) / 2, 9) AS half FROM kp),
 vs AS (SELECT query_id, map_id, shift, min(residual) AS dz FROM cu WHERE cum >= half GROUP BY 1, 2, 3)"""
 
 
-@query(f"WITH {RESIDUALS} SELECT query_id, map_id, shift, round(CASE WHEN dz BETWEEN -2 AND 2 THEN dz ELSE 0 END, 6) + 0.0::DOUBLE AS dz FROM vs")
+@query(f"WITH {RESIDUALS} SELECT query_id, map_id, b.shift, round(CASE WHEN dz BETWEEN -2 AND 2 THEN dz ELSE 0 END, 6) + 0.0::DOUBLE AS dz FROM best b LEFT JOIN vs USING (query_id, map_id)")
 def vertical_shift(spark, d):
     q, m = sides(spark, d)
     best = R.retrieve(q, m, CFG)
     res = V.residuals(best, q, m, D.boundary_mask(q, CFG), D.boundary_mask(m, CFG), CFG)
-    return rounded(V.vertical_shift(res, CFG))
+    return rounded(V.vertical_shift(res, CFG, best))
 
 
 @query(f"""WITH {KEYS}, {TURNED}, {LAYERS}, {M.POSES}, ws AS (SELECT w AS weight, w / 10::DOUBLE AS w0, (10 - w) / 10::DOUBLE AS w1 FROM range(11) r(w)),
@@ -225,7 +225,7 @@ def m2dp(spark, d):
     from placerec.operators import kernels as N
 
     v = N.m2dp(M.points(spark, d))
-    return v.select("scan_id", "frame", F.posexplode("v").alias("i", "value")).where("i < 8").withColumn("value", F.round("value", 5))
+    return v.select("scan_id", "frame", F.posexplode("v").alias("i", "value")).withColumn("value", F.round("value", 5))
 
 
 @query()
@@ -234,18 +234,24 @@ def m2dp_pca4(spark, d):
     from placerec.operators import kernels as N
 
     v = N.m2dp(M.points(spark, d), 4)
-    q, m = v.where("scan_id % 10 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")), v.where("scan_id % 10 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b"))
+    q, m = v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")), v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b"))
     plus = F.aggregate(F.zip_with("a", "b", lambda x, y: (x + y) * (x + y)), F.lit(0.0), lambda s, x: s + x)
     best = q.crossJoin(m).groupBy("query_id", "map_id").agg(F.min(F.sqrt(F.least(R.squared_l2("a", "b"), plus))).alias("distance"))
     return rounded(R.rank(best), 5)
 
 
-@query()
-def ringpp_features(spark, d):
+def tensors(spark, d):
+    """Tensors of a small grid over the points that lie in the method's bounds (here x and y within 30)."""
     from placerec.operators import kernels as N
+    from placerec.operators import points as P
+
+    v = P.voxel_centroids(P.crop_annulus(M.points(spark, d)), 0.25)
+    return N.ringpp(P.ringpp_normalise(v, span=30.0), grid=24)
 
-    v = N.ringpp(M.points(spark, d), grid=24, span=30.0)
-    return v.select("scan_id", "channels", F.size("v").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)), 1).alias("mass"))
+
+@query()
+def ringpp_features(spark, d):
+    return tensors(spark, d).select("scan_id", "channels", F.transform("v", lambda x: F.round(x.cast("double"), 4)).alias("v"))
 
 
 @query()
@@ -254,7 +260,7 @@ def ringpp_topk(spark, d):
 
     from placerec.operators import kernels as N
 
-    v = N.ringpp(M.points(spark, d), grid=24, span=30.0)
-    pairs = v.where("scan_id % 10 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")).crossJoin(v.where("scan_id % 10 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b")))
+    v = tensors(spark, d)
+    pairs = v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")).crossJoin(v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b")))
     s = N.ringpp_scores(pairs, 24).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "map_id")))
     return rounded(s.where("rank <= 5"), 4)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import functions as F
 
 from placerec import domain as M
@@ -175,20 +173,112 @@ def se2_robust_fit(spark, d):
 
 @query()
 def se3_fit_grid(spark, d):
-    t = M.track(spark, d).where("track_id % 10 = 0").withColumn("z", F.lit(0.0) + F.col("event_id") % 7)
-    src = t.select("track_id", "stamp", "x", "y", "z")
-    truth = src.withColumn("stamp", F.col("stamp") - 600.0)
-    return rounded(T.clock_offset_grid(src, truth, "track_id", F.transform(F.sequence(F.lit(-3), F.lit(3)), lambda i: i * 300.0), 900.0), 4)
+    """Every scan's pose against itself 0.6 s later, turned and with an arm: offset, arm and turn must be found again."""
+    p = M.poses(spark, d).withColumn("stamp", F.col("scan_id") * 0.5)
+    src = p.select((F.col("scan_id") * 0).alias("track"), "stamp", "x", "y", "z", F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.col("yaw") / 2).alias("qz"), F.cos(F.col("yaw") / 2).alias("qw"))
+    ax, ay = F.col("x") + 0.4 * F.cos("yaw"), F.col("y") + 0.4 * F.sin("yaw")
+    x, y = G.se2(ax, ay, 0.7, 3.0, -2.0)
+    truth = p.select((F.col("scan_id") * 0).alias("track"), (F.col("stamp") - 0.6).alias("stamp"), x.alias("x"), y.alias("y"), "z")
+    out = T.clock_offset_grid(src, truth, "track", least=5)
+    return rounded(out.select("track", "offset", "rmse", "n", "yaw", F.element_at("lever", 1).alias("arm_x"), F.element_at("lever", 2).alias("arm_y")), 4)
 
 
 @query()
 def icp2d(spark, d):
-    """ICP of one scan against itself turned by 0.3 rad: the best seed must find the turn."""
-    p = P.stride(M.points(spark, d).where("scan_id = 1"), 2).select("x", "y").toPandas().to_numpy(float)
-    c, s = math.cos(0.3), math.sin(0.3)
-    turned = p @ [[c, s], [-s, c]]
-    out = T.icp_seeds(turned, M.points(spark, d).where("scan_id = 1"), seeds=24)
-    return rounded(out.where(F.col("rmse") < float("inf")), 4)
+    """Every scan against itself turned by 0.3 rad about the sensor: the turn must be found again."""
+    p = M.points(spark, d)
+    x, y = G.se2(F.col("x"), F.col("y"), 0.3, 0.0, 0.0)
+    return rounded(T.icp2d(p.select("scan_id", x.alias("x"), y.alias("y")), p), 4)
+
+
+@query(f"""WITH {M.POSES}, {M.GRAVITY}, c AS (SELECT l_suppkey AS scan_id, count(*) AS points FROM lineitem GROUP BY 1)
+SELECT scan_id, round(stamp, 6) AS stamp, points, round(uz, 6) AS uz FROM poses JOIN c USING (scan_id) JOIN gravity USING (scan_id)""")
+def positional_join(spark, d):
+    clouds = M.points(spark, d).groupBy("scan_id").agg(F.count("*").alias("points"))
+    p = M.poses(spark, d).join(clouds.select("scan_id"), "scan_id", "left_semi")
+    g = M.gravity(spark, d).join(clouds.select("scan_id"), "scan_id", "left_semi")
+    return rounded(T.positional_join(p, clouds, g).select("scan_id", "stamp", "points", "uz"))
+
+
+_BROKEN = "CASE WHEN scan_id % 7 = 0 THEN 'nan'::DOUBLE WHEN scan_id % 11 = 0 THEN NULL ELSE x END"
+
+
+@query(f"WITH {M.POSES} SELECT scan_id, round(x, 6) AS x, round(y, 6) AS y FROM poses WHERE scan_id % 7 <> 0 AND scan_id % 11 <> 0")
+def entry_admission(spark, d):
+    k = F.col("scan_id")
+    p = M.poses(spark, d).withColumn("x", F.when(k % 7 == 0, F.lit(float("nan"))).when(k % 11 == 0, F.lit(None)).otherwise(F.col("x")))
+    return rounded(T.admitted(p, "stamp", "x", "y", "z", "yaw").select("scan_id", "x", "y"))
+
+
+#: Orientations with all three angles: half angles of yaw, pitch and roll.
+_QUAT = f"""{M.POSES}, h AS (SELECT scan_id, yaw / 2 AS a, (scan_id % 9 - 4) * 0.05::DOUBLE AS b, (scan_id % 8 - 3) * 0.04::DOUBLE AS c FROM poses),
+q AS (SELECT scan_id, 2*a AS yaw, 2*b AS pitch, 2*c AS roll, sin(c)*cos(b)*cos(a) - cos(c)*sin(b)*sin(a) AS qx, cos(c)*sin(b)*cos(a) + sin(c)*cos(b)*sin(a) AS qy, cos(c)*cos(b)*sin(a) - sin(c)*sin(b)*cos(a) AS qz, cos(c)*cos(b)*cos(a) + sin(c)*sin(b)*sin(a) AS qw FROM h)"""
+
+
+def orientations(spark, d):
+    k = F.col("scan_id")
+    a, b, c = F.col("yaw") / 2, (k % 9 - 4) * 0.05, (k % 8 - 3) * 0.04
+    sa, ca, sb, cb, sc, cc = F.sin(a), F.cos(a), F.sin(b), F.cos(b), F.sin(c), F.cos(c)
+    return M.poses(spark, d).select("*", (sc * cb * ca - cc * sb * sa).alias("qx"), (cc * sb * ca + sc * cb * sa).alias("qy"), (cc * cb * sa - sc * sb * ca).alias("qz"), (cc * cb * ca + sc * sb * sa).alias("qw"))
+
+
+@query(f"WITH {_QUAT} SELECT scan_id, round(roll, 6) + 0.0::DOUBLE AS roll, round(pitch, 6) + 0.0::DOUBLE AS pitch, round(yaw, 6) + 0.0::DOUBLE AS yaw FROM q")
+def pose_angles(spark, d):
+    """Angles of poses that roll, pitch and turn, from their quaternions."""
+    r, p, y = G.rpy(G.quaternion_matrix(*[F.col(c) for c in ("qx", "qy", "qz", "qw")]))
+    return rounded(orientations(spark, d).select("scan_id", r.alias("roll"), p.alias("pitch"), y.alias("yaw")))
+
+
+@query(f"WITH {_QUAT} SELECT scan_id, round(-sin(pitch), 6) + 0.0::DOUBLE AS ux, round(cos(pitch) * sin(roll), 6) + 0.0::DOUBLE AS uy, round(cos(pitch) * cos(roll), 6) + 0.0::DOUBLE AS uz FROM q")
+def gravity_from_quaternion(spark, d):
+    up = G.up_in_body(*[F.col(c) for c in ("qx", "qy", "qz", "qw")])
+    return rounded(orientations(spark, d).select("scan_id", *[u.alias(n) for u, n in zip(up, ("ux", "uy", "uz"), strict=True)]))
+
+
+@query(f"""WITH {_QUAT}, {M.GRAVITY}, r AS (SELECT scan_id, cos(yaw)*cos(pitch) AS r00, cos(yaw)*sin(pitch)*sin(roll) - sin(yaw)*cos(roll) AS r01, cos(yaw)*sin(pitch)*cos(roll) + sin(yaw)*sin(roll) AS r02,
+sin(yaw)*cos(pitch) AS r10, sin(yaw)*sin(pitch)*sin(roll) + cos(yaw)*cos(roll) AS r11, sin(yaw)*sin(pitch)*cos(roll) - cos(yaw)*sin(roll) AS r12 FROM q)
+SELECT scan_id, round(atan2(r10 * (1 - ux*ux/(1 + uz)) - r11 * ux*uy/(1 + uz) - r12 * ux, r00 * (1 - ux*ux/(1 + uz)) - r01 * ux*uy/(1 + uz) - r02 * ux), 6) + 0.0::DOUBLE AS canonical_yaw FROM r JOIN gravity USING (scan_id)""")
+def canonical_yaw(spark, d):
+    o = orientations(spark, d).join(M.gravity(spark, d), "scan_id")
+    m = G.quaternion_matrix(*[F.col(c) for c in ("qx", "qy", "qz", "qw")])
+    return rounded(o.select("scan_id", G.canonical_yaw(m, G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz"))).alias("canonical_yaw")))
+
+
+@query(f"""WITH {M.POSES}, w AS (SELECT scan_id, x*cos(0.2::DOUBLE) - y*sin(0.2::DOUBLE) + 1::DOUBLE AS x, x*sin(0.2::DOUBLE) + y*cos(0.2::DOUBLE) - 4::DOUBLE AS y FROM poses),
+v AS (SELECT scan_id, x*cos(0.7::DOUBLE) - y*sin(0.7::DOUBLE) + 3::DOUBLE AS x, x*sin(0.7::DOUBLE) + y*cos(0.7::DOUBLE) - 2::DOUBLE AS y FROM w)
+SELECT scan_id, round((x-5::DOUBLE)*cos(0.4::DOUBLE) + (y-6::DOUBLE)*sin(0.4::DOUBLE), 6) AS x, round(-(x-5::DOUBLE)*sin(0.4::DOUBLE) + (y-6::DOUBLE)*cos(0.4::DOUBLE), 6) AS y FROM v""")
+def frame_chain(spark, d):
+    """Query positions through their session's alignment, the planar alignment of both sessions, and back by the map's."""
+    p = M.poses(spark, d)
+    x, y = G.se2(F.col("x"), F.col("y"), 0.2, 1.0, -4.0)
+    p = p.select("scan_id", x.alias("x"), y.alias("y"))
+    x, y = G.se2(F.col("x"), F.col("y"), 0.7, 3.0, -2.0)
+    p = p.select("scan_id", x.alias("x"), y.alias("y"))
+    x, y = G.se2_inverse(F.col("x"), F.col("y"), 0.4, 5.0, 6.0)
+    return rounded(p.select("scan_id", x.alias("x"), y.alias("y")))
+
+
+@query("""WITH g AS (SELECT c_custkey % 3 - 1 AS status, 30::DOUBLE + c_acctbal / 100000::DOUBLE AS lat, 114::DOUBLE + c_nationkey / 1000::DOUBLE AS lon FROM customer),
+h AS (SELECT s_suppkey % 4 - 1 AS status, 31::DOUBLE + s_acctbal / 100000::DOUBLE AS lat, 115::DOUBLE + s_nationkey / 1000::DOUBLE AS lon FROM supplier)
+SELECT round(avg(lat), 6) AS lat0, round(avg(lon), 6) AS lon0 FROM (FROM g UNION ALL FROM h) WHERE status >= 0""")
+def common_origin(spark, d):
+    fix = lambda t, n, by, lat, lon: M.table(spark, d, t).select((F.col(f"{n}key") % by - 1).alias("status"), (lat + F.col(f"{t[0]}_acctbal") / 100000.0).alias("lat"), (lon + F.col(f"{t[0]}_nationkey") / 1000.0).alias("lon"))
+    return rounded(T.common_origin(fix("customer", "c_cust", 3, 30.0, 114.0), fix("supplier", "s_supp", 4, 31.0, 115.0)))
+
+
+@query(f"WITH {M.POSES} SELECT scan_id AS submap_id, round(x + 1::DOUBLE, 6) AS truth_x FROM poses")
+def submap_truth(spark, d):
+    p = M.poses(spark, d).withColumnRenamed("scan_id", "submap_id")
+    return rounded(T.truth_of_submaps(p.select("submap_id", "stamp"), p.select("submap_id", "stamp", (F.col("x") + 1.0).alias("truth_x"))).select("submap_id", "truth_x"))
+
+
+@query("""WITH c AS (SELECT c_custkey % 500 AS win, row_number() OVER (PARTITION BY c_custkey % 500 ORDER BY c_acctbal, c_custkey) AS rank, c_custkey AS candidate FROM customer), t AS (SELECT p_partkey % 500 AS win, min(p_retailprice) AS ms FROM part GROUP BY 1)
+SELECT win, candidate, round(ms, 4) AS retrieval_ms FROM c JOIN t USING (win) WHERE rank = 1""")
+def window_join(spark, d):
+    """The best candidate of each query window with the window's timing."""
+    c = M.table(spark, d, "customer").groupBy((F.col("c_custkey") % 500).alias("win")).agg(F.min_by("c_custkey", F.struct("c_acctbal", "c_custkey")).alias("candidate"))
+    t = M.table(spark, d, "part").groupBy((F.col("p_partkey") % 500).alias("win")).agg(F.min("p_retailprice").alias("retrieval_ms"))
+    return rounded(c.join(t, "win"), 4)
 
 
 @query(f"""WITH {M.TRACK}, e AS (SELECT track_id, abs(x - 50::DOUBLE) AS e FROM track) SELECT count(*) AS n, round(median(e), 6) AS median, round(quantile_cont(e, 0.95), 6) AS p95, round(max(e), 6) AS max FROM e""")

@@ -18,7 +18,7 @@ from placerec.operators import trajectory as T
 from placerec.operators import vertical as V
 
 SF = "/root/testdata/sf0.001"
-CFG = DescriptorConfig(rings=4, sectors=12, max_radius=20.0, shortlist=3, search_ratio=0.2)
+CFG = DescriptorConfig(rings=4, sectors=12, max_radius=20.0, dual_layer=True, shortlist=3, search_ratio=0.2, height_offset=2.0, min_joint_rings=1, split_min=1.0, split_max=4.0, min_keyframes=5, vertical_min=-2.0, vertical_max=2.0)
 
 
 def cloud(spark, scans):
@@ -112,6 +112,52 @@ def test_vertical_shift_recovers_an_offset(spark):
     assert out.dz == pytest.approx(0.4)
 
 
+def direct_shift(res, cfg):
+    """The trimmed weighted median by loops over (layer, residual, stability)."""
+    kept = []
+    for layer, w in ((0, cfg.lower_weight), (1, cfg.upper_weight)):
+        rows = sorted((r for r in res if r[0] == layer), key=lambda r: r[2] if layer == 0 else -r[2])
+        if rows and w > 0:
+            kept += [(r[1], w) for r in rows[: max(1, math.ceil(cfg.stable_fraction * len(rows)))]]
+    run, half = 0.0, sum(w for _, w in kept) / 2
+    for value, w in sorted(kept):
+        run += w
+        if run >= half - 1e-9:
+            return value if cfg.vertical_min <= value <= cfg.vertical_max else 0.0
+    return 0.0
+
+
+def test_vertical_shift_equals_loops(spark):
+    a, b = D.envelope_cells(cloud(spark, {0: scene(8), 1: scene(9), 2: {(0, 0): [0.5]}}), CFG), D.envelope_cells(cloud(spark, {5: scene(12), 6: scene(13)}), CFG)
+    none = a.limit(0).select("scan_id", "ring", "sector")
+    hyps = [(q, m, s) for q in (0, 1, 2) for m in (5, 6) for s in (0, 3, 7)]
+    h = spark.createDataFrame(hyps, "query_id long, map_id long, shift int")
+    got = {(r.query_id, r.map_id, r.shift): r.dz for r in V.vertical_shift(V.residuals(h, a, b, none, none, CFG), CFG, h).collect()}
+    qs, ms = ({(r.scan_id, r.layer, r.ring, r.sector): r.h for r in x.collect()} for x in (a, b))
+    assert set(got) == set(hyps)
+    for q, m, s in hyps:
+        res = []
+        for (scan, layer, ring, sector), h in ms.items():
+            if scan == m and (v := qs.get((q, layer, ring, (sector + s) % 12))) is not None:
+                res.append((layer, h - v, max(h, v) if layer == 0 else min(h, v)))
+        assert got[q, m, s] == pytest.approx(direct_shift(res, CFG))
+
+
+def test_coordinate_hash_orders_as_unsigned(spark):
+    rng = np.random.default_rng(4)
+    xyz = rng.uniform(-50, 50, (300, 3))
+    df = spark.createDataFrame([(0, i, *map(float, p)) for i, p in enumerate(xyz)], "scan_id long, ord long, x double, y double, z double")
+    mm, wrap = np.rint(xyz * 1000).astype(int).tolist(), 1 << 64
+    keys = [(x * P.HASH_X % wrap) ^ (y * P.HASH_Y % wrap) ^ (z * P.HASH_Z % wrap) for x, y, z in mm]
+    want = sorted(range(300), key=keys.__getitem__)[:40]
+    assert sorted(r.ord for r in P.point_cap(df, 40).collect()) == sorted(want)
+
+
+def test_unit_scaling_turns_about(spark):
+    df = spark.createDataFrame([(0, i, float(x), 0.0, 0.0) for i, x in enumerate((1, 2, 6))], "scan_id long, ord long, x double, y double, z double")
+    assert sorted(r.x for r in P.centred_unit(df).collect()) == pytest.approx([-0.75, 0.25, 0.5])
+
+
 def test_yaw_hypotheses_keep_apart(spark):
     rows = [(1, 1, s, d) for s, d in ((3, 0.1), (4, 0.11), (7, 0.3), (2, 0.12))]
     h = R.yaw_hypotheses(spark.createDataFrame(rows, "query_id long, map_id long, shift int, distance double"), CFG).first().hyps
@@ -161,21 +207,32 @@ def test_robust_fit_passes_over_outliers(spark):
     t = s @ np.array([[math.cos(0.4), math.sin(0.4)], [-math.sin(0.4), math.cos(0.4)]]) + [3, -1]
     t[:6] += 15
     df = spark.createDataFrame([(0, *map(float, a), *map(float, b)) for a, b in zip(s, t)], "g int, sx double, sy double, x double, y double")
-    r = T.robust_se2(df, ["g"], rounds=15).first()
+    r = T.robust_se2(df, ["g"]).first()
+
+    def loss(v):
+        u = s @ np.array([[math.cos(v[0]), math.sin(v[0])], [-math.sin(v[0]), math.cos(v[0])]]) + v[1:] - t
+        return (np.sqrt(1 + (u / 0.5) ** 2) - 1).sum()
+
+    at = np.array([r.yaw, r.tx, r.ty])
+    assert all(loss(at) <= loss(at + e * h) + 1e-9 for e in np.eye(3) for h in (-1e-3, 1e-3))  # a minimum of the soft-L1 loss of each component
     assert r.yaw == pytest.approx(0.4, abs=0.02) and (r.tx, r.ty) == pytest.approx((3, -1), abs=0.3)
 
 
 def test_clock_offset_grid_and_icp(spark):
     rng = np.random.default_rng(1)
-    xyz = rng.normal(size=(60, 3)).cumsum(0)
-    src = spark.createDataFrame([(1, float(i), *map(float, p)) for i, p in enumerate(xyz)], "k long, stamp double, x double, y double, z double")
-    out = T.clock_offset_grid(src, src.withColumn("stamp", F.col("stamp") + 2.0), "k", F.array(*[F.lit(float(o)) for o in (0, 1, 2, 3)]), 0.4).collect()
-    assert min(out, key=lambda r: r.rmse).offset == 2.0
+    xyz, q = rng.normal(size=(120, 3)).cumsum(0), rng.normal(size=(120, 4))
+    rot = T._rotations(q)
+    arm, turn = np.array([0.3, -0.2, 0.5]), T._rotations(np.array([[0.1, 0.2, 0.3, 0.9]]))[0]
+    ref = (xyz + rot @ arm) @ turn.T + [1, 2, 3]
+    src = spark.createDataFrame([(1, i * 0.5, *map(float, p), *map(float, o)) for i, (p, o) in enumerate(zip(xyz, q))] + [(2, 0.0, *[0.0] * 6, 1.0)], "k long, stamp double, x double, y double, z double, qx double, qy double, qz double, qw double")
+    truth = spark.createDataFrame([(1, i * 0.5 - 1.3, *map(float, p)) for i, p in enumerate(ref)], "k long, stamp double, x double, y double, z double")
+    out = T.clock_offset_grid(src, truth, "k").collect()
+    assert len(out) == 1 and out[0].offset == pytest.approx(1.3, abs=0.09) and out[0].rmse < 1e-6 and out[0].lever == pytest.approx(arm.tolist(), abs=1e-5)
     pts = rng.uniform(-10, 10, (150, 2))
     c, s = math.cos(0.3), math.sin(0.3)
-    target = spark.createDataFrame([tuple(map(float, p)) for p in pts], "x double, y double")
-    best = min(T.icp_seeds(pts @ [[c, s], [-s, c]], target, seeds=24, rounds=20).collect(), key=lambda r: r.rmse)
-    assert best.rmse < 0.05 and best.yaw == pytest.approx(-0.3, abs=0.02)
+    frame = lambda x: spark.createDataFrame([(7, *map(float, p)) for p in x], "scan_id long, x double, y double")
+    best = T.icp2d(frame(pts @ [[c, s], [-s, c]] + [4, 1]), frame(pts)).first()
+    assert best.median < 1e-6 and best.yaw == pytest.approx(-0.3, abs=1e-6)
 
 
 def test_mcnemar_is_the_binomial_tail(spark):
@@ -184,6 +241,36 @@ def test_mcnemar_is_the_binomial_tail(spark):
     assert got["m"].p == pytest.approx(2 * sum(math.comb(11, i) for i in range(3)) / 2**11) and got["e"].p == 1.0
 
 
+def test_kernels_equal_plain_loops():
+    """Projections, features and scores point by point, from their definitions."""
+    rng = np.random.default_rng(6)
+    p = rng.normal(size=(70, 3)) * [5, 2, 1]
+    rows, far = [], np.linalg.norm(p, axis=1).max()
+    for a in np.linspace(-math.pi / 2, math.pi / 2, 4):
+        for e in np.linspace(0, math.pi / 2, 16):
+            n = np.array([math.cos(e) * math.cos(a), math.cos(e) * math.sin(a), math.sin(e)])
+            u = np.array([1.0, 0, 0]) - n[0] * n
+            v, hist = np.cross(n, u), np.zeros((8, 16))
+            for q in p:
+                x, y = q @ u, q @ v
+                ring = next(i for i in range(8) if math.hypot(x, y) < far * ((i + 1) / 8) ** 2 + (0.001 if i == 7 else 0))
+                hist[ring, min(int((math.atan2(y, x) + math.pi) / (2 * math.pi) * 16), 15)] += 1 / len(p)
+            rows.append(hist.ravel())
+    left, _, right = np.linalg.svd(np.array(rows), full_matrices=False)
+    want = np.concatenate([left[:, 0], right[0]])
+    want *= 1 if want[:64][np.abs(want[:64]).argmax()] >= 0 else -1
+    assert N.m2dp_vector(p) == pytest.approx(want, abs=1e-9)
+    f = N.local_features(p)
+    for i in (0, 13, 69):
+        near = p[np.argsort(((p - p[i]) ** 2).sum(1), kind="stable")[:30]]
+        w = np.sort(np.linalg.eigvalsh(np.cov(near.T)))[::-1]
+        flat, s = np.sort(np.linalg.eigvalsh(np.cov(near[:, :2].T))), w / w.sum()
+        assert f[i] == pytest.approx([s[2], np.cbrt(w.prod() / w.sum() ** 3), -(s * np.log(s)).sum(), flat[0] / flat[1], np.ptp(near[:, 2]), near[:, 2].var()], abs=1e-9)
+    a, b = rng.normal(size=(2, 6, 8, 8))
+    curve = [sum(abs(np.fft.ifft(np.fft.fft(a[c, :, k], norm="ortho") * np.conj(np.fft.fft(b[c, :, k], norm="ortho")), norm="ortho")[s]) for c in range(6) for k in range(8)) for s in range(8)]
+    assert N.circular_score(a, b) == (pytest.approx(max(curve) / (0.15 * 6 * 8 * 8)), int(np.argmax(curve)))
+
+
 def test_kernels_are_invariant():
     rng = np.random.default_rng(2)
     p = rng.normal(size=(200, 3)) * [5, 2, 1]
@@ -275,9 +362,20 @@ def test_text_sources(spark, tmp_path):
 def test_config_file():
     from placerec.sources.config_file import load_config
 
-    c = load_config("/**:\n  ros__parameters:\n    prior_map:\n      scan_context:\n        rings: 10  # x\n        dual_layer: false\n        max_radius: 12.5\n        unknown: 3\n")
-    assert (c.rings, c.dual_layer, c.max_radius, c.sectors) == (10, False, 12.5, 60)
-    assert load_config("scan_context:\n  sectors: 30\n").sectors == 30
+    head = "/**:\n  ros__parameters:\n    prior_map:\n      scan_context:\n"
+    c = load_config(head + "        num_rings: 10  # x\n        dual_z_layer_enable: true\n        max_radius: 12.5\n        candidate_top_k: 100\n        retrieval_height_offset: 0.3\n        vertical_correction_max: 1.25\n")
+    assert (c.rings, c.dual_layer, c.max_radius, c.sectors, c.shortlist, c.height_offset, c.vertical_max) == (10, True, 12.5, 60, 100, 0.3, 1.25)
+    assert load_config("scan_context:\n  sectors: 30\n").sectors == 30 and load_config("scan_context:\n  sectors: 30\n", True).gravity_canonicalized
+    for bad in (head + "        unknown: 3\n", "other:\n  a: 1\n"):
+        with pytest.raises(ValueError):
+            load_config(bad)
+
+
+def test_config_defaults_of_the_method():
+    c = DescriptorConfig()
+    assert (c.rings, c.sectors, c.max_radius, c.dual_layer, c.height_offset, c.min_joint_rings, c.shortlist, c.yaw_top_k, c.distance_threshold) == (20, 60, 80.0, False, 0.1, 2, 5, 3, 0.5)
+    assert (c.split_min, c.split_max, c.histogram_max, c.min_keyframes, c.boundary_margin, c.vertical_min, c.vertical_max, c.stable_fraction) == (1.5, 4.5, 8.0, 20, 0.1, -1.5, 1.5, 0.5)
+    assert not c.compatible(c.with_(gravity_canonicalized=True))
 
 
 def test_descriptor_database_versions(spark, tmp_path):
