@@ -220,18 +220,23 @@ def clock_offset_grid(source: DataFrame, truth: DataFrame, key: str, span: float
 
 def _step(s: np.ndarray, t: np.ndarray, r: np.ndarray, m: np.ndarray, rounds: int, gate: float, least: int):
     """Rounds of nearest neighbours within the gate and closed-form planar fits; the median distance of all points at the end."""
-    near = lambda p: (p**2).sum(1)[:, None] + (t**2).sum(1)[None, :] - 2 * p @ t.T
+    t32, half = t.astype(np.float32).T.copy(), ((t**2).sum(1) / 2).astype(np.float32)
+
+    def near(p):
+        # the least |t|^2 / 2 - p t is the nearest; its distance is taken in full precision
+        j = (half - p.astype(np.float32) @ t32).argmin(1)
+        return j, np.sqrt(((p - t[j]) ** 2).sum(1))
+
     for _ in range(rounds):
-        d = near(s @ r.T + m)
-        j = d.argmin(1)
-        ok = d[np.arange(len(s)), j] < gate * gate
+        j, d = near(s @ r.T + m)
+        ok = d < gate
         if ok.sum() < least:
             return r, m, np.inf
         a, b = s[ok], t[j[ok]]
         u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
         r = vt.T @ np.diag([1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
         m = b.mean(0) - r @ a.mean(0)
-    return r, m, float(np.median(np.sqrt(np.maximum(near(s @ r.T + m).min(1), 0))))
+    return r, m, float(np.median(near(s @ r.T + m)[1]))
 
 
 def icp_planar(s: np.ndarray, t: np.ndarray, seeds: int = 180, least: int = 50) -> tuple[float, float, float, float]:

@@ -173,12 +173,12 @@ def se2_robust_fit(spark, d):
 
 @query()
 def se3_fit_grid(spark, d):
-    """Every scan's pose against itself 0.6 s later, turned and with an arm: offset, arm and turn must be found again."""
+    """Every scan's pose against itself 0.7 s later, turned and with an arm: offset, arm and turn must be found again."""
     p = M.poses(spark, d).withColumn("stamp", F.col("scan_id") * 0.5)
     src = p.select((F.col("scan_id") * 0).alias("track"), "stamp", "x", "y", "z", F.lit(0.0).alias("qx"), F.lit(0.0).alias("qy"), F.sin(F.col("yaw") / 2).alias("qz"), F.cos(F.col("yaw") / 2).alias("qw"))
     ax, ay = F.col("x") + 0.4 * F.cos("yaw"), F.col("y") + 0.4 * F.sin("yaw")
     x, y = G.se2(ax, ay, 0.7, 3.0, -2.0)
-    truth = p.select((F.col("scan_id") * 0).alias("track"), (F.col("stamp") - 0.6).alias("stamp"), x.alias("x"), y.alias("y"), "z")
+    truth = p.select((F.col("scan_id") * 0).alias("track"), (F.col("stamp") - 0.7).alias("stamp"), x.alias("x"), y.alias("y"), "z")
     out = T.clock_offset_grid(src, truth, "track", least=5)
     return rounded(out.select("track", "offset", "rmse", "n", "yaw", F.element_at("lever", 1).alias("arm_x"), F.element_at("lever", 2).alias("arm_y")), 4)
 
