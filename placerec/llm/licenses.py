@@ -1,12 +1,13 @@
 """Licence scan by a positional rare-token index.
 
-A first pass counts, over all texts, in how many of them each licence word
-stands. A second pass looks up the rarest words of each licence template in a
-text, turns every occurrence into the place where the template would start,
-keeps places on which at least two rare words agree, measures the template's
-share of idf weight found in position from there, and accepts it if the
-template's key phrase stands in the text at the place it predicts.
-Exact phrases of their own ("base") are found wherever their words stand in a row.
+A first pass counts, over all texts, in how many of them each licence word stands. The index has
+postings (template, position) of every licence word, highest idf first, down to the idf at which a
+template can't be missed: the positions left out hold too little weight to be accepted without two
+of those kept. A second pass looks up each file's words in the postings, the rarest licence words it
+holds among them; every hit tells where its template would start, and starts on which two hits agree are
+intersections of postings by relative position. There the template's share of idf weight found in
+position is measured; it is accepted if that is enough and the template's key phrase stands in the text
+at the place it predicts. Exact phrases of their own ("base") are found wherever their words stand in a row.
 
 Defined results: a null or empty text has no words, no labels and score 0; repeated
 rows give equal rows; an empty table gives an empty table; only the id and text
@@ -21,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from placerec.llm import textkernel as K
 from pyspark.sql import functions as F
 
 from placerec.llm import textkernel as K
@@ -32,23 +32,37 @@ BASE = {
     "apache license version 2": "apache-2",
     "cc by nc": "cc-by-nc",
 }
-# Fixed values: (label, licence wording, key phrase that must stand in position).
+# Fixed values: (label, licence wording, key phrase that must stand in position), in lower case without punctuation.
 TEMPLATES = [
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "permission is hereby granted free of charge"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", "to deal in the software without restriction"),
     ("mit", "released under the mit license", "mit license"),
     ("mit", "licensed under the mit license", "mit license"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", "you may not use this file except in compliance with the license"),
     ("gpl", "this work is licensed under the gnu general public license", "gnu general public license"),
     ("gpl", "under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
+    ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
+    ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
+    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties", "provided with the distribution this software is provided by"),
+    ("bsd-3", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness", "for any purpose with or without fee is hereby granted"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", "to alter it and redistribute it freely"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", "free and unencumbered software released into the public domain"),
+    ("bsl-1", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software", "any person or organization obtaining a copy of the software"),
     ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "mozilla public license"),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", "eclipse public license"),
+    ("cc0", "the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law", "dedicated the work to the public domain"),
     ("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial"),
     ("cc-by", "creative commons attribution 4 0 international license", "creative commons attribution 4 0"),
     ("cc-by-sa", "creative commons attribution sharealike 4 0 international license", "creative commons attribution sharealike"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced", "all rights reserved"),
 ]
-RARE_WORDS, LEAST_SHARE = 3, 0.75
+LEAST_SHARE = 0.75
 
 
 def vocabulary(base: dict[str, str] = BASE, templates=TEMPLATES) -> list[str]:
@@ -93,6 +107,42 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "tex
     return got.get(len(words), 0), {w: got.get(i, 0) for i, w in enumerate(words)}
 
 
+def postings(plans: list, n_words: int, least: float = LEAST_SHARE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(templates, positions, offsets by word) of the highest-idf positions of each template.
+
+    As many are kept as any acceptable match must hold two of: what the others weigh, with the heaviest kept one, stays under
+    the least share. No match of two words or more is missed; wordings of the list have four at least.
+    """
+    rows = []
+    for which, (_, seq, _, _, weight) in enumerate(plans):
+        order = np.argsort(-weight, kind="stable")
+        kept = 1
+        while kept < len(seq) and 1 - weight[order[:kept]].sum() + weight[order[0]] >= least:
+            kept += 1
+        rows += [(int(seq[i]), which, int(i)) for i in order[:kept]]
+    rows.sort()
+    word = np.array([w for w, _, _ in rows])
+    return np.array([t for _, t, _ in rows]), np.array([i for _, _, i in rows]), np.searchsorted(word, np.arange(n_words + 1))
+
+
+def _starts(found: np.ndarray, hits: np.ndarray, index):
+    """(template, starts) where two hits of a template's postings agree on its start."""
+    template, position, offs = index
+    w = found[hits]
+    n = offs[w + 1] - offs[w]
+    hits, w, n = hits[n > 0], w[n > 0], n[n > 0]
+    if not len(hits):
+        return
+    at = np.repeat(offs[w] - np.cumsum(n) + n, n) + np.arange(n.sum())
+    span = len(found) + int(position.max()) + 1
+    key = template[at] * span + np.repeat(hits, n) - position[at] + int(position.max())
+    key, votes = np.unique(key, return_counts=True)
+    key = key[votes >= 2]
+    which, start = key // span, key % span - int(position.max())
+    for t in np.unique(which).tolist():
+        yield t, start[which == t]
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base: dict[str, str] = BASE, templates=TEMPLATES) -> DataFrame:
     """Per text: its words, base places with the first and last, base and all labels, and a score."""
     words = vocabulary(base, templates)
@@ -107,8 +157,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     for label, wording, key in templates:
         seq, must = [number[w] for w in wording.split()], [number[w] for w in key.split()]
         place = next(i for i in range(len(seq)) if seq[i : i + len(must)] == must)
-        rare = sorted(range(len(seq)), key=lambda i: (-idf[seq[i]], i))[:RARE_WORDS]
-        plans.append((label, np.array(seq), place, len(must), rare, idf[seq] / idf[seq].sum()))
+        plans.append((label, np.array(seq), place, len(must), idf[seq] / idf[seq].sum()))
+    index = postings(plans, len(words))
 
     def run(batches):
         for batch in batches:
@@ -131,15 +181,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
                     for x, y in zip(t.tolist(), (s - first_of[t]).tolist(), strict=True):
                         base_of.setdefault(x, []).append((y, label))
                 more: dict[int, dict[str, float]] = {}
-                for label, seq, place, n_must, rare, weight in plans:
-                    starts = np.concatenate([hits[found[hits] == seq[r]] - r for r in rare])
-                    starts, votes = np.unique(starts, return_counts=True)
-                    starts = starts[votes >= min(2, len(rare))]
-                    if not len(starts):
-                        continue
+                for which, starts in _starts(found, hits, index):
+                    label, seq, place, n_must, weight = plans[which]
+                    # the predicted key phrase tells the text; a start may lie before it, if the text begins within the wording
                     t = text_of(starts + place)
+                    ok = (starts + place >= 0) & (t < n)
+                    starts, t = starts[ok], t[ok]
                     at_words = starts[:, None] + np.arange(len(seq))[None, :]
-                    inside = (at_words >= first_of[np.minimum(t, n - 1)][:, None]) & (at_words < ends[np.minimum(t, n - 1)][:, None])
+                    inside = (at_words >= first_of[t][:, None]) & (at_words < ends[t][:, None])
                     same = inside & (found[np.clip(at_words, 0, len(found) - 1)] == seq[None, :])
                     share = same @ weight
                     ok = (share >= LEAST_SHARE) & same[:, place : place + n_must].all(1)

@@ -24,7 +24,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from placerec.llm import textkernel as K
 from pyspark.sql import functions as F
 
 from placerec.llm import textkernel as K

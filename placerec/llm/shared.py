@@ -12,8 +12,10 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset and all runs in one process."""
     at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not at:
         at = _OWN.setdefault("dir", tempfile.mkdtemp(prefix="placerec-"))
         if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -21,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
-def cut(df: DataFrame, what: str) -> DataFrame:
+def cut(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends, and a lost executor costs nothing.
 
     The table is dropped with the folder; :func:`drop` frees it earlier.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/placerec-{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._placerec_path = path
     return out

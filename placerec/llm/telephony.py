@@ -17,11 +17,11 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from placerec.llm import textkernel as K
-
-from placerec.llm import textkernel as K
+from placerec.llm.shared import cut
 
 BLOCK, RATE = 64, 8000
 PCM, ALAW, MULAW, IMA = 1, 6, 7, 0x11
@@ -170,7 +170,7 @@ def to_pcm(stored: DataFrame, id_col: str = "doc_id", media_col: str = "media",
 
 
 def _features(payloads: list[bytes]) -> list[str]:
-    """Mean squares of the payload as mu-law, A-law and ADPCM, zero crossings, and the CRC-32 of its mu-law samples at 16 kHz."""
+    """Mean squares of the payload as mu-law, A-law and ADPCM, and zero crossings."""
     data = np.frombuffer(b"".join(payloads), np.uint8)
     sizes = np.array([len(p) for p in payloads], np.int64)
     ends = np.cumsum(sizes)
@@ -185,33 +185,44 @@ def _features(payloads: list[bytes]) -> list[str]:
     cross[1:] = sign[1:] != sign[:-1]
     cross[firsts] = 0
     cross = np.add.reduceat(cross, firsts)
-    wide = np.empty((len(mu), 2), "<i2")
-    after = np.empty(len(mu), np.int32)
-    after[:-1], after[ends - 1] = mu[1:], mu[ends - 1]
-    wide[:, 0], wide[:, 1] = mu, mu + (after - mu) // 2
-    raw = wide.tobytes()
-    return [f"mulaw={m};alaw={a};ima={i};cross={c};pcm16k={zlib.crc32(raw[4 * x : 4 * y]):08x}" for m, a, i, c, x, y in zip(mu_ms.tolist(), a_ms.tolist(), ima_ms.tolist(), cross.tolist(), firsts.tolist(), ends.tolist(), strict=True)]
+    return [f"mulaw={m};alaw={a};ima={i};cross={c}" for m, a, i, c in zip(mu_ms.tolist(), a_ms.tolist(), ima_ms.tolist(), cross.tolist(), strict=True)]
 
 
-def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Stores each text as a mu-law WAV, reads the stored bytes back, and digests what it read."""
+def stored_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rate: int = 16000) -> DataFrame:
+    """(id, n_bytes, media, pcm): each text as a mu-law WAV and as a PCM WAV of that at ``rate``, to be written."""
 
     def run(batches):
         for batch in batches:
             buf, offs = K.flat(batch.column(1))
             for i, j, part, at in K.chunks(buf, offs):
-                stored = [wav(pad(part[at[k] : at[k + 1]].tobytes())) for k in range(j - i)]
-                back = [unwav(m)[2] for m in stored]
+                media = [wav(pad(part[at[k] : at[k + 1]].tobytes())) for k in range(j - i)]
+                pcm = [wav(resample(decode(MULAW, unwav(m)[2]), 8000, rate).astype("<i2").tobytes(), PCM, rate) for m in media]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(media, pa.binary()), pa.array(pcm, pa.binary())], [id_col, "n_bytes", "media", "pcm"])
+
+    part = docs.select(id_col, text_col)
+    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_bytes bigint, media binary, pcm binary")
+
+
+def media_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Writes each text's mu-law WAV and its PCM at 16 kHz to the shared folder, reads both back, and digests what it read."""
+    stored = cut(stored_columns(docs, id_col, text_col), "media", compression="zstd")
+
+    def run(batches):
+        for batch in batches:
+            sizes = np.asarray(pc.binary_length(batch.column(2)).to_numpy(zero_copy_only=False), np.int64)
+            for i, j, _, _ in K.chunks(np.zeros(0, np.uint8), np.concatenate([[0], np.cumsum(sizes)])):
+                media, pcm = batch.column(2).slice(i, j - i).to_pylist(), batch.column(3).slice(i, j - i).to_pylist()
+                back = [unwav(m)[2] for m in media]
+                heard = [f";pcm16k={zlib.crc32(unwav(p)[2]):08x}" for p in pcm]
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(i, j - i),
-                    pa.array(np.diff(at), pa.int64()),
+                    batch.column(1).slice(i, j - i),
                     pa.array([len(p) for p in back], pa.int64()),
                     pa.array([hashlib.sha256(p).hexdigest() for p in back], pa.string()),
                     pa.array([zlib.crc32(p[-BLOCK:]) for p in back], pa.int64()),
-                    pa.array([len(m) for m in stored], pa.int64()),
-                    pa.array([hashlib.sha256(m).hexdigest() for m in stored], pa.string()),
-                    pa.array(_features(back), pa.string()),
+                    pa.array([len(m) for m in media], pa.int64()),
+                    pa.array([hashlib.sha256(m).hexdigest() for m in media], pa.string()),
+                    pa.array([f + h for f, h in zip(_features(back), heard, strict=True)], pa.string()),
                 ], [id_col, "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
 
-    part = docs.select(id_col, text_col)
-    return part.mapInArrow(K.releasing(run), f"`{id_col}` {part.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")
+    return stored.mapInArrow(K.releasing(run), f"`{id_col}` {stored.schema[id_col].dataType.simpleString()}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string")

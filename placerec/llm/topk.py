@@ -1,34 +1,35 @@
 """Exact top-k inner products by a pivot-distance index.
 
-Every vector is keyed by its nearest pivot and its distance from it; the distances of
-a pivot are cut into annuli, and a cell (pivot, annulus) with more than ``BLOCK`` rows
-into blocks. A query first looks through the rows beside it, which bounds its k-th
-score from below. Then annuli are expanded: with norms known, a score bound is a
-distance bound, and the triangle inequality over the pivot tells which annuli can
-still hold a better row; the search stops at the others.
+Every vector is keyed by its nearest pivot and its distance from it; the distances of a pivot are cut
+into annuli, and annuli of more than ``BLOCK`` rows into blocks. Of each annulus the nearest and the
+farthest distance from every pivot is kept. With norms known, a score bound is a distance bound, and the
+triangle inequality over all pivots tells how near an annulus can be to a query. A query opens its annuli
+in the order of these bounds, ``ROUNDS`` of them at a time; between the rounds its k-th score so far
+becomes its floor, and it stops at the first annulus whose bound lies below. No row is copied for
+different queries: the rows of a block wait in a task while the queries that ask for it stream past.
 
 Scores are integers computed in double precision, exact while
 ``256 ** 2 * dimensions * max|x| ** 2`` stays below 2 ** 53.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no
 part; shorter vectors count as padded with zeros; equal scores go to the smaller id;
-an id that stands on several rows counts as one candidate a row, but never for itself;
-rows with a null id take no part; an empty table gives an empty table; only the id and
-vector columns are read.
+an id that stands on several rows counts as one candidate a row, but never for itself, and as
+a query it gets the best of all its rows; rows with a null id take no part; an empty table gives
+an empty table; only the id and vector columns are read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerec.llm.shared import cut
+from placerec.llm.shared import cut, drop
 
 PIVOTS, ANNULI, BLOCK, SAMPLE, SCALE = 32, 12, 2048, 4096, 256
-QUERY_BLOCK = 4096
+#: Up to so many annuli in the order of bounds are open after each round; the last round may open all that are left.
+ROUNDS = (6, 48, PIVOTS * ANNULI)
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -44,8 +45,12 @@ def _matrix(column: pa.Array, dims: int) -> np.ndarray:
     return out
 
 
+def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T, 0))
+
+
 def _nearest(x: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    d = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * x @ pivots.T, 0))
+    d = _distances(x, pivots)
     p = d.argmin(1)
     return p, d[np.arange(len(x)), p]
 
@@ -68,9 +73,17 @@ def _pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """The ids and scores of each query's k best rows of one block, ties to smaller ids."""
-    scores = q @ x.T
     order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], scores[:, order]
+    ids = ids[order]
+    scores = q @ x[order].T
+    n = len(ids)
+    if n > k and np.abs(scores).max(initial=0) < (1 << 52) // n - 1 and len(np.unique(ids)) == n:
+        # score and place in one number, so that ties are settled by the id
+        mixed = scores * n - np.arange(n)[None, :]
+        mixed[ids[None, :] == q_ids[:, None]] = -np.inf
+        top = np.argpartition(mixed, n - k, axis=1)[:, n - k :]
+        keep = np.take_along_axis(mixed, top, 1) > -np.inf
+        return [(ids[t[m]], scores[i, t[m]]) for i, (t, m) in enumerate(zip(top, keep, strict=True))]
     out = []
     for i, me in enumerate(q_ids):
         s = scores[i]
@@ -91,16 +104,24 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, id, score): the k best other rows of every row whose id is divisible by ``every``."""
+    return search(vectors, k, every, id_col, vec_col, scale)[0]
+
+
+def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> tuple[DataFrame, float]:
+    """The result of :func:`top_k`, and the share of annuli that queries opened on average."""
     spark = vectors.sparkSession
     fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
     head = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
     schema = f"query_id bigint, rank int, {id_col} bigint, score bigint"
     if not head.n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], schema), 0.0
     dims = int(head.dims)
-    sample = v.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"]
-    sample = _matrix(sample, dims)
+    # about SAMPLE rows: any pivots give the same result
+    some = v if head.n <= SAMPLE else v.sample(SAMPLE / head.n, seed=3)
+    rows = some.select("v").toArrow()["v"]
+    rows = rows if len(rows) else v.limit(1).select("v").toArrow()["v"]
+    sample = _matrix(rows, dims)
     pivots = _pivots(sample, PIVOTS)
     p, r = _nearest(sample, pivots)
     edges = np.array([np.quantile(r[p == i], np.linspace(0, 1, ANNULI + 1)[1:-1]) if (p == i).any() else np.zeros(ANNULI - 1) for i in range(len(pivots))])
@@ -109,58 +130,135 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id
     def indexed(batches):
         pivots, edges = share.value
         for batch in batches:
-            x = _matrix(batch.column(1), dims)
+            x = _matrix(batch.column(2), dims)
             if not len(x):
                 continue
             p, r = _nearest(x, pivots)
             cell = p * ANNULI + (r[:, None] > edges[p]).sum(1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cell, pa.int32()), pa.array(r), pa.array((x**2).sum(1)), pa.array([row.astype("<f4").tobytes() if np.abs(row).max(initial=0) < 1 << 24 else row.astype("<f8").tobytes() for row in x], pa.binary())], ["id", "cell", "r", "norm2", "x"])
-
-    index = cut(v.mapInArrow(indexed, "id bigint, cell int, r double, norm2 double, x binary"), "topk-index")
-    # at most PIVOTS * ANNULI rows
-    cells = index.groupBy("cell").agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high"), F.max("norm2").alias("norm2")).toPandas()
-    blocks = dict(zip(cells.cell.tolist(), (-(-cells.n // BLOCK)).tolist(), strict=True))
-    table = spark.sparkContext.broadcast((cells.cell.to_numpy(), cells.low.to_numpy(), cells.high.to_numpy(), cells.norm2.to_numpy(), np.array([blocks[c] for c in cells.cell])))
-    unpack = lambda rows: np.array([np.frombuffer(b, "<f4" if len(b) == 4 * dims else "<f8") for b in rows], np.float64).reshape(len(rows), dims)
-    n_query_blocks = max(1, -(-(head.n // max(1, every)) // QUERY_BLOCK))
-
-    def asked(batches):
-        """A query's rows for each block of each annulus that its bound leaves open."""
+            packed = [row.astype("<f4").tobytes() if np.abs(row).max(initial=0) < 1 << 24 else row.astype("<f8").tobytes() for row in x]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(cell, pa.int32()), pa.array(packed, pa.binary())], ["row", "id", "cell", "x"])
+
+    index = cut(v.select(F.monotonically_increasing_id().alias("row"), "id", "v").mapInArrow(indexed, "row bigint, id bigint, cell int, x binary"), "topk-index")
+    unpack = lambda col: np.array([np.frombuffer(b, "<f4" if len(b) == 4 * dims else "<f8") for b in col.to_pylist()], np.float64).reshape(len(col), dims)
+
+    def spans(batches):
+        """Of each annulus in a task: rows, greatest norm, and least and greatest distance from every pivot."""
         pivots, _ = share.value
-        cell, low, high, norm2, n_blocks = table.value
+        n, norm = np.zeros(PIVOTS * ANNULI, np.int64), np.zeros(PIVOTS * ANNULI)
+        low, high = np.full((PIVOTS * ANNULI, len(pivots)), np.inf), np.zeros((PIVOTS * ANNULI, len(pivots)))
         for batch in batches:
-            ids, x = np.asarray(batch.column("id")), unpack(batch.column("x").to_pylist())
-            mine = np.flatnonzero(ids % every == 0)
-            if not len(mine):
+            if not batch.num_rows:
                 continue
-            floor = np.array([s.min() if len(s) == k else -np.inf for _, s in _best(ids[mine], x[mine], ids, x, k)])
-            q, q2 = x[mine], (x[mine] ** 2).sum(1)
-            to = np.sqrt(np.maximum(q2[:, None] + (pivots**2).sum(1)[None, :] - 2 * q @ pivots.T, 0))[:, cell // ANNULI]
-            gap = np.maximum(np.maximum(to - high[None, :], low[None, :] - to), 0)
-            bound = (q2[:, None] + norm2[None, :] - gap**2) / 2
-            i, c = np.nonzero(bound + 1e-6 * (1 + np.abs(bound)) >= floor[:, None])
-            reps = n_blocks[c]
-            i, c = np.repeat(i, reps), np.repeat(c, reps)
-            sub = np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
-            for a in range(0, len(i), 20_000):
-                s = slice(a, a + 20_000)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[mine[i[s]]]), pa.array(cell[c[s]].astype(np.int32)), pa.array(sub[s].astype(np.int32)), pa.array((ids[mine[i[s]]] // max(1, every) % n_query_blocks).astype(np.int32)), batch.column("x").take(pa.array(mine[i[s]]))], ["id", "cell", "sub", "part", "x"])
-
-    queries = index.mapInArrow(asked, "id bigint, cell int, sub int, part int, x binary")
-    n_sub = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for c, b in blocks.items() for y in (int(c), int(b))]), F.col("cell")), F.lit(1))
-    rows = index.select("id", "cell", F.pmod(F.xxhash64("id"), n_sub).cast("int").alias("sub"), F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1))).alias("part"), "x")
-
-    def match(key, data: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
-        if not len(data) or not len(asks):
-            return pd.DataFrame({"query_id": [], "id": [], "score": []}).astype("int64")
-        q_ids = asks.id.to_numpy()
-        got = _best(q_ids, unpack(asks.x.tolist()), data.id.to_numpy(), unpack(data.x.tolist()), k)
-        return pd.DataFrame({"query_id": np.repeat(q_ids, [len(a) for a, _ in got]), "id": np.concatenate([a for a, _ in got]), "score": np.concatenate([s for _, s in got]).astype(np.int64)})
-
-    keys = ["cell", "sub", "part"]
-    found = rows.groupBy(*keys).cogroup(queries.dropDuplicates([*keys, "id"]).groupBy(*keys)).applyInPandas(match, "query_id bigint, id bigint, score bigint")
+            cell, x = batch.column("cell").to_numpy(), unpack(batch.column("x"))
+            d = _distances(x, pivots)
+            np.add.at(n, cell, 1)
+            np.maximum.at(norm, cell, (x**2).sum(1))
+            np.minimum.at(low, cell, d)
+            np.maximum.at(high, cell, d)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at]), pa.array(norm[at]), pa.array(low[at].tolist(), pa.list_(pa.float64())), pa.array(high[at].tolist(), pa.list_(pa.float64()))], ["cell", "n", "norm2", "low", "high"])
+
+    ends = index.mapInArrow(spans, "cell int, n bigint, norm2 double, low array<double>, high array<double>")
+    ends = ends.select("cell", "n", "norm2", F.posexplode(F.arrays_zip("low", "high")).alias("p", "d")).groupBy("cell", "p").agg(F.sum("n").alias("n"), F.max("norm2").alias("norm2"), F.min("d.low").alias("low"), F.max("d.high").alias("high"))
+    ends = ends.toPandas().sort_values(["cell", "p"])  # PIVOTS * ANNULI * PIVOTS rows at most
+    cells = ends[ends.p == 0]
+    reach = lambda c: ends[c].to_numpy(float).reshape(len(cells), -1)
+    blocks = -(-cells.n.to_numpy() // BLOCK)
+    table = spark.sparkContext.broadcast((cells.cell.to_numpy(), reach("low"), reach("high"), cells.norm2.to_numpy(float), blocks))
+    per_cell = np.ones(PIVOTS * ANNULI, np.int64)
+    per_cell[cells.cell.to_numpy()] = blocks
+    sub = F.pmod(F.xxhash64("row"), F.element_at(F.array(*[F.lit(int(b)) for b in per_cell]), F.col("cell") + 1)).cast("int")
+
+    def asked(start: int, end: int):
+        def run(batches):
+            """A query's rows for each block of the annuli that come next and whose bound reaches its floor."""
+            pivots, _ = share.value
+            cell, low, high, norm2, n_blocks = table.value
+            for batch in batches:
+                for a in range(0, batch.num_rows, 512):
+                    part = batch.slice(a, 512)
+                    q = unpack(part.column("x"))
+                    floor = np.array([-np.inf if f is None else f for f in part.column("floor").to_pylist()])
+                    to, q2 = _distances(q, pivots), (q**2).sum(1)
+                    gap = np.zeros((len(q), len(cell)))
+                    for j in range(len(pivots)):
+                        gap = np.maximum(gap, np.maximum(to[:, j, None] - high[None, :, j], low[None, :, j] - to[:, j, None]))
+                    bound = (q2[:, None] + norm2[None, :] - gap**2) / 2
+                    bound += 1e-6 * (1 + np.abs(bound))
+                    order = np.argsort(-bound, axis=1, kind="stable")[:, start:end]
+                    i, c = np.nonzero(np.take_along_axis(bound, order, 1) >= floor[:, None])
+                    c = order[i, c]
+                    reps = n_blocks[c]
+                    i, c = np.repeat(i, reps), np.repeat(c, reps)
+                    block = np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
+                    for b in range(0, len(i), 20_000):
+                        s = slice(b, b + 20_000)
+                        at = pa.array(i[s])
+                        yield pa.RecordBatch.from_arrays([pa.array(cell[c[s]].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(np.ones(len(at), np.int32)), part.column("row").take(at), part.column("id").take(at), part.column("floor").take(at), part.column("x").take(at)], ["cell", "sub", "side", "row", "id", "floor", "x"])
+
+        return run
+
+    kinds = "cell int, sub int, side int, row bigint, id bigint, floor bigint, x binary"
+
+    def match(batches):
+        """Blocks come first in their key and wait; the asking queries stream past."""
+        key, held, ready = None, [], None
+        for batch in batches:
+            cell, block, side = (batch.column(c).to_numpy() for c in ("cell", "sub", "side"))
+            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if key != (cell[a], block[a]):
+                    key, held, ready = (cell[a], block[a]), [], None
+                part = batch.slice(a, b - a)
+                if side[a] == 0:
+                    held.append(part)
+                    continue
+                if ready is None:
+                    ready = (np.concatenate([h.column("id").to_numpy() for h in held] or [np.zeros(0, np.int64)]), np.concatenate([unpack(h.column("x")) for h in held] or [np.zeros((0, dims))]))
+                ids, x = ready
+                if not len(ids):
+                    continue
+                for c in range(0, part.num_rows, 512):
+                    some = part.slice(c, 512)
+                    got = _best(some.column("id").to_numpy(), unpack(some.column("x")), ids, x, k)
+                    lens = [len(i) for i, _ in got]
+                    row, me = np.repeat(some.column("row").to_numpy(), lens), np.repeat(some.column("id").to_numpy(), lens)
+                    floor = np.repeat([-np.inf if f is None else f for f in some.column("floor").to_pylist()], lens)
+                    found, score = np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got])
+                    ok = score >= floor
+                    yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(me[ok]), pa.array(found[ok]), pa.array(score[ok].astype(np.int64))], ["row", "query_id", "id", "score"])
+
+    queries = index.where(F.col("id") % every == 0).select("row", "id", "x")
+    n_queries = queries.count()
+    best, start, opened = None, 0, 0
+    for end in ROUNDS:
+        if best is None:
+            now = queries.withColumn("floor", F.lit(None).cast("long"))
+        else:
+            floor = best.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+            now = queries.join(floor, "row", "left")
+        asks = cut(now.mapInArrow(asked(start, end), kinds), "topk-asks")
+        wanted = [r.cell for r in asks.select("cell").distinct().collect()]  # at most PIVOTS * ANNULI
+        if not wanted:
+            drop(asks)
+            break
+        opened += asks.where("sub = 0").count()
+        data = index.where(F.col("cell").isin(wanted)).select("cell", sub.alias("sub"), F.lit(0).alias("side"), "row", "id", F.lit(None).cast("long").alias("floor"), "x")
+        found = data.unionByName(asks).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side").mapInArrow(match, "row bigint, query_id bigint, id bigint, score bigint")
+        found = found if best is None else found.unionByName(best)
+        rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id"))
+        new = cut(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "topk-best")
+        drop(asks, *([best] if best is not None else []))
+        best, start = new, end
+    drop(index)
+    # rows of one id are one query
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    if best is None:
+        return spark.createDataFrame([], schema), 0.0
+    out = best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
+    return out, opened / max(1, n_queries * len(cells))
 
 
 #: The same result of the embeddings table in DuckDB.

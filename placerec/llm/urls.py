@@ -24,13 +24,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from placerec.llm.shared import cut
+from placerec.llm.shared import cut, drop
 
 #: (verdict, host, path prefix).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 BUCKETS = 1 << 16
-#: The size of the unigram model: the most frequent words of 2 to 20 letters, of counts over all pages.
-MODEL_WORDS, LONGEST = 50_000, 20
+#: The unigram model holds the words of 2 to so many letters of all pages.
+LONGEST = 20
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,18 +49,21 @@ def judged(host: Column, path: Column, rules) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def unigrams(pages: DataFrame, html_col: str = "html", most: int = MODEL_WORDS) -> dict[str, int]:
-    """Counts over all pages of the words of their visible text."""
+def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
+    """(w, n): counts over all pages of the words of 2 to 20 letters of their visible text."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
-    return {r.w: r.n for r in words.groupBy("w").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "w").limit(most).collect()}
+    return words.groupBy("w").agg(F.count("*").alias("n"))
 
 
 class Segmenter:
-    """The likeliest split of a run of letters into words; an unknown word costs by its length."""
+    """The likeliest split of a run of letters into words; an unknown word costs by its length.
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    ``counts`` needs to hold the words within the run only; ``total`` is that of all words.
+    """
+
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: math.log(total / n) for w, n in counts.items()}
         self.unknown = [math.log(total) + 2.3 * n for n in range(LONGEST + 1)]
         self.known: dict[str, list[str]] = {}
@@ -84,29 +87,61 @@ class Segmenter:
         return got
 
 
-def features(host: str, path: str, segment: Segmenter) -> list[int]:
-    out = [f"h:{w}" for part in re.findall(r"[a-z]+|[^a-z.\-]+", host) for w in (segment(part) if part[0] in LOW else [part])]
-    out += [f"p:{w}" if not w.isdigit() else f"p:#{len(w)}{w[0]}" for w in re.findall(r"\w+", path)]
-    return [zlib.crc32(x.encode()) % BUCKETS for x in out]
+def _bucket(feature: str) -> int:
+    return zlib.crc32(feature.encode()) % BUCKETS
+
+
+def host_features(host: str, counts: dict[str, int], total: int) -> list[int]:
+    """Buckets of a host's segmented words."""
+    segment = Segmenter(counts, total)
+    return [_bucket(f"h:{w}") for part in re.findall(r"[a-z]+|[^a-z.\-]+", host) for w in (segment(part) if part[0] in LOW else [part])]
+
+
+def path_features(path: str) -> list[int]:
+    return [_bucket(f"p:{w}" if not w.isdigit() else f"p:#{len(w)}{w[0]}") for w in re.findall(r"\w+", path)]
+
+
+def segmented_hosts(hosts: DataFrame, words: DataFrame, total: int) -> DataFrame:
+    """(host, at): the features of each distinct host.
+
+    A host meets the words that stand in it, by an equi-join on its runs' substrings of up to ``LONGEST`` letters:
+    the whole model is used, and none of it goes through the driver.
+    """
+    starts = lambda run: F.sequence(F.lit(1), F.length(run))
+    ends = lambda run, i: F.sequence(F.lit(2), F.greatest(F.lit(2), F.least(F.lit(LONGEST), F.length(run) - i + 1)))
+    runs = F.array_distinct(F.filter(F.split("host", "[^a-z]+"), lambda r: F.length(r) > 1))
+    # substrings past the end are shorter ones again
+    parts = hosts.select("host", F.explode(runs).alias("run")).select("host", "run", F.explode(starts(F.col("run"))).alias("i")).select("host", F.explode(F.transform(ends(F.col("run"), F.col("i")), lambda n: F.substring("run", F.col("i"), n))).alias("w")).distinct()
+    known = parts.join(words, "w").groupBy("host").agg(F.collect_list(F.struct("w", "n")).alias("known"))
+
+    def run(batches):
+        for batch in batches:
+            at = [host_features(h or "", {x["w"]: x["n"] for x in k or ()}, total) for h, k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(at, pa.list_(pa.int32()))], ["host", "at"])
+
+    return hosts.join(known, "host", "left").select("host", "known").mapInArrow(run, "host string, at array<int>")
 
 
 def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Per page: host, path, the rule that decides it, the verdict, and the log-odds of block."""
     spark = pages.sparkSession
-    counts = spark.sparkContext.broadcast(unigrams(pages, html_col))
     host, path = host_and_path(F.col(url_col))
     named = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = judged(F.col("host"), F.col("path"), rules)
     named = named.withColumns({"rule": rule, "said": verdict})
+    words = cut(unigrams(pages, html_col), "words")
+    total = words.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    hosts = cut(segmented_hosts(named.select("host").distinct(), words, total), "hosts")
+    drop(words)
 
-    def segmented(batches):
-        segment = Segmenter(counts.value)
+    def with_path(batches):
         for batch in batches:
-            at = [features(h, p, segment) for h, p in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.list_(pa.int32()))], [*batch.schema.names, "at"])
+            at = [[*(h or ()), *path_features(p)] for h, p in zip(batch.column("at").to_pylist(), batch.column("path").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "host", "path", "rule", "said")), pa.array(at, pa.list_(pa.int32()))], ["id", "host", "path", "rule", "said", "at"])
 
-    schema = T.StructType(list(named.schema))
-    rows = cut(named.mapInArrow(segmented, schema.add("at", T.ArrayType(T.IntegerType()))), "urls")
+    schema = T.StructType([*named.schema, T.StructField("at", T.ArrayType(T.IntegerType()))])
+    rows = cut(named.join(hosts, "host", "left").select("id", "host", "path", "rule", "said", "at").mapInArrow(with_path, schema), "urls")
+    drop(hosts)
     taught = rows.where(F.col("said").isNotNull())
     n = {r.said: r.n for r in taught.groupBy("said").agg(F.count("*").alias("n")).collect()}
     block, allow = np.zeros(BUCKETS), np.zeros(BUCKETS)

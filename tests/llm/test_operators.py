@@ -273,6 +273,16 @@ def test_media_digests(odd, nothing):
     )
     assert sorted((r.doc_id or 0, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == want
     same = {r.feature for r in rows if r.doc_id == 4}
+    # the feature by plain loops over what a decoder hears
+    b = b"x" + bytes(63)
+    mu, al = telephony.EXPAND[telephony.MULAW][list(b)].astype(int), telephony.EXPAND[telephony.ALAW][list(b)].astype(int)
+    ima = telephony.decode(telephony.IMA, b).astype(int)
+    heard = [v for i, s in enumerate(mu.tolist()) for v in (s, s + (mu.tolist()[min(i + 1, 63)] - s) // 2)]
+    cross = sum((p < 0) != (q < 0) for p, q in zip(mu[1:], mu[:-1]))
+    assert same == {f"mulaw={(mu**2).sum() // 64};alaw={(al**2).sum() // 64};ima={(ima**2).sum() // len(ima)};cross={cross};pcm16k={zlib.crc32(np.array(heard, '<i2').tobytes()):08x}"}
+    media = telephony.wav(b)
+    r = next(r for r in rows if r.doc_id == 4)
+    assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
     assert len(same) == 1 and telephony.media_digests(nothing).count() == 0
 
 
@@ -306,6 +316,21 @@ def test_topk_equals_brute_force(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_topk_opens_few_annuli_of_clusters(spark):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(32, 16))
+    x = (centres[rng.integers(0, 32, 3000)] + rng.normal(size=(3000, 16)) * 0.02).astype(np.float32)
+    out, opened = topk.search(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    q = np.floor(256.0 * x.astype(float))
+    want = [(i, r + 1, j, int(s)) for i in range(0, 3000, 50) for r, (s, j) in enumerate(sorted(((-(q[i] @ q[j]), j) for j in range(3000) if j != i))[:5]) for s in [-s]]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want) and opened < 0.2
+
+
+def test_topk_repeated_ids(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.25])], "vec_id long, embedding array<float>")
+    assert [tuple(r) for r in topk.top_k(df, k=2).orderBy("rank").collect()] == [(0, 1, 1, 128 * 256), (0, 2, 2, 64 * 256)]
+
+
 def test_topk_few_and_none(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df).collect()] == [(0, 1, 1, 256 * 128)]
@@ -373,6 +398,9 @@ def test_license_templates_and_odd_rows(spark, odd, nothing):
     rows = [(1, text, "a"), (2, "This work is licensed under the GNU General Public License, version 3.", "a"), (3, "granted permission free charge", "a")]
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert (got[1].labels, got[2].labels, got[3].labels) == ("mit", "gpl", "") and got[1].base_labels == ""
+    rows = [(i, prose(20) + " " + wording + " " + prose(20), "a") for i, (_, wording, _) in enumerate(licenses.TEMPLATES)] + [(99, licenses.TEMPLATES[0][1].replace("granted", "given"), "a")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert all(label in got[i].labels.split(",") and got[i].score > 0.99 for i, (label, _, _) in enumerate(licenses.TEMPLATES)) and got[99].labels == ""
     out = licenses.scan(odd).collect()
     assert len(out) == len(ODD) and all(r.labels == "" and r.score == 0 for r in out)
     assert licenses.scan(nothing).count() == 0
@@ -392,6 +420,56 @@ def test_url_rules_and_method(spark):
     assert urls.judge(df.limit(0)).count() == 0
 
 
+def test_url_method_equals_brute_force(spark):
+    """Segmentation over the whole model, counts, odds and verdicts by plain loops; odd, very long and repeated urls."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(4)
+    words = ["spam", "farm", "news", "shop", "cheap", "daily", "best", "the"]
+    rows = []
+    for i in range(300):
+        host = "".join(rng.choice(words) for _ in range(rng.randint(1, 3))) + rng.choice([".com", ".net", ".org", "-9.info"])
+        rows.append((i, f"http://{host}/{rng.choice(['en', 'de', 'es', 'zz'])}/{rng.randrange(9)}{rng.choice(words)}", "<p>" + " ".join(rng.choice(words) for _ in range(9)) + "</p>"))
+    rows += [(300, "http://" + "spamnews" * 2000 + ".com/" + "x/" * 5000, None), (301, None, "<b>tie</b>"), (302, "none", ""), *[(303, "http://newsshop.info/zz/1best", "spam") for _ in range(3)]]
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    counts = Counter(w for _, _, h in rows for w in re.split("[^a-z]+", re.sub("<[^>]*>", " ", (h or "").lower())) if 2 <= len(w) <= 20)
+    segment = urls.Segmenter(dict(counts))
+
+    def split(url):
+        rest = url.split("://", 1)[1] if url and "://" in url else ""
+        host = re.match("[^/?#]*", rest)[0]
+        return host.lower(), re.match("[^?#]*", rest[len(host) :])[0]
+
+    def feats(host, path):
+        out = [f"h:{w}" for part in re.findall(r"[a-z]+|[^a-z.\-]+", host) for w in (segment(part) if part[0].isalpha() else [part])]
+        out += [f"p:{w}" if not w.isdigit() else f"p:#{len(w)}{w[0]}" for w in re.findall(r"\w+", path)]
+        return [zlib.crc32(x.encode()) % urls.BUCKETS for x in out]
+
+    def rule(host, path):
+        fits = [(len(h) + len(p), h + p, v) for v, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    seen = {"block": Counter(), "allow": Counter()}
+    n = Counter()
+    for _, u, _ in rows:
+        if v := rule(*split(u))[1]:
+            n[v] += 1
+            seen[v].update(feats(*split(u)))
+    total = {v: sum(seen[v].values()) + urls.BUCKETS for v in seen}
+    odds = lambda b: math.log((seen["block"][b] + 1) / total["block"]) - math.log((seen["allow"][b] + 1) / total["allow"])
+    want = {}
+    for i, u, _ in rows:
+        h, p = split(u)
+        score = math.log((n["block"] + 1) / (n["allow"] + 1)) + sum(odds(b) for b in feats(h, p))
+        want[i] = (h, p, rule(h, p)[0], rule(h, p)[1] or ("block" if score > 0 else "allow"), score)
+    assert len(got) == len(rows) and min(n["block"], n["allow"]) > 5
+    for r in got:
+        assert (r.host, r.path, r.rule, r.verdict) == want[r.page_id][:4] and r.log_odds == pytest.approx(want[r.page_id][4], abs=1e-6)
+    one = urls.judge(spark.createDataFrame([(1, "http://a.com/en/", ""), (2, "http://b.info/", "")], "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.verdict for r in one} == {1: "block", 2: "block"}  # one class only: it is followed
+
+
 def test_segmenter_splits_names():
     s = urls.Segmenter({"spam": 50, "farm": 40, "spa": 5, "mfarm": 1})
     assert s("spamfarm") == ["spam", "farm"] and s("") == []
