@@ -263,6 +263,15 @@ def test_wav_round_trip(codec):
         telephony.unwav(telephony.wav(data, codec)[:-5])
 
 
+def test_lifting_is_lossless():
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 2, 3, 64, 1001):
+        x = rng.integers(-32768, 32768, n).astype(np.int16)
+        assert np.array_equal(telephony.unlift(telephony.lift(x)), x)
+    twice = telephony.resample(rng.integers(-32768, 32768, 500).astype(np.int16), 8000, 16000)
+    assert not any(telephony.lift(twice)[1000:])
+
+
 def test_media_digests(odd, nothing):
     rows = telephony.media_digests(odd).collect()
     want = sorted(
