@@ -102,3 +102,15 @@ def select_weight(rows: DataFrame, weight: str, r1: str, r5: str) -> DataFrame:
     """The weight of the greatest mean recall at 1, then at 5, then the first."""
     m = rows.groupBy(weight).agg(F.round(F.avg(r1), 9).alias("r1"), F.round(F.avg(r5), 9).alias("r5"))
     return m.agg(F.max_by(F.struct(weight, "r1", "r5"), F.struct("r1", "r5", (-F.col(weight)).alias("f"))).alias("b")).select("b.*")
+
+
+def gate(rows: DataFrame, expected: DataFrame, key: str, columns: list[str], tolerance: float = 1e-9) -> DataFrame:
+    """``rows`` if they hold the recorded figures; a missing key or a figure beyond the tolerance is an error."""
+    from placerec.operators.relational import assert_none
+
+    e = expected.select(F.col(key).alias("_k"), *[F.col(c).alias(f"_{c}") for c in columns])
+    off = F.lit(False)
+    for c in columns:
+        off |= ~F.coalesce(F.abs(F.col(c) - F.col(f"_{c}")) <= tolerance * F.greatest(F.lit(1.0), F.abs(f"_{c}")), F.col(c).isNull() & F.col(f"_{c}").isNull())
+    assert_none(rows.join(e, F.col(key) == F.col("_k"), "full_outer").where(F.col(key).isNull() | F.col("_k").isNull() | off), "figures differ from the recorded ones")
+    return rows

@@ -151,6 +151,47 @@ def retrieve(query_cells: DataFrame, map_cells: DataFrame, cfg: DescriptorConfig
     return rank(best).withColumn("yaw_shift", F.col("shift") * (TAU / cfg.sectors))
 
 
+#: The columns of a candidate file, fixed names of the format.
+CANDIDATE_COLUMNS = [
+    "query_index", "query_stamp", "query_x", "query_y", "query_z", "query_roll", "query_pitch", "query_yaw", "query_canonical_yaw",
+    "candidate_rank", "candidate_index", "candidate_stamp", "candidate_x", "candidate_y", "candidate_z", "candidate_roll", "candidate_pitch", "candidate_yaw", "candidate_canonical_yaw",
+    "distance", "sector_shift", "yaw_shift_rad", "coarse_vertical_shift", "vertical_shift", "retrieval_ms",
+]
+
+
+def retrieve_full(query_entries: DataFrame, map_entries: DataFrame, query_cells: DataFrame, map_cells: DataFrame, cfg: DescriptorConfig, threshold: float | None = None) -> DataFrame:
+    """Whole candidates: ``CANDIDATE_COLUMNS`` and ``yaw_matches``, an array of (distance, shift, vertical_shift).
+
+    Entries are (scan_id, stamp, x, y, z, roll, pitch, yaw, canonical_yaw). Jointly absent upper layers are left out where
+    the map's surroundings show none; heights are estimated for every yaw match after the ranking and never change it.
+    ``retrieval_ms`` is null: a distributed plan has no time of its own for a query.
+    """
+    from placerec.functions.geom import TAU
+    from placerec.operators import descriptor as D
+    from placerec.operators import vertical as V
+
+    flags = map_entries.select("scan_id", "x", "y").join(D.observation_flags(map_cells).select("scan_id", "has_upper"), "scan_id")
+    omittable = D.absent_upper_flags(flags, cfg) if cfg.dual_layer else None
+    pairs = ring_shortlist(D.ring_keys(query_cells, cfg), D.ring_keys(map_cells, cfg), cfg.shortlist).select("query_id", "map_id")
+    pairs = coarse_yaw(pairs, D.sector_keys(query_cells, cfg), D.sector_keys(map_cells, cfg), cfg.sectors)
+    scored = exact_distances(turns_near(pairs, cfg.sectors, cfg.search_radius).drop("coarse"), query_cells, map_cells, cfg, omittable)
+    hyps = yaw_hypotheses(scored, cfg).select("query_id", "map_id", F.posexplode("hyps").alias("n", "h")).select("query_id", "map_id", "n", "h.distance", "h.shift")
+    if cfg.dual_layer and cfg.vertical_estimation:
+        res = V.residuals(hyps, query_cells, map_cells, D.boundary_mask(query_cells, cfg), D.boundary_mask(map_cells, cfg), cfg)
+        hyps = hyps.join(V.vertical_shift(res, cfg, hyps), ["query_id", "map_id", "shift"])
+    else:
+        hyps = hyps.withColumn("dz", F.lit(0.0))
+    best = hyps.groupBy("query_id", "map_id").agg(F.sort_array(F.collect_list(F.struct("n", "distance", "shift", F.col("dz").alias("vertical_shift")))).alias("all"))
+    first = F.element_at("all", 1)
+    best = best.select("query_id", "map_id", F.transform("all", lambda h: F.struct(h["distance"].alias("distance"), h["shift"].alias("shift"), h["vertical_shift"].alias("vertical_shift"))).alias("yaw_matches"), first["distance"].alias("distance"), first["shift"].alias("shift"), first["vertical_shift"].alias("dz"))
+    best = rank(best if threshold is None else best.where(F.col("distance") <= threshold))
+    names = ("stamp", "x", "y", "z", "roll", "pitch", "yaw", "canonical_yaw")
+    side = lambda e, key, tag: e.select(F.col("scan_id").alias(key), *[F.col(c).alias(f"{tag}_{c}") for c in names])
+    out = best.join(side(query_entries, "query_id", "query"), "query_id").join(side(map_entries, "map_id", "candidate"), "map_id")
+    out = out.withColumns({"query_index": F.col("query_id"), "candidate_index": F.col("map_id"), "candidate_rank": F.col("rank"), "sector_shift": F.col("shift"), "yaw_shift_rad": F.col("shift") * (TAU / cfg.sectors), "coarse_vertical_shift": F.col("dz"), "vertical_shift": F.col("dz"), "retrieval_ms": F.lit(None).cast("double")})
+    return out.select(*CANDIDATE_COLUMNS, "yaw_matches")
+
+
 def context_distances(turned: DataFrame, q: DataFrame, m: DataFrame, sectors: int) -> DataFrame:
     """Mean column cosine distance of max-height contexts over columns with cells on both sides; 1 without any."""
     norm = lambda c, key, name: c.groupBy(F.col("scan_id").alias(key), "sector").agg(F.sum(F.col("h") * F.col("h")).alias(name)).where(F.col(name) > 0)

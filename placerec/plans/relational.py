@@ -90,3 +90,46 @@ def time_split(spark, d):
 def topic_index_scan(spark, d):
     e = M.table(spark, d, "events").where("event_type = 'click'")
     return e.orderBy("ts", "event_id").select("event_id", "user_id")
+
+
+@query("SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type = 'view'")
+def results_csv(spark, d):
+    """Per-query rows written as CSV and read back for one algorithm."""
+    from placerec.sources import tables as S
+    from placerec.streaming.online import shared_dir
+
+    at = shared_dir(spark)
+    e = M.table(spark, d, "events")
+    S.write_results(e.select(F.col("event_type").alias("algorithm"), "event_id", "user_id", "value"), at)
+    return rounded(S.read_results(spark, at, "algorithm string, event_id bigint, user_id bigint, value double", "view").drop("algorithm"))
+
+
+@query("""SELECT l_suppkey AS scan_id, count(*) AS n, round(sum((l_quantity - 25.3::DOUBLE)::FLOAT::DOUBLE), 3) AS x, round(max((l_discount * 40::DOUBLE + l_tax * 12.5::DOUBLE)::FLOAT::DOUBLE), 5) AS z FROM lineitem
+WHERE sqrt((l_quantity - 25.3::DOUBLE)**2 + (l_extendedprice / 2000::DOUBLE - 26.03::DOUBLE)**2 + (l_discount * 40::DOUBLE + l_tax * 12.5::DOUBLE)**2) BETWEEN 0.3::DOUBLE AND 80::DOUBLE GROUP BY 1""")
+def cloud_decode(spark, d):
+    """Scans packed as point buffers with gaps between the fields, decoded again."""
+    from placerec.sources import tables as S
+
+    def pack(pdf):
+        import numpy as np
+        import pandas as pd
+
+        kind = np.dtype({"names": ["x", "y", "z", "intensity"], "formats": ["<f4"] * 4, "offsets": [0, 4, 8, 16], "itemsize": 32})
+        a = np.zeros(len(pdf), kind)
+        for c in "xyz":
+            a[c] = pdf[c]
+        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "data": [a.tobytes()], "width": [len(pdf)], "height": [1], "point_step": [32], "row_step": [32 * len(pdf)]})
+
+    packed = M.points(spark, d).select("scan_id", "x", "y", "z").groupBy("scan_id").applyInPandas(pack, "scan_id bigint, data binary, width int, height int, point_step int, row_step int")
+    p = S.decode_clouds(packed, {"x": (0, 7), "y": (4, 7), "z": (8, 7), "intensity": (16, 7)})
+    return rounded(p.groupBy("scan_id").agg(F.count("*").alias("n"), F.sum("x").alias("x"), F.max("z").alias("z")), 3, z=5)
+
+
+@query("SELECT event_type AS method, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY 1")
+def regression_gate(spark, d):
+    """Figures by method held against the same figures by another path."""
+    from placerec.operators import evaluate as E
+
+    e = M.table(spark, d, "events")
+    again = e.groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("s")).groupBy(F.col("event_type").alias("method")).agg(F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("mean"))
+    return rounded(E.gate(e.groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("n"), F.avg("value").alias("mean")), again, "method", ["n", "mean"]))

@@ -80,10 +80,20 @@ def exact_distance(spark, d):
     return rounded(scored(spark, d))
 
 
-@query(f"""WITH {KEYS}, {TURNED}, {LAYERS}, {DIST}, o AS (SELECT query_id, map_id, shift, round(distance, 9) AS distance, row_number() OVER (PARTITION BY query_id, map_id ORDER BY round(distance, 9), shift) AS r FROM dist)
-SELECT query_id, map_id, rank::INTEGER AS rank, shift, round(distance, 6) AS distance FROM (SELECT query_id, map_id, shift, distance, r AS rank FROM o) WHERE rank <= 3""")
+_GAP = "least((a.shift - b.shift + 12) % 12, (b.shift - a.shift + 12) % 12) > 1"
+_PICK = "SELECT query_id, map_id, min(struct_pack(distance := distance, shift := shift)) AS h FROM {} GROUP BY 1, 2"
+#: Nine turns a pair: the best, the best a gap from it, the best a gap from both, then any others until there are three.
+WIDE = f"""{KEYS}, {TURNED.replace('range(-1, 2)', 'range(-4, 5)')}, {LAYERS}, {DIST}, o AS (SELECT query_id, map_id, shift, round(distance, 9) AS distance FROM dist WHERE distance IS NOT NULL),
+p1 AS (SELECT query_id, map_id, h.distance AS distance, h.shift AS shift FROM ({_PICK.format('o')})),
+o2 AS (SELECT a.* FROM o a JOIN p1 b USING (query_id, map_id) WHERE {_GAP}), p2 AS (SELECT query_id, map_id, h.distance AS distance, h.shift AS shift FROM ({_PICK.format('o2')})),
+o3 AS (SELECT a.* FROM o2 a JOIN p2 b USING (query_id, map_id) WHERE {_GAP}), p3 AS (SELECT query_id, map_id, h.distance AS distance, h.shift AS shift FROM ({_PICK.format('o3')})),
+apart AS (SELECT *, 0 AS late FROM (FROM p1 UNION ALL FROM p2 UNION ALL FROM p3)), filled AS (FROM apart UNION ALL SELECT query_id, map_id, distance, shift, 1 AS late FROM o ANTI JOIN apart USING (query_id, map_id, shift)),
+chosen AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, map_id ORDER BY late, distance, shift) AS k FROM filled) WHERE k <= 3)"""
+
+
+@query(f"WITH {WIDE} SELECT query_id, map_id, row_number() OVER (PARTITION BY query_id, map_id ORDER BY distance, shift)::INTEGER AS rank, shift, round(distance, 6) AS distance FROM chosen")
 def yaw_nms(spark, d):
-    h = R.yaw_hypotheses(scored(spark, d), CFG).select("query_id", "map_id", F.posexplode("hyps").alias("rank", "h"))
+    h = R.yaw_hypotheses(scored(spark, d, CFG.with_(search_ratio=0.34)), CFG).select("query_id", "map_id", F.posexplode("hyps").alias("rank", "h"))
     return rounded(h.select("query_id", "map_id", (F.col("rank") + 1).alias("rank"), "h.shift", "h.distance"))
 
 
@@ -264,3 +274,70 @@ def ringpp_topk(spark, d):
     pairs = v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")).crossJoin(v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b")))
     s = N.ringpp_scores(pairs, 24).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "map_id")))
     return rounded(s.where("rank <= 5"), 4)
+
+
+def entries(spark, d):
+    """Poses with all their angles, as map and query entries hold them."""
+    p = M.poses(spark, d)
+    return p.select("scan_id", "stamp", "x", "y", "z", (F.col("scan_id") % 8 * 0.01).alias("roll"), (F.col("scan_id") % 9 * 0.01).alias("pitch"), "yaw", (F.col("yaw") * 0.5).alias("canonical_yaw"))
+
+
+#: Some of the map has no upper layer, so that the flags of absent upper layers act.
+_THIN = "scan_id % 4 = 0 OR layer = 0 OR scan_id % 2 = 1"
+
+
+@query()
+def retrieve_full(spark, d):
+    """All columns of a candidate file and the yaw matches, on a grid of 16 x 60 with the method's own offsets and bounds."""
+    cfg = CFG.with_(rings=16, sectors=60, height_offset=0.1, min_joint_rings=2, boundary_margin=0.1, vertical_min=-1.5, vertical_max=1.5, vertical_estimation=True, search_ratio=0.05)
+    q, m = sides(spark, d, cfg)
+    e = entries(spark, d)
+    out = R.retrieve_full(e.where("scan_id % 2 = 1"), e.where("scan_id % 2 = 0"), q, m.where(_THIN), cfg)
+    return rounded(out.withColumn("yaw_matches", F.transform("yaw_matches", lambda h: F.struct(F.round(h["distance"], 6).alias("distance"), h["shift"].alias("shift"), F.round(h["vertical_shift"], 6).alias("vertical_shift")))))
+
+
+_SH = f"""{M.POINTS}, sh AS (SELECT scan_id, least(greatest(ceil((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 12) - 1, 0), 11)::INTEGER AS s, max(z) AS h FROM points GROUP BY 1, 2),
+sv AS (SELECT i.scan_id, r.s::INTEGER AS s, coalesce(h, 0) AS h FROM (SELECT DISTINCT scan_id FROM sh) i CROSS JOIN range(12) r(s) LEFT JOIN sh ON sh.scan_id = i.scan_id AND sh.s = r.s)"""
+
+
+def _plugin_sql(turns: str) -> str:
+    return f"""WITH {_SH}, t AS (SELECT q.scan_id AS query_id, m.scan_id AS map_id, t.k, round(sqrt(sum((q.h - m.h) * (q.h - m.h))), 9) AS d FROM sv q, sv m, {turns} t(k) WHERE q.scan_id % 2 = 1 AND m.scan_id % 2 = 0 AND q.s = (m.s + t.k) % 12 GROUP BY 1, 2, 3),
+    b AS (SELECT query_id, map_id, min(d) AS distance FROM t GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, map_id)::INTEGER AS rank FROM b)
+    SELECT query_id, map_id, rank, round(distance, 6) AS distance FROM r WHERE rank <= 5"""
+
+
+def _plugin(spark, d, name):
+    from placerec.operators import plugins as X
+
+    p = M.points(spark, d)
+    return rounded(X.retrieve_with(name, p.where("scan_id % 2 = 1"), p.where("scan_id % 2 = 0"), 5))
+
+
+@query(_plugin_sql("(VALUES (0))"))
+def plugin_descriptor(spark, d):
+    return _plugin(spark, d, "sector-heights")
+
+
+@query(_plugin_sql("range(12)"))
+def plugin_exhaustive_yaw(spark, d):
+    return _plugin(spark, d, "sector-heights-any-yaw")
+
+
+@query(f"WITH {M.DESCRIPTORS} SELECT vec_id, round(list_sum(list_transform(v[1:32], lambda x: 3 * x + 1)), 6) AS head, round(list_sum(list_transform(v[33:64], lambda x: 3 * x + 1)), 6) AS tail FROM descriptors")
+def external_model(spark, d):
+    """A model that is handed in as a function of a batch of vectors: here a linear map to two values."""
+    from placerec.operators import plugins as X
+
+    v = M.descriptors(spark, d).select(F.col("vec_id").alias("scan_id"), "v")
+    out = X.apply_model(v, lambda x: (3 * x + 1).reshape(len(x), 2, -1).sum(2))
+    return rounded(out.select(F.col("scan_id").alias("vec_id"), F.element_at("v", 1).alias("head"), F.element_at("v", 2).alias("tail")))
+
+
+@query(f"""WITH {M.DESCRIPTORS}, p AS (SELECT q.vec_id AS q_id, m.vec_id, round({_SQ}, 9) AS distance, row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_SQ.replace('q.v', 'q.v[1:8]').replace('m.v', 'm.v[1:8]')}, 9), m.vec_id) AS k FROM descriptors q JOIN descriptors m ON q.vec_id % 10 = 0 AND m.vec_id % 10 <> 0)
+SELECT q_id, vec_id, row_number() OVER (PARTITION BY q_id ORDER BY distance, vec_id)::INTEGER AS rank, round(distance, 6) AS distance FROM p WHERE k <= 20""")
+def two_stage_topk(spark, d):
+    from placerec.operators import plugins as X
+
+    q, m = _vectors(spark, d)
+    q, m = q.withColumn("ka", F.slice("a", 1, 8)), m.withColumn("kb", F.slice("b", 1, 8))
+    return rounded(X.two_stage(q, m, ("ka", "kb"), R.squared_l2("a", "b"), 20, "q_id", "vec_id").select("q_id", "vec_id", "rank", "distance"))

@@ -149,3 +149,58 @@ def build_missing(spark: SparkSession, wanted: DataFrame, path: str, build, key:
     if have is None or not todo.isEmpty():
         build(todo).write.mode("append").parquet(path)
     return spark.read.parquet(path)
+
+
+#: Datatypes of point fields, fixed values of the message format: number to NumPy type.
+POINT_TYPES = {1: "i1", 2: "u1", 3: "<i2", 4: "<u2", 5: "<i4", 6: "<u4", 7: "<f4", 8: "<f8"}
+
+
+def decode_clouds(clouds: DataFrame, fields: dict[str, tuple[int, int]], low: float = 0.3, high: float = 80.0) -> DataFrame:
+    """(scan_id, ord, x, y, z, intensity) of packed point buffers, finite and ``low`` to ``high`` from the sensor.
+
+    Input: (scan_id, data, width, height, point_step, row_step); ``fields`` has the offset and datatype number of each name.
+    A missing field, another datatype or a buffer that is too short is an error.
+    """
+    import numpy as np
+    import pyarrow as pa
+
+    names = ("x", "y", "z", "intensity")
+    if lack := [n for n in names if n not in fields or fields[n][1] not in POINT_TYPES]:
+        raise ValueError(f"fields are missing or of an unknown type: {lack}")
+
+    def run(batches):
+        for batch in batches:
+            for scan, data, width, height, step, row in zip(*(batch.column(c).to_pylist() for c in ("scan_id", "data", "width", "height", "point_step", "row_step")), strict=True):
+                kind = np.dtype({"names": names, "formats": [POINT_TYPES[fields[n][1]] for n in names], "offsets": [fields[n][0] for n in names], "itemsize": step})
+                p = np.ndarray((height, width), kind, data, 0, (row, step)).ravel()
+                v = np.stack([p[n].astype(np.float32) for n in names], 1)
+                r = np.sqrt((v[:, :3] ** 2).sum(1))
+                at = np.flatnonzero(np.isfinite(v[:, :3]).all(1) & (r >= low) & (r <= high))
+                yield pa.RecordBatch.from_arrays([pa.array([scan] * len(at), pa.int64()), pa.array(at), *(pa.array(v[at, i].astype(np.float64)) for i in range(4))], ["scan_id", "ord", *names])
+
+    part = clouds.select(F.col("scan_id").cast("long").alias("scan_id"), "data", "width", "height", "point_step", "row_step")
+    return part.mapInArrow(run, "scan_id bigint, ord bigint, x double, y double, z double, intensity double")
+
+
+def write_results(rows: DataFrame, path: str) -> None:
+    """Per-query or summary rows as CSV with a header."""
+    rows.write.mode("overwrite").csv(path, header=True)
+
+
+def read_results(spark: SparkSession, path: str, schema: str, algorithm: str | None = None) -> DataFrame:
+    """Rows of a results file, of one algorithm if wanted; none at all is an error."""
+    rows = spark.read.csv(path, header=True, schema=schema)
+    rows = rows if algorithm is None else rows.where(F.col("algorithm") == algorithm)
+    if rows.isEmpty():
+        raise ValueError(f"no rows{'' if algorithm is None else ' of ' + algorithm} in {path}")
+    return rows
+
+
+def settings(environment: dict[str, str], defaults: dict) -> dict:
+    """Defaults with what the environment overrides, by the defaults' types; empty values count as absent."""
+    out = dict(defaults)
+    for name, value in defaults.items():
+        raw = environment.get(name, "")
+        if raw:
+            out[name] = raw.strip().lower() in ("1", "true", "yes") if isinstance(value, bool) else type(value)(raw)
+    return out

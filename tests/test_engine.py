@@ -445,3 +445,44 @@ def test_topic_index_scan_returns_every_click_in_order(spark, tmp_path):
     events.selectExpr("event_id", "user_id", "event_type", "timestamp_seconds(s) AS ts").write.parquet(str(tmp_path / "events.parquet"))
     got = [tuple(r) for r in relational.topic_index_scan(spark, str(tmp_path)).collect()]
     assert got == [(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[3], r[0])) if r[2] == "click"]
+
+
+def test_joins_with_checks_raise(spark):
+    a = spark.createDataFrame([(0, 1.0), (1, 2.0)], "scan_id long, stamp double")
+    same = a.withColumnRenamed("scan_id", "submap_id")
+    assert T.truth_of_submaps(same, same.withColumn("t", F.lit(1))).count() == 2 and T.positional_join(a, a.select("scan_id"), a.select("scan_id")).count() == 2
+    for bad in (
+        lambda: T.truth_of_submaps(same, same.withColumn("stamp", F.col("stamp") + 1e-3)), lambda: T.truth_of_submaps(same, same.limit(1)),
+        lambda: T.truth_of_submaps(same, same.unionByName(same)), lambda: T.positional_join(a, a.limit(1).select("scan_id"), a.select("scan_id")),
+        lambda: T.checked_pairs(spark.createDataFrame([(1, 0.1), (1, 0.2)], "ref long, dt double"), "ref"), lambda: T.checked_pairs(spark.createDataFrame([(1, 9.0)], "ref long, dt double"), "ref", tolerance=1.0),
+    ):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_gate_results_and_settings(spark, tmp_path):
+    from placerec.sources import tables as S
+
+    a = spark.createDataFrame([("m", 0.5, None), ("k", 0.25, 1.0)], "method string, r double, s double")
+    assert E.gate(a, a, "method", ["r", "s"]).count() == 2
+    for other in (a.limit(1), a.withColumn("r", F.col("r") + 1e-3), a.fillna(2.0)):
+        with pytest.raises(ValueError):
+            E.gate(a, other, "method", ["r", "s"])
+    S.write_results(a.withColumnRenamed("method", "algorithm"), str(tmp_path / "r"))
+    kind = "algorithm string, r double, s double"
+    assert S.read_results(spark, str(tmp_path / "r"), kind, "m").first().r == 0.5
+    with pytest.raises(ValueError):
+        S.read_results(spark, str(tmp_path / "r"), kind, "absent")
+    assert S.settings({"A": "7", "B": "yes", "C": ""}, {"A": 1, "B": False, "C": 2.5}) == {"A": 7, "B": True, "C": 2.5}
+
+
+def test_full_candidates(spark):
+    """A scan turned by three sectors and lifted by 0.3 m finds itself, with its turn and its height."""
+    cells = D.envelope_cells(cloud(spark, {0: scene(3), 1: scene(4), 2: scene(5)}), CFG)
+    up = cells.select("scan_id", "layer", "ring", ((F.col("sector") + 3) % 12).cast("int").alias("sector"), (F.col("h") + 0.3 * (F.col("layer") * 0 + 1)).alias("h"))
+    e = spark.createDataFrame([(i, *map(float, range(8))) for i in range(3)], "scan_id long, stamp double, x double, y double, z double, roll double, pitch double, yaw double, canonical_yaw double")
+    cfg = CFG.with_(vertical_estimation=True, boundary_margin=-1.0)
+    out = R.retrieve_full(e, e, up, cells, cfg)
+    assert out.columns == [*R.CANDIDATE_COLUMNS, "yaw_matches"]
+    best = {r.query_index: r for r in out.where("candidate_rank = 1").collect()}
+    assert all(best[i].candidate_index == i and best[i].sector_shift == 3 and best[i].vertical_shift == pytest.approx(-0.3) and len(best[i].yaw_matches) == 3 for i in range(3))
