@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placerec.llm.shared import cut
+from placerec.llm.shared import cut, free
 
 WEIGHTS, CAP, SEED, LEAST_QUALITY, FAN = (5, 2, 1), 3.0, "mix", 0.5, 1024
 #: A word is a run of other bytes than these.
@@ -102,8 +102,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 def mixed(docs: DataFrame, **how) -> DataFrame:
     """The documents themselves, each as often as the mix takes it."""
-    out = mix(docs, keep=docs.columns, copies="__copies", **how).where(F.col("__copies") > 0)
-    return out.withColumn("__copies", F.explode(F.array_repeat(F.lit(1), F.col("__copies")))).drop("__copies")
+    name = free("copies", docs.columns)
+    out = mix(docs, keep=docs.columns, copies=name, **how).where(F.col(name) > 0)
+    return out.withColumn(name, F.explode(F.array_repeat(F.lit(1), F.col(name)))).drop(name)
 
 
 #: The same result of the documents table in DuckDB.

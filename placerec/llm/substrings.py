@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from placerec.llm import textkernel as K
-from placerec.llm.shared import cut, maybe_among
+from placerec.llm.shared import cut, free, maybe_among
 
 WINDOW, LEAST_WORDS = 16, 20
 #: (radius, apart, ahead) of :func:`_marks`, in words, and in characters where a text has no spaces.
@@ -174,6 +174,11 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return again.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
 
+def added_names(names: list[str]) -> list[str]:
+    """What :func:`dedup` calls its figures beside columns of these names."""
+    return [free(a, names) for a in ("removed_bytes", "removed_words", "removed_runs", "removed_chunks")]
+
+
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, the text without what documents with smaller ids hold, and what was taken out: bytes, words, runs, chunks."""
     again = cut(repeated_chunks(docs, id_col, text_col), "repeats")
@@ -229,5 +234,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fields = [T.StructField(f"c{k}", docs.schema[k].dataType) for k in range(len(names))]
     zeros = [F.lit(0).cast("long").alias(f"f{k}") for k in range(4)]
     done = clean.select("*", *zeros).unionByName(marked.mapInArrow(K.releasing(run), T.StructType([*fields, *(T.StructField(f"f{k}", T.LongType()) for k in range(4))])))
-    added = ["removed_bytes", "removed_words", "removed_runs", "removed_chunks"]
-    return done.toDF(*names, *[a if a not in names else f"{a}_" for a in added])
+    return done.toDF(*names, *added_names(names))

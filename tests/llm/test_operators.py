@@ -591,6 +591,51 @@ def test_substrings_odd_rows(odd, nothing):
 # --- 10 quality classifier
 
 
+def test_dual_descent_reaches_the_least_objective():
+    """The primal value equals the dual one, and no step of a plain subgradient solver finds a lower one."""
+    rng = np.random.default_rng(2)
+    x = [np.sort(rng.choice(40, 6, replace=False)).astype(np.int32) for _ in range(60)]
+    v = [(lambda a: a / np.linalg.norm(a))(rng.normal(size=6)) for _ in x]
+    y = np.array([1.0 if a[0] + rng.normal() * 3 > 4 else -1.0 for a in x])
+    cost = np.where(y > 0, 0.7, 0.4)
+    w, b = quality.dual_descent(x, v, y, cost, epochs=3000)
+    dense = np.zeros((60, 41))
+    for i, (a, u) in enumerate(zip(x, v)):
+        dense[i, a], dense[i, 40] = u, 1.0
+    value = lambda z: z @ z / 2 + cost @ np.maximum(0, 1 - y * (dense @ z))
+    got, z = value(np.append(w[:40], b)), np.zeros(41)
+    for t in range(1, 20_001):
+        z -= (z - (cost * y * (y * (dense @ z) < 1)) @ dense) / t
+        if t % 2000 == 0:
+            assert got <= value(z) + 5e-3
+    assert got == pytest.approx(value(z), rel=0.02) and not w[40:].any()
+
+
+def test_logistic_is_a_minimum():
+    rng = np.random.default_rng(3)
+    m = rng.normal(size=200) * 2
+    y, weight = (m + rng.normal(size=200) > 0.5).astype(float), rng.uniform(0.5, 2, 200)
+    a, c = quality._logistic(m, y, weight)
+    loss = lambda a, c: np.sum(weight * (np.logaddexp(0, a * m + c) - y * (a * m + c))) + 5e-4 * a * a
+    assert all(loss(a, c) <= loss(a + d, c + e) + 1e-9 for d in (-1e-3, 0, 1e-3) for e in (-1e-3, 0, 1e-3))
+
+
+def test_scores_equal_plain_sums(spark):
+    texts = ["good words here, twice twice", "BAD!!! 123", "", None, "x"]
+    rng = np.random.default_rng(4)
+    size = 1 << quality.BITS
+    model = quality.Model(rng.normal(size=size), rng.normal(size=size), 0.25, 1.5, -0.5)
+    import pyarrow as pa
+
+    at = [set(a[o[k] : o[k + 1]].tolist()) for _, _, a, o in quality.features(pa.array(texts)) for k in range(len(o) - 1)]
+    want = []
+    for f in at:
+        margin = sum(model.weights[k] for k in f) / max(sum(model.ratio2[k] for k in f), 1e-12) ** 0.5 + 0.25
+        want.append(1 / (1 + np.exp(-(1.5 * margin - 0.5))))
+    out = quality.score(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: pytest.approx(r.score, abs=1e-9) for r in out} == dict(enumerate(want))
+
+
 def test_classifier_learns_and_scores_everything(spark, odd, nothing):
     rng = random.Random(7)
     docs = [(i, prose(rng.randint(20, 60), rng) + "." if i % 4 else " ".join([rng.choice(VOCAB).upper() + "!!"] * rng.randint(10, 40)), "a") for i in range(600)]

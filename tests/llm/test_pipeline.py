@@ -70,3 +70,34 @@ def test_run_equals_the_stages(spark, folder):
     got = corpus_pipeline.run(spark, at).select("doc_id", "n_tokens", "ids_sha256").collect()
     want = spark.read.parquet(f"{at}/byte_bpe").select("doc_id", "n_tokens", "ids_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_stages_on_odd_rows(spark, tmp_path):
+    """Nulls, empty and very long texts, ties, repeated rows and ids, no rows, and columns named as those used inside."""
+    from pyspark.sql import functions as F
+
+    clash = ("id", "n", "h1", "rows", "gone", "copies", "__maybe", "__word", "__copies", "__score", "key", "size", "text_x", "at", "c0", "removed_bytes")
+    rng = random.Random(11)
+    good = [(i, prose(40, rng)) for i in range(40)]
+    rows = [(i, t, "en", "a", 1) for i, t in good] + [(100 + i, t.upper().replace(" ", "!! "), "en", "b", 1) for i, t in good]
+    odd = [(200, None, None, None, None), (201, "", "en", "a", 0), (202, "  \n", "en", None, 3), (None, good[3][1], "en", "a", 1), (None, None, None, None, None), (7, good[7][1], "en", "a", 1), (7, good[9][1] + " more", "en", "a", 1), (203, prose(20_000, rng), "en", "b", 1), (204, "x" * 50_000, "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(100 + i, 0, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    for n, given in enumerate((rows + odd, [])):
+        docs = spark.createDataFrame(given, schema)
+        for c in clash:
+            docs = docs.withColumn(c, F.lit("clash"))
+        names = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "byte_bpe":
+                assert out.columns == names
+            out.write.parquet(f"{tmp_path}/{n}{name}")
+            docs = spark.read.parquet(f"{tmp_path}/{n}{name}")
+            if name != "byte_bpe":
+                assert docs.where(" or ".join(f"`{c}` <> 'clash'" for c in clash)).isEmpty()
+            assert docs.isEmpty() == (not given)
+            if given and name == "ngram_jaccard":
+                kept = {(r.doc_id, r.text) for r in docs.collect()}
+                assert (7, good[7][1]) in kept and (7, good[9][1] + " more") in kept and (9, good[9][1]) not in kept
