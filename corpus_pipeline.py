@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placerec.llm import bpe, jaccard, mixing, quality, registry, substrings
-from placerec.llm.shared import cut, small_batches, table
+from placerec.llm.shared import cut, free, small_batches, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,7 +22,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     stay or go together. With labels of one class only every text gets that class's score; without any it is 0.5, and all go.
     """
     model = quality.fit(docs, table(spark, sf_dir, "labels").where(~registry.held_out()))
-    return quality.score(docs, model, keep=docs.columns, name="__score").where(F.col("__score") >= quality.THRESHOLD).drop("__score")
+    name = free("score", docs.columns)
+    return quality.score(docs, model, keep=docs.columns, name=name).where(F.col(name) >= quality.THRESHOLD).drop(name)
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +43,8 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeats of each other.
     """
     small_batches(spark)
-    out = substrings.dedup(docs).withColumn("n_chars", F.when(F.col("removed_bytes") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    removed = substrings.added_names(docs.columns)[0]
+    out = substrings.dedup(docs).withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*docs.columns)
 
 

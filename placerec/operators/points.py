@@ -39,9 +39,11 @@ def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
     """Gravity-canonical points: each scan's up vector turned to +z; up vectors without length are passed over."""
     norm = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
     g = gravity.withColumn("norm", norm).where(G.finite(F.col("norm")) & (F.col("norm") > 1e-6)).select("scan_id", *[(F.col(c) / F.col("norm")).alias(c) for c in ("ux", "uy", "uz")])
-    d = p.join(g, "scan_id")
-    x, y, z = G.rotate(G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz")), F.col("x"), F.col("y"), F.col("z"))
-    return finite_points(d.select(*[c for c in p.columns if c not in "xyz"], x.alias("x"), y.alias("y"), z.alias("z")))
+    # nine columns a scan, not a matrix a point
+    m = G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz"))
+    g = g.select("scan_id", *[m[i][j].alias(f"_r{i}{j}") for i in range(3) for j in range(3)])
+    x, y, z = G.rotate([[F.col(f"_r{i}{j}") for j in range(3)] for i in range(3)], F.col("x"), F.col("y"), F.col("z"))
+    return finite_points(p.join(g, "scan_id").select(*[c for c in p.columns if c not in "xyz"], x.alias("x"), y.alias("y"), z.alias("z")))
 
 
 def level_heading(p: DataFrame, poses: DataFrame) -> DataFrame:
