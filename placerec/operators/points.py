@@ -38,7 +38,9 @@ def shift_z(p: DataFrame, offset: float) -> DataFrame:
 def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
     """Gravity-canonical points: each scan's up vector turned to +z; up vectors without length are passed over."""
     norm = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
-    g = gravity.withColumn("norm", norm).where(G.finite(F.col("norm")) & (F.col("norm") > 1e-6)).select("scan_id", *[(F.col(c) / F.col("norm")).alias(c) for c in ("ux", "uy", "uz")])
+    # null without length, so that the points go with all that is not finite: a filter here would be inferred for the points' side
+    # as well, where the view behind ``gravity`` would be worked out for every point
+    g = gravity.withColumn("norm", norm).withColumn("norm", F.when(G.finite(F.col("norm")) & (F.col("norm") > 1e-6), F.col("norm"))).select("scan_id", *[(F.col(c) / F.col("norm")).alias(c) for c in ("ux", "uy", "uz")])
     # nine columns a scan, not a matrix a point
     m = G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz"))
     g = g.select("scan_id", *[m[i][j].alias(f"_r{i}{j}") for i in range(3) for j in range(3)])
