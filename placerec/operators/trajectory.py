@@ -61,28 +61,28 @@ def interpolate_poses(stamps: DataFrame, poses: DataFrame, key: str) -> DataFram
     return j.select(key, F.col("_t").alias("stamp"), lerp("x"), lerp("y"), G.slerp_yaw(F.col("b.yaw"), F.col("a.yaw"), t).alias("yaw"))
 
 
-def nearest_pose(queries: DataFrame, base: DataFrame, cell: float, max_rings: int = 64) -> DataFrame:
-    """(query_id, map_id, d): the nearest base pose in the plane, ties to the smaller id.
+def nearest_pose(queries: DataFrame, base: DataFrame, cell: float) -> DataFrame:
+    """(query_id, map_id, d): the nearest base pose in the plane, ties to the smaller id; poses that are not finite take no part.
 
     Grid cells of growing reach are equi-joined; a query is settled once its best is nearer than the reach, so no side is
-    sent whole to all and most queries end in the first ring. What the last ring leaves open is compared with every pose.
+    sent whole to all and most queries end in the first ring. The reach grows eightfold until it spans both sides.
     """
-    open_q, found = queries.select(F.col("scan_id").alias("query_id"), "x", "y"), None
-    reach = cell
-    for _ in range(2):
-        q = open_q.withColumnRenamed("query_id", "scan_id")
-        steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-        a = q.select("scan_id", "x", "y", F.explode(steps).alias("s")).select("scan_id", "x", "y", (F.floor(F.col("x") / reach) + F.col("s.i")).alias("gx"), (F.floor(F.col("y") / reach) + F.col("s.j")).alias("gy"))
-        b = base.select(F.col("scan_id").alias("map_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.floor(F.col("x") / reach).alias("gx"), F.floor(F.col("y") / reach).alias("gy"))
+    fine = lambda p: p.where(F.coalesce(G.finite(F.col("x"), F.col("y")), F.lit(False)))
+    open_q, base = fine(queries).select(F.col("scan_id").alias("query_id"), "x", "y"), fine(base).select("scan_id", "x", "y")
+    box = open_q.select("x", "y").unionByName(base.select("x", "y")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).first()
+    widest, reach, found = math.hypot(box.x or 0.0, box.y or 0.0), cell, None
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        at = lambda c: F.floor(F.col(c) / reach)  # noqa: E731, B023
+        a = open_q.withColumn("s", F.explode(steps)).select("query_id", "x", "y", (at("x") + F.col("s.i")).alias("gx"), (at("y") + F.col("s.j")).alias("gy"))
+        b = base.select(F.col("scan_id").alias("map_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("gx"), at("y").alias("gy"))
         d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-        best = a.join(b, ["gx", "gy"]).withColumn("d", F.round(d, 9)).where(F.col("d") <= reach).groupBy(F.col("scan_id").alias("query_id")).agg(F.min(F.struct("d", "map_id")).alias("b")).select("query_id", "b.map_id", "b.d")
+        best = a.join(b, ["gx", "gy"]).withColumn("d", F.round(d, 9)).where(F.col("d") <= reach).groupBy("query_id").agg(F.min(F.struct("d", "map_id")).alias("b")).select("query_id", "b.map_id", "b.d")
         found = best if found is None else found.unionByName(best)
+        if reach > widest:
+            return found
         open_q = open_q.join(best, "query_id", "left_anti")
         reach *= 8
-    b = base.select(F.col("scan_id").alias("map_id"), F.col("x").alias("ox"), F.col("y").alias("oy"))
-    d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-    rest = open_q.crossJoin(b).groupBy("query_id").agg(F.min(F.struct(F.round(d, 9).alias("d"), "map_id")).alias("b")).select("query_id", "b.map_id", "b.d")
-    return found.unionByName(rest)
 
 
 def monotonic_violations(rows: DataFrame, key: str, order: str, stamp: str = "stamp") -> DataFrame:
