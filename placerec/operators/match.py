@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from placerec.config import MAX_ENTRIES, DescriptorConfig
+from placerec.config import DescriptorConfig
 
 
 def l2(a: Column | str, b: Column | str) -> Column:
@@ -24,11 +25,41 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda p, q: p * q), F.lit(0.0), lambda s, x: s + x)
 
 
+#: Bytes of a side that may be sent to all; beyond it, rows and bytes of a block of either side.
+SEND_BYTES, BLOCK_ROWS, BLOCK_BYTES = 64 << 20, 2048, 8 << 20
+
+
+def _weight(df: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes at eight a value: the arrays' elements are counted, not guessed."""
+    arrays = [f.name for f in df.schema.fields if isinstance(f.dataType, ArrayType)]
+    values = sum((F.coalesce(F.size(c), F.lit(0)) for c in arrays), F.lit(len(df.columns)))
+    n, v = df.agg(F.count("*"), F.sum(values.cast("long"))).first()
+    return n, 8 * (v or 0)
+
+
+def all_pairs(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """Every query beside every base row, as an exhaustive search needs them. Rows of a side should differ, in an id say.
+
+    The base is weighed and sent to all if it is no more than ``SEND_BYTES``. A heavier one and the queries are dealt out in
+    blocks by a hash of the row, and each block of one side meets each of the other in an equi-join on both numbers: a task
+    holds one block of the base, and a lost task makes its own pairs again.
+    """
+    n, size = _weight(base)
+    if size <= SEND_BYTES:
+        return queries.crossJoin(F.broadcast(base))
+    m, q_size = _weight(queries)
+    blocks = lambda rows, held: max(1, -(-rows // BLOCK_ROWS), -(-held // BLOCK_BYTES))
+    dealt = lambda df, k: F.pmod(F.xxhash64(*df.columns), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    kq, kb = blocks(m, q_size), blocks(n, size)
+    q = queries.withColumn("_q_block", dealt(queries, kq)).withColumn("_b_block", every(kb))
+    b = base.withColumn("_b_block", dealt(base, kb)).withColumn("_q_block", every(kq))
+    return q.join(b.hint("merge"), ["_q_block", "_b_block"]).drop("_q_block", "_b_block")
+
+
 def top_k(queries: DataFrame, base: DataFrame, distance: Column, k: int, q: str, c: str, descending: bool = False) -> DataFrame:
-    """The k nearest base rows of each query, ties by base id. The base is sent to all only if it has at most
-    ``MAX_ENTRIES`` rows, the limit of a database; a larger one streams past the queries partition by partition."""
-    small = base.count() <= MAX_ENTRIES
-    pairs = queries.crossJoin(F.broadcast(base) if small else base).withColumn("distance", F.round(distance, 9))
+    """The k nearest base rows of each query, ties by base id; each task passes on no more than k rows of a query."""
+    pairs = all_pairs(queries, base).withColumn("distance", F.round(distance, 9))
     order = F.desc("distance") if descending else F.asc("distance")
     rank = F.row_number().over(Window.partitionBy(q).orderBy(order, c))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -39,8 +70,7 @@ def ring_shortlist(query_keys: DataFrame, map_keys: DataFrame, k: int) -> DataFr
     q = query_keys.select(F.col("scan_id").alias("query_id"), F.col("key").alias("qk"))
     m = map_keys.select(F.col("scan_id").alias("map_id"), F.col("key").alias("mk"))
     d = F.when(F.size("qk") == F.size("mk"), l2("qk", "mk"))
-    small = map_keys.count() <= MAX_ENTRIES
-    pairs = q.crossJoin(F.broadcast(m) if small else m).withColumn("distance", F.round(d, 9)).where(F.col("distance").isNotNull() & (F.abs("distance") < float("inf")))
+    pairs = all_pairs(q, m).withColumn("distance", F.round(d, 9)).where(F.col("distance").isNotNull() & (F.abs("distance") < float("inf")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "map_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= max(1, k)).select("query_id", "map_id", "distance", "rank")
 

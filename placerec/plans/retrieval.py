@@ -127,7 +127,7 @@ sb AS (SELECT query_id, map_id, distance, shift FROM (SELECT query_id, map_id, s
 def contexts(spark, d):
     c = D.polar(M.points(spark, d), CFG).groupBy("scan_id", "ring", "sector").agg(F.max(F.col("h") + 2.0).alias("h"))
     q, m = c.where("scan_id % 2 = 1"), c.where("scan_id % 2 = 0")
-    pairs = q.select(F.col("scan_id").alias("query_id")).distinct().crossJoin(m.select(F.col("scan_id").alias("map_id")).distinct())
+    pairs = R.all_pairs(q.select(F.col("scan_id").alias("query_id")).distinct(), m.select(F.col("scan_id").alias("map_id")).distinct())
     return q, m, pairs
 
 
@@ -160,7 +160,7 @@ def scpp_min_root(spark, d):
     k = P.virtual_roots(M.points(spark, d)).where(r <= 30.0).groupBy("scan_id", "root_id", G.floor_bin(r, 3.75, 8).alias("ring")).agg(F.avg("z").alias("v"))
     keys = D._dense(k.withColumn("scan_id", F.struct("scan_id", "root_id")), "ring", 8).select("scan_id.*", "key")
     q, m = keys.where("root_id = 0 and scan_id % 2 = 1"), keys.where("scan_id % 2 = 0")
-    pairs = q.select(F.col("scan_id").alias("query_id"), F.col("key").alias("a")).crossJoin(m.select(F.col("scan_id").alias("map_id"), F.col("key").alias("b")))
+    pairs = R.all_pairs(q.select(F.col("scan_id").alias("query_id"), F.col("key").alias("a")), m.select(F.col("scan_id").alias("map_id"), "root_id", F.col("key").alias("b")))
     return rounded(pairs.groupBy("query_id", "map_id").agg(F.min(R.l2("a", "b")).alias("distance")))
 
 
@@ -244,9 +244,9 @@ def m2dp_pca4(spark, d):
     from placerec.operators import kernels as N
 
     v = N.m2dp(M.points(spark, d), 4)
-    q, m = v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")), v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b"))
+    q, m = v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), "frame", F.col("v").alias("a")), v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("frame").alias("map_frame"), F.col("v").alias("b"))
     plus = F.aggregate(F.zip_with("a", "b", lambda x, y: (x + y) * (x + y)), F.lit(0.0), lambda s, x: s + x)
-    best = q.crossJoin(m).groupBy("query_id", "map_id").agg(F.min(F.sqrt(F.least(R.squared_l2("a", "b"), plus))).alias("distance"))
+    best = R.all_pairs(q, m).groupBy("query_id", "map_id").agg(F.min(F.sqrt(F.least(R.squared_l2("a", "b"), plus))).alias("distance"))
     return rounded(R.rank(best), 5)
 
 
@@ -271,7 +271,7 @@ def ringpp_topk(spark, d):
     from placerec.operators import kernels as N
 
     v = tensors(spark, d)
-    pairs = v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")).crossJoin(v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b")))
+    pairs = R.all_pairs(v.where("scan_id % 2 = 1").select(F.col("scan_id").alias("query_id"), F.col("v").alias("a")), v.where("scan_id % 2 = 0").select(F.col("scan_id").alias("map_id"), F.col("v").alias("b")))
     s = N.ringpp_scores(pairs, 24).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "map_id")))
     return rounded(s.where("rank <= 5"), 4)
 

@@ -497,3 +497,19 @@ def test_nearest_pose_reaches_far_ones(spark):
     d = np.round(np.sqrt(((q[:, None] - m[None]) ** 2).sum(2)), 9)
     assert got == {i: (int(d[i].argmin()), pytest.approx(d[i].min())) for i in range(len(q))}
     assert T.nearest_pose(frame(q), frame(m).limit(0), 2.0).count() == 0
+
+
+@pytest.mark.parametrize("rows", [2, 5])
+def test_pairs_in_blocks_equal_a_broadcast_base(spark, monkeypatch, rows):
+    rng = random.Random(5)
+    keys = lambda lo, hi: spark.createDataFrame([(i, [rng.choice([0.0, 1.0, 2.5]) for _ in range(4)] if i % 7 else None) for i in range(lo, hi)], "scan_id long, key array<double>")
+    q, m = keys(0, 23), keys(100, 141)
+    runs = lambda: [sorted(map(tuple, R.ring_shortlist(q, m, 3).collect())), sorted((r.a, r.b, r.rank, r.distance) for r in R.top_k(q.select(F.col("scan_id").alias("a"), F.col("key").alias("u")), m.select(F.col("scan_id").alias("b"), F.col("key").alias("v")), F.coalesce(R.l2("u", "v"), F.lit(9.0)), 2, "a", "b").collect())]
+    sent = runs()
+    monkeypatch.setattr(R, "SEND_BYTES", 0)
+    monkeypatch.setattr(R, "BLOCK_ROWS", rows)
+    assert runs() == sent and len(sent[0]) == 3 * 19 and len(sent[1]) == 2 * 23
+    plan = R.ring_shortlist(q, m, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
+    empty = m.where("scan_id < 0")
+    assert R.ring_shortlist(q, empty, 3).count() == 0 == R.ring_shortlist(empty, m, 3).count()
