@@ -41,9 +41,10 @@ def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
     # null without length, so that the points go with all that is not finite: a filter here would be inferred for the points' side
     # as well, where the view behind ``gravity`` would be worked out for every point
     g = gravity.withColumn("norm", norm).withColumn("norm", F.when(G.finite(F.col("norm")) & (F.col("norm") > 1e-6), F.col("norm"))).select("scan_id", *[(F.col(c) / F.col("norm")).alias(c) for c in ("ux", "uy", "uz")])
-    # nine columns a scan, not a matrix a point
+    # nine columns a scan, not a matrix a point; not a number in place of null, so that no test for null is inferred for each of the
+    # nine and spelt out before the view (it went beyond what can be compiled)
     m = G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz"))
-    g = g.select("scan_id", *[m[i][j].alias(f"_r{i}{j}") for i in range(3) for j in range(3)])
+    g = g.select("scan_id", *[F.coalesce(m[i][j], F.lit(float("nan"))).alias(f"_r{i}{j}") for i in range(3) for j in range(3)])
     x, y, z = G.rotate([[F.col(f"_r{i}{j}") for j in range(3)] for i in range(3)], F.col("x"), F.col("y"), F.col("z"))
     return finite_points(p.join(g, "scan_id").select(*[c for c in p.columns if c not in "xyz"], x.alias("x"), y.alias("y"), z.alias("z")))
 
