@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placerec.llm import bpe, jaccard, licenses, mixing, quality, substrings, telephony, token_counts, topk, urls
+from placerec.llm import bpe, divergence, exact, infill, jaccard, licenses, mixing, quality, substrings, telephony, token_counts, topk, urls
 from placerec.llm.shared import table
 
 
@@ -67,9 +67,24 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.infill(table(spark, sf_dir, "documents"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mix": mixing.ORACLE, "op4_exact_topk": topk.ORACLE}
+    return {
+        "op1_source_mix": mixing.ORACLE, "op4_exact_topk": topk.ORACLE, "op11_source_divergence": divergence.ORACLE,
+        "op12_fill_in_middle": infill.ORACLE, "op13_exact_dedup": exact.ORACLE,
+    }
