@@ -1,15 +1,17 @@
 """Substring dedup by content-defined chunking.
 
-A text is cut before words whose hash is the least among their neighbours, and inside long words and
-white space at characters by a gear rolling hash of the last 16 bytes. Whether a cut falls at a place
-depends on a few neighbours on either side alone, in texts that repeat themselves too, so that two
-copies of a passage are cut alike but for their edges. Neighbouring chunks are known by a 64-bit digest
+A gear rolling hash of the last 8 bytes chooses the cuts: before words at whose end it is less than at
+the ends of their neighbours, and, inside long words and white space, at characters where it is. Whether
+a cut falls at a place depends on a few neighbours on either side alone, in texts that repeat themselves
+too, so that two copies of a passage are cut alike but for their edges. Neighbouring chunks are known by a 64-bit digest
 of both. A pair that stands in several documents belongs to the one with the smallest id; in every
 other document a run of such chunks of at least ``LEAST_WORDS`` words is taken out. Repeats inside one
 document stay. In text without spaces ``WORD_BYTES`` bytes count as a word.
 
-A shared passage of n words has at least n - 29 in chunks that both copies hold (at most 14 words are lost
-at its start and 15 at its end), so every passage of 49 words or more is found.
+A shared passage of n words has at least n - 33 in chunks that both copies hold: at most 15 words are lost
+at its end and 18 at its start, four of them because the hash still reaches before the passage, which takes
+words of a single letter. So every passage of 51 words or more is found. A chunk holds at most 10 words, so a
+passage that is one chunk alone is under the threshold.
 
 Defined results: a null text stays null and holds no chunk; a text that is only repeats
 becomes empty; of rows that share an id none is a repeat of the other; rows with a null id
@@ -31,7 +33,7 @@ from pyspark.sql import types as T
 from placerec.llm import textkernel as K
 from placerec.llm.shared import cut, free, maybe_among
 
-WINDOW, LEAST_WORDS = 16, 20
+WINDOW, LEAST_WORDS = 8, 18
 #: (radius, apart, ahead) of :func:`_marks`, in words, and in characters where a text has no spaces.
 WORD_MARKS, CHAR_MARKS = (2, 3, 4), (4, 5, 5)
 #: Words and stretches of white space of more bytes than these are cut at characters.
@@ -42,9 +44,8 @@ WORD_BYTES = 6
 MOST_BYTES = (2 * WORD_MARKS[1] + WORD_MARKS[2]) * (LONG_WORD + LONG_SPACE)
 #: So many neighbouring chunks are looked up by one digest: single ones are short and may repeat by chance.
 TOGETHER = 2
-#: The gear table: 16 mixed bits of each byte's number; byte 0 stands for "before the text".
-GEAR = (K.mix(np.arange(256, dtype=np.uint64)) >> np.uint64(7)).astype(np.uint16)
-GEAR[0] = 0
+#: The gear table: 32 mixed bits of each byte's number. A byte moves the hash by four bits, so that it forgets it after ``WINDOW``.
+GEAR, MOVE = (K.mix(np.arange(256, dtype=np.uint64)) >> np.uint64(7)).astype(np.uint32), np.uint32(4)
 
 
 def _marks(values: np.ndarray, group: np.ndarray, radius: int, apart: int, ahead: int) -> np.ndarray:
@@ -75,16 +76,13 @@ def _marks(values: np.ndarray, group: np.ndarray, radius: int, apart: int, ahead
     return first | (out & ~near)
 
 
-def _gear(buf: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Of each byte, the hash of the ``WINDOW`` bytes of its text that end there."""
-    n = len(offs) - 1
-    gapped = np.zeros(len(buf) + n * WINDOW, np.uint8)
-    at = np.arange(len(buf)) + np.repeat(np.arange(1, n + 1) * WINDOW, np.diff(offs))
-    gapped[at] = buf
-    h, g = np.zeros(len(gapped), np.uint16), GEAR[gapped]
-    for j in range(WINDOW):
-        h[j:] += g[: len(g) - j] << np.uint16(j)
-    return h[at]
+def _gear(buf: np.ndarray, offs: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The rolling hash as it stands behind each byte of ``at`` (ascending): of the last ``WINDOW`` bytes of its text."""
+    before = at - offs[np.searchsorted(offs, at, "right") - 1]
+    h = GEAR[buf[at]]
+    for j in range(1, WINDOW):
+        h += np.where(before >= j, GEAR[buf[np.maximum(at - j, 0)]], np.uint32(0)) << (MOVE * np.uint32(j))
+    return h
 
 
 def stretches(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -108,14 +106,14 @@ def cuts(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # short words; a long stretch or the end of a text ends a group of them
     unit = word & ~long
     group = (np.cumsum(long) + text)[unit]
-    found = [starts[unit][_marks(K.span_hashes(buf, starts[unit], ends[unit]), group, *WORD_MARKS)], starts[long], ends[long]]
+    found = [starts[unit][_marks(_gear(buf, offs, ends[unit] - 1), group, *WORD_MARKS)], starts[long], ends[long]]
     if long.any():
         size = (ends - starts)[long]
         at = np.repeat(starts[long] - np.cumsum(size) + size, size) + np.arange(size.sum())
         stretch = np.repeat(np.arange(len(size)), size)
         begins = (buf[at] & 0xC0) != 0x80
         at, stretch = at[begins], stretch[begins]
-        found.append(at[_marks(_gear(buf, offs)[at], stretch, *CHAR_MARKS)])
+        found.append(at[_marks(_gear(buf, offs, at), stretch, *CHAR_MARKS)])
     out = np.unique(np.concatenate([*found, offs]))
     out = out[out > 0]
     return out, np.diff(np.searchsorted(out, offs, "right"))
@@ -147,30 +145,41 @@ def _unspaced(part: np.ndarray, offs: np.ndarray, starts: np.ndarray) -> np.ndar
 
 
 def _runs(mine: np.ndarray, text: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """The chunks to take out: those of runs of more than one repeated chunk with enough words."""
+    """The chunks to take out: those of runs of repeated chunks with enough words."""
     edge = np.ones(len(mine), bool)
     edge[1:] = (mine[1:] != mine[:-1]) | (text[1:] != text[:-1])
     run = np.cumsum(edge) - 1
-    size, total = np.bincount(run), np.bincount(run, words)
-    return mine & (size[run] > 1) & (total[run] >= LEAST_WORDS)
+    return mine & (np.bincount(run, words)[run] >= LEAST_WORDS)
 
 
 def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, digests array): of each document, the digests of neighbouring chunks that a document with a smaller id holds."""
+    """(id, digests array): of each document, the digests of neighbouring chunks that a document with a smaller id holds.
+
+    The documents of a batch that hold a digest are one row, so that a passage of very many documents is a row a batch where rows meet.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for batch in batches:
+            digests, holders = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for i, j, _, _, _, digest, per in chunks(batch.column(1)):
-                rows, whole = np.repeat(np.arange(j - i), per), _whole(per)
-                # a digest once a text
-                values, at = K.distinct_sets(digest[whole], rows[whole], j - i)
-                rows = np.repeat(np.arange(i, j), np.diff(at))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(values)], ["id", "digest"])
-
-    every = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(K.releasing(run), f"id {kind}, digest bigint")
-    first = every.groupBy("digest").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low <> high").select("digest", "low")
-    again = every.join(first, "digest").where("id <> low").select("id", "digest")
+                rows, whole = np.repeat(np.arange(i, j), per), _whole(per)
+                digests.append(digest[whole])
+                holders.append(rows[whole])
+            values, rows = np.concatenate(digests), np.concatenate(holders)
+            order = np.lexsort((rows, values))
+            values, rows = values[order], rows[order]
+            # a digest once a text
+            once = np.ones(len(values), bool)
+            once[1:] = (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])
+            values, rows = values[once], rows[once]
+            heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(values)), bool), values[1:] != values[:-1]]))
+            ids = pa.ListArray.from_arrays(pa.array(np.append(heads, len(values)), pa.int32()), batch.column(0).take(pa.array(rows)))
+            yield pa.RecordBatch.from_arrays([pa.array(values[heads]), ids], ["digest", "ids"])
+
+    every = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(K.releasing(run), f"digest bigint, ids array<{kind}>")
+    first = every.groupBy("digest").agg(F.min(F.array_min("ids")).alias("low"), F.max(F.array_max("ids")).alias("high")).where("low <> high").select("digest", "low")
+    again = every.join(first, "digest").select("digest", "low", F.explode("ids").alias("id")).where("id <> low").select("id", "digest")
     return again.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
 
