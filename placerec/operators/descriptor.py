@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,15 +99,22 @@ def mask_bytes(cells: DataFrame, cfg: DescriptorConfig) -> DataFrame:
 
 def height_histogram(p: DataFrame, cfg: DescriptorConfig) -> DataFrame:
     """(bin, n): each (scan, ring, sector) votes at most once a bin."""
-    n = int(round(cfg.histogram_max / cfg.histogram_bin))
+    return height_votes(p, cfg).groupBy("bin").agg(F.count("*").alias("n"))
+
+
+def height_bins(cfg: DescriptorConfig) -> int:
+    return math.ceil(cfg.histogram_max / cfg.histogram_bin)
+
+
+def height_votes(p: DataFrame, cfg: DescriptorConfig) -> DataFrame:
+    """(scan_id, ring, sector, bin): the votes themselves."""
     d = polar(p, cfg).where((F.col("h") >= 0) & (F.col("h") < cfg.histogram_max))
-    d = d.select("scan_id", "ring", "sector", F.least(F.floor(F.col("h") / cfg.histogram_bin), F.lit(n - 1)).cast("int").alias("bin")).distinct()
-    return d.groupBy("bin").agg(F.count("*").alias("n"))
+    return d.select("scan_id", "ring", "sector", F.least(F.floor(F.col("h") / cfg.histogram_bin), F.lit(height_bins(cfg) - 1)).cast("int").alias("bin")).distinct()
 
 
 def adaptive_split(histogram: DataFrame, keyframes: int, cfg: DescriptorConfig) -> DataFrame:
     """One row (enabled, split, score): the threshold of greatest between-class variance, the middle of a plateau."""
-    n = int(round(cfg.histogram_max / cfg.histogram_bin))
+    n = height_bins(cfg)
     spark = histogram.sparkSession
     h = spark.range(n).select(F.col("id").cast("int").alias("bin")).join(histogram, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
     # one row a bin: histogram_max / histogram_bin rows in all

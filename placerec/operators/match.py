@@ -59,7 +59,7 @@ def all_pairs(queries: DataFrame, base: DataFrame) -> DataFrame:
 
 def top_k(queries: DataFrame, base: DataFrame, distance: Column, k: int, q: str, c: str, descending: bool = False) -> DataFrame:
     """The k nearest base rows of each query, ties by base id; each task passes on no more than k rows of a query."""
-    pairs = all_pairs(queries, base).withColumn("distance", F.round(distance, 9))
+    pairs = all_pairs(queries, base).withColumn("distance", distance)
     order = F.desc("distance") if descending else F.asc("distance")
     rank = F.row_number().over(Window.partitionBy(q).orderBy(order, c))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -70,7 +70,7 @@ def ring_shortlist(query_keys: DataFrame, map_keys: DataFrame, k: int) -> DataFr
     q = query_keys.select(F.col("scan_id").alias("query_id"), F.col("key").alias("qk"))
     m = map_keys.select(F.col("scan_id").alias("map_id"), F.col("key").alias("mk"))
     d = F.when(F.size("qk") == F.size("mk"), l2("qk", "mk"))
-    pairs = all_pairs(q, m).withColumn("distance", F.round(d, 9)).where(F.col("distance").isNotNull() & (F.abs("distance") < float("inf")))
+    pairs = all_pairs(q, m).withColumn("distance", d).where(F.col("distance").isNotNull() & (F.abs("distance") < float("inf")))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "map_id"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= max(1, k)).select("query_id", "map_id", "distance", "rank")
 
@@ -126,6 +126,11 @@ def exact_distances(turned: DataFrame, query_cells: DataFrame, map_cells: DataFr
     wide = lay.groupBy("query_id", "map_id", "shift").agg(*[F.max(F.when(F.col("layer") == k, F.col("distance"))).alias(f"d{k}") for k in (0, 1)])
     seen = lambda cells, key, tag: cells.groupBy(F.col("scan_id").alias(key)).agg(*[F.bool_or(F.col("layer") == k).alias(f"{tag}{k}") for k in (0, 1)])
     d = turned.join(wide, ["query_id", "map_id", "shift"], "left").join(seen(query_cells, "query_id", "q"), "query_id", "left").join(seen(map_cells, "map_id", "m"), "map_id", "left")
+    return combined(d, cfg, omittable, weights)
+
+
+def combined(d: DataFrame, cfg: DescriptorConfig, omittable: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
+    """Adds ``distance`` to rows of both layers' distances d0 and d1 (null: not comparable) and the layers seen on either side."""
     if omittable is not None:
         d = d.join(omittable.select(F.col("scan_id").alias("map_id"), "omittable"), "map_id", "left")
     else:
@@ -196,7 +201,6 @@ def retrieve_full(query_entries: DataFrame, map_entries: DataFrame, query_cells:
     the map's surroundings show none; heights are estimated for every yaw match after the ranking and never change it.
     ``retrieval_ms`` is null: a distributed plan has no time of its own for a query.
     """
-    from placerec.functions.geom import TAU
     from placerec.operators import descriptor as D
     from placerec.operators import vertical as V
 
@@ -211,6 +215,13 @@ def retrieve_full(query_entries: DataFrame, map_entries: DataFrame, query_cells:
         hyps = hyps.join(V.vertical_shift(res, cfg, hyps), ["query_id", "map_id", "shift"])
     else:
         hyps = hyps.withColumn("dz", F.lit(0.0))
+    return candidates(hyps, query_entries, map_entries, cfg, threshold)
+
+
+def candidates(hyps: DataFrame, query_entries: DataFrame, map_entries: DataFrame, cfg: DescriptorConfig, threshold: float | None = None) -> DataFrame:
+    """Whole candidates of yaw matches (query_id, map_id, n, distance, shift, dz), ranked, with the poses of both sides."""
+    from placerec.functions.geom import TAU
+
     best = hyps.groupBy("query_id", "map_id").agg(F.sort_array(F.collect_list(F.struct("n", "distance", "shift", F.col("dz").alias("vertical_shift")))).alias("all"))
     first = F.element_at("all", 1)
     best = best.select("query_id", "map_id", F.transform("all", lambda h: F.struct(h["distance"].alias("distance"), h["shift"].alias("shift"), h["vertical_shift"].alias("vertical_shift"))).alias("yaw_matches"), first["distance"].alias("distance"), first["shift"].alias("shift"), first["vertical_shift"].alias("dz"))

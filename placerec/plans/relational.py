@@ -96,7 +96,7 @@ def topic_index_scan(spark, d):
 def results_csv(spark, d):
     """Per-query rows written as CSV and read back for one algorithm."""
     from placerec.sources import tables as S
-    from placerec.streaming.online import shared_dir
+    from placerec.folders import shared_dir
 
     at = shared_dir(spark)
     e = M.table(spark, d, "events")

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 from placerec import domain as M
 from placerec.operators import descriptor as D
 from placerec.operators import match as R
+from placerec.operators import metric as X
+from placerec.operators import stored as S
 from placerec.operators import vertical as V
-from placerec.plans.pointwise import BOUNDARY, CELLS, CFG, SECTOR_KEY, cells
+from placerec.plans.maps import session_map, vector_index
+from placerec.plans.pointwise import BOUNDARY, CELLS, CFG, SECTOR_KEY
 from placerec.plans.register import registry, rounded
 
 QUERIES, query = registry()
@@ -16,9 +19,9 @@ QUERIES, query = registry()
 SIDES = "q.scan_id % 2 = 1 AND m.scan_id % 2 = 0"
 
 
-def sides(spark, d, cfg=CFG):
-    c = cells(spark, d, cfg)
-    return c.where("scan_id % 2 = 1"), c.where("scan_id % 2 = 0")
+def sides(spark, d):
+    """Queries and map: stored maps of their own, as two sessions have them."""
+    return session_map(spark, d, name="queries", scans="scan_id % 2 = 1"), session_map(spark, d, name="map", scans="scan_id % 2 = 0")
 
 
 KEYS = f"""{CELLS}, rows AS (SELECT s.scan_id, r.row FROM (SELECT DISTINCT scan_id FROM cells) s, range(16) r(row)),
@@ -54,30 +57,24 @@ FULL = f"{KEYS}, {TURNED}, {LAYERS}, {DIST}, {BEST}"
 
 @query(f"WITH {KEYS} SELECT query_id, map_id, round(distance, 6) AS distance, rank FROM sl")
 def ring_shortlist(spark, d):
-    q, m = sides(spark, d)
-    return rounded(R.ring_shortlist(D.ring_keys(q, CFG), D.ring_keys(m, CFG), CFG.shortlist))
-
-
-def coarse(spark, d, q, m, cfg=CFG):
-    pairs = R.ring_shortlist(D.ring_keys(q, cfg), D.ring_keys(m, cfg), cfg.shortlist).select("query_id", "map_id")
-    return R.coarse_yaw(pairs, D.sector_keys(q, cfg), D.sector_keys(m, cfg), cfg.sectors)
+    return rounded(S.shortlist(*sides(spark, d)))
 
 
 @query(f"WITH {KEYS} SELECT query_id, map_id, coarse FROM cy")
 def coarse_yaw(spark, d):
     q, m = sides(spark, d)
-    return coarse(spark, d, q, m)
+    keys = lambda s: s.entries.select("scan_id", F.col("sector_key").alias("key"))
+    return R.coarse_yaw(S.shortlist(q, m).select("query_id", "map_id"), keys(q), keys(m), CFG.sectors)
 
 
 def scored(spark, d, cfg=CFG, weights=None):
-    q, m = sides(spark, d, cfg)
-    turned = R.turns_near(coarse(spark, d, q, m, cfg), cfg.sectors, cfg.search_radius).drop("coarse")
-    return R.exact_distances(turned, q, m, cfg, weights=weights)
+    q, m = sides(spark, d)
+    return S.scores(q, m, S.turns(q, m, S.shortlist(q, m), cfg), cfg, weights=weights)
 
 
 @query(f"WITH {KEYS}, {TURNED}, {LAYERS}, {DIST} SELECT query_id, map_id, shift, round(distance, 6) AS distance FROM dist WHERE distance IS NOT NULL")
 def exact_distance(spark, d):
-    return rounded(scored(spark, d))
+    return rounded(scored(spark, d).select("query_id", "map_id", "shift", "distance"))
 
 
 _GAP = "least((a.shift - b.shift + 12) % 12, (b.shift - a.shift + 12) % 12) > 1"
@@ -99,22 +96,20 @@ def yaw_nms(spark, d):
 
 @query(f"""WITH {FULL} SELECT query_id, map_id, round(distance, 6) AS distance, shift, round(shift * 2 * pi() / 12, 6) AS yaw_shift, row_number() OVER (PARTITION BY query_id ORDER BY distance, map_id)::INTEGER AS rank FROM best""")
 def retrieve_topk(spark, d):
-    q, m = sides(spark, d)
-    return rounded(R.retrieve(q, m, CFG))
+    return rounded(S.retrieve(*sides(spark, d)))
 
 
 @query(f"""WITH {FULL} SELECT query_id, map_id, round(distance, 6) AS distance, shift, round(shift * 2 * pi() / 12, 6) AS yaw_shift, row_number() OVER (PARTITION BY query_id ORDER BY distance, map_id)::INTEGER AS rank FROM best WHERE distance <= 0.35::DOUBLE""")
 def retrieve_threshold(spark, d):
-    q, m = sides(spark, d)
-    return rounded(R.retrieve(q, m, CFG, threshold=0.35))
+    return rounded(S.retrieve(*sides(spark, d), threshold=0.35))
 
 
 @query(f"""WITH {FULL}, {M.POSES}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, map_id)::INTEGER AS rank FROM best)
 SELECT query_id, rank, map_id, round(distance, 6) AS distance, round(shift * 2 * pi() / 12, 6) AS yaw_shift, round(p.x, 6) AS x, round(p.y, 6) AS y FROM r JOIN poses p ON p.scan_id = map_id""")
 def flagship_retrieval(spark, d):
     q, m = sides(spark, d)
-    p = M.poses(spark, d).select(F.col("scan_id").alias("map_id"), "x", "y")
-    return rounded(R.retrieve(q, m, CFG).join(p, "map_id").select("query_id", "rank", "map_id", "distance", "yaw_shift", "x", "y"))
+    p = m.entries.select(F.col("scan_id").alias("map_id"), "x", "y")
+    return rounded(S.retrieve(q, m).join(p, "map_id").select("query_id", "rank", "map_id", "distance", "yaw_shift", "x", "y"))
 
 
 SC = f"""{CELLS}, sc AS (SELECT scan_id, ring, sector, max(h + 2::DOUBLE) AS h FROM polar GROUP BY 1, 2, 3), pr AS (SELECT q.scan_id AS query_id, m.scan_id AS map_id FROM (SELECT DISTINCT scan_id FROM sc) q, (SELECT DISTINCT scan_id FROM sc) m WHERE q.scan_id % 2 = 1 AND m.scan_id % 2 = 0)"""
@@ -186,8 +181,9 @@ def cosine_topk(spark, d):
 
 @query(_vector_sql(_SQ, ""))
 def l2_topk(spark, d):
-    q, m = _vectors(spark, d)
-    return rounded(R.top_k(q, m, R.squared_l2("a", "b"), 5, "q_id", "vec_id").select("q_id", "vec_id", "rank", "distance"))
+    q, _ = _vectors(spark, d)
+    near = X.nearest(q, vector_index(spark, d), 5, "q_id", "vec_id", "a")
+    return rounded(near.select("q_id", "vec_id", "rank", (F.col("distance") * F.col("distance")).alias("distance")))
 
 
 @query(_vector_sql(f"sqrt(least({_SQ}, {_SQ.replace(' - ', ' + ')}))", ""))
@@ -208,9 +204,8 @@ vs AS (SELECT query_id, map_id, shift, min(residual) AS dz FROM cu WHERE cum >=
 @query(f"WITH {RESIDUALS} SELECT query_id, map_id, b.shift, round(CASE WHEN dz BETWEEN -2 AND 2 THEN dz ELSE 0 END, 6) + 0.0::DOUBLE AS dz FROM best b LEFT JOIN vs USING (query_id, map_id)")
 def vertical_shift(spark, d):
     q, m = sides(spark, d)
-    best = R.retrieve(q, m, CFG)
-    res = V.residuals(best, q, m, D.boundary_mask(q, CFG), D.boundary_mask(m, CFG), CFG)
-    return rounded(V.vertical_shift(res, CFG, best))
+    best = S.retrieve(q, m)
+    return rounded(V.vertical_shift(S.residuals(q, m, best, CFG), CFG, best))
 
 
 @query(f"""WITH {KEYS}, {TURNED}, {LAYERS}, {M.POSES}, ws AS (SELECT w AS weight, w / 10::DOUBLE AS w0, (10 - w) / 10::DOUBLE AS w1 FROM range(11) r(w)),
@@ -282,17 +277,20 @@ def entries(spark, d):
     return p.select("scan_id", "stamp", "x", "y", "z", (F.col("scan_id") % 8 * 0.01).alias("roll"), (F.col("scan_id") % 9 * 0.01).alias("pitch"), "yaw", (F.col("yaw") * 0.5).alias("canonical_yaw"))
 
 
-#: Some of the map has no upper layer, so that the flags of absent upper layers act.
-_THIN = "scan_id % 4 = 0 OR layer = 0 OR scan_id % 2 = 1"
+#: The full grid with the method's own offsets and bounds.
+FULL_CFG = CFG.with_(rings=16, sectors=60, height_offset=0.1, min_joint_rings=2, boundary_margin=0.1, vertical_min=-1.5, vertical_max=1.5, vertical_estimation=True, search_ratio=0.05)
+
+
+def full_sides(spark, d):
+    """Query and map sessions on the full grid; some of the map has no upper layer, so that the flags of absent upper layers act."""
+    e, p = entries(spark, d), M.points(spark, d).where(f"scan_id % 4 = 0 OR scan_id % 2 = 1 OR z <= {FULL_CFG.split_height}")
+    return tuple(session_map(spark, d, FULL_CFG, n, f"scan_id % 2 = {k}", p, e) for n, k in (("full queries", 1), ("full map", 0)))
 
 
 @query()
 def retrieve_full(spark, d):
     """All columns of a candidate file and the yaw matches, on a grid of 16 x 60 with the method's own offsets and bounds."""
-    cfg = CFG.with_(rings=16, sectors=60, height_offset=0.1, min_joint_rings=2, boundary_margin=0.1, vertical_min=-1.5, vertical_max=1.5, vertical_estimation=True, search_ratio=0.05)
-    q, m = sides(spark, d, cfg)
-    e = entries(spark, d)
-    out = R.retrieve_full(e.where("scan_id % 2 = 1"), e.where("scan_id % 2 = 0"), q, m.where(_THIN), cfg)
+    out = S.retrieve_full(*full_sides(spark, d))
     return rounded(out.withColumn("yaw_matches", F.transform("yaw_matches", lambda h: F.struct(F.round(h["distance"], 6).alias("distance"), h["shift"].alias("shift"), F.round(h["vertical_shift"], 6).alias("vertical_shift")))))
 
 

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from placerec.plans import evaluation, pointwise, relational, retrieval, trajectories
+from placerec.plans import evaluation, maps, pointwise, relational, retrieval, trajectories
 
-MODULES = (pointwise, retrieval, trajectories, evaluation, relational)
+MODULES = (pointwise, maps, retrieval, trajectories, evaluation, relational)
 
 
 def queries() -> dict[str, Callable]:
