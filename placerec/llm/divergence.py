@@ -32,7 +32,7 @@ LEAST_DOCS, SCALE, ADD, TOP = 30, 10**9, 5, 50
 #: Counts of a block (more where there are more pairs), sources of a group, numbers of one tile's broadcast.
 BLOCK_COUNTS, SOURCES, TILE = 1 << 14, 512, 1 << 18
 #: A task sends its counts on when it holds so many.
-HELD_COUNTS = 1 << 20
+HELD_COUNTS = 1 << 19
 
 #: Bytes of ``[^\x00-\x40\x5B-\x60\x7B-\x7F]+`` after A-Z are lower-cased.
 TERM_BYTES = np.zeros(256, bool)
@@ -41,12 +41,10 @@ TERM_BYTES[0x80:] = True
 
 
 def batch_counts(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.Table:
-    """(lang, source, term, n, docs) of a batch; term is null in a row that only tells of a group."""
+    """(lang, source, term, n, docs) of a batch."""
     groups = pa.table({"lang": langs, "source": sources}).group_by(["lang", "source"], use_threads=False).aggregate([])
     group = pa.table({"lang": langs, "source": sources, "at": pa.array(np.arange(len(langs)))}).join(groups.append_column("g", pa.array(np.arange(len(groups)))), ["lang", "source"], use_threads=False).sort_by("at").column("g").to_numpy()
-    null = pa.nulls(len(groups), pa.string())
-    zero = pa.array(np.zeros(len(groups), np.int64))
-    out = [pa.table([groups.column("lang"), groups.column("source"), null, zero, zero], COUNTS)]
+    out = []
     buf, offs = K.flat(texts)
     for i, j, part, at in K.chunks(buf, offs):
         low = K.LOWER[part]
@@ -61,7 +59,7 @@ def batch_counts(langs: pa.Array, sources: pa.Array, texts: pa.Array) -> pa.Tabl
         key, back = np.unique(group[seen // len(words)] * len(words) + seen % len(words), return_inverse=True)
         g = pa.array(key // len(words))
         out.append(pa.table([groups.column("lang").take(g), groups.column("source").take(g), words.take(pa.array(key % len(words))), pa.array(np.bincount(back, n).astype(np.int64)), pa.array(np.bincount(back))], COUNTS))
-    return _summed(out)
+    return _summed(out) if out else None
 
 
 COUNTS = ["lang", "source", "term", "n", "docs"]
@@ -80,8 +78,11 @@ def term_counts(docs: DataFrame, text_col: str, lang_col: str, source_col: str)
     def run(batches):
         held, rows = [], 0
         for batch in batches:
-            held.append(batch_counts(*(batch.column(k) for k in range(3))))
-            rows += len(held[-1])
+            got = batch_counts(*(batch.column(k) for k in range(3)))
+            if got is None:
+                continue
+            held.append(got)
+            rows += len(got)
             if rows >= HELD_COUNTS:
                 held = [_summed(held)]
                 rows = len(held[0])
@@ -150,15 +151,16 @@ def _block(key: tuple, terms: pa.Table, groups: pa.Table, top: int) -> pa.Table:
 
 def audit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", least_docs: int = LEAST_DOCS, top: int = TOP, most_sources: int = SOURCES, block_counts: int = BLOCK_COUNTS) -> DataFrame:
     """(lang, source, part, item, value, rank): ``pair`` rows for each other source of the language, ``term`` rows for the terms most over its share."""
-    counts = cut(term_counts(docs, text_col, lang_col, source_col), "term-counts")
+    counts = term_counts(docs, text_col, lang_col, source_col)
     # all of a term in one place, so that both sums below need no shuffle of their own
-    by_term = counts.where("term is not null").repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    by_term = counts.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     kept = by_term.groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("counts"), F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
     kept = cut(kept.select("lang", "term", "n", "counts"), "kept-terms")
     sums = kept.select("lang", F.explode("counts").alias("c")).groupBy("lang", F.col("c.source").alias("source")).agg(F.sum("c.n").alias("words"))
     langs = kept.groupBy("lang").agg(F.count("*").alias("v"), F.sum("n").alias("lang_words"))
     # one row a group from here on
-    groups = counts.select("lang", "source").distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
+    named = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))])
+    groups = named.distinct().join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0)
     groups = groups.select("lang", "source", "v", (F.col("words") + ADD * F.col("v")).alias("total"), (F.col("lang_words") + ADD * F.col("v")).alias("lang_total"))
     groups = cut(groups, "lang-groups")
     most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 0
