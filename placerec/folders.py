@@ -17,6 +17,11 @@ def shared_dir(spark: SparkSession, what: str = "stream") -> str:
     return f"{at.rstrip('/')}/placerec-{what}-{uuid.uuid4().hex}"
 
 
+def kept(df: DataFrame, what: str) -> DataFrame:
+    """``df`` worked out once, in a folder of its own: for small results that several steps read. The table goes with the shared folder."""
+    return saved(df, shared_dir(df.sparkSession, what))
+
+
 def saved(df: DataFrame, path: str) -> DataFrame:
     """``df`` written as Parquet and read back."""
     df.write.mode("overwrite").parquet(path)

@@ -95,6 +95,19 @@ def slerp_yaw(a: Column, b: Column, t: Column) -> Column:
     return wrap(a + wrap(b - a) * t)
 
 
+def slerp(a: list[Column], b: list[Column], t: Column) -> list[Column]:
+    """Between two unit quaternions (x, y, z, w) along the shorter arc; nearly equal ones are mixed linearly."""
+    dot = a[0] * b[0] + a[1] * b[1] + a[2] * b[2] + a[3] * b[3]
+    sign, c = F.when(dot < 0, F.lit(-1.0)).otherwise(F.lit(1.0)), F.least(F.abs(dot), F.lit(1.0))
+    angle = F.acos(c)
+    close = c > 1 - 1e-12
+    wa = F.when(close, 1 - t).otherwise(F.try_divide(F.sin((1 - t) * angle), F.sin(angle)))
+    wb = F.when(close, t).otherwise(F.try_divide(F.sin(t * angle), F.sin(angle)))
+    q = [wa * p + sign * wb * r for p, r in zip(a, b, strict=True)]
+    n = F.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    return [x / n for x in q]
+
+
 def transpose(m: list[list[Column]]) -> list[list[Column]]:
     return [[m[j][i] for j in range(3)] for i in range(3)]
 

@@ -35,11 +35,11 @@ def sc_max(p: DataFrame, cfg: DescriptorConfig, lidar_height: float = 2.0, leaf:
     return polar(v, cfg).groupBy("scan_id", "ring", "sector").agg(F.max(F.col("z") + lidar_height).alias("h"))
 
 
-def scpp_cells(p: DataFrame, cfg: DescriptorConfig, leaf: float = 0.5, least: int = 1) -> DataFrame:
-    """Three-root context: floor rings, ceil sectors, cells of at least ``least`` voxels."""
+def scpp_cells(p: DataFrame, cfg: DescriptorConfig, leaf: float = 0.5, least: int = 5) -> DataFrame:
+    """Three-root context: floor rings, those beyond the last in it, ceil sectors, cells of at least ``least`` voxels."""
     v = P.virtual_roots(P.voxel_centroids(P.crop_annulus(p, 0.3, cfg.max_radius), leaf).drop("n"))
     r = G.range_xy(F.col("x"), F.col("y"))
-    v = v.where(r <= cfg.max_radius).withColumns({"ring": G.floor_bin(r, cfg.max_radius / cfg.rings, cfg.rings), "sector": G.polar_bin(G.bearing(F.col("x"), F.col("y")), G.TAU, cfg.sectors)})
+    v = v.withColumns({"ring": G.floor_bin(r, cfg.max_radius / cfg.rings, cfg.rings), "sector": G.polar_bin(G.bearing(F.col("x"), F.col("y")), G.TAU, cfg.sectors)})
     return v.groupBy("scan_id", "root_id", "ring", "sector").agg(F.max("z").alias("h"), F.count("*").alias("n")).where(F.col("n") >= least).drop("n")
 
 
@@ -205,13 +205,39 @@ def best_window(windows: DataFrame) -> DataFrame:
     return windows.groupBy("scan_id").agg(F.max_by("start", F.struct("total", (-F.col("start")).alias("first"))).alias("start"), F.max("total").alias("total"))
 
 
-def ratio_window(cells: DataFrame, cfg: DescriptorConfig, width: int, least: int, exclude_gap: int) -> DataFrame:
-    """Per scan: the window, far enough from the fullest, of the greatest ratio of height spreads upper / lower."""
-    n = cells.groupBy("scan_id", "sector").agg(F.count("*").alias("n"))
-    first = best_window(circular_windows(n, cfg.sectors, width)).select("scan_id", F.col("start").alias("taken"))
-    spans = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.pmod(F.col("sector") - k, F.lit(cfg.sectors)))
-    w = cells.withColumn("start", F.explode(spans)).groupBy("scan_id", "start").agg(F.stddev_pop(F.when(F.col("layer") == 1, F.col("h"))).alias("su"), F.stddev_pop(F.when(F.col("layer") == 0, F.col("h"))).alias("sl"), F.count("*").alias("n"))
-    w = w.join(first, "scan_id")
-    gap = F.least(F.pmod(F.col("start") - F.col("taken"), F.lit(cfg.sectors)), F.pmod(F.col("taken") - F.col("start"), F.lit(cfg.sectors)))
-    w = w.where((gap >= exclude_gap) & (F.col("n") >= least) & (F.col("sl") > 1e-9)).withColumn("ratio", F.round(F.col("su") / F.col("sl"), 9)).where(F.col("ratio").isNotNull())
-    return w.groupBy("scan_id").agg(F.max_by("start", F.struct("ratio", (-F.col("start")).alias("f"))).alias("start"), F.max("ratio").alias("ratio"))
+def context_cells(p: DataFrame, cfg: DescriptorConfig) -> DataFrame:
+    """(scan_id, ring, sector, top, low, up): the highest point of a column, of its lower layer, and the lowest of its upper layer."""
+    h, lower = F.col("h"), F.col("h") <= cfg.split_height
+    return polar(p, cfg).groupBy("scan_id", "ring", "sector").agg(F.max(h).alias("top"), F.max(F.when(lower, h)).alias("low"), F.min(F.when(~lower, h)).alias("up"))
+
+
+def detail_windows(cells: DataFrame, cfg: DescriptorConfig, width: int = 12, least: int = 30, gap: float = 0.3) -> DataFrame:
+    """Per scan three windows of sectors in turn, each apart from those before it: ``mixed``, ``gap`` and ``ratio``.
+
+    mixed: most columns that both layers fill. gap: most overhead columns whose top lies more than ``gap`` over their upper layer, with
+    the median of what they lie over it. ratio: the greatest spread of the lower layer over the spread of the tops of overhead
+    columns (1e-6 added), both of at least ``least`` cells. Overhead: the top is over the split. Windows wrap around; the
+    first of equals is taken; where nothing fits, the start is -1. Input: :func:`context_cells`.
+    """
+    n, overhead = cfg.sectors, F.col("top") > cfg.split_height
+    hollow = overhead & (F.col("top") - F.col("up") > gap)
+    starts = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.pmod(F.col("sector") - k, F.lit(n)).cast("int"))
+    tops = F.when(overhead, F.col("top"))
+    w = cells.withColumn("start", F.explode(starts)).groupBy("scan_id", "start").agg(
+        F.count_if(F.col("low").isNotNull() & F.col("up").isNotNull()).alias("mixed"), F.count_if(hollow).alias("gaps"), F.percentile(F.when(hollow, F.col("top") - F.col("up")), F.lit(0.5)).alias("median"),
+        F.count("low").alias("lows"), F.stddev_pop("low").alias("low_std"), F.count(tops).alias("tops"), F.stddev_pop(tops).alias("top_std"),
+    )
+    fit = (F.col("lows") >= least) & (F.col("tops") >= least)
+    w = w.withColumn("ratio", F.when(fit, F.col("low_std") / (F.col("top_std") + 1e-6)))
+    # one short list a scan: the choices follow from each other without another shuffle
+    d = w.groupBy("scan_id").agg(F.array_sort(F.collect_list(F.struct("start", "mixed", "gaps", "median", "ratio", "low_std", "top_std"))).alias("all"))
+    none = F.expr("named_struct('start', -1, 'mixed', 0L, 'gaps', 0L, 'median', 0.0D, 'ratio', 0.0D, 'low_std', 0.0D, 'top_std', 0.0D)")
+    near = lambda a, b: F.least(F.pmod(a - b, F.lit(n)), F.pmod(b - a, F.lit(n))) < width
+
+    def best(by: str, taken: list[Column]) -> Column:
+        free = lambda x: ~F.coalesce(*[F.when((t >= 0) & near(x["start"], t), F.lit(True)) for t in taken], F.lit(False)) if taken else F.lit(True)
+        return F.aggregate("all", none, lambda a, x: F.when(free(x) & (F.coalesce(x[by].cast("double"), F.lit(0.0)) > a[by].cast("double")), x).otherwise(a))
+
+    d = d.withColumn("m", best("mixed", [])).withColumn("m_at", F.greatest(F.col("m.start"), F.lit(0)))
+    d = d.withColumn("g", best("gaps", [F.col("m_at")])).withColumn("r", best("ratio", [F.col("m_at"), F.col("g.start")]))
+    return d.select("scan_id", F.col("m_at").alias("mixed_start"), F.col("m.mixed").alias("mixed_cells"), F.col("g.start").alias("gap_start"), F.col("g.gaps").alias("gap_cells"), F.col("g.median").alias("gap_median"), F.col("r.start").alias("ratio_start"), F.col("r.ratio").alias("ratio"), F.col("r.low_std").alias("low_std"), F.col("r.top_std").alias("top_std"))

@@ -39,6 +39,38 @@ def error_summary(rows: DataFrame, c: str, by=()) -> DataFrame:
     return ok.groupBy(*by).agg(F.count("*").alias("n"), quantile(c, 0.5).alias("median"), quantile(c, 0.95).alias("p95"), F.max(c).alias("max"))
 
 
+def yaw_errors(candidates: DataFrame, ranks: DataFrame, reference: DataFrame, key: str) -> DataFrame:
+    """(query_id, dt, error) in radians of the yaw seed of correct best candidates, against the reference of the nearest stamp.
+
+    Candidates are (key, query_id, rank, stamp, yaw, yaw_shift), ranks of :func:`first_correct_rank`, the reference (key, stamp, yaw);
+    ``key`` names the session, a time line of its own.
+    """
+    from placerec.functions import geom as G
+    from placerec.operators.trajectory import asof_nearest
+
+    top = candidates.where("rank = 1").join(ranks.where("first_rank = 1").select("query_id"), "query_id")
+    top = top.select(key, "query_id", "stamp", G.seed_yaw(F.col("yaw"), F.col("yaw_shift")).alias("seed"))
+    near = asof_nearest(top, reference.select(key, "stamp", "yaw"), key, tie="later")
+    return near.select("query_id", "dt", F.abs(G.wrap(F.col("seed") - F.col("ref_yaw"))).alias("error"))
+
+
+def vertical_errors(candidates: DataFrame, truth: DataFrame, radius: float, offset: float = 0.0) -> DataFrame:
+    """(query_id, estimate, reference, error) of the highest-ranked candidate within the radius; queries without one are left out.
+
+    Candidates are (query_id, rank, x, y, z, vertical_shift), truth (query_id, tx, ty, tz).
+    """
+    j = candidates.join(truth, "query_id")
+    near = j.where(F.sqrt((F.col("x") - F.col("tx")) ** 2 + (F.col("y") - F.col("ty")) ** 2) <= radius)
+    best = near.groupBy("query_id").agg(F.min_by(F.struct((F.col("vertical_shift") + offset).alias("estimate"), (F.col("tz") - F.col("z")).alias("reference")), "rank").alias("b"))
+    return best.select("query_id", "b.estimate", "b.reference", (F.col("b.estimate") - F.col("b.reference")).alias("error"))
+
+
+def signed_summary(rows: DataFrame, c: str) -> DataFrame:
+    """One row of signed errors: count, mean and root mean square size, median, spread between quartiles, p95 of the size."""
+    e = F.col(c)
+    return rows.agg(F.count("*").alias("n"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"), quantile(c, 0.5).alias("median"), (quantile(c, 0.75) - quantile(c, 0.25)).alias("iqr"), F.percentile(F.abs(e), F.lit(0.95)).alias("p95"))
+
+
 def nearest_quantile(rows: DataFrame, c: str, q: float, by: str) -> DataFrame:
     """The value at the index nearest to q (n - 1), halves to even."""
     w = Window.partitionBy(by)
@@ -88,8 +120,8 @@ def latency_summary(rows: DataFrame, by: str, total: str, ordinal: str, limit: f
 
 def macro(rows: DataFrame, dataset: str, weight: str, value: str) -> DataFrame:
     """Dataset rows with the mean over datasets of each weight, as one GROUPING SETS aggregation."""
-    rows.createOrReplaceTempView("_macro_rows")
-    return rows.sparkSession.sql(f"SELECT coalesce({dataset}, 'macro') AS {dataset}, {weight}, avg({value}) AS {value}, grouping({dataset}) = 1 AS is_macro FROM _macro_rows GROUP BY GROUPING SETS (({dataset}, {weight}), ({weight}))")
+    g = rows.groupingSets([[F.col(dataset), F.col(weight)], [F.col(weight)]], dataset, weight).agg(F.avg(value).alias("_value"), (F.grouping(dataset) == 1).alias("is_macro"))
+    return g.select(F.coalesce(dataset, F.lit("macro")).alias(dataset), weight, F.col("_value").alias(value), "is_macro")
 
 
 def delta_from(rows: DataFrame, by: str, weight: str, value: str, at: float) -> DataFrame:

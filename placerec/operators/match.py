@@ -233,6 +233,28 @@ def candidates(hyps: DataFrame, query_entries: DataFrame, map_entries: DataFrame
     return out.select(*CANDIDATE_COLUMNS, "yaw_matches")
 
 
+def scpp_retrieve(queries: DataFrame, base: DataFrame, cfg: DescriptorConfig, k: int) -> DataFrame:
+    """(query_id, map_id, root_id, distance, shift, rank): the k frames of least key distance over their roots, by the least exact distance over them.
+
+    Both sides are cells (scan_id, root_id, ring, sector, h); a query is seen from root 0. A key is the mean of each ring.
+    """
+    from placerec.operators import descriptor as D
+
+    frame = lambda c: c.select(F.struct("scan_id", "root_id").alias("scan_id"), "ring", "sector", "h")
+    q, m = queries.where("root_id = 0").drop("root_id"), frame(base)
+    mean = lambda c, at, n, over: D._dense(c.groupBy("scan_id", at).agg((F.sum("h") / over).alias("v")), at, n)
+    qk = mean(q, "ring", cfg.rings, cfg.sectors).select(F.col("scan_id").alias("query_id"), F.col("key").alias("a"))
+    mk = mean(m, "ring", cfg.rings, cfg.sectors).select(F.col("scan_id").alias("root"), F.col("key").alias("b"))
+    near = all_pairs(qk, mk).groupBy("query_id", F.col("root.scan_id").alias("frame")).agg(F.min(l2("a", "b")).alias("distance"))
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "frame"))).where(F.col("r") <= k)
+    roots = m.select("scan_id").distinct().select(F.col("scan_id").alias("map_id"), F.col("scan_id.scan_id").alias("frame"))
+    pairs = near.join(roots, "frame").select("query_id", "map_id")
+    pairs = coarse_yaw(pairs, mean(q, "sector", cfg.sectors, cfg.rings), mean(m, "sector", cfg.sectors, cfg.rings), cfg.sectors)
+    best = best_turn(context_distances(turns_near(pairs, cfg.sectors, cfg.search_radius).drop("coarse"), q, m, cfg.sectors))
+    least = best.groupBy("query_id", F.col("map_id.scan_id").alias("frame")).agg(F.min(F.struct("distance", "shift", F.col("map_id.root_id").alias("root_id"))).alias("b"))
+    return rank(least.select("query_id", F.col("frame").alias("map_id"), "b.root_id", "b.distance", "b.shift"))
+
+
 def context_distances(turned: DataFrame, q: DataFrame, m: DataFrame, sectors: int) -> DataFrame:
     """Mean column cosine distance of max-height contexts over columns with cells on both sides; 1 without any."""
     norm = lambda c, key, name: c.groupBy(F.col("scan_id").alias(key), "sector").agg(F.sum(F.col("h") * F.col("h")).alias(name)).where(F.col(name) > 0)

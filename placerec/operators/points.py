@@ -66,6 +66,32 @@ def to_world(p: DataFrame, poses: DataFrame) -> DataFrame:
     return d.select(*[k for k in p.columns if k not in "xyz"], (c * F.col("x") - s * F.col("y") + F.col("p_x")).alias("x"), (s * F.col("x") + c * F.col("y") + F.col("p_y")).alias("y"), (F.col("z") + F.col("p_z")).alias("z"))
 
 
+def to_world_full(p: DataFrame, poses: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0)) -> DataFrame:
+    """Rigid transform of each scan by its whole pose (x, y, z, qx, qy, qz, qw), seen from an origin."""
+    q = ("qx", "qy", "qz", "qw")
+    m = G.quaternion_matrix(*[F.col(c) for c in q])
+    # twelve columns a scan, not a matrix a point
+    rows = poses.select("scan_id", *[m[i][j].alias(f"_m{i}{j}") for i in range(3) for j in range(3)], *[(F.col(c) - o).alias(f"_t{c}") for c, o in zip("xyz", origin, strict=True)])
+    moved = G.rotate([[F.col(f"_m{i}{j}") for j in range(3)] for i in range(3)], F.col("x"), F.col("y"), F.col("z"))
+    return p.join(rows, "scan_id").select(*[k for k in p.columns if k not in "xyz"], *[(v + F.col(f"_t{c}")).alias(c) for v, c in zip(moved, "xyz", strict=True)])
+
+
+def point_times(p: DataFrame, time: str = "t") -> DataFrame:
+    """``time`` of each point since its scan's first, in nanoseconds, whatever unit it came in.
+
+    A scan spans at most 0.2 s, so a span of up to 0.2 is in seconds, up to 200 in milliseconds, up to 200,000 in microseconds, beyond in
+    nanoseconds. Where times are absent, not finite, or span nothing or too much, a tenth of a second is dealt out by order.
+    """
+    w, order = Window.partitionBy("scan_id"), Window.partitionBy("scan_id").orderBy("ord")
+    since = F.col(time) - F.min(time).over(w)
+    d = p.withColumn("_since", since).withColumn("_span", F.max("_since").over(w)).withColumn("_n", F.count("*").over(w))
+    unit = F.when(F.col("_span") <= 0.2, 1e9).when(F.col("_span") <= 200.0, 1e6).when(F.col("_span") <= 200_000.0, 1e3).otherwise(1.0)
+    ok = F.coalesce(F.bool_and(G.finite(F.col(time)) & F.col(time).isNotNull()).over(w) & (F.col("_span") * unit > 1.0) & (F.col("_span") * unit <= 200_000_000.0), F.lit(False))
+    dealt = F.coalesce(F.floor((F.row_number().over(order) - 1) * F.try_divide(F.lit(99_999_999.0), F.col("_n") - 1)), F.lit(0))
+    at = F.when(ok, F.floor(F.least(F.greatest(F.col("_since") * unit, F.lit(0.0)), F.lit(200_000_000.0)))).otherwise(dealt)
+    return d.withColumn(time, at.cast("long")).drop("_since", "_span", "_n")
+
+
 def to_reference(world: DataFrame, rx: Column, ry: Column, rz: Column, yaw: Column | None = None) -> DataFrame:
     """World points seen from a reference: moved to it, and turned into its axes if it has a yaw."""
     dx, dy = F.col("x") - rx, F.col("y") - ry
@@ -79,7 +105,9 @@ def _voxel(leaf: float, axes=("x", "y", "z")) -> list[Column]:
 
 
 def voxel_centroids(p: DataFrame, leaf: float) -> DataFrame:
-    return p.groupBy("scan_id", *_voxel(leaf)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n"))
+    """The mean of each voxel's points, of all their numbers (intensity too), and how many there are."""
+    fields = [c for c, t in p.dtypes if c not in ("scan_id", "x", "y", "z", "n") and t in ("double", "float", "int", "bigint", "smallint", "tinyint")]
+    return p.groupBy("scan_id", *_voxel(leaf)).agg(*[F.avg(c).alias(c) for c in ("x", "y", "z", *fields)], F.count("*").alias("n"))
 
 
 def voxel_first(p: DataFrame, leaf: float) -> DataFrame:

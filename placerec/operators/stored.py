@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from placerec.config import DescriptorConfig
-from placerec.folders import saved
+from placerec.folders import kept, saved
 from placerec.functions import geom as G
 from placerec.operators import descriptor as D
 from placerec.operators import match as R
@@ -96,6 +96,27 @@ def _marked(cells: DataFrame, cfg: DescriptorConfig) -> DataFrame:
     return cells.withColumn("n", F.count("*").over(column).cast("int")).withColumn("edge", edge)
 
 
+def described(points: DataFrame, cfg: DescriptorConfig) -> DataFrame:
+    """The cells of clouds as a map stores them, by one shuffle on the scan for all that follows."""
+    cells = D.envelope_cells(points, cfg).select(F.col("scan_id").cast("long").alias("scan_id"), "layer", "ring", "sector", "h")
+    return _marked(cells.repartition("scan_id"), cfg)
+
+
+def summaries(cells: DataFrame, cfg: DescriptorConfig) -> DataFrame:
+    """(scan_id, has_lower, has_upper, cells, ring_key, sector_key, columns) of scans that have cells."""
+    n = F.map_from_entries(F.collect_set(F.struct((F.col("layer") * cfg.sectors + F.col("sector")).alias("at"), "n")))
+    flags = cells.groupBy("scan_id").agg(F.bool_or(F.col("layer") == 0).alias("has_lower"), F.bool_or(F.col("layer") == 1).alias("has_upper"), F.count("*").alias("cells"), n.alias("n"))
+    columns = F.transform(F.sequence(F.lit(0), F.lit(2 * cfg.sectors - 1)), lambda i: F.coalesce(F.element_at("n", i), F.lit(0)))
+    return flags.join(_keys(cells, cfg), "scan_id").withColumn("columns", columns).drop("n")
+
+
+def queries_of(points: DataFrame, cfg: DescriptorConfig) -> StoredMap:
+    """Clouds as the query side of a retrieval, not written anywhere: poses are unknown, scans without points in range are left out."""
+    cells = described(points.select("scan_id", "x", "y", "z"), cfg)
+    e = summaries(cells, cfg).select("scan_id", *[F.lit(None).cast("double").alias(x) for x in POSE], "has_lower", "has_upper", "cells", "ring_key", "sector_key", "columns")
+    return StoredMap(cfg, e, cells, None, {})
+
+
 def _bucketed(df: DataFrame, path: str, buckets: int) -> None:
     """One sorted file a bucket."""
     name = f"placerec_{uuid.uuid4().hex}"
@@ -127,19 +148,20 @@ def build(points: DataFrame, entries: DataFrame, path: str, cfg: DescriptorConfi
     p = points.select("scan_id", "x", "y", "z") if gravity is None else P.level(points.select("scan_id", "x", "y", "z"), gravity)
     p = P.shift_z(p, z_offset) if z_offset else p
     cfg, found = choose_split(p, cfg)
-    cells = D.envelope_cells(p, cfg).select(F.col("scan_id").cast("long").alias("scan_id"), "layer", "ring", "sector", "h")
-    _bucketed(_marked(cells.repartition(buckets, "scan_id"), cfg), f"{path}/cells", buckets)
-    c = _table(spark, f"{path}/cells", CELLS, buckets)
-    n = F.map_from_entries(F.collect_set(F.struct((F.col("layer") * cfg.sectors + F.col("sector")).alias("at"), "n")))
-    slots = F.sequence(F.lit(0), F.lit(2 * cfg.sectors - 1))
-    flags = c.groupBy("scan_id").agg(F.bool_or(F.col("layer") == 0).alias("has_lower"), F.bool_or(F.col("layer") == 1).alias("has_upper"), F.count("*").alias("cells"), n.alias("n"))
-    of = flags.join(_keys(c, cfg), "scan_id")
+    return _stored(described(p, cfg), entries, path, cfg, found, buckets)
+
+
+def _stored(cells: DataFrame, entries: DataFrame, path: str, cfg: DescriptorConfig, found: dict, buckets: int) -> StoredMap:
+    """Writes cells, entries, index and, last, the configuration."""
+    spark = cells.sparkSession
+    _bucketed(cells, f"{path}/cells", buckets)
+    of = summaries(_table(spark, f"{path}/cells", CELLS, buckets), cfg)
     e = entries.select(F.col("scan_id").cast("long").alias("scan_id"), *[F.col(x).cast("double").alias(x) for x in POSE]).join(of, "scan_id", "full")
     zeros = lambda k: F.array_repeat(F.lit(0.0), k)
     e = e.select(
         "scan_id", *POSE, F.coalesce("has_lower", F.lit(False)).alias("has_lower"), F.coalesce("has_upper", F.lit(False)).alias("has_upper"), F.coalesce("cells", F.lit(0)).alias("cells"),
         F.coalesce("ring_key", zeros(cfg.layers * cfg.rings)).alias("ring_key"), F.coalesce("sector_key", zeros(cfg.sectors)).alias("sector_key"),
-        F.transform(slots, lambda i: F.coalesce(F.element_at(F.coalesce("n", F.create_map().cast("map<int,int>")), i), F.lit(0))).alias("columns"),
+        F.coalesce("columns", F.array_repeat(F.lit(0), 2 * cfg.sectors)).alias("columns"),
     )
     _bucketed(e, f"{path}/entries", buckets)
     stored = _table(spark, f"{path}/entries", ENTRIES, buckets)
@@ -159,6 +181,31 @@ def open_map(spark: SparkSession, path: str) -> StoredMap:
     return StoredMap(cfg, _table(spark, f"{path}/entries", ENTRIES, about["buckets"]), _table(spark, f"{path}/cells", CELLS, about["buckets"]), index, about["split"])
 
 
+def database_rows(m: StoredMap) -> tuple[DataFrame, dict]:
+    """(scan_id, ``POSE``, h) and the parameters, as the data source ``descriptor_db`` writes them; h is row-major, null where nothing is valid."""
+    c = m.cfg
+    at = (F.col("layer") * c.rings + F.col("ring")) * c.sectors + F.col("sector")
+    h = m.cells.groupBy("scan_id").agg(F.map_from_entries(F.collect_list(F.struct(at.alias("at"), "h"))).alias("m"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(c.layers * c.rings * c.sectors - 1)), lambda i: F.element_at("m", i))
+    rows = m.entries.select("scan_id", *POSE).join(h, "scan_id", "left").select("scan_id", *POSE, F.when(F.col("m").isNull(), F.array_repeat(F.lit(None).cast("double"), c.layers * c.rings * c.sectors)).otherwise(dense).alias("h"))
+    return rows, {"rings": c.rings, "sectors": c.sectors, "max_radius": c.max_radius, "dual_layer": c.dual_layer, "split_height": c.split_height, "origin_height": c.origin_height, "lower_weight": c.lower_weight, "upper_weight": c.upper_weight, "min_joint_rings": c.min_joint_rings, "gravity": c.gravity_canonicalized}
+
+
+def from_database(rows: DataFrame, path: str, max_radius: float, cfg: DescriptorConfig | None = None, buckets: int | None = None) -> StoredMap:
+    """A stored map of database entries (``descriptor_db``); scoring settings that a file does not hold are those of ``cfg``."""
+    from placerec.sources import descriptor_db
+
+    spark = rows.sparkSession
+    shape = ("rings", "sectors", "dual_layer", "split_height", "origin_height", "lower_weight", "upper_weight", "min_joint_rings")
+    kinds = rows.select(*shape, "gravity").distinct().limit(2).collect()
+    if len(kinds) != 1:
+        raise ValueError("entries of one map have the same parameters")
+    cfg = (cfg or DescriptorConfig()).with_(max_radius=max_radius, gravity_canonicalized=kinds[0].gravity, **{c: kinds[0][c] for c in shape})
+    cells = descriptor_db.cells_of(rows).select(F.col("scan_id").cast("long").alias("scan_id"), "layer", "ring", "sector", "h").repartition("scan_id")
+    found = {"adapted": False, "enabled": cfg.dual_layer, "split": cfg.split_height, "score": 0.0, "keyframes": 0, "support": 0}
+    return _stored(_marked(cells, cfg), rows.select("scan_id", *POSE), path, cfg, found, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def shortlist(queries: StoredMap, base: StoredMap, k: int | None = None, exhaustive: bool = False) -> DataFrame:
     """(query_id, map_id, distance, rank): the k entries of the nearest ring keys, through the index of the whole map."""
     k = max(1, k or base.cfg.shortlist)
@@ -171,14 +218,14 @@ def shortlist(queries: StoredMap, base: StoredMap, k: int | None = None, exhaust
 
 
 def turns(queries: StoredMap, base: StoredMap, pairs: DataFrame, cfg: DescriptorConfig) -> DataFrame:
-    """A row for each pair and turn near the coarse one, with both sides' supports, flags and the pose columns of the map's."""
+    """A row for each pair and turn near the coarse one, with both sides' supports and flags; a few rows a candidate, written once."""
     s = cfg.sectors
     support = lambda k: F.size(F.filter(F.slice("columns", k * s + 1, s), lambda n: n >= cfg.min_joint_rings))
     side = lambda e, key, tag, vec: e.select(F.col("scan_id").alias(key), F.col("sector_key").alias(vec), F.col("has_lower").alias(f"{tag}0"), F.col("has_upper").alias(f"{tag}1"), support(0).alias(f"s{tag}0"), support(1).alias(f"s{tag}1"))
     d = pairs.select("query_id", "map_id").join(side(queries.entries, "query_id", "q", "qs"), "query_id").join(side(base.entries, "map_id", "m", "ms"), "map_id")
     cost = lambda t: F.aggregate(F.sequence(F.lit(0), F.lit(s - 1)), F.lit(0.0), lambda a, c: a + F.pow(F.element_at("qs", (c + 1).cast("int")) - F.element_at("ms", (F.pmod(c - t, F.lit(s)) + 1).cast("int")), F.lit(2.0)))
     every = F.transform(F.sequence(F.lit(0), F.lit(s - 1)), lambda t: F.struct(F.round(cost(t), 9).alias("cost"), t.alias("shift")))
-    return R.turns_near(d.withColumn("coarse", F.array_min(every)["shift"]).drop("qs", "ms"), s, cfg.search_radius).drop("coarse")
+    return kept(R.turns_near(d.withColumn("coarse", F.array_min(every)["shift"]).drop("qs", "ms"), s, cfg.search_radius).drop("coarse"), "turns")
 
 
 def scores(queries: StoredMap, base: StoredMap, turned: DataFrame, cfg: DescriptorConfig, omittable: DataFrame | None = None, weights: DataFrame | None = None) -> DataFrame:
@@ -217,6 +264,7 @@ def retrieve_full(queries: StoredMap, base: StoredMap, cfg: DescriptorConfig | N
     turned = turns(queries, base, shortlist(queries, base, cfg.shortlist), cfg)
     hyps = R.yaw_hypotheses(scores(queries, base, turned, cfg, omittable), cfg).select("query_id", "map_id", F.posexplode("hyps").alias("n", "h")).select("query_id", "map_id", "n", "h.distance", "h.shift")
     if cfg.dual_layer and cfg.vertical_estimation:
+        hyps = kept(hyps, "hypotheses")
         hyps = hyps.join(V.vertical_shift(residuals(queries, base, hyps, cfg), cfg, hyps), ["query_id", "map_id", "shift"])
     else:
         hyps = hyps.withColumn("dz", F.lit(0.0))

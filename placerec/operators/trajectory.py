@@ -9,18 +9,56 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placerec.functions import geom as G
+from placerec.operators.neighbours import Grid
 
 
+def _kept(points: np.ndarray, last: np.ndarray | None, spacing: float) -> list[int]:
+    """Rows at least ``spacing`` from the last one kept, looked for in runs that double until one is found."""
+    kept, at, run = [], 0, 64
+    if last is None and len(points):
+        kept, last, at = [0], points[0], 1
+    while at < len(points):
+        far = np.flatnonzero(np.sqrt(((points[at : at + run] - last) ** 2).sum(1)) >= spacing)
+        if len(far):
+            at += int(far[0])
+            kept.append(at)
+            last, at, run = points[at], at + 1, 64
+        else:
+            at, run = at + run, min(run * 2, 1 << 16)
+    return kept
+
 
 def spatial_keyframes(track: DataFrame, spacing: float, key: str = "track_id", order=("stamp", "event_id"), axes=("x", "y")) -> DataFrame:
     """Per track: the first row, then each row at least ``spacing`` from the last one kept.
 
-    A fold over a track's rows in order; a track's rows are the operator's state and must fit in a task.
+    Tracks are dealt out by key and sorted; a task passes over its rows once, a batch at a time, and carries the last kept
+    position from batch to batch. The work is linear in a track, however long, and nothing of it is gathered.
     """
-    rows = track.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order, *axes))).alias("rows"))
-    d2 = lambda a, b: sum((a[c] - b[c]) * (a[c] - b[c]) for c in axes)
-    kept = F.aggregate(F.slice("rows", 2, F.size("rows")), F.slice("rows", 1, 1), lambda got, x: F.when(F.sqrt(d2(x, F.element_at(got, -1))) >= spacing, F.concat(got, F.array(x))).otherwise(got))
-    return rows.select(key, F.explode(kept).alias("r")).select(key, "r.*")
+    import pyarrow as pa
+
+    rows = track.select(key, *order, *axes).repartition(key).sortWithinPartitions(key, *order)
+    first = 1 + len(order)
+
+    def run(batches):
+        now, last = None, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).dictionary_encode()
+            code = keys.indices.to_numpy(zero_copy_only=False)
+            points = np.stack([batch.column(first + c).to_numpy(zero_copy_only=False).astype(float) for c in range(len(axes))], 1)
+            edges = np.concatenate([[0], np.flatnonzero(code[1:] != code[:-1]) + 1, [len(code)]])
+            out = []
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                name = batch.column(0)[a].as_py()
+                if now is None or now[0] != name:
+                    now, last = (name,), None
+                kept = [a + i for i in _kept(points[a:b], last, spacing)]
+                out += kept
+                last = points[kept[-1]] if kept else last
+            yield batch.take(pa.array(out, pa.int64()))
+
+    return rows.mapInArrow(run, rows.schema)
 
 
 def asof_nearest(left: DataFrame, right: DataFrame, key: str, stamp: str = "stamp", tie: str = "earlier", tolerance: float | None = None) -> DataFrame:
@@ -47,42 +85,47 @@ def asof_nearest(left: DataFrame, right: DataFrame, key: str, stamp: str = "stam
     return out.select(key, "_l.*", "_n.*", "dt")
 
 
-def interpolate_poses(stamps: DataFrame, poses: DataFrame, key: str) -> DataFrame:
-    """Planar poses (x, y, yaw) at stamps, linear between neighbours, held beyond the ends."""
-    p = F.struct("stamp", "x", "y", "yaw")
+def _between(stamps: DataFrame, poses: DataFrame, key: str, columns: tuple[str, ...]) -> tuple[DataFrame, Column]:
+    """Stamps with the poses before (b) and after (a) them, one of them twice beyond the ends, and the share of the way between."""
+    p = F.struct("stamp", *columns)
     u = stamps.select(key, F.col("stamp").alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(poses.select(p.alias("p")).schema["p"].dataType).alias("_p"))
     v = poses.select(key, F.col("stamp").alias("_t"), F.lit(0).alias("_side"), p.alias("_p"))
     w = Window.partitionBy(key).orderBy("_t", "_side")
     j = u.unionByName(v).withColumn("b", F.last("_p", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("a", F.first("_p", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing))).where(F.col("_side") == 1)
     j = j.withColumns({"b": F.coalesce("b", "a"), "a": F.coalesce("a", "b")}).where(F.col("a").isNotNull())
     t = F.coalesce(F.try_divide(F.col("_t") - F.col("b.stamp"), F.col("a.stamp") - F.col("b.stamp")), F.lit(0.0))
-    t = G.clamp(t, 0.0, 1.0)
-    lerp = lambda c: (F.col(f"b.{c}") + (F.col(f"a.{c}") - F.col(f"b.{c}")) * t).alias(c)
-    return j.select(key, F.col("_t").alias("stamp"), lerp("x"), lerp("y"), G.slerp_yaw(F.col("b.yaw"), F.col("a.yaw"), t).alias("yaw"))
+    return j.withColumn("t", G.clamp(t, 0.0, 1.0)), F.col("t")
+
+
+def _lerp(c: str, t: Column) -> Column:
+    return (F.col(f"b.{c}") + (F.col(f"a.{c}") - F.col(f"b.{c}")) * t).alias(c)
+
+
+def interpolate_full(stamps: DataFrame, poses: DataFrame, key: str) -> DataFrame:
+    """Poses (x, y, z, qx, qy, qz, qw) at stamps: linear translation, shortest turn, held beyond the ends."""
+    q = ("qx", "qy", "qz", "qw")
+    j, t = _between(stamps, poses, key, ("x", "y", "z", *q))
+    turned = G.slerp([F.col(f"b.{c}") for c in q], [F.col(f"a.{c}") for c in q], t)
+    return j.select(key, F.col("_t").alias("stamp"), *[_lerp(c, t) for c in "xyz"], *[v.alias(c) for v, c in zip(turned, q, strict=True)])
 
 
-def nearest_pose(queries: DataFrame, base: DataFrame, cell: float) -> DataFrame:
+def interpolate_poses(stamps: DataFrame, poses: DataFrame, key: str) -> DataFrame:
+    """Planar poses (x, y, yaw) at stamps, linear between neighbours, held beyond the ends."""
+    j, t = _between(stamps, poses, key, ("x", "y", "yaw"))
+    return j.select(key, F.col("_t").alias("stamp"), _lerp("x", t), _lerp("y", t), G.slerp_yaw(F.col("b.yaw"), F.col("a.yaw"), t).alias("yaw"))
+
+
+def nearest_pose(queries: DataFrame, base: DataFrame) -> DataFrame:
     """(query_id, map_id, d): the nearest base pose in the plane, ties to the smaller id; poses that are not finite take no part.
 
-    Grid cells of growing reach are equi-joined; a query is settled once its best is nearer than the reach, so no side is
-    sent whole to all and most queries end in the first ring. The reach grows eightfold until it spans both sides.
+    Through a pivot index over the plane: bounded rings are equi-joined in blocks, so a far query meets the map's nearest
+    rings and never the whole of it in one task.
     """
-    fine = lambda p: p.where(F.coalesce(G.finite(F.col("x"), F.col("y")), F.lit(False)))
-    open_q, base = fine(queries).select(F.col("scan_id").alias("query_id"), "x", "y"), fine(base).select("scan_id", "x", "y")
-    box = open_q.select("x", "y").unionByName(base.select("x", "y")).agg(*[(F.max(c) - F.min(c)).alias(c) for c in "xy"]).first()
-    widest, reach, found = math.hypot(box.x or 0.0, box.y or 0.0), cell, None
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    while True:
-        at = lambda c: F.floor(F.col(c) / reach)  # noqa: E731, B023
-        a = open_q.withColumn("s", F.explode(steps)).select("query_id", "x", "y", (at("x") + F.col("s.i")).alias("gx"), (at("y") + F.col("s.j")).alias("gy"))
-        b = base.select(F.col("scan_id").alias("map_id"), F.col("x").alias("ox"), F.col("y").alias("oy"), at("x").alias("gx"), at("y").alias("gy"))
-        d = F.sqrt((F.col("x") - F.col("ox")) * (F.col("x") - F.col("ox")) + (F.col("y") - F.col("oy")) * (F.col("y") - F.col("oy")))
-        best = a.join(b, ["gx", "gy"]).withColumn("d", F.round(d, 9)).where(F.col("d") <= reach).groupBy("query_id").agg(F.min(F.struct("d", "map_id")).alias("b")).select("query_id", "b.map_id", "b.d")
-        found = best if found is None else found.unionByName(best)
-        if reach > widest:
-            return found
-        open_q = open_q.join(best, "query_id", "left_anti")
-        reach *= 8
+    from placerec.operators import metric as X
+
+    at = F.array(F.col("x").cast("double"), F.col("y").cast("double")).alias("at")
+    ix = X.index(base.select(F.col("scan_id").alias("map_id"), at), "map_id", "at", 2, lambda name, df: df)
+    return X.nearest(queries.select(F.col("scan_id").alias("query_id"), at), ix, 1, "query_id", "map_id", "at").select("query_id", "map_id", F.col("distance").alias("d"))
 
 
 def monotonic_violations(rows: DataFrame, key: str, order: str, stamp: str = "stamp") -> DataFrame:
@@ -218,17 +261,10 @@ def clock_offset_grid(source: DataFrame, truth: DataFrame, key: str, span: float
     return source.groupBy(key).cogroup(truth.groupBy("_key")).applyInPandas(solve, f"{key} {source.schema[key].dataType.simpleString()}, offset double, rmse double, n bigint, yaw double, lever array<double>")
 
 
-def _step(s: np.ndarray, t: np.ndarray, r: np.ndarray, m: np.ndarray, rounds: int, gate: float, least: int):
+def _step(s: np.ndarray, t: np.ndarray, near: Grid, r: np.ndarray, m: np.ndarray, rounds: int, gate: float, least: int):
     """Rounds of nearest neighbours within the gate and closed-form planar fits; the median distance of all points at the end."""
-    t32, half = t.astype(np.float32).T.copy(), ((t**2).sum(1) / 2).astype(np.float32)
-
-    def near(p):
-        # the least |t|^2 / 2 - p t is the nearest; its distance is taken in full precision
-        j = (half - p.astype(np.float32) @ t32).argmin(1)
-        return j, np.sqrt(((p - t[j]) ** 2).sum(1))
-
     for _ in range(rounds):
-        j, d = near(s @ r.T + m)
+        j, d = near.nearest(s @ r.T + m, gate)
         ok = d < gate
         if ok.sum() < least:
             return r, m, np.inf
@@ -236,17 +272,17 @@ def _step(s: np.ndarray, t: np.ndarray, r: np.ndarray, m: np.ndarray, rounds: in
         u, _, vt = np.linalg.svd((a - a.mean(0)).T @ (b - b.mean(0)))
         r = vt.T @ np.diag([1, np.sign(np.linalg.det(vt.T @ u.T))]) @ u.T
         m = b.mean(0) - r @ a.mean(0)
-    return r, m, float(np.median(near(s @ r.T + m)[1]))
+    return r, m, float(np.median(near.nearest(s @ r.T + m)[1]))
 
 
 def icp_planar(s: np.ndarray, t: np.ndarray, seeds: int = 180, least: int = 50) -> tuple[float, float, float, float]:
     """(yaw, tx, ty, median): centroids joined and ``seeds`` yaws tried, 8 rounds at 1.5 m each; the best refined by 25 at 0.6 m."""
-    best = (np.eye(2), np.zeros(2), np.inf)
+    best, near = (np.eye(2), np.zeros(2), np.inf), Grid(t)
     for yaw in np.arange(seeds) * 2 * np.pi / seeds:
         r = np.array([[np.cos(yaw), -np.sin(yaw)], [np.sin(yaw), np.cos(yaw)]])
-        got = _step(s, t, r, t.mean(0) - r @ s.mean(0), 8, 1.5, least)
+        got = _step(s, t, near, r, t.mean(0) - r @ s.mean(0), 8, 1.5, least)
         best = got if got[2] < best[2] else best
-    r, m, median = _step(s, t, best[0], best[1], 25, 0.6, least)
+    r, m, median = _step(s, t, near, best[0], best[1], 25, 0.6, least)
     return float(np.arctan2(r[1, 0], r[0, 0])), float(m[0]), float(m[1]), median
 
 

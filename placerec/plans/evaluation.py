@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placerec import domain as M
-from placerec.functions import geom as G
+from placerec.folders import kept
 from placerec.operators import evaluate as E
 from placerec.operators import match as R
+from placerec.operators import stored as S
+from placerec.operators import vertical as V
+from placerec.plans.pointwise import CFG
 from placerec.plans.register import registry, rounded
-from placerec.plans.retrieval import _vectors
+from placerec.plans.retrieval import FULL, RESIDUALS, _vectors, sides
 
 QUERIES, query = registry()
 
@@ -108,22 +111,38 @@ def mcnemar(spark, d):
     return rounded(E.mcnemar(flags(spark, d), "quality", "toxic", "method"))
 
 
-@query(f"""WITH {M.POSES}, e AS (SELECT scan_id, yaw * 3 - 1.3::DOUBLE - yaw AS a FROM poses), r AS (SELECT abs(a - 2*pi() * round_even(a / (2*pi()), 0)) AS e FROM e)
-SELECT round(degrees(median(e)), 5) AS median, round(degrees(quantile_cont(e, 0.95)), 5) AS p95, round(degrees(max(e)), 5) AS max FROM r""")
+#: The flagship's candidates with the poses of both sides, and the rank of the first within 12 m.
+_RANKED = f"""{{}}, {M.POSES}, ranked AS (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY distance, map_id) AS rank FROM best b),
+near AS (SELECT r.*, q.z AS qz, q.yaw AS q_yaw, m.z AS mz, m.yaw AS m_yaw, sqrt((q.x-m.x)*(q.x-m.x) + (q.y-m.y)*(q.y-m.y)) <= 12 AS ok FROM ranked r JOIN poses q ON q.scan_id = query_id JOIN poses m ON m.scan_id = map_id)"""
+
+
+def retrieved(spark, d):
+    """The flagship's candidates and the truth of their queries."""
+    q, m = sides(spark, d)
+    c = kept(S.retrieve(q, m), "candidates").join(m.entries.select(F.col("scan_id").alias("map_id"), "x", "y", "z", "yaw"), "map_id")
+    c = c.join(q.entries.select(F.col("scan_id").alias("query_id"), "stamp"), "query_id")
+    return q, m, c, q.entries.select(F.col("scan_id").alias("query_id"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz"))
+
+
+@query(f"""WITH {_RANKED.format(FULL)}, e AS (SELECT m_yaw - shift * 2 * pi() / 12 - q_yaw AS a FROM near WHERE rank = 1 AND ok), r AS (SELECT abs(a - 2*pi() * round_even(a / (2*pi()), 0)) AS e FROM e)
+SELECT count(*) AS n, 0.0::DOUBLE AS dt, round(degrees(median(e)), 5) AS median, round(degrees(quantile_cont(e, 0.95)), 5) AS p95, round(degrees(max(e)), 5) AS max FROM r""")
 def yaw_error(spark, d):
-    e = M.poses(spark, d).select(F.abs(G.wrap(G.wrap(F.col("yaw") * 3 - 1.3) - F.col("yaw"))).alias("e"))
-    return rounded(e.agg(F.degrees(F.percentile("e", F.lit(0.5))).alias("median"), F.degrees(F.percentile("e", F.lit(0.95))).alias("p95"), F.degrees(F.max("e")).alias("max")), 5)
+    """Yaw seeds of correct best candidates against the poses, by stamp."""
+    q, _, c, truth = retrieved(spark, d)
+    session = F.lit(1).alias("session")
+    e = E.yaw_errors(c.select("*", session), E.first_correct_rank(c, truth, 12.0), q.entries.select("stamp", "yaw", session), "session")
+    return rounded(e.agg(F.count("*").alias("n"), F.max("dt").alias("dt"), F.degrees(F.percentile("error", F.lit(0.5))).alias("median"), F.degrees(F.percentile("error", F.lit(0.95))).alias("p95"), F.degrees(F.max("error")).alias("max")), 5)
 
 
-@query(f"""WITH {CANDS}, h AS (SELECT query_id, min(struct_pack(rank := rank, vec_id := vec_id)) FILTER (mp = qp) AS b FROM cand GROUP BY 1), e AS (SELECT (query_id % 13 - b.vec_id % 11) * 0.01::DOUBLE AS e FROM h WHERE b IS NOT NULL)
+@query(f"""WITH {_RANKED.format(RESIDUALS)}, h AS (SELECT query_id, min(struct_pack(rank := rank, map_id := map_id)) AS b FROM near WHERE ok GROUP BY 1),
+e AS (SELECT CASE WHEN dz BETWEEN -2 AND 2 THEN dz ELSE 0 END + 0.05::DOUBLE - (qz - mz) AS e FROM h JOIN near n ON n.query_id = h.query_id AND n.map_id = h.b.map_id LEFT JOIN vs ON vs.query_id = n.query_id AND vs.map_id = n.map_id)
 SELECT count(*) AS n, round(avg(abs(e)), 6) AS mae, round(sqrt(avg(e*e)), 6) AS rmse, round(median(e), 6) + 0.0::DOUBLE AS median, round(quantile_cont(e, 0.75) - quantile_cont(e, 0.25), 6) AS iqr, round(quantile_cont(abs(e), 0.95), 6) AS p95 FROM e""")
 def vertical_error(spark, d):
-    """Error of an estimate on the highest-ranked correct candidate of each query."""
-    c = candidates(spark, d).join(truth(spark, d), "query_id").where(F.abs(F.col("x") - F.col("tx")) <= 0.5)
-    best = c.groupBy("query_id").agg(F.min_by("vec_id", "rank").alias("vec_id"))
-    e = best.select(((F.col("query_id") % 13 - F.col("vec_id") % 11) * 0.01).alias("e"))
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    return rounded(e.agg(F.count("*").alias("n"), F.avg(F.abs("e")).alias("mae"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), q("e", 0.5).alias("median"), (q("e", 0.75) - q("e", 0.25)).alias("iqr"), q(F.abs("e"), 0.95).alias("p95")))
+    """Vertical offsets of the highest-ranked correct candidate of each query against the poses' heights."""
+    q, m, c, truth = retrieved(spark, d)
+    best = c.select("query_id", "map_id", "shift")
+    dz = V.vertical_shift(S.residuals(q, m, best, CFG), CFG, best).select("query_id", "map_id", F.col("dz").alias("vertical_shift"))
+    return rounded(E.signed_summary(E.vertical_errors(c.join(dz, ["query_id", "map_id"]), truth, 12.0, 0.05), "error"))
 
 
 @query(f"WITH {CANDS} SELECT count(*) AS queries, count(*) FILTER (candidates > 0) AS covered, round(count(*) FILTER (candidates > 0) / count(*), 6) AS share, count(*) FILTER (candidates = 0) AS empty FROM fr")
@@ -173,11 +192,16 @@ def overlap_audit(spark, d):
     from placerec.operators import trajectory as T
 
     p = M.poses(spark, d)
-    n = T.nearest_pose(p.where("scan_id % 2 = 1"), p.where("scan_id % 2 = 0"), 4.0)
+    n = T.nearest_pose(p.where("scan_id % 2 = 1"), p.where("scan_id % 2 = 0"))
     return rounded(n.agg(F.count("*").alias("n"), F.count_if(F.col("d") <= 5).alias("eligible"), F.percentile("d", F.lit(0.5)).alias("median"), F.percentile("d", F.lit(0.95)).alias("p95"), F.max("d").alias("max")))
 
 
-@query(f"WITH {CANDS} SELECT query_id, vec_id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (ORDER BY distance, query_id) AS r FROM cand WHERE rank = 1 AND mp = qp) WHERE r = 1")
+@query(f"""WITH {_RANKED.format(FULL)}, mx AS (SELECT scan_id, count(*) AS mixed FROM (SELECT scan_id, ring, sector FROM cells GROUP BY 1, 2, 3 HAVING count(*) = 2) GROUP BY 1)
+SELECT query_id, map_id, coalesce(mixed, 0) AS mixed FROM near LEFT JOIN mx ON scan_id = query_id WHERE rank = 1 AND ok ORDER BY mixed DESC, query_id LIMIT 1""")
 def argmax_filtered(spark, d):
-    c = candidates(spark, d).join(truth(spark, d), "query_id").where((F.col("rank") == 1) & (F.col("x") == F.col("tx")))
-    return rounded(c.agg(F.min_by(F.struct("query_id", "vec_id", "distance"), F.struct("distance", "query_id")).alias("b")).select("b.*"))
+    """Of the queries whose best candidate is correct, the first one with the most columns that both layers fill."""
+    q, _, c, truth = retrieved(spark, d)
+    right = c.where("rank = 1").join(E.first_correct_rank(c, truth, 12.0).where("first_rank = 1").select("query_id"), "query_id")
+    both = q.cells.groupBy("scan_id", "ring", "sector").count().where("count = 2").groupBy(F.col("scan_id").alias("query_id")).agg(F.count("*").alias("mixed"))
+    r = right.join(both, "query_id", "left").select("query_id", "map_id", F.coalesce("mixed", F.lit(0)).alias("mixed"))
+    return r.agg(F.max_by(F.struct("query_id", "map_id", "mixed"), F.struct("mixed", -F.col("query_id"))).alias("b")).select("b.*")

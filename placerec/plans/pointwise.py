@@ -112,6 +112,18 @@ def reference_frame(spark, d):
     return rounded(p.groupBy("scan_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), 4)
 
 
+@query(f"""WITH {POINTS}, t AS (SELECT scan_id, {_ORD}, (l_orderkey % 1000) * CASE scan_id % 5 WHEN 0 THEN 1e-4::DOUBLE WHEN 1 THEN 0.1::DOUBLE WHEN 2 THEN 100::DOUBLE WHEN 3 THEN 100000::DOUBLE ELSE 0::DOUBLE END AS t FROM points),
+s AS (SELECT *, t - min(t) OVER w AS since, count(*) OVER w AS n, row_number() OVER (PARTITION BY scan_id ORDER BY {_ORD}) - 1 AS k FROM t WINDOW w AS (PARTITION BY scan_id)),
+u AS (SELECT *, max(since) OVER (PARTITION BY scan_id) AS span FROM s), v AS (SELECT *, CASE WHEN span <= 0.2 THEN 1e9::DOUBLE WHEN span <= 200 THEN 1e6::DOUBLE WHEN span <= 200000 THEN 1e3::DOUBLE ELSE 1::DOUBLE END AS unit FROM u)
+SELECT scan_id, sum(CASE WHEN span * unit > 1 AND span * unit <= 200000000 THEN floor(since * unit) ELSE floor(k * coalesce(99999999::DOUBLE / nullif(n - 1, 0), 0)) END)::BIGINT AS total, count(*) AS n FROM v GROUP BY 1""")
+def point_times(spark, d):
+    """Point times in five units, one of them without any span."""
+    k = F.col("scan_id") % 5
+    unit = F.when(k == 0, 1e-4).when(k == 1, 0.1).when(k == 2, 100.0).when(k == 3, 100000.0).otherwise(0.0)
+    p = M.points(spark, d).withColumn("t", F.col("ord.l_orderkey") % 1000 * unit)
+    return P.point_times(p).groupBy("scan_id").agg(F.sum("t").alias("total"), F.count("*").alias("n"))
+
+
 @query(f"""WITH {POINTS} SELECT scan_id, floor(x/2::DOUBLE)::BIGINT AS vx, floor(y/2::DOUBLE)::BIGINT AS vy, floor(z/2::DOUBLE)::BIGINT AS vz, round(avg(x), 9) + 0.0::DOUBLE AS x, round(avg(y), 9) + 0.0::DOUBLE AS y, round(avg(z), 9) AS z, count(*) AS n FROM points GROUP BY 1, 2, 3, 4""")
 def voxel_centroid(spark, d):
     return rounded(P.voxel_centroids(M.points(spark, d), 2.0), 9)
@@ -194,7 +206,7 @@ def sc_max(spark, d):
 
 @query(f"""WITH {POINTS}, v AS (SELECT scan_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points WHERE sqrt(x*x+y*y) BETWEEN 0.3::DOUBLE AND 30::DOUBLE GROUP BY scan_id, floor(x/0.5::DOUBLE), floor(y/0.5::DOUBLE), floor(z/0.5::DOUBLE)),
 r AS (SELECT scan_id, root_id::INTEGER AS root_id, x, y - dy AS y, z FROM v, (VALUES (0, 0::DOUBLE), (1, -2::DOUBLE), (2, 2::DOUBLE)) t(root_id, dy)),
-p AS (SELECT *, least(greatest(floor(sqrt(x*x + y*y) / 3.75::DOUBLE), 0), 7)::INTEGER AS ring, least(greatest(ceil((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 12) - 1, 0), 11)::INTEGER AS sector FROM r WHERE sqrt(x*x+y*y) <= 30::DOUBLE)
+p AS (SELECT *, least(greatest(floor(sqrt(x*x + y*y) / 3.75::DOUBLE), 0), 7)::INTEGER AS ring, least(greatest(ceil((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 12) - 1, 0), 11)::INTEGER AS sector FROM r)
 SELECT scan_id, root_id, ring, sector, round(max(z), 6) AS h FROM p GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5""")
 def scpp_polar(spark, d):
     return rounded(D.scpp_cells(M.points(spark, d), CFG, least=5))
@@ -301,13 +313,21 @@ def circular_window(spark, d):
     return D.best_window(D.circular_windows(n, 12, 3))
 
 
-@query(f"""WITH {CELLS}, n AS (SELECT scan_id, sector, count(*) AS n FROM cells GROUP BY 1, 2), w AS (SELECT scan_id, s.start, sum(n) AS total FROM n, range(12) s(start) WHERE (sector - s.start + 12) % 12 < 3 GROUP BY 1, 2),
-t AS (SELECT scan_id, start AS taken FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY total DESC, start) AS r FROM w) WHERE r = 1),
-x AS (SELECT c.scan_id, s.start, stddev_pop(h) FILTER (layer = 1) AS su, stddev_pop(h) FILTER (layer = 0) AS sl, count(*) AS n FROM cells c, range(12) s(start) WHERE (sector - s.start + 12) % 12 < 3 GROUP BY 1, 2),
-y AS (SELECT scan_id, start, round(su / sl, 9) AS ratio FROM x JOIN t USING (scan_id) WHERE least((start - taken + 12) % 12, (taken - start + 12) % 12) >= 3 AND n >= 5 AND sl > 1e-9::DOUBLE AND su IS NOT NULL),
-r AS (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ratio DESC, start) AS r FROM y) SELECT scan_id, start::INTEGER AS start, round(ratio, 6) AS ratio FROM r WHERE r = 1""")
+_APART = "least((start - {0} + 12) % 12, ({0} - start + 12) % 12) >= 3"
+
+
+@query(f"""WITH {POLAR}, ctx AS (SELECT scan_id, ring, sector, max(h) AS top, max(h) FILTER (h <= 2.5::DOUBLE) AS low, min(h) FILTER (h > 2.5::DOUBLE) AS up FROM polar GROUP BY 1, 2, 3),
+w AS (SELECT scan_id, s.start::INTEGER AS start, count(*) FILTER (low IS NOT NULL AND up IS NOT NULL) AS mixed, count(*) FILTER (top > 2.5 AND top - up > 0.3::DOUBLE) AS gaps, median(top - up) FILTER (top > 2.5 AND top - up > 0.3::DOUBLE) AS gap_median,
+  count(low) AS lows, stddev_pop(low) AS low_std, count(*) FILTER (top > 2.5) AS tops, stddev_pop(top) FILTER (top > 2.5) AS top_std FROM ctx, range(12) s(start) WHERE (sector - s.start + 12) % 12 < 3 GROUP BY 1, 2),
+x AS (SELECT *, CASE WHEN lows >= 5 AND tops >= 5 THEN low_std / (top_std + 1e-6::DOUBLE) END AS ratio FROM w),
+m AS (SELECT scan_id, start AS m0, mixed FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY mixed DESC, start) AS r FROM x) WHERE r = 1),
+g AS (SELECT scan_id, start AS g0, gaps, gap_median FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY gaps DESC, start) AS r FROM x JOIN m USING (scan_id) WHERE {_APART.format('m0')} AND gaps > 0) WHERE r = 1),
+r AS (SELECT scan_id, start AS r0, ratio, low_std, top_std FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY ratio DESC, start) AS r FROM x JOIN m USING (scan_id) LEFT JOIN g USING (scan_id) WHERE {_APART.format('m0')} AND (g0 IS NULL OR {_APART.format('g0')}) AND ratio > 0) WHERE r = 1)
+SELECT scan_id, m0 AS mixed_start, m.mixed AS mixed_cells, coalesce(g0, -1) AS gap_start, coalesce(g.gaps, 0) AS gap_cells, round(coalesce(g.gap_median, 0), 6) AS gap_median,
+  coalesce(r0, -1) AS ratio_start, round(coalesce(r.ratio, 0), 6) AS ratio, round(coalesce(r.low_std, 0), 6) AS low_std, round(coalesce(r.top_std, 0), 6) AS top_std FROM m LEFT JOIN g USING (scan_id) LEFT JOIN r USING (scan_id)""")
 def disjoint_window(spark, d):
-    return rounded(D.ratio_window(cells(spark, d), CFG, 3, 5, 3))
+    """Three windows a scan, chosen in turn."""
+    return rounded(D.detail_windows(D.context_cells(M.points(spark, d), CFG), CFG, 3, 5))
 
 
 @query("""SELECT ring::INTEGER AS ring, sector::INTEGER AS sector, round(ring * 3.75::DOUBLE, 6) AS r_inner, round((ring + 1) * 3.75::DOUBLE, 6) AS r_outer, round(sector * 30::DOUBLE, 6) AS theta_start, round((sector + 1) * 30::DOUBLE, 6) AS theta_end FROM range(8) r(ring), range(12) s(sector)""")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placerec import domain as M
+from placerec.folders import kept
 from placerec.operators import descriptor as D
 from placerec.operators import match as R
 from placerec.operators import metric as X
@@ -159,6 +160,30 @@ def scpp_min_root(spark, d):
     return rounded(pairs.groupBy("query_id", "map_id").agg(F.min(R.l2("a", "b")).alias("distance")))
 
 
+@query(f"""WITH {CELLS}, vx AS (SELECT scan_id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM points WHERE sqrt(x*x+y*y) BETWEEN 0.3::DOUBLE AND 30::DOUBLE GROUP BY scan_id, floor(x/0.5::DOUBLE), floor(y/0.5::DOUBLE), floor(z/0.5::DOUBLE)),
+rr AS (SELECT scan_id, root_id::INTEGER AS root_id, x, y - dy AS y, z FROM vx, (VALUES (0, 0::DOUBLE), (1, -2::DOUBLE), (2, 2::DOUBLE)) t(root_id, dy)),
+pp AS (SELECT *, least(greatest(floor(sqrt(x*x + y*y) / 3.75::DOUBLE), 0), 7)::INTEGER AS ring, least(greatest(ceil((CASE WHEN atan2(y, x) < 0 THEN atan2(y, x) + 2 * pi() ELSE atan2(y, x) END) / (2 * pi()) * 12) - 1, 0), 11)::INTEGER AS sector FROM rr),
+cc AS (SELECT scan_id, root_id, ring, sector, max(z) AS h FROM pp GROUP BY 1, 2, 3, 4 HAVING count(*) >= 2),
+g AS (SELECT DISTINCT scan_id, root_id FROM cc), qg AS (SELECT scan_id AS query_id FROM g WHERE root_id = 0 AND scan_id % 2 = 1), mg AS (SELECT scan_id AS map_id, root_id FROM g WHERE scan_id % 2 = 0),
+kr AS (SELECT g.scan_id, g.root_id, i.i AS at, coalesce(v, 0) AS v FROM g CROSS JOIN range(8) i(i) LEFT JOIN (SELECT scan_id, root_id, ring, sum(h) / 12 AS v FROM cc GROUP BY 1, 2, 3) k ON k.scan_id = g.scan_id AND k.root_id = g.root_id AND k.ring = i.i),
+ks AS (SELECT g.scan_id, g.root_id, i.i AS at, coalesce(v, 0) AS v FROM g CROSS JOIN range(12) i(i) LEFT JOIN (SELECT scan_id, root_id, sector, sum(h) / 8 AS v FROM cc GROUP BY 1, 2, 3) k ON k.scan_id = g.scan_id AND k.root_id = g.root_id AND k.sector = i.i),
+kd AS (SELECT query_id, map_id, m.root_id, sqrt(sum((a.v - b.v) ** 2)) AS d FROM qg, mg m, kr a, kr b WHERE a.scan_id = query_id AND a.root_id = 0 AND b.scan_id = map_id AND b.root_id = m.root_id AND a.at = b.at GROUP BY 1, 2, 3),
+fr AS (SELECT query_id, map_id FROM (SELECT query_id, map_id, row_number() OVER (PARTITION BY query_id ORDER BY min(d), map_id) AS r FROM kd GROUP BY 1, 2) WHERE r <= 5), pr AS (SELECT f.*, m.root_id FROM fr f JOIN mg m USING (map_id)),
+cy AS (SELECT query_id, map_id, root_id, min(struct_pack(cost := cost, shift := shift)).shift AS coarse FROM (SELECT query_id, map_id, p.root_id, s.shift::INTEGER AS shift, round(sum((a.v - b.v) ** 2), 9) AS cost FROM pr p, range(12) s(shift), ks a, ks b
+  WHERE a.scan_id = query_id AND a.root_id = 0 AND b.scan_id = map_id AND b.root_id = p.root_id AND b.at = (a.at - s.shift + 12) % 12 GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3),
+tn AS (SELECT query_id, map_id, root_id, ((coarse + t.d + 12) % 12)::INTEGER AS shift FROM cy, range(-1, 2) t(d)), nn AS (SELECT scan_id, root_id, sector, sum(h * h) AS n FROM cc GROUP BY 1, 2, 3),
+co AS (SELECT t.*, a.sector, a.n AS aa, b.n AS bb FROM tn t JOIN nn a ON a.scan_id = query_id AND a.root_id = 0 JOIN nn b ON b.scan_id = map_id AND b.root_id = t.root_id AND (b.sector + shift) % 12 = a.sector WHERE a.n > 0 AND b.n > 0),
+dd AS (SELECT t.query_id, t.map_id, t.root_id, t.shift, a.sector, sum(a.h * b.h) AS ab FROM tn t JOIN cc a ON a.scan_id = query_id AND a.root_id = 0 JOIN cc b ON b.scan_id = map_id AND b.root_id = t.root_id AND b.ring = a.ring AND (b.sector + shift) % 12 = a.sector GROUP BY 1, 2, 3, 4, 5),
+sd AS (SELECT query_id, map_id, root_id, shift, 1 - avg(coalesce(ab, 0) / sqrt(aa * bb)) AS distance FROM co LEFT JOIN dd USING (query_id, map_id, root_id, shift, sector) GROUP BY 1, 2, 3, 4),
+al AS (SELECT query_id, map_id, root_id, shift, round(coalesce(distance, 1), 9) AS distance FROM tn LEFT JOIN sd USING (query_id, map_id, root_id, shift)),
+fb AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, map_id ORDER BY distance, shift, root_id) AS r FROM al) WHERE r = 1)
+SELECT query_id, map_id, root_id, round(distance, 6) AS distance, shift, row_number() OVER (PARTITION BY query_id ORDER BY distance, map_id)::INTEGER AS rank FROM fb""")
+def scpp_topk(spark, d):
+    """Two stages over virtual roots: least key distance, then least exact context distance."""
+    c = D.scpp_cells(M.points(spark, d), CFG, least=2)
+    return rounded(R.scpp_retrieve(c.where("scan_id % 2 = 1"), c.where("scan_id % 2 = 0"), CFG, 5))
+
+
 def _vectors(spark, d):
     v = M.descriptors(spark, d)
     return v.where("vec_id % 10 = 0").select(F.col("vec_id").alias("q_id"), F.col("v").alias("a")), v.where("vec_id % 10 <> 0").select("vec_id", F.col("v").alias("b"))
@@ -204,7 +229,7 @@ vs AS (SELECT query_id, map_id, shift, min(residual) AS dz FROM cu WHERE cum >=
 @query(f"WITH {RESIDUALS} SELECT query_id, map_id, b.shift, round(CASE WHEN dz BETWEEN -2 AND 2 THEN dz ELSE 0 END, 6) + 0.0::DOUBLE AS dz FROM best b LEFT JOIN vs USING (query_id, map_id)")
 def vertical_shift(spark, d):
     q, m = sides(spark, d)
-    best = S.retrieve(q, m)
+    best = kept(S.retrieve(q, m), "candidates")
     return rounded(V.vertical_shift(S.residuals(q, m, best, CFG), CFG, best))
 
 

@@ -28,7 +28,7 @@ def keyframes(spark, d):
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, map_id) AS r FROM p) SELECT query_id, map_id, round(d, 6) AS d FROM r WHERE r = 1""")
 def nearest_map_pose(spark, d):
     p = M.poses(spark, d)
-    return rounded(T.nearest_pose(p.where("scan_id % 2 = 1"), p.where("scan_id % 2 = 0"), 4.0))
+    return rounded(T.nearest_pose(p.where("scan_id % 2 = 1"), p.where("scan_id % 2 = 0")))
 
 
 def _asof(spark, d, tie, tolerance=None):
@@ -60,15 +60,46 @@ def asof_tolerance(spark, d):
     return _asof(spark, d, "earlier", 7200.0)
 
 
-@query(f"""WITH {M.TRACK}, s AS (SELECT DISTINCT track_id, stamp FROM track WHERE kind = 'click'), p AS (SELECT track_id, stamp, min(x) AS x, min(y) AS y FROM track WHERE kind = 'view' GROUP BY 1, 2),
+_SPAN = f"""{M.TRACK}, s AS (SELECT DISTINCT track_id, stamp FROM track WHERE kind = 'click'), p0 AS (SELECT track_id, stamp, min(x) AS x, min(y) AS y, min(event_id) AS e FROM track WHERE kind = 'view' GROUP BY 1, 2),
+p AS (SELECT *, (e % 63) * 0.1::DOUBLE - 3.1::DOUBLE AS yaw, (e % 9 - 4) * 0.05::DOUBLE AS pitch, (e % 8 - 3) * 0.04::DOUBLE AS roll, (e % 5) * 0.3::DOUBLE AS z FROM p0),
 j AS (SELECT s.track_id, s.stamp, (SELECT max(p.stamp) FROM p WHERE p.track_id = s.track_id AND p.stamp <= s.stamp) AS b, (SELECT min(p.stamp) FROM p WHERE p.track_id = s.track_id AND p.stamp > s.stamp) AS a FROM s),
 k AS (SELECT track_id, stamp, coalesce(b, a) AS b, coalesce(a, b) AS a FROM j WHERE a IS NOT NULL OR b IS NOT NULL),
-t AS (SELECT k.*, greatest(0::DOUBLE, least(1::DOUBLE, coalesce((k.stamp - b) / nullif(a - b, 0), 0))) AS t FROM k)
-SELECT t.track_id, t.stamp, round(pb.x + (pa.x - pb.x) * t.t, 6) AS x, round(pb.y + (pa.y - pb.y) * t.t, 6) AS y, 0.0::DOUBLE AS yaw FROM t JOIN p pb ON pb.track_id = t.track_id AND pb.stamp = t.b JOIN p pa ON pa.track_id = t.track_id AND pa.stamp = t.a""")
+t AS (SELECT k.*, greatest(0::DOUBLE, least(1::DOUBLE, coalesce((k.stamp - b) / nullif(a - b, 0), 0))) AS t FROM k)"""
+
+
+def _views(spark, d):
+    """Stamps to interpolate at, and poses that turn about all three axes."""
+    t, e = M.track(spark, d), F.col("e")
+    p = t.where("kind = 'view'").groupBy("track_id", "stamp").agg(F.min("x").alias("x"), F.min("y").alias("y"), F.min("event_id").alias("e"))
+    p = p.withColumns({"yaw": e % 63 * 0.1 - 3.1, "pitch": (e % 9 - 4) * 0.05, "roll": (e % 8 - 3) * 0.04, "z": e % 5 * 0.3})
+    return t.where("kind = 'click'").select("track_id", "stamp").distinct(), p
+
+
+@query(f"""WITH {_SPAN}, w AS (SELECT t.track_id, t.stamp, t.t, pb.x AS bx, pa.x AS ax, pb.y AS b_y, pa.y AS a_y, pb.yaw AS byaw, pa.yaw - pb.yaw AS dyaw FROM t JOIN p pb ON pb.track_id = t.track_id AND pb.stamp = t.b JOIN p pa ON pa.track_id = t.track_id AND pa.stamp = t.a),
+v AS (SELECT *, byaw + (dyaw - 2*pi() * round_even(dyaw / (2*pi()), 0)) * t AS yaw FROM w)
+SELECT track_id, stamp, round(bx + (ax - bx) * t, 6) AS x, round(b_y + (a_y - b_y) * t, 6) AS y, round(yaw - 2*pi() * round_even(yaw / (2*pi()), 0), 6) + 0.0::DOUBLE AS yaw FROM v""")
 def pose_interp(spark, d):
-    t = M.track(spark, d)
-    p = t.where("kind = 'view'").groupBy("track_id", "stamp").agg(F.min("x").alias("x"), F.min("y").alias("y")).withColumn("yaw", F.lit(0.0))
-    return rounded(T.interpolate_poses(t.where("kind = 'click'").select("track_id", "stamp").distinct(), p, "track_id"))
+    s, p = _views(spark, d)
+    return rounded(T.interpolate_poses(s, p, "track_id"))
+
+
+@query(f"""WITH {_SPAN}, h AS (SELECT *, yaw / 2 AS ha, pitch / 2 AS hb, roll / 2 AS hc FROM p),
+q AS (SELECT track_id, stamp, x, y, z, sin(hc)*cos(hb)*cos(ha) - cos(hc)*sin(hb)*sin(ha) AS qx, cos(hc)*sin(hb)*cos(ha) + sin(hc)*cos(hb)*sin(ha) AS qy, cos(hc)*cos(hb)*sin(ha) - sin(hc)*sin(hb)*cos(ha) AS qz, cos(hc)*cos(hb)*cos(ha) + sin(hc)*sin(hb)*sin(ha) AS qw FROM h),
+w AS (SELECT t.track_id, t.stamp, t.t, qb AS b, qa AS a, qb.qx * qa.qx + qb.qy * qa.qy + qb.qz * qa.qz + qb.qw * qa.qw AS dot FROM t JOIN q qb ON qb.track_id = t.track_id AND qb.stamp = t.b JOIN q qa ON qa.track_id = t.track_id AND qa.stamp = t.a),
+u AS (SELECT *, CASE WHEN dot < 0 THEN -1 ELSE 1 END AS sg, least(abs(dot), 1) AS c, acos(least(abs(dot), 1)) AS angle FROM w),
+v AS (SELECT *, CASE WHEN c > 1 - 1e-12::DOUBLE THEN 1 - t ELSE sin((1 - t) * angle) / sin(angle) END AS wb, CASE WHEN c > 1 - 1e-12::DOUBLE THEN t ELSE sin(t * angle) / sin(angle) END * sg AS wa FROM u),
+m AS (SELECT *, wb*b.qx + wa*a.qx AS x, wb*b.qy + wa*a.qy AS y, wb*b.qz + wa*a.qz AS z, wb*b.qw + wa*a.qw AS w FROM v), n AS (SELECT *, sqrt(x*x + y*y + z*z + w*w) AS n FROM m)
+SELECT track_id, stamp, round(b.x + (a.x - b.x) * t, 6) AS x, round(b.y + (a.y - b.y) * t, 6) AS y, round(b.z + (a.z - b.z) * t, 6) AS z,
+  round(atan2(2 * (y*z + x*w) / (n*n), 1 - 2 * (x*x + y*y) / (n*n)), 6) + 0.0::DOUBLE AS roll, round(asin(greatest(-1, least(1, 2 * (y*w - x*z) / (n*n)))), 6) + 0.0::DOUBLE AS pitch, round(atan2(2 * (x*y + z*w) / (n*n), 1 - 2 * (y*y + z*z) / (n*n)), 6) + 0.0::DOUBLE AS yaw FROM n""")
+def pose_interp_full(spark, d):
+    """Whole poses between two others, as angles."""
+    s, p = _views(spark, d)
+    a, b, c = (F.col(x) / 2 for x in ("yaw", "pitch", "roll"))
+    sa, ca, sb, cb, sc, cc = F.sin(a), F.cos(a), F.sin(b), F.cos(b), F.sin(c), F.cos(c)
+    p = p.select("track_id", "stamp", "x", "y", "z", (sc * cb * ca - cc * sb * sa).alias("qx"), (cc * sb * ca + sc * cb * sa).alias("qy"), (cc * cb * sa - sc * sb * ca).alias("qz"), (cc * cb * ca + sc * sb * sa).alias("qw"))
+    out = T.interpolate_full(s, p, "track_id")
+    roll, pitch, yaw = G.rpy(G.quaternion_matrix(*[F.col(q) for q in ("qx", "qy", "qz", "qw")]))
+    return rounded(out.select("track_id", "stamp", "x", "y", "z", roll.alias("roll"), pitch.alias("pitch"), yaw.alias("yaw")))
 
 
 @query(f"WITH {M.POSES} SELECT a.scan_id, count(*) AS neighbours, round(sum((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)), 4) AS d2 FROM poses a JOIN poses b ON (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 100 GROUP BY 1")
@@ -235,6 +266,17 @@ def gravity_from_quaternion(spark, d):
     return rounded(orientations(spark, d).select("scan_id", *[u.alias(n) for u, n in zip(up, ("ux", "uy", "uz"), strict=True)]))
 
 
+@query(f"""WITH {_QUAT}, pt AS (SELECT l_suppkey AS scan_id, l_quantity - 25.3::DOUBLE AS px, l_extendedprice / 2000::DOUBLE - 26.03::DOUBLE AS py, l_discount * 40::DOUBLE + l_tax * 12.5::DOUBLE AS pz FROM lineitem),
+w AS (SELECT scan_id, cos(yaw)*cos(pitch)*px + (cos(yaw)*sin(pitch)*sin(roll) - sin(yaw)*cos(roll))*py + (cos(yaw)*sin(pitch)*cos(roll) + sin(yaw)*sin(roll))*pz + s.x - 3::DOUBLE AS x,
+  sin(yaw)*cos(pitch)*px + (sin(yaw)*sin(pitch)*sin(roll) + cos(yaw)*cos(roll))*py + (sin(yaw)*sin(pitch)*cos(roll) - cos(yaw)*sin(roll))*pz + s.y + 4::DOUBLE AS y, -sin(pitch)*px + cos(pitch)*sin(roll)*py + cos(pitch)*cos(roll)*pz + s.z AS z
+  FROM pt JOIN q USING (scan_id) JOIN (SELECT scan_id, x, y, z FROM poses) s USING (scan_id))
+SELECT scan_id, round(sum(x), 4) + 0.0::DOUBLE AS x, round(sum(y), 4) + 0.0::DOUBLE AS y, round(sum(z), 4) + 0.0::DOUBLE AS z FROM w GROUP BY 1""")
+def rigid_full(spark, d):
+    """Scans in the world by whole poses, seen from an origin."""
+    p = P.to_world_full(M.points(spark, d), orientations(spark, d), (3.0, -4.0, 0.0))
+    return rounded(p.groupBy("scan_id").agg(*[F.sum(c).alias(c) for c in "xyz"]), 4)
+
+
 @query(f"""WITH {_QUAT}, {M.GRAVITY}, r AS (SELECT scan_id, cos(yaw)*cos(pitch) AS r00, cos(yaw)*sin(pitch)*sin(roll) - sin(yaw)*cos(roll) AS r01, cos(yaw)*sin(pitch)*cos(roll) + sin(yaw)*sin(roll) AS r02,
 sin(yaw)*cos(pitch) AS r10, sin(yaw)*sin(pitch)*sin(roll) + cos(yaw)*cos(roll) AS r11, sin(yaw)*sin(pitch)*cos(roll) - cos(yaw)*sin(roll) AS r12 FROM q)
 SELECT scan_id, round(atan2(r10 * (1 - ux*ux/(1 + uz)) - r11 * ux*uy/(1 + uz) - r12 * ux, r00 * (1 - ux*ux/(1 + uz)) - r01 * ux*uy/(1 + uz) - r02 * ux), 6) + 0.0::DOUBLE AS canonical_yaw FROM r JOIN gravity USING (scan_id)""")

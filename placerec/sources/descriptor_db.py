@@ -87,8 +87,8 @@ def _params(words: list[str], version: int) -> dict:
     return p
 
 
-def parse(data: bytes) -> tuple[int, dict, list[dict]]:
-    """(format, parameters, entries); an entry's h is row-major, NaN where the mask is 0. Heights come out as format 7 has them."""
+def header(data: bytes) -> tuple[int, dict, int, int]:
+    """(format, parameters, entries, where they begin) of a file's start."""
     t = _Text(data)
     magic = t.word()
     if not magic.startswith(MAGIC) or magic.removeprefix(MAGIC) not in "1234567":
@@ -100,56 +100,82 @@ def parse(data: bytes) -> tuple[int, dict, list[dict]]:
     n = int(t.word())
     if not 0 <= n <= MAX_ENTRIES:
         raise ValueError("too many entries")
-    cells = p["rings"] * (2 if p["dual_layer"] else 1) * p["sectors"]
-    if n * cells * 2 > len(data):
+    return version, p, n, t.at
+
+
+def cells_in(p: dict) -> int:
+    return p["rings"] * (2 if p["dual_layer"] else 1) * p["sectors"]
+
+
+def entry(t: _Text | bytes, version: int, p: dict, i: int) -> dict:
+    """The next entry; its h is row-major, NaN where the mask is 0. Heights come out as format 7 has them."""
+    t = _Text(t) if isinstance(t, bytes) else t
+    cells = cells_in(p)
+    t.expect("ENTRY")
+    t.word()
+    e = {name: float(t.word()) for name in ("stamp", "x", "y", "z", "roll", "pitch", "yaw", *(["canonical_yaw"] if version in _GRAVITY else []))}
+    e.setdefault("canonical_yaw", e["yaw"])
+    t.expect("DESC")
+    h = np.array([float(t.word()) for _ in range(cells)])
+    if not (np.isfinite(h).all() and np.isfinite(list(e.values())).all()):
+        raise ValueError(f"entry {i} holds a non-finite value")
+    if version == 1:
+        valid = h != 0.0
+    elif version == 2:
+        t.expect("MASK")
+        bits = [t.word() for _ in range(cells)]
+        if set(bits) - {"0", "1"}:
+            raise ValueError("mask")
+        valid = np.array(bits) == "1"
+    else:
+        t.expect("MASK_BITS")
+        if int(t.word()) != (cells + 7) // 8:
+            raise ValueError("mask size")
+        t.line_break()
+        valid = np.unpackbits(np.frombuffer(t.raw((cells + 7) // 8), np.uint8), bitorder="little")[:cells].astype(bool)
+        t.line_break()
+    if version in _OFFSET:
+        h = h - p["offset"]
+    elif version == 6:
+        h = h + p["origin_height"]
+    t.expect("END_ENTRY")
+    return e | {"scan_id": i, "h": np.where(valid, h, np.nan)}
+
+
+def parse(data: bytes) -> tuple[int, dict, list[dict]]:
+    """(format, parameters, entries) of a whole file."""
+    version, p, n, at = header(data)
+    if n * cells_in(p) * 2 > len(data):
         raise ValueError("more entries than the file can hold")
-    names, entries = ["stamp", "x", "y", "z", "roll", "pitch", "yaw", *(["canonical_yaw"] if version in _GRAVITY else [])], []
-    for i in range(n):
-        t.expect("ENTRY")
-        t.word()
-        e = {name: float(t.word()) for name in names}
-        e.setdefault("canonical_yaw", e["yaw"])
-        t.expect("DESC")
-        h = np.array([float(t.word()) for _ in range(cells)])
-        if not (np.isfinite(h).all() and np.isfinite(list(e.values())).all()):
-            raise ValueError(f"entry {i} holds a non-finite value")
-        if version == 1:
-            valid = h != 0.0
-        elif version == 2:
-            t.expect("MASK")
-            bits = [t.word() for _ in range(cells)]
-            if set(bits) - {"0", "1"}:
-                raise ValueError("mask")
-            valid = np.array(bits) == "1"
-        else:
-            t.expect("MASK_BITS")
-            if int(t.word()) != (cells + 7) // 8:
-                raise ValueError("mask size")
-            t.line_break()
-            valid = np.unpackbits(np.frombuffer(t.raw((cells + 7) // 8), np.uint8), bitorder="little")[:cells].astype(bool)
-            t.line_break()
-        if version in _OFFSET:
-            h = h - p["offset"]
-        elif version == 6:
-            h = h + p["origin_height"]
-        t.expect("END_ENTRY")
-        entries.append(e | {"scan_id": i, "h": np.where(valid, h, np.nan)})
-    return version, p, entries
+    t = _Text(data)
+    t.at = at
+    return version, p, [entry(t, version, p, i) for i in range(n)]
+
+
+def _g(v: float) -> str:
+    return f"{v:.17g}"
+
+
+def header_bytes(p: dict, n: int) -> bytes:
+    """What stands before the entries of a format 7 file."""
+    return f"{MAGIC}7\nPARAMS {p['rings']} {p['sectors']} {_g(p['max_radius'])} {int(p['dual_layer'])} {_g(p['split_height'])} {_g(p['origin_height'])} {_g(p['lower_weight'])} {_g(p['upper_weight'])} {p['min_joint_rings']} {int(p['gravity'])}\nENTRIES {n}\n".encode()
+
+
+def entry_bytes(p: dict, e: dict) -> bytes:
+    """An entry of format 7 behind its number."""
+    h = np.asarray(e["h"], float)
+    if h.size != cells_in(p):
+        raise ValueError("an entry has another shape than its file")
+    valid = ~np.isnan(h)
+    rows = np.where(valid, h, 0.0).reshape(-1, p["sectors"])
+    scalars = " ".join(_g(e[c]) for c in ("stamp", "x", "y", "z", "roll", "pitch", "yaw", "canonical_yaw"))
+    mask = np.packbits(valid, bitorder="little").tobytes()
+    return f"{scalars}\nDESC\n".encode() + "".join(" ".join(map(_g, r)) + "\n" for r in rows.tolist()).encode() + f"MASK_BITS {len(mask)}\n".encode() + mask + b"\nEND_ENTRY\n"
 
 
 def dump(params: dict, entries: list[dict]) -> bytes:
-    """Format 7 bytes."""
-    g = lambda v: f"{v:.17g}"
-    p = params
-    out = [f"{MAGIC}7\nPARAMS {p['rings']} {p['sectors']} {g(p['max_radius'])} {int(p['dual_layer'])} {g(p['split_height'])} {g(p['origin_height'])} {g(p['lower_weight'])} {g(p['upper_weight'])} {p['min_joint_rings']} {int(p['gravity'])}\nENTRIES {len(entries)}\n".encode()]
-    for i, e in enumerate(entries):
-        h = np.asarray(e["h"], float)
-        valid = ~np.isnan(h)
-        rows = np.where(valid, h, 0.0).reshape(-1, p["sectors"])
-        scalars = " ".join(g(e[c]) for c in ("stamp", "x", "y", "z", "roll", "pitch", "yaw", "canonical_yaw"))
-        mask = np.packbits(valid, bitorder="little").tobytes()
-        out.append(f"ENTRY {i} {scalars}\nDESC\n".encode() + "".join(" ".join(map(g, r)) + "\n" for r in rows.tolist()).encode() + f"MASK_BITS {len(mask)}\n".encode() + mask + b"\nEND_ENTRY\n")
-    return b"".join(out)
+    """A whole format 7 file."""
+    return header_bytes(params, len(entries)) + b"".join(f"ENTRY {i} ".encode() + entry_bytes(params, e) for i, e in enumerate(entries))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:

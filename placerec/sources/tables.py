@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -114,13 +116,24 @@ def replay_index(spark: SparkSession, path: str, offset: float = 0.0, duration:
 
 
 def candidate_csv(candidates: DataFrame, path: str) -> None:
-    candidates.orderBy("query_index", "candidate_rank").write.mode("overwrite").csv(path, header=True)
+    """The columns of a candidate file, by query and rank; what a file has no place for, as ``yaw_matches``, is left out."""
+    from placerec.operators.match import CANDIDATE_COLUMNS
+
+    candidates.select(*CANDIDATE_COLUMNS).orderBy("query_index", "candidate_rank").write.mode("overwrite").csv(path, header=True)
+
+
+def read_candidates(spark: SparkSession, path: str) -> DataFrame:
+    """A candidate file."""
+    from placerec.operators.match import CANDIDATE_COLUMNS
+
+    whole = ("query_index", "candidate_rank", "candidate_index", "sector_shift")
+    return spark.read.csv(path, header=True, schema=", ".join(f"{c} {'bigint' if c in whole else 'double'}" for c in CANDIDATE_COLUMNS), mode="FAILFAST")
 
 
 def timing(queries: DataFrame, candidates: DataFrame) -> DataFrame:
-    """(query_index, candidate_count): one row a query, also without candidates."""
-    n = candidates.groupBy("query_index").agg(F.count("*").alias("n"))
-    return queries.select("query_index").distinct().join(n, "query_index", "left").select("query_index", F.coalesce("n", F.lit(0)).alias("candidate_count"))
+    """(query_index, retrieval_ms, candidate_count): one row a query, also without candidates; the time is that of its candidates, null without."""
+    n = candidates.groupBy("query_index").agg(F.max("retrieval_ms").alias("retrieval_ms"), F.count("*").alias("n"))
+    return queries.select("query_index").distinct().join(n, "query_index", "left").select("query_index", "retrieval_ms", F.coalesce("n", F.lit(0)).alias("candidate_count"))
 
 
 def write_manifest(rows: DataFrame, path: str) -> None:
@@ -137,18 +150,52 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return f.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
 
 
-def build_missing(spark: SparkSession, wanted: DataFrame, path: str, build, key: str = "scan_id") -> DataFrame:
-    """A Parquet cache of descriptors: only keys that it lacks are built and appended."""
-    try:
-        have = spark.read.parquet(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        have = None
-    todo = wanted if have is None else wanted.join(have.select(key).distinct(), key, "left_anti")
-    if have is None or not todo.isEmpty():
-        build(todo).write.mode("append").parquet(path)
-    return spark.read.parquet(path)
+def build_missing(spark: SparkSession, wanted: DataFrame, path: str, build, key: str = "scan_id", parts: int = 16) -> DataFrame:
+    """A Parquet cache of descriptors that grows part by part: only keys that it lacks are built, and a build that broke off goes on.
+
+    Keys fall into ``parts`` by a hash. ``build`` turns the wanted rows of one part into descriptors with the same key column; they are
+    written to a folder of their own, and a line of the log, renamed into place, commits it. Folders without a line, such as a
+    crash leaves, are never read. A build that gives nothing for a key is asked for it again by the next run.
+    """
+    fs, log = _folder(spark, f"{path}/log")
+    done = _committed(spark, path)
+    part = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    todo = wanted.withColumn("_part", part)
+    if done:
+        todo = todo.join(spark.read.parquet(*done).select(key).distinct(), key, "left_anti")
+    left = sorted(r._part for r in todo.select("_part").distinct().collect())
+    schema = None
+    for p in left:
+        run = uuid.uuid4().hex
+        out = build(todo.where(F.col("_part") == p).drop("_part"))
+        out.write.parquet(f"{path}/data/{p}-{run}")
+        schema = out.schema
+        _put(spark, fs, log, f"{p}-{run}")
+    done = _committed(spark, path)
+    if not done:
+        return spark.createDataFrame([], (schema or build(wanted.limit(0)).schema))
+    return spark.read.parquet(*done)
+
+
+def _folder(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(p)
+    return fs, p
+
+
+def _put(spark: SparkSession, fs, log, name: str) -> None:
+    """A file of the log: written aside, then renamed."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    aside = path(log, f".{name}")
+    fs.create(aside).close()
+    if not fs.rename(aside, path(log, name)):
+        raise OSError(f"the log of {name} could not be written")
+
+
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    fs, log = _folder(spark, f"{path}/log")
+    return sorted(f"{path}/data/{s.getPath().getName()}" for s in fs.listStatus(log) if not s.getPath().getName().startswith("."))
 
 
 #: Datatypes of point fields, fixed values of the message format: number to NumPy type.

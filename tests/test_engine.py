@@ -493,10 +493,10 @@ def test_nearest_pose_reaches_far_ones(spark):
     q, m = np.concatenate([rng.uniform(0, 30, (40, 2)), [[5000.0, -7000.0]]]), rng.uniform(0, 30, (25, 2))
     m[3] = m[4]  # a tie
     frame = lambda x: spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(x)] + [(900, math.nan, 0.0)], "scan_id long, x double, y double")
-    got = {r.query_id: (r.map_id, r.d) for r in T.nearest_pose(frame(q), frame(m), 2.0).collect()}
+    got = {r.query_id: (r.map_id, r.d) for r in T.nearest_pose(frame(q), frame(m)).collect()}
     d = np.round(np.sqrt(((q[:, None] - m[None]) ** 2).sum(2)), 9)
     assert got == {i: (int(d[i].argmin()), pytest.approx(d[i].min())) for i in range(len(q))}
-    assert T.nearest_pose(frame(q), frame(m).limit(0), 2.0).count() == 0
+    assert T.nearest_pose(frame(q), frame(m).limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("rows", [2, 5])
