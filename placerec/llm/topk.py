@@ -6,10 +6,12 @@ farthest distance from every pivot is kept. With norms known, a score bound is a
 triangle inequality over all pivots tells how near an annulus can be to a query. A query opens its annuli
 in the order of these bounds, ``ROUNDS`` of them at a time; between the rounds its k-th score so far
 becomes its floor, and it stops at the first annulus whose bound lies below. No row is copied for
-different queries: the rows of a block wait in a task while the queries that ask for it stream past.
+different queries: blocks are dealt out to owners of about ``OWNED_BYTES``, and the rows of an owner's blocks
+wait in a task while the queries that ask for any of them stream past. A query is sent once to an owner, with the
+numbers of the blocks it asks for, so what is sent grows with owners, not with blocks.
 
 Scores are integers computed in double precision, exact while
-``256 ** 2 * dimensions * max|x| ** 2`` stays below 2 ** 53.
+``256 ** 2 * dimensions * max|x| ** 2`` stays below 2 ** 53; vectors that could go beyond are an error.
 
 Defined results: a vector that is null or holds a null or non-finite component takes no
 part; shorter vectors count as padded with zeros; equal scores go to the smaller id;
@@ -20,6 +22,8 @@ an empty table; only the id and vector columns are read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from placerec.llm.shared import cut, drop
 
-PIVOTS, ANNULI, BLOCK, SAMPLE, SCALE = 32, 12, 2048, 4096, 256
+PIVOTS, ANNULI, BLOCK, SAMPLE, SCALE, OWNED_BYTES = 32, 12, 2048, 4096, 256, 32 << 20
 #: Up to so many annuli in the order of bounds are open after each round; the last round may open all that are left.
 ROUNDS = (6, 48, PIVOTS * ANNULI)
 
@@ -104,19 +108,21 @@ def _best(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: i
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(query_id, rank, id, score): the k best other rows of every row whose id is divisible by ``every``."""
-    return search(vectors, k, every, id_col, vec_col, scale)[0]
+    return search(vectors, k, every, id_col, vec_col, scale, measure=False)[0]
 
 
-def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE) -> tuple[DataFrame, float]:
-    """The result of :func:`top_k`, and the share of annuli that queries opened on average."""
+def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_id", vec_col: str = "embedding", scale: int = SCALE, measure: bool = True) -> tuple[DataFrame, float]:
+    """The result of :func:`top_k`, and the share of annuli that queries opened on average (counted by jobs of its own)."""
     spark = vectors.sparkSession
     fine = F.forall(vec_col, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
     v = vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fine).select(F.col(id_col).cast("long").alias("id"), F.transform(vec_col, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
-    head = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims")).first()
+    head = v.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dims"), F.max(F.array_max(F.transform("v", F.abs))).alias("most")).first()
     schema = f"query_id bigint, rank int, {id_col} bigint, score bigint"
     if not head.n:
         return spark.createDataFrame([], schema), 0.0
     dims = int(head.dims)
+    if dims * (head.most or 0.0) ** 2 >= 1 << 53:
+        raise ValueError("scores of such large components are not exact in double precision")
     # about SAMPLE rows: any pivots give the same result
     some = v if head.n <= SAMPLE else v.sample(SAMPLE / head.n, seed=3)
     rows = some.select("v").toArrow()["v"]
@@ -167,11 +173,15 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     table = spark.sparkContext.broadcast((cells.cell.to_numpy(), reach("low"), reach("high"), cells.norm2.to_numpy(float), blocks))
     per_cell = np.ones(PIVOTS * ANNULI, np.int64)
     per_cell[cells.cell.to_numpy()] = blocks
-    sub = F.pmod(F.xxhash64("row"), F.element_at(F.array(*[F.lit(int(b)) for b in per_cell]), F.col("cell") + 1)).cast("int")
+    of_cell = lambda values: F.element_at(F.array(*[F.lit(int(b)) for b in values]), F.col("cell") + 1)
+    sub = F.pmod(F.xxhash64("row"), of_cell(per_cell)).cast("int")
+    # blocks in the order of their cells are dealt out to owners in turn
+    ahead = np.cumsum(per_cell) - per_cell
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-head.n * dims * 8 // OWNED_BYTES))
 
     def asked(start: int, end: int):
         def run(batches):
-            """A query's rows for each block of the annuli that come next and whose bound reaches its floor."""
+            """A query's row for each owner of blocks of the annuli that come next and whose bound reaches its floor."""
             pivots, _ = share.value
             cell, low, high, norm2, n_blocks = table.value
             for batch in batches:
@@ -190,49 +200,60 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
                     c = order[i, c]
                     reps = n_blocks[c]
                     i, c = np.repeat(i, reps), np.repeat(c, reps)
-                    block = np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
-                    for b in range(0, len(i), 20_000):
-                        s = slice(b, b + 20_000)
+                    block = ahead[cell[c]] + np.arange(len(i)) - np.repeat(np.cumsum(reps) - reps, reps)
+                    owner = block % owners
+                    by = np.lexsort((block, owner, i))
+                    i, block, owner = i[by], block[by], owner[by]
+                    heads = np.flatnonzero(np.concatenate([np.ones(min(1, len(i)), bool), (i[1:] != i[:-1]) | (owner[1:] != owner[:-1])]))
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(heads, len(i)), pa.int32()), pa.array(block))
+                    for b in range(0, len(heads), 20_000):
+                        s = heads[b : b + 20_000]
                         at = pa.array(i[s])
-                        yield pa.RecordBatch.from_arrays([pa.array(cell[c[s]].astype(np.int32)), pa.array(block[s].astype(np.int32)), pa.array(np.ones(len(at), np.int32)), part.column("row").take(at), part.column("id").take(at), part.column("floor").take(at), part.column("x").take(at)], ["cell", "sub", "side", "row", "id", "floor", "x"])
+                        yield pa.RecordBatch.from_arrays([pa.array(owner[s].astype(np.int32)), pa.array(np.ones(len(at), np.int32)), lists.slice(b, len(s)), part.column("row").take(at), part.column("id").take(at), part.column("floor").take(at), part.column("x").take(at)], ["owner", "side", "blocks", "row", "id", "floor", "x"])
 
         return run
 
-    kinds = "cell int, sub int, side int, row bigint, id bigint, floor bigint, x binary"
+    kinds = "owner int, side int, blocks array<bigint>, row bigint, id bigint, floor bigint, x binary"
 
     def match(batches):
-        """Blocks come first in their key and wait; the asking queries stream past."""
+        """An owner's rows come first and wait by block; the asking queries stream past."""
         key, held, ready = None, [], None
         for batch in batches:
-            cell, block, side = (batch.column(c).to_numpy() for c in ("cell", "sub", "side"))
-            cuts = [0, *(np.flatnonzero((cell[1:] != cell[:-1]) | (block[1:] != block[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), batch.num_rows]
+            owner, side = batch.column("owner").to_numpy(), batch.column("side").to_numpy()
+            cuts = [0, *(np.flatnonzero((owner[1:] != owner[:-1]) | (side[1:] != side[:-1])) + 1).tolist(), batch.num_rows]
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 if a == b:
                     continue
-                if key != (cell[a], block[a]):
-                    key, held, ready = (cell[a], block[a]), [], None
+                if key != owner[a]:
+                    key, held, ready = owner[a], [], None
                 part = batch.slice(a, b - a)
                 if side[a] == 0:
-                    held.append(part)
+                    held.append((part.column("id").to_numpy(), part.column("blocks").flatten().to_numpy(), unpack(part.column("x")).astype(np.float32 if head.most < 1 << 24 else np.float64)))
                     continue
                 if ready is None:
-                    ready = (np.concatenate([h.column("id").to_numpy() for h in held] or [np.zeros(0, np.int64)]), np.concatenate([unpack(h.column("x")) for h in held] or [np.zeros((0, dims))]))
-                ids, x = ready
-                if not len(ids):
-                    continue
+                    ids, block, x = (np.concatenate(h) for h in zip(*held, strict=True)) if held else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, dims)))
+                    by, held = np.argsort(block, kind="stable"), []
+                    ids, block, x = ids[by], block[by], x[by]
+                    edges = np.concatenate([[0], np.flatnonzero(block[1:] != block[:-1]) + 1, [len(block)]]) if len(block) else np.zeros(1, np.int64)
+                    ready = {int(block[u]): (ids[u:w], x[u:w]) for u, w in zip(edges[:-1], edges[1:], strict=True)}
                 for c in range(0, part.num_rows, 512):
                     some = part.slice(c, 512)
-                    got = _best(some.column("id").to_numpy(), unpack(some.column("x")), ids, x, k)
-                    lens = [len(i) for i, _ in got]
-                    row, me = np.repeat(some.column("row").to_numpy(), lens), np.repeat(some.column("id").to_numpy(), lens)
-                    floor = np.repeat([-np.inf if f is None else f for f in some.column("floor").to_pylist()], lens)
-                    found, score = np.concatenate([i for i, _ in got]), np.concatenate([v for _, v in got])
-                    ok = score >= floor
-                    yield pa.RecordBatch.from_arrays([pa.array(row[ok]), pa.array(me[ok]), pa.array(found[ok]), pa.array(score[ok].astype(np.int64))], ["row", "query_id", "id", "score"])
+                    me, rows, q = some.column("id").to_numpy(), some.column("row").to_numpy(), unpack(some.column("x"))
+                    floor = np.array([-np.inf if f is None else f for f in some.column("floor").to_pylist()])
+                    of, want = some.column("blocks").value_parent_indices().to_numpy(), some.column("blocks").flatten().to_numpy()
+                    for block in np.unique(want).tolist():
+                        if block not in ready:
+                            continue
+                        i = of[want == block]
+                        got = _best(me[i], q[i], ready[block][0], ready[block][1].astype(np.float64), k)
+                        lens = [len(f) for f, _ in got]
+                        found, score = np.concatenate([f for f, _ in got]), np.concatenate([v for _, v in got])
+                        i = np.repeat(i, lens)
+                        ok = score >= floor[i]
+                        yield pa.RecordBatch.from_arrays([pa.array(rows[i[ok]]), pa.array(me[i[ok]]), pa.array(found[ok]), pa.array(score[ok].astype(np.int64))], ["row", "query_id", "id", "score"])
 
     queries = index.where(F.col("id") % every == 0).select("row", "id", "x")
-    n_queries = queries.count()
-    best, start, opened = None, 0, 0
+    best, start, opened, n_queries = None, 0, 0, queries.count() if measure else 0
     for end in ROUNDS:
         if best is None:
             now = queries.withColumn("floor", F.lit(None).cast("long"))
@@ -240,13 +261,17 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
             floor = best.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
             now = queries.join(floor, "row", "left")
         asks = cut(now.mapInArrow(asked(start, end), kinds), "topk-asks")
-        wanted = [r.cell for r in asks.select("cell").distinct().collect()]  # at most PIVOTS * ANNULI
+        block = F.explode("blocks").alias("block")
+        # the cells of the blocks asked for, at most PIVOTS * ANNULI
+        wanted = asks.select(block).distinct().select((F.size(F.filter(F.array(*[F.lit(int(a)) for a in ahead]), lambda a: a <= F.col("block"))) - 1).alias("cell")).distinct().collect()
         if not wanted:
             drop(asks)
             break
-        opened += asks.where("sub = 0").count()
-        data = index.where(F.col("cell").isin(wanted)).select("cell", sub.alias("sub"), F.lit(0).alias("side"), "row", "id", F.lit(None).cast("long").alias("floor"), "x")
-        found = data.unionByName(asks).repartition("cell", "sub").sortWithinPartitions("cell", "sub", "side").mapInArrow(match, "row bigint, query_id bigint, id bigint, score bigint")
+        if measure:
+            opened += asks.select("row", block).join(spark.createDataFrame([(int(a),) for a in ahead[cells.cell.to_numpy()]], "block bigint"), "block").count()
+        mine = of_cell(ahead).cast("long") + sub
+        data = index.where(F.col("cell").isin([r.cell for r in wanted])).select(F.pmod(mine, F.lit(owners)).cast("int").alias("owner"), F.lit(0).alias("side"), F.array(mine).alias("blocks"), "row", "id", F.lit(None).cast("long").alias("floor"), "x")
+        found = data.unionByName(asks).repartition(owners, "owner").sortWithinPartitions("owner", "side").mapInArrow(match, "row bigint, query_id bigint, id bigint, score bigint")
         found = found if best is None else found.unionByName(best)
         rank = F.row_number().over(Window.partitionBy("row").orderBy(F.desc("score"), "id"))
         new = cut(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "topk-best")
@@ -258,7 +283,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "vec_i
     if best is None:
         return spark.createDataFrame([], schema), 0.0
     out = best.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")
-    return out, opened / max(1, n_queries * len(cells))
+    return out, opened / max(1, n_queries * len(cells)) if measure else math.nan
 
 
 #: The same result of the embeddings table in DuckDB.
