@@ -45,6 +45,11 @@ TEMPLATES = [
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", "gnu general public license"),
     ("lgpl", "under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license"),
     ("agpl", "under the terms of the gnu affero general public license as published by the free software foundation", "gnu affero general public license"),
+    ("gpl-2", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", "either version 2 of the license"),
+    ("gpl-3", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("lgpl-2-1", "under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version", "either version 2 1 of the license"),
+    ("lgpl-3", "under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
+    ("agpl-3", "under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version", "either version 3 of the license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
     ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution this software is provided by the copyright holders and contributors as is and any express or implied warranties", "provided with the distribution this software is provided by"),
     ("bsd-3", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", "may be used to endorse or promote products derived from this software"),
@@ -80,14 +85,14 @@ def _numbered(part: np.ndarray, at: np.ndarray, keys: np.ndarray, numbers: np.nd
     starts, ends, per = K.words(part, at, K.ALNUM_WORDS)
     h = K.span_hashes(part, starts, ends)
     i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[i] == h, numbers[i], -1).astype(np.int16), per
+    return np.where(keys[i] == h, numbers[i], -1).astype(np.int32), per
 
 
 def document_frequencies(docs: DataFrame, words: list[str], text_col: str = "text") -> tuple[int, dict[str, int]]:
     """The number of texts, and in how many of them each of ``words`` stands, over all texts."""
     h = _hashes(words)
     order = np.argsort(h)
-    keys, numbers = h[order], order.astype(np.int16)
+    keys, numbers = h[order], order.astype(np.int32)
 
     def run(batches):
         counts = np.zeros(len(words) + 1, np.int64)
@@ -151,7 +156,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base:
     number = {w: i for i, w in enumerate(words)}
     h = _hashes(words)
     order = np.argsort(h)
-    keys, numbers = h[order], order.astype(np.int16)
+    keys, numbers = h[order], order.astype(np.int32)
     phrases = [([number[w] for w in p.split()], label) for p, label in base.items()]
     plans = []
     for label, wording, key in templates:
