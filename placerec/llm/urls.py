@@ -29,8 +29,8 @@ from placerec.llm.shared import cut, drop
 #: (verdict, host, path prefix).
 RULES = [("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/")]
 BUCKETS = 1 << 16
-#: The unigram model holds the words of 2 to so many letters of all pages.
-LONGEST = 20
+#: The unigram model holds the words of 2 to so many letters of all pages: as many as a label of a host name may have.
+LONGEST = 63
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,7 +50,7 @@ def judged(host: Column, path: Column, rules) -> tuple[Column, Column]:
 
 
 def unigrams(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """(w, n): counts over all pages of the words of 2 to 20 letters of their visible text."""
+    """(w, n): counts over all pages of the words of 2 to ``LONGEST`` letters of their visible text."""
     text = F.lower(F.regexp_replace(F.coalesce(F.col(html_col), F.lit("")), r"<[^>]*>", " "))
     words = pages.select(F.explode(F.split(text, "[^a-z]+")).alias("w")).where(F.length("w").between(2, LONGEST))
     return words.groupBy("w").agg(F.count("*").alias("n"))
