@@ -1,7 +1,8 @@
 """Mixing sources to target weights by Efraimidis-Spirakis sampling, in DataFrame operations only.
 
 Each document gets an exponential key ``-ln(u) / quality`` whose ``u`` is a digest
-of its id, so reruns agree. A source's target is a water level: its share of all
+of its id (of its text, where the id is null), so reruns agree. The quality is a column
+of weights, as a classifier's scores, or else a plain rule of characters a word. A source's target is a water level: its share of all
 words by weight, but no more than ``cap`` times what the source holds, the excess
 going to the others by weight. Whole epochs of a source come first; the rest of its
 target is filled in key order, by prefix sums. Of the document at the edge the words
@@ -13,7 +14,8 @@ bucket where the target ends, and only that bucket of that bucket is sorted.
 
 Defined results: a null or wordless text has size 0 and takes 0; a null source is a
 source of its own, last in order; equal keys are ordered by id, then size; rows that
-repeat an id are taken one by one; an empty table gives an empty table; only the
+repeat an id are taken one by one; a weight that is null, not a number or under
+``LEAST_QUALITY`` counts as that, one over 1 as 1; an empty table gives an empty table; only the
 id, text and source columns are read.
 """
 
@@ -38,6 +40,12 @@ def quality(text: Column, size: Column) -> Column:
     return F.when((F.length(text) >= 3 * size) & (F.length(text) <= 10 * size) & (size > 0), F.lit(1.0)).otherwise(F.lit(LEAST_QUALITY))
 
 
+def weight(column: Column) -> Column:
+    """A given weight, kept between ``LEAST_QUALITY`` and 1."""
+    w = column.cast("double")
+    return F.when(w.isNull() | F.isnan(w), F.lit(LEAST_QUALITY)).otherwise(F.greatest(F.least(w, F.lit(1.0)), F.lit(LEAST_QUALITY)))
+
+
 def source_targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP, share: float = 1.0) -> DataFrame:
     """(source, source_size) to (source, source_size, target): one row a source."""
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
@@ -64,22 +72,23 @@ def _with(rows: DataFrame, sources: DataFrame, how: str = "inner") -> DataFrame:
     return rows.join(sources, F.col("source").eqNullSafe(F.col("its_source")), how).drop("its_source")
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, keep: list[str]) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, keep: list[str], quality_col: str | None) -> DataFrame:
     """Each document's size, key and the two numbers of its bucket, beside the columns ``keep`` as k0, k1, ..."""
-    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("size", words_in(F.col("text")))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit("")))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
-    d = d.withColumn("key", -F.log(u) / quality(F.col("text"), F.col("size")))
+    given = (F.lit(None).cast("double") if quality_col is None else weight(F.col(quality_col))).alias("given")
+    d = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), given, *[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)]).withColumn("size", words_in(F.col("text")))
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.md5(F.coalesce("text", F.lit("")))))), 1, 13), 16, 10).cast("long") + 0.5) / float(1 << 52)
+    d = d.withColumn("key", -F.log(u) / (quality(F.col("text"), F.col("size")) if quality_col is None else F.col("given")))
     slot = F.least(F.floor((1 - F.exp(-F.col("key") * LEAST_QUALITY)) * (FAN * FAN)), F.lit(FAN * FAN - 1)).cast("long")
     d = d.withColumn("slot", slot)
     return d.select("id", "source", "size", "key", F.floor(F.col("slot") / FAN).cast("int").alias("b1"), (F.col("slot") % FAN).cast("int").alias("b2"), *[f"k{i}" for i in range(len(keep))])
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED, keep: list[str] | None = None, copies: str = "copies") -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, cap: float = CAP, share: float = 1.0, seed: str = SEED, keep: list[str] | None = None, copies: str = "copies", quality_col: str | None = None) -> DataFrame:
     """Per document: size, its source's size and target, epochs taken whole, and the words taken in all.
 
     With ``keep``: those columns and, named ``copies``, the number of times the mix takes the document.
     """
-    base = cut(_keyed(docs, id_col, text_col, source_col, seed, []), "mix")
+    base = cut(_keyed(docs, id_col, text_col, source_col, seed, [], quality_col), "mix")
     first = cut(base.groupBy("source", "b1").agg(F.sum("size").alias("words")), "mix-buckets")
     plan = source_targets(first.groupBy("source").agg(F.sum("words").alias("source_size")), weights, cap, share)
     plan = plan.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")).withColumn("rest", F.col("target") - F.col("epochs") * F.col("source_size"))
@@ -87,7 +96,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     plan = cut(_with(plan, _edge(sums, "b1", "rest"), "left"), "mix-edges")
     inner = _with(base, plan.select("source", "b1_edge", "b1_left")).where(F.col("b1") == F.col("b1_edge")).groupBy("source", "b2", "b1_left").agg(F.sum("size").alias("words"))
     plan = cut(_with(plan, _edge(inner, "b2", "b1_left"), "left"), "mix-plan")
-    d = _with(_keyed(docs, id_col, text_col, source_col, seed, keep) if keep else base, plan)
+    d = _with(_keyed(docs, id_col, text_col, source_col, seed, keep, quality_col) if keep else base, plan)
     on_edge = (F.col("b1") == F.coalesce("b1_edge", F.lit(FAN))) & (F.col("b2") == F.coalesce("b2_edge", F.lit(FAN)))
     below = (F.col("b1") < F.coalesce("b1_edge", F.lit(FAN))) | (F.col("b1") == F.col("b1_edge")) & (F.col("b2") < F.coalesce("b2_edge", F.lit(FAN)))
     run = Window.partitionBy("source").orderBy("key", F.col("id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
@@ -111,7 +120,7 @@ def mixed(docs: DataFrame, **how) -> DataFrame:
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, text, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
+         (('0x' || substr(md5('mix:' || coalesce(doc_id::VARCHAR, md5(coalesce(text, '')))), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496::DOUBLE AS u
   FROM documents),
 k AS (
   SELECT *, -ln(u) / CASE WHEN length(text) >= 3 * size AND length(text) <= 10 * size AND size > 0 THEN 1::DOUBLE ELSE 0.5::DOUBLE END AS key FROM d),
