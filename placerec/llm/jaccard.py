@@ -526,7 +526,8 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     sig = cut(signatures(docs, k, percent, id_col, text_col), "signatures")
     classes = cut(sig.where("n > 0").groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n")), "classes")
     posts = sig.select("h1", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "token"))
-    shared = posts.groupBy("token").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("token")
+    # written, so that the join's partitions can be split where a token stands in very many rows
+    shared = cut(posts.groupBy("token").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a < b").select("token"), "shared")
     # spread by both columns, so that a token of many classes can be dealt out
     member = posts.join(shared, "token").repartition("token", "h1").distinct()
     # linked sizes lie in the same or in neighbouring bands; slot s holds the bands s - 1 and s
@@ -542,6 +543,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     slots = member.groupBy("token", "slot").agg(F.count("*").alias("rows"), F.max("band").alias("top"), F.min("h1").alias("first"), mark(1).alias("m1"), mark(2).alias("m2")).where("rows > 1 and top = slot")
     # buckets of the same members are one
     buckets = slots.groupBy("slot", "rows", "m1", "m2").agg(F.min("token").alias("token"), F.min("first").alias("first")).select("token", "slot", "rows", "first")
+    buckets = cut(buckets, "buckets")
     lives = member.join(buckets, ["token", "slot"])
     hot = lives.where(F.col("rows") > HOT).where("first <> h1").select(F.col("first").alias("x"), F.col("h1").alias("y"))
     width = lambda n: F.least(F.greatest(F.length(F.bin(n - 1)), F.lit(LEAST_BITS)), F.lit(MOST_BITS)).cast("int")
@@ -550,7 +552,7 @@ def _grouped(docs: DataFrame, k: int, percent: int, id_col: str, text_col: str)
     bits = sig.where("bits is not null").select("h1", "bits").dropDuplicates(["h1"])
     lives = lives.select("key", "size", "fold", "guest", F.col("n").cast("long").alias("n"), "h1").join(bits, "h1")
     open_ = cut(_families(lives.repartition("key").sortWithinPartitions("size", "key"), percent).unionByName(hot).distinct(), "families")
-    drop(member)
+    drop(member, shared, buckets)
     if open_.isEmpty():
         return sig.join(classes.select("h1", "h2", "rep"), ["h1", "h2"], "left").select("id", "n", "h1", F.when(F.col("n") > 0, F.col("rep")).otherwise(F.col("id")).alias("component_id"))
     family = components(open_)

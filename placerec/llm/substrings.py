@@ -179,6 +179,8 @@ def repeated_chunks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     every = docs.select(id_col, text_col).where(F.col(id_col).isNotNull()).mapInArrow(K.releasing(run), f"digest bigint, ids array<{kind}>")
     first = every.groupBy("digest").agg(F.min(F.array_min("ids")).alias("low"), F.max(F.array_max("ids")).alias("high")).where("low <> high").select("digest", "low")
+    # written, so that the join's partitions can be split where very many batches hold a digest
+    first = cut(first, "first-holders")
     again = every.join(first, "digest").select("digest", "low", F.explode("ids").alias("id")).where("id <> low").select("id", "digest")
     return again.groupBy("id").agg(F.collect_set("digest").alias("digests"))
 
