@@ -120,6 +120,27 @@ def test_mix_odd_rows(odd, nothing):
     assert kept.columns == odd.columns and kept.count() > 0
 
 
+def test_mixing_by_a_weight_column(spark):
+    """Keys are drawn by the weights: with equal sizes, heavy documents are taken more often than light ones; odd weights count as the least."""
+    rows = [(i, "a b c d", "x" if i % 4 == 0 else "y", [1.0, 0.5, None, float("nan"), -3.0, 7.0][i % 6]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, w double")
+    got = mixing.mix(df, weights=(1, 7), quality_col="w").join(df, "doc_id").toPandas()
+    y = got[got.source == "x"]
+    assert y.target.iloc[0] < y.source_size.iloc[0] and abs(y.taken.sum() - y.target.iloc[0]) < 4
+    taken = y.assign(heavy=y.w.isin([1.0, 7.0])).groupby("heavy").taken.apply(lambda t: (t > 0).mean())
+    assert taken[True] > taken[False] * 1.3
+    plain = mixing.mix(df, weights=(1, 7)).toPandas()
+    assert not plain.equals(got[plain.columns])
+
+
+def test_mixing_tells_null_ids_apart_by_text(spark):
+    rows = [(None, f"words {i} here", "a") for i in range(400)] + [(1, "b " * 3000, "b")]
+    out = mixing.mix(spark.createDataFrame(rows, SCHEMA)).where("doc_id is null").toPandas()
+    assert len(out) == 400
+    some = mixing._keyed(spark.createDataFrame(rows, SCHEMA), "doc_id", "text", "source", "mix", [], None).where("id is null")
+    assert some.select("key").distinct().count() == 400
+
+
 # --- 2 n-gram Jaccard join
 
 
@@ -335,6 +356,29 @@ def test_topk_opens_few_annuli_of_clusters(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted(want) and opened < 0.2
 
 
+def test_topk_refuses_scores_beyond_double_precision(spark):
+    big = 2.0**17
+    for x, fine in ((big, True), (big * 8, False)):
+        df = spark.createDataFrame([(0, [x, -x]), (1, [x, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+        if fine:
+            want = sorted([(-int(256 * x) * int(256 * b[0]) + int(256 * x) * int(256 * b[1]), i) for i, b in ((1, (x, 1.0)), (2, (1.0, 1.0)))])
+            assert [(r.vec_id, r.score) for r in topk.top_k(df, every=50).where("query_id = 0").orderBy("rank").collect()] == [(i, -s) for s, i in want]
+        else:
+            with pytest.raises(ValueError):
+                topk.top_k(df)
+
+
+def test_topk_with_many_owners_and_a_crowded_annulus(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "OWNED_BYTES", 2000)
+    rng = np.random.default_rng(10)
+    x = np.concatenate([np.tile([0.5, 0.25, 0.0, 0.0], (400, 1)), rng.normal(size=(300, 4))]).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>").repartition(3)
+    q = np.floor(256.0 * x.astype(float))
+    want = [(i, r + 1, j, int(-s)) for i in range(0, 700, 50) for r, (s, j) in enumerate(sorted((-(q[i] @ q[j]), j) for j in range(700) if j != i)[:5])]
+    assert sorted(tuple(r) for r in topk.top_k(df).collect()) == sorted(want)
+
+
 def test_topk_repeated_ids(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [0.5, 0.0]), (2, [0.0, 0.25])], "vec_id long, embedding array<float>")
     assert [tuple(r) for r in topk.top_k(df, k=2).orderBy("rank").collect()] == [(0, 1, 1, 128 * 256), (0, 2, 2, 64 * 256)]
@@ -411,10 +455,47 @@ def test_license_templates_and_odd_rows(spark, odd, nothing):
     got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert all(label in got[i].labels.split(",") and got[i].score > 0.99 for i, (label, _, _) in enumerate(licenses.TEMPLATES)) and got[99].labels == ""
     out = licenses.scan(odd).collect()
+    assert len(out) == len(ODD)
     assert len(out) == len(ODD) and all(r.labels == "" and r.score == 0 for r in out)
     assert licenses.scan(nothing).count() == 0
 
 
+def test_licenses_equal_a_plain_matcher(spark):
+    """Labels and scores by trying every template at every word; broken, repeated, cut and very long texts."""
+    rng = random.Random(19)
+    tokens = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+    rows = []
+    for i in range(150):
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            w = rng.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, len(w) // 6, len(w) // 3])):
+                w[rng.randrange(len(w))] = rng.choice(["x", "software", "license", "other"])
+            parts += [prose(rng.randint(0, 9)), " ".join(w[rng.choice([0, 0, 2]) : len(w) - rng.choice([0, 0, 3])])]
+        rows.append((i, " ".join(parts), "a"))
+    rows += [(200, rows[0][1], "a"), (200, rows[0][1], "a"), (201, prose(20_000) + " " + licenses.TEMPLATES[1][1] + " " + prose(20_000), "a"), (202, " ".join([licenses.TEMPLATES[2][1]] * 40), "a"), (203, "version 2", "a")]
+    got = licenses.scan(spark.createDataFrame(rows, SCHEMA)).collect()
+    texts = [tokens.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t)) for _, t, _ in rows]
+    words = licenses.vocabulary()
+    df = {w: sum(w in set(t) for t in texts) for w in words}
+    idf = {w: np.log((len(texts) + 1) / (df[w] + 1)) + 1e-6 for w in words}
+    want = []
+    for (i, _, _), t in zip(rows, texts):
+        base = {label for p, label in licenses.BASE.items() for k in range(len(t)) if t[k : k + len(p.split())] == p.split()}
+        best = {}
+        for label, wording, key in licenses.TEMPLATES:
+            seq, must = wording.split(), key.split()
+            place = next(k for k in range(len(seq)) if seq[k : k + len(must)] == must)
+            weight = [idf[w] for w in seq]
+            for at in [k - place for k in range(len(t)) if t[k : k + len(must)] == must]:
+                share = sum(w for k, w in enumerate(weight) if 0 <= at + k < len(t) and t[at + k] == seq[k]) / sum(weight)
+                if share >= licenses.LEAST_SHARE:
+                    best[label] = max(best.get(label, 0), share)
+        want.append((i, ",".join(sorted(base | best.keys())), round(1.0 if base else min(1.0, max(best.values(), default=0.0)), 9)))
+    assert sorted((r.doc_id, r.labels, round(r.score, 9)) for r in got) == sorted(want)
+    assert {x for _, labels, _ in want for x in labels.split(",")} >= {"gpl-2", "gpl-3", "mit", "bsd-3"}
+
+
 # --- 8 URLs
 
 

@@ -10,7 +10,7 @@ import pytest
 from placerec.llm import registry
 
 SF = "/root/testdata/sf0.001"
-ROWS = {"op4_exact_topk": None, "op7_token_counts": None, "op8_url_filter": "pages"}
+ROWS = {"op4_exact_topk": None, "op11_source_divergence": None, "op7_token_counts": None, "op8_url_filter": "pages"}
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
