@@ -177,11 +177,29 @@ def dominant_ceiling(p: DataFrame, split: float = 2.1, highest: float = 4.5, wid
 
 def origin_height(p: DataFrame, low: float = 1.0, high: float = 8.0, least: int = 200) -> DataFrame:
     """One row (origin_height, scans): minus the median of the scans' second percentiles of z in a ring, if enough points lie there."""
-    r = G.range_xy(F.col("x"), F.col("y"))
+    r = F.col("r") if "r" in p.columns else G.range_xy(F.col("x"), F.col("y"))
     f = p.where((r > low) & (r < high)).groupBy("scan_id").agg(F.percentile("z", F.lit(0.02)).alias("p2"), F.count("*").alias("n")).where(F.col("n") > least)
     return f.agg((-F.median("p2")).alias("origin_height"), F.count("*").alias("scans"))
 
 
+def origin_height_audit(p: DataFrame, gravity: DataFrame, keyframes: int = 40, **how) -> DataFrame:
+    """:func:`origin_height` of levelled heights, by ranges as the sensor saw them, over about so many keyframes spread evenly by id."""
+    ids = gravity.select("scan_id").withColumn("_k", F.row_number().over(Window.orderBy("scan_id")) - 1)
+    some = ids.crossJoin(F.broadcast(gravity.agg(F.count("*").alias("_n")))).where(F.col("_k") % F.greatest(F.lit(1), F.floor(F.col("_n") / keyframes)) == 0).select("scan_id")
+    seen = p.join(some, "scan_id").withColumn("r", G.range_xy(F.col("x"), F.col("y")))
+    return origin_height(P.level(seen, gravity), **how)
+
+
+def density_image(p: DataFrame, bounds: tuple[float, float, float, float], bins: tuple[int, int] = (1100, 850)) -> DataFrame:
+    """(scan_id, px, py, n, level): points of each cell of a fixed raster over x and y, its last edges included, and the level as in :func:`density_grid`."""
+    x0, x1, y0, y1 = bounds
+    at = lambda c, low, high, k: F.least(F.floor((F.col(c) - low) / ((high - low) / k)), F.lit(k - 1)).cast("int")
+    inside = p.where(F.col("x").between(x0, x1) & F.col("y").between(y0, y1))
+    n = inside.groupBy("scan_id", at("x", x0, x1, bins[0]).alias("px"), at("y", y0, y1, bins[1]).alias("py")).agg(F.count("*").alias("n"))
+    top = n.groupBy("scan_id").agg(F.percentile(F.log1p("n"), F.lit(0.98)).alias("top"))
+    return n.join(top, "scan_id").select("scan_id", "px", "py", "n", F.pow(F.least(F.log1p("n") / F.greatest("top", F.lit(1e-9)), F.lit(1.0)), 0.48).alias("level"))
+
+
 def density_grid(p: DataFrame, cell: float = 2.0) -> DataFrame:
     """(scan_id, gx, gy, n, level): counts, and log counts against the scan's 98th percentile to the power 0.48."""
     n = p.groupBy("scan_id", F.floor(F.col("x") / cell).alias("gx"), F.floor(F.col("y") / cell).alias("gy")).agg(F.count("*").alias("n"))

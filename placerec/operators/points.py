@@ -35,8 +35,11 @@ def shift_z(p: DataFrame, offset: float) -> DataFrame:
     return p.withColumn("z", F.col("z") + F.lit(offset))
 
 
-def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
-    """Gravity-canonical points: each scan's up vector turned to +z; up vectors without length are passed over."""
+def level(p: DataFrame, gravity: DataFrame, origin: tuple[float, float, float] = (0.0, 0.0, 0.0), single: bool = False) -> DataFrame:
+    """Gravity-canonical points: each scan's up vector turned to +z about an origin; up vectors without length are passed over.
+
+    ``single`` rounds coordinates to single precision, as clouds at rest hold them.
+    """
     norm = F.sqrt(F.col("ux") ** 2 + F.col("uy") ** 2 + F.col("uz") ** 2)
     # null without length, so that the points go with all that is not finite: a filter here would be inferred for the points' side
     # as well, where the view behind ``gravity`` would be worked out for every point
@@ -45,7 +48,8 @@ def level(p: DataFrame, gravity: DataFrame) -> DataFrame:
     # nine and spelt out before the view (it went beyond what can be compiled)
     m = G.level_rotation(F.col("ux"), F.col("uy"), F.col("uz"))
     g = g.select("scan_id", *[F.coalesce(m[i][j], F.lit(float("nan"))).alias(f"_r{i}{j}") for i in range(3) for j in range(3)])
-    x, y, z = G.rotate([[F.col(f"_r{i}{j}") for j in range(3)] for i in range(3)], F.col("x"), F.col("y"), F.col("z"))
+    turned = G.rotate([[F.col(f"_r{i}{j}") for j in range(3)] for i in range(3)], *[F.col(c) - o if o else F.col(c) for c, o in zip("xyz", origin, strict=True)])
+    x, y, z = (c.cast("float").cast("double") if single else c for c in turned)
     return finite_points(p.join(g, "scan_id").select(*[c for c in p.columns if c not in "xyz"], x.alias("x"), y.alias("y"), z.alias("z")))
 
 

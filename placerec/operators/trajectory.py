@@ -263,9 +263,14 @@ def clock_offset_grid(source: DataFrame, truth: DataFrame, key: str, span: float
 
 def _step(s: np.ndarray, t: np.ndarray, near: Grid, r: np.ndarray, m: np.ndarray, rounds: int, gate: float, least: int):
     """Rounds of nearest neighbours within the gate and closed-form planar fits; the median distance of all points at the end."""
+    before = None
     for _ in range(rounds):
         j, d = near.nearest(s @ r.T + m, gate)
         ok = d < gate
+        if before is not None and np.array_equal(j, before):
+            # the same partners give the same fit: nothing changes any more
+            break
+        before = j
         if ok.sum() < least:
             return r, m, np.inf
         a, b = s[ok], t[j[ok]]

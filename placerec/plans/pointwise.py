@@ -112,6 +112,31 @@ def reference_frame(spark, d):
     return rounded(p.groupBy("scan_id").agg(F.sum("x").alias("x"), F.sum("y").alias("y")), 4)
 
 
+_LEVEL = """lv AS (SELECT *, (1 - ux*ux*k)*x + (-ux*uy*k)*y + (-ux)*z AS lx, (-ux*uy*k)*x + (1 - uy*uy*k)*y + (-uy)*z AS ly, ux*x + uy*y + uz*z AS lz FROM (SELECT *, 1::DOUBLE / (1::DOUBLE + uz) AS k FROM p0 JOIN gravity USING (scan_id)))"""
+
+
+@query(f"""WITH {POINTS}, {M.GRAVITY}, p0 AS (SELECT scan_id, x - 1::DOUBLE AS x, y + 2::DOUBLE AS y, z - 0.5::DOUBLE AS z FROM points), {_LEVEL}
+SELECT scan_id, round(sum(lx::FLOAT::DOUBLE), 3) AS x, round(sum(ly::FLOAT::DOUBLE), 3) AS y, round(sum(lz::FLOAT::DOUBLE), 3) AS z, count(*) AS n FROM lv GROUP BY 1""")
+def level_about_origin(spark, d):
+    """Levelled about another origin, in single precision."""
+    p = P.level(M.points(spark, d), M.gravity(spark, d), (1.0, -2.0, 0.5), True)
+    return rounded(p.groupBy("scan_id").agg(*[F.sum(c).alias(c) for c in "xyz"], F.count("*").alias("n")), 3)
+
+
+@query(f"""WITH {POINTS}, {M.GRAVITY}, p0 AS (SELECT scan_id, x, y, z, sqrt(x*x + y*y) AS r FROM points), {_LEVEL},
+ids AS (SELECT scan_id FROM (SELECT scan_id, row_number() OVER (ORDER BY scan_id) - 1 AS k, count(*) OVER () AS n FROM gravity) WHERE k % greatest(1, n // 40) = 0),
+f AS (SELECT scan_id, quantile_cont(lz, 0.02) AS p2, count(*) AS n FROM lv JOIN ids USING (scan_id) WHERE r > 1 AND r < 20 GROUP BY 1 HAVING count(*) > 50) SELECT round(-median(p2), 6) AS origin_height, count(*) AS scans FROM f""")
+def origin_height_levelled(spark, d):
+    """The audit over some forty keyframes; farther and with fewer points than a lidar's."""
+    return rounded(D.origin_height_audit(M.points(spark, d), M.gravity(spark, d), high=20.0, least=50))
+
+
+@query(f"""WITH {POINTS}, n AS (SELECT scan_id, least(floor((x + 20::DOUBLE) / (40::DOUBLE / 11)), 10)::INTEGER AS px, least(floor((y + 15::DOUBLE) / (30::DOUBLE / 8)), 7)::INTEGER AS py, count(*) AS n FROM points WHERE x BETWEEN -20::DOUBLE AND 20::DOUBLE AND y BETWEEN -15::DOUBLE AND 15::DOUBLE GROUP BY 1, 2, 3),
+t AS (SELECT scan_id, quantile_cont(ln(1 + n::DOUBLE), 0.98) AS top FROM n GROUP BY 1) SELECT scan_id, px, py, n, round(least(ln(1 + n::DOUBLE) / greatest(top, 1e-9::DOUBLE), 1) ** 0.48::DOUBLE, 6) AS level FROM n JOIN t USING (scan_id)""")
+def density_image(spark, d):
+    return rounded(D.density_image(M.points(spark, d), (-20.0, 20.0, -15.0, 15.0), (11, 8)))
+
+
 @query(f"""WITH {POINTS}, t AS (SELECT scan_id, {_ORD}, (l_orderkey % 1000) * CASE scan_id % 5 WHEN 0 THEN 1e-4::DOUBLE WHEN 1 THEN 0.1::DOUBLE WHEN 2 THEN 100::DOUBLE WHEN 3 THEN 100000::DOUBLE ELSE 0::DOUBLE END AS t FROM points),
 s AS (SELECT *, t - min(t) OVER w AS since, count(*) OVER w AS n, row_number() OVER (PARTITION BY scan_id ORDER BY {_ORD}) - 1 AS k FROM t WINDOW w AS (PARTITION BY scan_id)),
 u AS (SELECT *, max(since) OVER (PARTITION BY scan_id) AS span FROM s), v AS (SELECT *, CASE WHEN span <= 0.2 THEN 1e9::DOUBLE WHEN span <= 200 THEN 1e6::DOUBLE WHEN span <= 200000 THEN 1e3::DOUBLE ELSE 1::DOUBLE END AS unit FROM u)
@@ -167,9 +192,19 @@ def pointnet_norm(spark, d):
     return rounded(p.groupBy("scan_id").agg(F.count("*").alias("n"), F.avg("x").alias("x"), F.avg(F.abs("z")).alias("z")))
 
 
-@query(f"""WITH {POINTS}, r AS (SELECT *, sqrt(x*x+y*y+z*z) AS d FROM points), i AS (SELECT scan_id, least(greatest(floor((1 - (degrees(asin(z/d)) + 25::DOUBLE) / 28::DOUBLE) * 16), 0), 15)::INTEGER AS row,
-least(greatest(floor((1 - atan2(y, x) / pi()) * 0.5::DOUBLE * 90), 0), 89)::INTEGER AS col, d FROM r WHERE d > 0 AND d < 80)
-SELECT scan_id, row, col, round(min(d), 6) AS range, least(greatest(round_even(min(d) / 80::DOUBLE * 255, 0), 0), 255)::INTEGER AS level FROM i GROUP BY 1, 2, 3""")
+def _range_sql(rows: int, cols: int) -> str:
+    return f"""WITH {POINTS}, r AS (SELECT *, sqrt(x*x+y*y+z*z) AS d FROM points), i AS (SELECT scan_id, least(greatest(floor((1 - (degrees(asin(z/d)) + 25::DOUBLE) / 28::DOUBLE) * {rows}), 0), {rows - 1})::INTEGER AS row,
+least(greatest(floor((1 - atan2(y, x) / pi()) * 0.5::DOUBLE * {cols}), 0), {cols - 1})::INTEGER AS col, d FROM r WHERE d > 0 AND d < 80)
+SELECT scan_id, row, col, round(min(d), 6) AS range, least(greatest(round_even(min(d) / 80::DOUBLE * 255, 0), 0), 255)::INTEGER AS level FROM i GROUP BY 1, 2, 3"""
+
+
+@query(_range_sql(64, 900))
+def range_quantise_full(spark, d):
+    """The size of a lidar's own image."""
+    return rounded(P.range_image(M.points(spark, d)))
+
+
+@query(_range_sql(16, 90))
 def range_quantise(spark, d):
     return rounded(P.range_image(M.points(spark, d), rows=16, cols=90))
 

@@ -92,6 +92,33 @@ def topic_index_scan(spark, d):
     return e.orderBy("ts", "event_id").select("event_id", "user_id")
 
 
+@query("""WITH n AS (SELECT user_id AS track, event_type AS m, count(*) AS n, round(avg(value), 6) AS v FROM events GROUP BY 1, 2), k AS (SELECT track FROM n WHERE m IN ('click', 'view', 'purchase') GROUP BY 1 HAVING count(*) = 3)
+SELECT track, max(n) FILTER (m = 'view') AS "view n", max(v) FILTER (m = 'view') AS "view v", max(n) FILTER (m = 'click') AS "click n", max(v) FILTER (m = 'click') AS "click v", max(n + 1) FILTER (m = 'purchase') AS "purchase n", max(v) FILTER (m = 'purchase') AS "purchase v" FROM n JOIN k USING (track) GROUP BY 1""")
+def method_table(spark, d):
+    """Three kinds of events as methods of two tables, side by side for each track that has all; the second table's purchases replace the first's."""
+    e = M.table(spark, d, "events").groupBy(F.col("user_id").alias("track"), F.col("event_type").alias("algorithm")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("v"))
+    names = ["view", "click", "purchase"]
+    e = e.where(F.col("algorithm").isin(names))
+    whole = e.groupBy("track").count().where("count = 3").select("track")
+    e = e.join(whole, "track")
+    plus = e.withColumn("algorithm", F.when(F.col("algorithm") != "click", F.concat("algorithm", F.lit(" + G"))).otherwise(F.col("algorithm")))
+    return R.method_table([plus, e.where("algorithm = 'purchase'").withColumn("n", F.col("n") + 1)], names, "track", ["n", "v"])
+
+
+@query("""WITH q AS (SELECT s_suppkey AS query_id, s_suppkey % 5 IN (0, 1, 3) AS valid, s_acctbal FROM supplier) SELECT count(*) AS n, min(query_id) AS first, round(sum(s_acctbal), 4) AS total FROM q WHERE valid""")
+def eligible_queries(spark, d):
+    """Query metadata with truth flags in five spellings, written as a file and read back: those with a valid truth."""
+    from placerec.folders import shared_dir
+    from placerec.sources import tables as S
+
+    at, k = shared_dir(spark, "metadata"), F.col("s_suppkey") % 5
+    flag = F.when(k == 0, "True").when(k == 1, " yes ").when(k == 2, "False").when(k == 3, "1").otherwise("")
+    m = M.table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("query_id"), F.col("s_suppkey").cast("int").alias("window"), F.lit(0.0).alias("start_s"), F.lit(0).alias("points"), F.lit("x.bin").alias("file"), flag.alias("truth_valid"), F.lit(0.0).alias("truth_x"), F.lit(0.0).alias("truth_y"), "s_acctbal")
+    m.write.csv(at, header=True)
+    q = S.eligible(S.read_query_meta(spark, at))
+    return rounded(q.agg(F.count("*").alias("n"), F.min("query_id").cast("long").alias("first"), F.sum(F.col("s_acctbal").cast("double")).alias("total")), 4)
+
+
 @query("SELECT event_id, user_id, round(value, 6) AS value FROM events WHERE event_type = 'view'")
 def results_csv(spark, d):
     """Per-query rows written as CSV and read back for one algorithm."""

@@ -284,6 +284,19 @@ def ringpp_features(spark, d):
     return tensors(spark, d).select("scan_id", "channels", F.transform("v", lambda x: F.round(x.cast("double"), 4)).alias("v"))
 
 
+@query()
+def ringpp_features_full(spark, d):
+    """The method's own grid of 120 and span of 70, as sums and extremes of each channel."""
+    from placerec.operators import kernels as N
+    from placerec.operators import points as P
+
+    v = N.ringpp(P.ringpp_normalise(P.voxel_centroids(P.crop_annulus(M.points(spark, d)), 0.25)))
+    part = lambda c: F.slice("v", c * 14400 + 1, 14400)
+    rows = v.select("scan_id", F.explode(F.sequence(F.lit(0), F.col("channels") - 1)).alias("channel"), "v")
+    channel = F.transform(part(F.col("channel")), lambda x: x.cast("double"))
+    return rounded(rows.select("scan_id", "channel", F.aggregate(channel, F.lit(0.0), lambda a, x: a + x * x).alias("energy"), F.array_max(channel).alias("most"), F.array_min(channel).alias("least")), 3)
+
+
 @query()
 def ringpp_topk(spark, d):
     from pyspark.sql import Window
@@ -341,6 +354,16 @@ def plugin_descriptor(spark, d):
     return _plugin(spark, d, "sector-heights")
 
 
+@query(_plugin_sql("(VALUES (0))").replace(f"WITH {M.POINTS}", f"""WITH {M.POINTS.replace('points AS', 'raw AS', 1)}, {M.GRAVITY}, points AS (SELECT scan_id, (1 - ux*ux*k)*x + (-ux*uy*k)*y + (-ux)*z AS x, (-ux*uy*k)*x + (1 - uy*uy*k)*y + (-uy)*z AS y, ux*x + uy*y + uz*z AS z FROM (SELECT *, 1::DOUBLE / (1::DOUBLE + uz) AS k FROM raw JOIN gravity USING (scan_id)))"""))
+def plugin_levelled(spark, d):
+    """Levelling in front of a descriptor that knows nothing of it."""
+    from placerec.operators import plugins as X
+    from placerec.operators import points as P
+
+    p = P.level(M.points(spark, d), M.gravity(spark, d))
+    return rounded(X.retrieve_with("sector-heights", p.where("scan_id % 2 = 1"), p.where("scan_id % 2 = 0"), 5))
+
+
 @query(_plugin_sql("range(12)"))
 def plugin_exhaustive_yaw(spark, d):
     return _plugin(spark, d, "sector-heights-any-yaw")

@@ -64,6 +64,38 @@ def read_query_meta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(*typed).withColumn("truth_valid", truthy(F.col("truth_valid")))
 
 
+def eligible(meta: DataFrame) -> DataFrame:
+    """The queries that have a valid truth; the others take no part in an evaluation."""
+    return meta.where(F.coalesce("truth_valid", F.lit(False)))
+
+
+def write_queries(points: DataFrame, meta: DataFrame, gravity: DataFrame | None, path: str) -> DataFrame:
+    """A query session: clouds as ``clouds/*.bin``, ``metadata`` and ``gravity`` as CSV with a header, in the order of their ids; the metadata.
+
+    ``meta`` has query_id, start_s, truth_valid, truth_x, truth_y and what else it likes; window, file and points are filled in. Every
+    query needs a cloud, and with ``gravity`` (scan_id, stamp, ux, uy, uz) an up vector.
+    """
+    from placerec.sources.pcd import write_clouds
+
+    files = write_clouds(points, f"{path.removeprefix('file:')}/clouds", "bin").select(F.col("scan_id").alias("query_id"), F.element_at(F.split("file", "/"), -1).alias("file"), "points")
+    files = spark_table(files, f"{path}/.files")
+    out = meta.drop("window", "file", "points").join(files, "query_id", "left").withColumn("window", F.col("query_id"))
+    assert_none(out.where("file is null"), "a query has no cloud")
+    first = ["query_id", "window", "start_s", "points", "file", "truth_valid", "truth_x", "truth_y"]
+    out = out.select(*first, *[c for c in out.columns if c not in first])
+    out.orderBy("query_id").coalesce(1).write.mode("overwrite").csv(f"{path}/metadata", header=True)
+    if gravity is not None:
+        assert_none(meta.join(gravity.select(F.col("scan_id").alias("query_id")), "query_id", "left_anti"), "a query has no up vector")
+        g = gravity.select(F.col("scan_id").alias("query_id"), "stamp", *[F.col(f"u{c}").alias(f"up_{c}") for c in "xyz"])
+        g.orderBy("query_id").coalesce(1).write.mode("overwrite").csv(f"{path}/gravity", header=True)
+    return out
+
+
+def spark_table(df: DataFrame, path: str) -> DataFrame:
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def read_pose_csv(spark: SparkSession, path: str) -> DataFrame:
     """Odometry or trusted poses in stamp order; the first of equal stamps; ``stamp_ns`` counts nanoseconds."""
     raw = spark.read.csv(path, header=True).withColumn("_line", F.monotonically_increasing_id())

@@ -153,7 +153,7 @@ def test_pivot_index_on_few_rows_and_ties(spark, n):
 # --- neighbours inside a scan
 
 
-def test_leaves_and_grid_equal_brute_force():
+def test_leaves_and_grid_equal_brute_force(monkeypatch):
     rng = np.random.default_rng(5)
     for n, k in ((30, 30), (31, 30), (700, 8), (900, 30)):
         p = np.concatenate([rng.normal(0, 1, (n - n // 3, 3)), rng.normal(3, 0.01, (n // 3, 3))])
@@ -169,7 +169,8 @@ def test_leaves_and_grid_equal_brute_force():
         t = np.concatenate([rng.uniform(-30, 30, (n, 2)), rng.normal(5, 0.05, (n, 2))])
         q = np.concatenate([rng.uniform(-45, 45, (300, 2)), t[:1], [[400.0, -900.0]]])
         d = np.sqrt(((q[:, None] - t[None]) ** 2).sum(2))
-        for reach in (np.inf, 1.5):
+        for reach, pairs in ((np.inf, 1), (1.5, 1), (np.inf, 1 << 20), (1.5, 1 << 20)):
+            monkeypatch.setattr(L, "PAIRS", pairs)
             at, dist = L.Grid(t, 0.7).nearest(q, reach)
             want = np.where(d.min(1) <= reach, d.argmin(1), -1)
             assert (at == want).all() and np.allclose(dist[at >= 0], d.min(1)[at >= 0])
