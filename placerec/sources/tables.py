@@ -164,7 +164,8 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
 
 def timing(queries: DataFrame, candidates: DataFrame) -> DataFrame:
     """(query_index, retrieval_ms, candidate_count): one row a query, also without candidates; the time is that of its candidates, null without."""
-    n = candidates.groupBy("query_index").agg(F.max("retrieval_ms").alias("retrieval_ms"), F.count("*").alias("n"))
+    ms = F.max("retrieval_ms") if "retrieval_ms" in candidates.columns else F.lit(None).cast("double")
+    n = candidates.groupBy("query_index").agg(ms.alias("retrieval_ms"), F.count("*").alias("n"))
     return queries.select("query_index").distinct().join(n, "query_index", "left").select("query_index", "retrieval_ms", F.coalesce("n", F.lit(0)).alias("candidate_count"))
 
 

@@ -341,7 +341,7 @@ def test_text_sources(spark, tmp_path):
     with pytest.raises(ValueError):
         S.scan_logs(spark, log, {"t": "x(y)"}, alarm="noise")
     q, c = spark.createDataFrame([(1,), (2,)], "query_index int"), spark.createDataFrame([(1, 1), (1, 2)], "query_index int, candidate_rank int")
-    assert sorted(map(tuple, S.timing(q, c).collect())) == [(1, 2), (2, 0)]
+    assert sorted(map(tuple, S.timing(q, c).collect())) == [(1, None, 2), (2, None, 0)]
     S.candidate_csv(c, str(tmp_path / "cand"))
     assert spark.read.csv(str(tmp_path / "cand"), header=True).count() == 2
     S.write_manifest(spark.createDataFrame([(1, "a")], "n int, s string"), str(tmp_path / "man"))
