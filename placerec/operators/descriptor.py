@@ -112,6 +112,19 @@ def height_votes(p: DataFrame, cfg: DescriptorConfig) -> DataFrame:
     return d.select("scan_id", "ring", "sector", F.least(F.floor(F.col("h") / cfg.histogram_bin), F.lit(height_bins(cfg) - 1)).cast("int").alias("bin")).distinct()
 
 
+def histogram_totals(p: DataFrame, cfg: DescriptorConfig) -> tuple[list[int], int]:
+    """The votes of each height bin, and the scans that have any, in one pass: a column's bins are the bits of a few words, so no vote is a row."""
+    n = height_bins(cfg)
+    b = F.least(F.floor(F.col("h") / cfg.histogram_bin), F.lit(n - 1)).cast("int")
+    d = polar(p, cfg).where((F.col("h") >= 0) & (F.col("h") < cfg.histogram_max)).withColumn("bin", b)
+    words = range(-(-n // 64))
+    bit = lambda k: F.bit_or(F.when(F.floor(F.col("bin") / 64) == k, F.expr("shiftleft(1L, bin % 64)")).otherwise(F.lit(0))).alias(f"w{k}")
+    columns = d.groupBy("scan_id", "ring", "sector").agg(*[bit(k) for k in words])
+    scans = columns.groupBy("scan_id").agg(*[F.sum(F.getbit(f"w{i // 64}", F.lit(i % 64)).cast("long")).alias(f"b{i}") for i in range(n)])
+    got = scans.agg(F.count("*").alias("scans"), *[F.sum(f"b{i}").alias(f"b{i}") for i in range(n)]).first()
+    return [got[f"b{i}"] or 0 for i in range(n)], got.scans
+
+
 def adaptive_split(histogram: DataFrame, keyframes: int, cfg: DescriptorConfig) -> DataFrame:
     """One row (enabled, split, score): the threshold of greatest between-class variance, the middle of a plateau."""
     n = height_bins(cfg)

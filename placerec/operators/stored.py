@@ -73,10 +73,9 @@ def choose_split(points: DataFrame, cfg: DescriptorConfig) -> tuple[DescriptorCo
     if not (cfg.dual_layer and cfg.split_auto):
         return cfg, found
     spark = points.sparkSession
-    votes = D.height_votes(points, cfg).rollup("bin").agg(F.count("*").alias("n"), F.count_distinct("scan_id").alias("scans")).collect()
-    total = next((r for r in votes if r.bin is None), None)
-    found |= {"adapted": True, "keyframes": total.scans if total else 0, "support": total.n if total else 0}
-    bins = spark.createDataFrame([(r.bin, r.n) for r in votes if r.bin is not None], "bin int, n bigint")
+    votes, scans = D.histogram_totals(points, cfg)
+    found |= {"adapted": True, "keyframes": scans, "support": sum(votes)}
+    bins = spark.createDataFrame(list(enumerate(votes)), "bin int, n bigint")
     best = D.adaptive_split(bins, found["keyframes"], cfg).first()
     if not best.enabled or not found["support"]:
         return cfg.with_(dual_layer=False), found | {"enabled": False}

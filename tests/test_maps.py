@@ -112,6 +112,15 @@ def test_split_decides_for_the_whole_map(spark, tmp_path):
     assert not S.retrieve(few, few).isEmpty()
 
 
+def test_votes_as_bits_equal_votes_as_rows(spark):
+    p = M.points(spark, SF)
+    for cfg in (CFG, CFG.with_(histogram_bin=0.037)):
+        votes, scans = D.histogram_totals(p, cfg)
+        rows = {r.bin: r.n for r in D.height_histogram(p, cfg).collect()}
+        assert votes == [rows.get(i, 0) for i in range(D.height_bins(cfg))] and scans == D.height_votes(p, cfg).select("scan_id").distinct().count()
+    assert D.histogram_totals(p.limit(0), CFG) == ([0] * 60, 0)
+
+
 # --- pivot index
 
 
